@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, neardup, packing, telephony, toxicity, urls
+from . import bpe, language, licenses, neardup, neighbours, packing, telephony, toxicity, urls
 from .common import table
 
 #: Host, path and verdict of the rules.
@@ -37,6 +38,10 @@ def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(table(spark, sf_dir, "documents"), k=3, percent=85).selectExpr("doc_id", "n_shingles", "component_id", "doc_id = component_id as kept")
 
@@ -45,5 +50,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_url_filter, op4_toxicity, op5_best_fit_packing, op6_telephony_audio, op9_minhash_forest, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_url_filter, op4_toxicity, op5_best_fit_packing, op6_telephony_audio, op8_collision_counting, op9_minhash_forest, op10_language_id)}
 ORACLES = {"op2_license_scan": licenses.scan_sql()}
