@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, neardup, neighbours, packing, telephony, toxicity, urls
+from . import bpe, language, licenses, neardup, neighbours, packing, repeats, telephony, toxicity, urls
 from .common import table
 
 #: Host, path and verdict of the rules.
@@ -38,6 +38,11 @@ def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.cut(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.selectExpr("doc_id", "repeat_bytes as n_bytes", "repeat_removed as n_removed", "repeat_spans as n_spans", "repeat_sha256 as kept_sha256")
+
+
 def op8_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -50,5 +55,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_url_filter, op4_toxicity, op5_best_fit_packing, op6_telephony_audio, op8_collision_counting, op9_minhash_forest, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_url_filter, op4_toxicity, op5_best_fit_packing, op6_telephony_audio, op7_suffix_array, op8_collision_counting, op9_minhash_forest, op10_language_id)}
 ORACLES = {"op2_license_scan": licenses.scan_sql()}
