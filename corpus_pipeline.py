@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinelake.llm import language, neardup, packing, repeats, toxicity
-from kinelake.llm.common import stored, table
+from kinelake.llm.common import free, stored, table
 
 #: Share of the letters that the main language must hold.
 LEAST_SHARE = 0.5
@@ -21,24 +21,26 @@ SHINGLE, PERCENT = 5, 80
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; learned from these documents' own lang column. Null texts and texts without letters go."""
-    made = language.identify(docs, language.fit(docs), prefix="stage_")
-    return made.where((F.col("stage_lang_pred") != "und") & (F.col("stage_score") >= LEAST_SHARE)).select(docs.columns)
+    prefix = "stage_" if not any(c.startswith("stage_") for c in docs.columns) else free(docs.columns, max(docs.columns, key=len) + "_")
+    made = language.identify(docs, language.fit(docs), prefix=prefix)
+    return made.where((F.col(f"{prefix}lang_pred") != "und") & (F.col(f"{prefix}score") >= LEAST_SHARE)).select(docs.columns)
 
 
 def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; learned from the labels of documents that are left."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="stage_score").where(F.col("stage_score") < toxicity.THRESHOLD).select(docs.columns)
+    model, out = toxicity.fit(docs, table(spark, sf_dir, "labels")), free(docs.columns, "stage_score")
+    return toxicity.score(docs, model, out=out).where(F.col(out) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group; of rows that share the least id, one with the least text key."""
-    made = neardup.group(docs, SHINGLE, PERCENT).select("doc_id", "text_key", "component_id").where("doc_id <=> component_id")
-    first = Window.partitionBy("doc_id", "component_id").orderBy("text_key")
-    kept = made.withColumn("nth", F.row_number().over(first)).where("nth = 1").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
-    rows = docs.withColumn("stage_key", F.xxhash64(F.col("text").cast("string")))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["stage_key"] == kept["kept_key"]), "left_semi")
-    return rows.select(docs.columns)
+    """The document with the least id of each group (null ids last); rows that share id and text count once. Documents without words stay."""
+    first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "text_key")
+    kept = neardup.group(docs, SHINGLE, PERCENT).withColumn("nth", F.row_number().over(first)).where("root is null or nth = 1")
+    kept_id, kept_key, key = (free(docs.columns, x) for x in ("kept_id", "kept_key", "stage_key"))
+    kept = kept.select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key))
+    rows = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key)), "left_semi")
+    return rows.dropDuplicates(["doc_id", key]).select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

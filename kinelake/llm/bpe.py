@@ -338,7 +338,8 @@ def _rows(flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with `ids`, the token ids (array<int>) of its text column."""
+    """docs with `ids`, the token ids (array<int>) of its text column; a column of that name is replaced."""
+    docs = docs.drop(ids)
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         flat, ends = load(path).encode(part.column(text).fill_null("").to_pylist())
@@ -349,7 +350,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """coded with `out`, the bytes that its ids stand for; null ids stand for none."""
+    """coded with `out`, the bytes that its ids stand for; null ids stand for none; a column of that name is replaced."""
+    coded = coded.drop(out)
 
     def run(batches):
         for part in batches:

@@ -94,6 +94,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def free(columns: list[str], name: str) -> str:
+    """name, or with underscores after it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(column: str = "doc_id", of: int = 3):
     """crc32 of the id as text, modulo `of`: fixes training and held-out rows."""
     return F.crc32(F.col(column).cast("string")) % of

@@ -235,9 +235,10 @@ def label(texts: list[str], model: dict, spans: bool = False) -> tuple[list[str]
 
 
 def identify(docs: DataFrame, model: dict | None, spans: bool = False, text: str = "text", prefix: str = "") -> DataFrame:
-    """docs with lang_pred, score and, if asked, spans (in characters); their names begin with prefix."""
+    """docs with lang_pred, score and, if asked, spans (in characters); their names begin with prefix. Columns of those names are replaced."""
     names = [f"{prefix}{x}" for x in ("lang_pred", "score", "spans")[: 2 + spans]]
     kinds = ("string", "double", "array<struct<start:int,end:int,lang:string>>")
+    docs = docs.drop(*names)
     if model is None:  # nothing could be learned
         return docs.withColumns({n: F.lit("und" if k == "string" else 0.0 if k == "double" else None).cast(k) for n, k in zip(names, kinds, strict=False)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -254,4 +255,4 @@ def held_out_predictions(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned where crc32 of the id mod 4 is not 2, predicted everywhere."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang")
     model = fit(rows.where(fold(of=4) != 2))
-    return identify(rows.select("doc_id", "text"), model).select("doc_id", (fold(of=4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify(rows.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold(of=4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

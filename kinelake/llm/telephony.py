@@ -127,7 +127,8 @@ def _sums(samples: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def store(docs: DataFrame, text: str = "text", out: str = "media", codec: str = "mulaw") -> DataFrame:
-    """docs with `out`: a WAV file (binary) whose samples are the padded UTF-8 bytes of the text."""
+    """docs with `out`: a WAV file (binary) whose samples are the padded UTF-8 bytes of the text; a column of that name is replaced."""
+    docs = docs.drop(out)
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         made = [wav(_padded(x), codec, block=UNIT if codec == "adpcm" else 1) for x in part.column(text).cast(pa.binary()).fill_null(b"").to_pylist()]
@@ -137,7 +138,8 @@ def store(docs: DataFrame, text: str = "text", out: str = "media", codec: str =
 
 
 def to_pcm(media: DataFrame, column: str = "media", out: str = "pcm", double: bool = True) -> DataFrame:
-    """media with `out`: its audio expanded to 16-bit PCM, at twice the rate if double, as a WAV file. Null media stay null."""
+    """media with `out`: its audio expanded to 16-bit PCM, at twice the rate if double, as a WAV file. Null media stay null; a column of that name is replaced."""
+    media = media.drop(out)
 
     def run(batches):
         for part in batches:

@@ -131,8 +131,8 @@ def fit(matched: DataFrame, train_rows: int = TRAIN_ROWS):
 
 
 def judge(pages: DataFrame, rules: Rules) -> DataFrame:
-    """pages with url_host, url_path, url_rule, verdict and block_score (the trees' probability)."""
-    matched = match(pages, rules)
+    """pages with url_host, url_path, url_rule, verdict and block_score (the trees' probability); columns of those names are replaced."""
+    matched = match(pages.drop("url_text", "url_host", "url_path", "url_rule", "rule_verdict", "verdict", "block_score"), rules)
     model = fit(matched)
 
     def run(batches):
