@@ -56,25 +56,13 @@ def m10_l5(df: DataFrame, value: str, epoch_s: float, include_last: bool = False
 
 
 def _refine(y: np.ndarray, k: float) -> float:
-    """The place near bin k where the transform is largest, by downhill bracketing from (k - 1, k + 1), then golden section."""
+    """The place between bins k - 1 and k + 1 where the transform is largest, by golden section; a search that starts from these two bins without staying between them can end on a side lobe."""
     t = np.arange(len(y))
-    f = lambda x: -abs(np.sum(y * np.exp(-2j * np.pi * x * t / len(y))))
-    gold = (1 + 5**0.5) / 2
-    a, b = k - 1.0, k + 1.0
-    fa, fb = f(a), f(b)
-    if fa < fb:
-        a, b, fa, fb = b, a, fb, fa
-    c = b + gold * (b - a)
-    fc = f(c)
-    for _ in range(200):
-        if fc >= fb:
-            break
-        a, b, c = b, c, c + gold * (c - b)
-        fb, fc = fc, f(c)
-    lo, hi = min(a, c), max(a, c)
-    for _ in range(100):
+    f = lambda x: abs(np.sum(y * np.exp(-2j * np.pi * x * t / len(y))))
+    gold, lo, hi = (1 + 5**0.5) / 2, k - 1.0, k + 1.0
+    for _ in range(60):
         x1, x2 = hi - (hi - lo) / gold, lo + (hi - lo) / gold
-        lo, hi = (lo, x2) if f(x1) < f(x2) else (x1, hi)
+        lo, hi = (lo, x2) if f(x1) > f(x2) else (x1, hi)
     return (lo + hi) / 2
 
 

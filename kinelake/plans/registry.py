@@ -138,7 +138,7 @@ def drop_first_last_days(spark, sf):
 
 @query(f"with {EP} select subject_id, us, round(case when count(acc) over (partition by subject_id, us // {DAY}) * 3600 >= 82800 then acc end, 9) as acc from ep")
 def blank_low_wear_days(spark, sf):
-    return rounded(quality.blank_low_wear_days(hourly(spark, sf), ["acc"], DT, 23 * 3600), "acc").select("subject_id", "us", "acc", digits=9)
+    return rounded(quality.blank_low_wear_days(hourly(spark, sf), ["acc"], DT, 23 * 3600), "acc", digits=9).select("subject_id", "us", "acc")
 
 
 @query(f"with {SIX} select subject_id, idx from six group by 1, 2 having count(*) = 6 and count(acc) = 6 and count(label) > 0")
