@@ -21,7 +21,6 @@ from the counts and digests of bytes.
 from __future__ import annotations
 
 import hashlib
-import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +29,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import gather, powers, span_hashes
-from .common import mix64, slices, utf8
+from .common import ddl, free, mix64, slices, utf8
 
 LENGTH, GRAM = 200, 96
 #: Bytes that one suffix sort takes, so that three names fit 63 bits.
 SORT_BYTES = 2_500_000
 HOT = 20_000
 #: Text that a bucket holds, about.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 3 << 20
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    """Arrays as bytes: a flag, then type, size and data of each; large packs are compressed, small ones carry a few bytes more than their data."""
+    raw = b"".join(x.dtype.str.encode().ljust(4) + len(d := x.tobytes()).to_bytes(4, "little") + d for x in arrays)
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(raw) if len(raw) > 2048 else b"\0" + raw
 
 
-def _unpack(raw: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
+def _unpack(raw: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(raw[1:]) if raw[0] else raw[1:], 0, []
+    while at < len(raw):
+        size = int.from_bytes(raw[at + 4 : at + 8], "little")
+        out.append(np.frombuffer(raw[at + 8 : at + 8 + size], raw[at : at + 4].decode().strip()))
+        at += 8 + size
+    return out
 
 
 def _joined(rows: list[bytes]) -> list[np.ndarray]:
@@ -148,12 +154,13 @@ def _spread(names: list[str], bucket: np.ndarray, *arrays: np.ndarray) -> pa.Rec
 
 
 def spans(docs: DataFrame, buckets: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_bucket, pack): packs of (doc_id, text_key, first byte, end) that go. docs: doc_id (no nulls), text_key, doc_bucket, text."""
+    """(doc_bucket, pack): packs of (doc_id, text_key, first byte, end) that go. docs: doc_id (no nulls), text_key, text."""
 
     def scan(batches):
         for part in slices(batches, "text"):
             h, doc, start, windows = cells(*utf8(part.column("text")), length, gram)
-            ids, keys, home = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "text_key", "doc_bucket"))
+            ids, keys = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "text_key"))
+            home = _home(ids, keys, buckets)
             if len(h):
                 yield _spread(["bucket", "pack"], (h % np.uint64(buckets)).astype(np.int32), h, ids, keys, home, start.astype(np.int32), windows.astype(np.uint16))
 
@@ -169,7 +176,7 @@ def spans(docs: DataFrame, buckets: int, length: int = LENGTH, gram: int = GRAM)
         if not part.num_rows or not found.num_rows:
             return none
         h, ids, keys, start, windows, hot = _joined(found.column("pack").to_pylist())
-        body, at = utf8(part.column("text"))
+        body, at = _inflated(part.column("text"))
         row = {k: i for i, k in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(), strict=True))}
         doc = np.array([row[k] for k in zip(ids.tolist(), keys.tolist(), strict=True)], np.int64)
         windows = windows.astype(np.int64)
@@ -243,34 +250,51 @@ def spans(docs: DataFrame, buckets: int, length: int = LENGTH, gram: int = GRAM)
         return pa.Table.from_batches([_spread(["doc_bucket", "pack"], _home(ids, keys, buckets), ids, keys, a.astype(np.int32), b.astype(np.int32))])
 
     met = docs.mapInArrow(scan, "bucket int, pack binary").groupBy("bucket").applyInArrow(alike, "doc_bucket int, pack binary")
-    held = docs.groupBy("doc_bucket").cogroup(met.withColumnRenamed("doc_bucket", "at").groupBy("at")).applyInArrow(texts, "bucket int, pack binary")
+    held = deflated(docs, "text", buckets).groupBy("doc_bucket").cogroup(met.withColumnRenamed("doc_bucket", "at").groupBy("at")).applyInArrow(texts, "bucket int, pack binary")
     return held.groupBy("bucket").applyInArrow(sort, "doc_bucket int, pack binary")
 
 
+def deflated(rows: DataFrame, text: str, buckets: int, id_: str = "doc_id", key_: str = "text_key", bucket_: str = "doc_bucket") -> DataFrame:
+    """rows with the document's bucket, and the text compressed for the shuffle."""
+
+    def run(batches):
+        for part in slices(batches, text):
+            squeeze = zstandard.ZstdCompressor(level=1).compress
+            where = _home(*(part.column(c).to_numpy(zero_copy_only=False) for c in (id_, key_)), buckets)
+            small = pa.array([squeeze(x) for x in part.column(text).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(small if n == text else c for n, c in zip(part.schema.names, part.columns, strict=True)), pa.array(where, pa.int32())], [*part.schema.names, bucket_])
+
+    schema = ddl(rows.withColumn(text, F.col(text).cast("binary")))
+    return rows.mapInArrow(run, f"{schema}, `{bucket_}` int")
+
+
+def _inflated(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    expand = zstandard.ZstdDecompressor().decompress
+    rows = [expand(x) for x in column.to_pylist()]
+    return np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])
+
+
 def _home(ids: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mix64(ids.astype(np.uint64) ^ mix64(keys.astype(np.uint64))) % np.uint64(buckets)).astype(np.int32)
 
 
 def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text") -> DataFrame:
-    """docs with the kept text in place of its text and repeat_bytes, repeat_removed, repeat_spans, repeat_sha256 (of the kept bytes) after its columns."""
+    """docs with the kept text in place of its text and repeat_bytes, repeat_removed, repeat_spans, repeat_sha256 (of the kept bytes) after its columns; columns of those names are replaced."""
+    docs = docs.drop("repeat_bytes", "repeat_removed", "repeat_spans", "repeat_sha256")
     names = docs.columns
+    null_, id_, key_, bucket_ = (free(names, x) for x in ("was_null", "key_id", "text_key", "doc_bucket"))
     total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     buckets = max(32, total // BUCKET_BYTES)
-    rows = docs.withColumns({"was_null": F.isnull(F.col(text)), text: F.coalesce(F.col(text).cast("string"), F.lit(""))})
-    rows = rows.withColumns({"key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "text_key": F.xxhash64(text)})
-
-    def home(batches):
-        for part in batches:
-            where = _home(*(part.column(c).to_numpy(zero_copy_only=False) for c in ("key_id", "text_key")), buckets)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(where, pa.int32())], [*part.schema.names, "doc_bucket"])
+    rows = docs.withColumns({null_: F.isnull(F.col(text)), text: F.coalesce(F.col(text).cast("string"), F.lit(""))})
+    rows = rows.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), key_: F.xxhash64(text)})
 
-    keyed = rows.select("key_id", "text_key", F.col(text).alias("text")).mapInArrow(home, "key_id long, text_key long, text string, doc_bucket int").withColumnRenamed("key_id", "doc_id")
+    keyed = rows.select(F.col(id_).alias("doc_id"), F.col(key_).alias("text_key"), F.col(text).alias("text"))
     gone = spans(keyed, buckets, length, gram)
-    whole = rows.mapInArrow(home, f"{rows._jdf.schema().toDDL()}, doc_bucket int")
+    whole = deflated(rows, text, buckets, id_, key_, bucket_)
 
     def keep(key, part: pa.Table, found: pa.Table) -> pa.Table:
         if not part.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip([*names, "repeat_bytes", "repeat_removed", "repeat_spans", "repeat_sha256"], [*(part.schema.field(n).type for n in names), pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)})
+            return pa.table({n: pa.array([], t) for n, t in zip([*names, "repeat_bytes", "repeat_removed", "repeat_spans", "repeat_sha256"], [*(pa.string() if n == text else part.schema.field(n).type for n in names), pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)})
         where: dict[tuple[int, int], np.ndarray] = {}
         if found.num_rows:
             ids, keys, a, b = _joined(found.column("pack").to_pylist())
@@ -278,9 +302,9 @@ def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "te
             ids, keys, pair = ids[order], keys[order], np.stack((a[order], b[order]), axis=1)
             edge = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
             where = dict(zip(zip(ids[edge].tolist(), keys[edge].tolist(), strict=True), np.split(pair, edge[1:]), strict=True))
-        body, at = utf8(part.column(text))
+        body, at = _inflated(part.column(text))
         made = []
-        for i, k in enumerate(zip(part.column("key_id").to_pylist(), part.column("text_key").to_pylist(), strict=True)):
+        for i, k in enumerate(zip(part.column(id_).to_pylist(), part.column(key_).to_pylist(), strict=True)):
             own = body[at[i] : at[i + 1]]
             mask = np.zeros(len(own) + 1, np.int32)
             if k in where:
@@ -290,9 +314,9 @@ def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "te
             left = own[~off].tobytes()
             made.append((left.decode("utf-8", "ignore"), len(own), int(off.sum()), len(_runs(off)[0]), hashlib.sha256(left).hexdigest()))
         kept, *more = zip(*made, strict=True)
-        kept = pa.array([None if null else x for x, null in zip(kept, part.column("was_null").to_pylist(), strict=True)], part.schema.field(text).type)
+        kept = pa.array([None if null else x for x, null in zip(kept, part.column(null_).to_pylist(), strict=True)], pa.string())
         columns = [kept if n == text else part.column(n) for n in names]
         return pa.table([*columns, *(pa.array(x) for x in more)], [*names, "repeat_bytes", "repeat_removed", "repeat_spans", "repeat_sha256"])
 
-    schema = ", ".join([rows.select(*names)._jdf.schema().toDDL(), "repeat_bytes long, repeat_removed long, repeat_spans long, repeat_sha256 string"])
-    return whole.groupBy("doc_bucket").cogroup(gone.withColumnRenamed("doc_bucket", "at").groupBy("at")).applyInArrow(keep, schema)
+    schema = ", ".join([ddl(rows.select(*names)), "repeat_bytes long, repeat_removed long, repeat_spans long, repeat_sha256 string"])
+    return whole.groupBy(bucket_).cogroup(gone.withColumnRenamed("doc_bucket", "repeat_at").groupBy("repeat_at")).applyInArrow(keep, schema)
