@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, mix64
+from .common import ddl, map_slices, mix64
 
 LONG_PIECE = 512
 #: Pieces that a worker remembers; then it starts anew.
@@ -346,7 +346,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         made = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int32()))
         return pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, ids])
 
-    return map_slices(docs, text, kernel, f"{docs._jdf.schema().toDDL()}, {ids} array<int>")
+    return map_slices(docs, text, kernel, f"{ddl(docs)}, {ids} array<int>")
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -359,7 +359,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
             flat, ends = load(path).decode(np.array([i for x in rows for i in x], np.int64), np.cumsum([len(x) for x in rows]))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_rows(flat, ends), pa.binary())], [*part.schema.names, out])
 
-    return coded.mapInArrow(run, f"{coded._jdf.schema().toDDL()}, {out} binary")
+    return coded.mapInArrow(run, f"{ddl(coded)}, {out} binary")
 
 
 def round_trip_digest(docs: DataFrame, path: str) -> DataFrame:

@@ -94,6 +94,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def ddl(df: DataFrame) -> str:
+    """df's columns as DDL, all nullable."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def free(columns: list[str], name: str) -> str:
     """name, or with underscores after it until no column has it."""
     taken = {c.lower() for c in columns}

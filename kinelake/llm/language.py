@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LETTER, classes
-from .common import fold, map_slices, slices
+from .common import ddl, fold, map_slices, slices
 
 #: About how many labelled rows the model is fitted on, chosen by hash.
 TRAIN_ROWS = 20_000
@@ -248,7 +248,7 @@ def identify(docs: DataFrame, model: dict | None, spans: bool = False, text: str
         kinds_ = (pa.string(), pa.float64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))
         return pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, k) for x, k in zip(made[: len(names)], kinds_, strict=False))], [*part.schema.names, *names])
 
-    return map_slices(docs, text, kernel, ", ".join([docs._jdf.schema().toDDL(), *(f"{n} {k}" for n, k in zip(names, kinds, strict=False))]), most=1 << 20)
+    return map_slices(docs, text, kernel, ", ".join([ddl(docs), *(f"{n} {k}" for n, k in zip(names, kinds, strict=False))]), most=1 << 20)
 
 
 def held_out_predictions(docs: DataFrame) -> DataFrame:

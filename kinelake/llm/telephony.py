@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, utf8
+from .common import ddl, map_slices, utf8
 
 UNIT = 64
 RATE = 8000
@@ -134,7 +134,7 @@ def store(docs: DataFrame, text: str = "text", out: str = "media", codec: str =
         made = [wav(_padded(x), codec, block=UNIT if codec == "adpcm" else 1) for x in part.column(text).cast(pa.binary()).fill_null(b"").to_pylist()]
         return pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], [*part.schema.names, out])
 
-    return map_slices(docs, text, kernel, f"{docs._jdf.schema().toDDL()}, {out} binary")
+    return map_slices(docs, text, kernel, f"{ddl(docs)}, {out} binary")
 
 
 def to_pcm(media: DataFrame, column: str = "media", out: str = "pcm", double: bool = True) -> DataFrame:
@@ -153,7 +153,7 @@ def to_pcm(media: DataFrame, column: str = "media", out: str = "pcm", double: bo
                 made.append(wav((doubled(pcm, np.array([len(pcm)])) if double and len(pcm) else pcm).tobytes(), "pcm", rate * (1 + double)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], [*part.schema.names, out])
 
-    return media.mapInArrow(run, f"{media._jdf.schema().toDDL()}, {out} binary")
+    return media.mapInArrow(run, f"{ddl(media)}, {out} binary")
 
 
 def _padded(raw: bytes) -> bytes:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ddl
+
 #: About how many labelled urls the trees are fitted on, chosen by hash.
 TRAIN_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, LEAST, RIDGE = 60, 3, 0.2, 64, 5, 1.0
@@ -145,5 +147,5 @@ def judge(pages: DataFrame, rules: Rules) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, "block_score"])
 
     made = matched.withColumn("url_text", F.col("url").cast("string"))
-    scored = made.mapInArrow(run, f"{made._jdf.schema().toDDL()}, block_score double").drop("url_text")
+    scored = made.mapInArrow(run, f"{ddl(made)}, block_score double").drop("url_text")
     return scored.withColumn("verdict", F.coalesce("rule_verdict", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))).drop("rule_verdict")
