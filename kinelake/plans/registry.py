@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.functions.scalar import DAY, HOUR, MINUTE, div, enmo, micros
-from kinelake.operators import circadian, epochs, evaluate, impute, quality, score, sequence, summary
+from kinelake.operators import circadian, epochs, evaluate, impute, quality, score, sequence, signal, summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -457,6 +457,25 @@ def nonwear_bouts(spark, sf):
     return quality.nonwear_bouts(events(spark, sf), ["value"], 3600, 30, 3600)
 
 
+@query(f"""with {EV}, u as (select subject_id, us, max(value) as v from ev group by 1, 2), n as (select *, lead(us) over w as nu, lead(v) over w as nv, min(us) over (partition by subject_id) as f from u window w as (partition by subject_id order by us)),
+g as (select subject_id, us, v, nu, nv, f, unnest(range((us - f + {10 * MINUTE} - 1) // {10 * MINUTE}, case when nu is null then (us - f) // {10 * MINUTE} else (nu - f + {10 * MINUTE} - 1) // {10 * MINUTE} - 1 end + 1)) as k from n)
+select subject_id, f + k * {10 * MINUTE} as us, round(case when nu is null or f + k * {10 * MINUTE} = us then v else v + (nv - v) * ((f + k * {10 * MINUTE} - us) / (nu - us)) end, 6) as value from g""")
+def resample_linear(spark, sf):
+    some = events(spark, sf).groupBy("subject_id", "us").agg(F.max("value").alias("value"))
+    return rounded(signal.resample(some, ["value"], 10 * MINUTE), "value")
+
+
+@query("select event_id, user_id from events where ('0x' || substr(md5(user_id::varchar), 1, 8))::bigint % 10 < 3")
+def subsample_users(spark, sf):
+    return signal.subsample(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id"), "user_id", 3, 10)
+
+
+@query(f"with {IMP} select subject_id, us, round(case when ep.acc is not null then imp.acc end, 6) as shown, round(case when ep.acc is not null then imp.acc else 0 end, 6) as shown_zero from ep join imp using (subject_id, us)")
+def mask_imputed(spark, sf):
+    both = imputed(spark, sf).select("subject_id", "us", "acc").join(hourly(spark, sf).select("subject_id", "us", F.col("acc").alias("raw")), ["subject_id", "us"])
+    return rounded(both.select("subject_id", "us", signal.mask_imputed(both, "acc", "raw").alias("shown"), signal.mask_imputed(both, "acc", "raw", zero=True).alias("shown_zero")), "shown", "shown_zero")
+
+
 def metrics(spark, sf):
     """subject_id, metric, value: the tall summary."""
     base, cell = imputed(spark, sf), cells(spark, sf)

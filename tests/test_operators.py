@@ -1,5 +1,6 @@
 """Hand-computed cases of single operators."""
 
+import json
 import math
 import random
 
@@ -7,8 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinelake import cli
 from kinelake.functions import scalar
-from kinelake.operators import circadian, epochs, evaluate, impute, quality, score, sequence, summary
+from kinelake.operators import circadian, epochs, evaluate, impute, quality, score, sequence, signal, summary
+from kinelake.plans import recording
 from kinelake.sources import readers, writers
 from kinelake.streaming.epochs import stream_epochs
 
@@ -187,3 +190,34 @@ def test_streaming_epochs(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.n, r.mean) for r in spark.table("epochs").collect()) == [(1, 5.0), (2, 2.0)]
+
+
+def test_resample_low_pass_and_augment(spark):
+    df = series(spark, [("a", t * 10_000, math.sin(2 * math.pi * t / 100) + (0.5 if t % 2 else -0.5)) for t in range(400)])
+    linear = signal.resample(series(spark, [("a", 0, 0.0), ("a", 10, 1.0), ("a", 25, None), ("a", 30, 5.0)]), ["value"], 5).orderBy("us").collect()
+    assert [(r.us, r.value) for r in linear] == [(0, 0.0), (5, 0.5), (10, 1.0), (15, None), (20, None), (25, None), (30, 5.0)]
+    smooth = [r.value for r in signal.low_pass(df, ["value"], 20, 100).orderBy("us").collect()]
+    assert max(abs(v - math.sin(2 * math.pi * t / 100)) for t, v in enumerate(smooth) if 50 < t < 350) < 0.01
+    w = spark.createDataFrame([("a", i, [1.0, 0.0, 2.0, 1.0], [0.0, 1.0, 2.0, 0.0], [0.0, 0.0, 1.0, 2.0]) for i in range(8)], "subject_id string, idx long, x array<double>, y array<double>, z array<double>")
+    first = [(r.x[0] ** 2 + r.y[0] ** 2 + r.z[0] ** 2, len(r.x)) for r in signal.augment(w).collect()]
+    assert all(n == pytest.approx(1.0) and k == 4 for n, k in first)
+
+
+def test_ambiguous_hours(spark):
+    end = 1414285200  # 2014-10-26 01:00 UTC: London repeats 01:00 to 02:00
+    df = series(spark, [("a", (end + k * 1800) * S, 1.0) for k in range(-4, 5)])
+    assert [r.us // S - end for r in signal.drop_ambiguous_hours(df, "Europe/London").orderBy("us").collect()] == [-7200, -5400, 3600, 5400, 7200]
+
+
+def test_process_recordings(spark):
+    still = (F.col("id") / 7200).cast("long") % 3 == 0
+    samples = spark.range(30 * 3600).select(F.lit("a").alias("subject_id"), (F.col("id") * S).alias("us"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.when(still, 1.0).otherwise(1.2).alias("z"))
+    scorer = lambda w: w.withColumn("label", score.threshold_label("acc", [(50.0, "sleep")], "light"))
+    made = recording.process(samples, scorer, ["light", "sleep"], rate=1, epoch_s=60 * 30, least_sleep="30min")
+    document = json.loads(made["summary"].orderBy("subject_id").first().summary)
+    assert document["PredictOK"] == 1 and "light-hourOfWeekday-3-avg" in document and "acc-ecdf-2000mg" in document and made["daily"].count() == 2
+
+
+def test_command_line(spark, tmp_path):
+    args = cli.arguments(["process", "a.csv", "-e", "both", "-w", "12H", "--no-hmm"])
+    assert args.exclude_first_last == "both" and args.csv_txyz == "time,x,y,z"
