@@ -146,7 +146,15 @@ def test_forest_finds_near_neighbours_in_dense_regions():
 
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
         root[find(x)] = find(y)
-    assert len({find(i) for i in range(600)}) == 1 and len(a) < 600 * 3 * (neardup.NEAREST + 1)
+    assert len({find(i) for i in range(600)}) == 1 and len(a) < 600 * 3 * (neardup.NEAREST + 2)
+
+
+def test_second_pass_pairs_what_is_apart():
+    keys = np.zeros((5, neardup.LEVELS), np.uint8)
+    sig = np.zeros((5, neardup.TREES * neardup.LEVELS), np.uint8)
+    sig[4] = 1
+    a, b = neardup.apart_pairs(keys, sig, np.array([0, 0, 1, 1, 2]), 100)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 2), (0, 3), (1, 2), (1, 3)]
 
 
 def test_collision_counting_recall():
