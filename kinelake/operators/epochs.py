@@ -40,9 +40,10 @@ def nearest(grid: DataFrame, df: DataFrame, value: str, tolerance_s: float) -> D
     both = grid.select("subject_id", "us", F.lit(1).alias("side"), F.lit(None).cast("long").alias("own"), F.lit(None).cast("double").alias("v")).unionByName(
         df.select("subject_id", "us", F.lit(0).alias("side"), F.col("us").alias("own"), F.col(value).cast("double").alias("v"))
     )
-    back, ahead = by_subject().orderBy("us", "side").rowsBetween(Window.unboundedPreceding, 0), by_subject().orderBy("us", F.col("side").desc()).rowsBetween(0, Window.unboundedFollowing)
+    # both frames grow by a row at a time; a frame towards the end of the partition would be summed anew for each row
+    back, ahead = (by_subject().orderBy(us, "side").rowsBetween(Window.unboundedPreceding, 0) for us in (F.col("us"), F.col("us").desc()))
     pair = F.when(F.col("own").isNotNull(), F.struct("own", "v"))
-    seen = both.withColumns({"b": F.last(pair, True).over(back), "a": F.first(pair, True).over(ahead)}).where("side = 1")
+    seen = both.withColumns({"b": F.last(pair, True).over(back), "a": F.last(pair, True).over(ahead)}).where("side = 1")
     limit = int(tolerance_s * 1e6)
     db, da = F.col("us") - F.col("b.own"), F.col("a.own") - F.col("us")
     db, da = F.when(db <= limit, db), F.when(da <= limit, da)
