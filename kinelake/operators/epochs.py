@@ -36,9 +36,10 @@ def day_grid(df: DataFrame, step_s: float) -> DataFrame:
 
 
 def nearest(grid: DataFrame, df: DataFrame, value: str, tolerance_s: float) -> DataFrame:
-    """grid with the value of the nearest row of its subject within the tolerance, ties to the later; null without one. One sorted pass over both sides, no range join."""
-    both = grid.select("subject_id", "us", F.lit(1).alias("side"), F.lit(None).cast("long").alias("own"), F.lit(None).cast("double").alias("v")).unionByName(
-        df.select("subject_id", "us", F.lit(0).alias("side"), F.col("us").alias("own"), F.col(value).cast("double").alias("v"))
+    """grid with the value (a number, or a struct of columns) of the nearest row of its subject within the tolerance, ties to the later; null without one. One sorted pass over both sides, no range join."""
+    kind = df.schema[value].dataType
+    both = grid.select("subject_id", "us", F.lit(1).alias("side"), F.lit(None).cast("long").alias("own"), F.lit(None).cast(kind).alias("v")).unionByName(
+        df.select("subject_id", "us", F.lit(0).alias("side"), F.col("us").alias("own"), F.col(value).alias("v"))
     )
     # both frames grow by a row at a time; a frame towards the end of the partition would be summed anew for each row
     back, ahead = (by_subject().orderBy(us, "side").rowsBetween(Window.unboundedPreceding, 0) for us in (F.col("us"), F.col("us").desc()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelake.functions.scalar import DAY, day_text, div, hour, minute, weekday
@@ -10,47 +10,47 @@ from kinelake.functions.scalar import DAY, day_text, div, hour, minute, weekday
 #: Intensity levels in mg, from their rule.
 LEVELS = [*range(1, 21), *range(25, 101, 5), *range(125, 501, 25), *range(600, 2001, 100)]
 
+BY = ("subject_id",)
+
 
 def recorded_hours(df: DataFrame, classes: list[str], dt: float) -> DataFrame:
     """subject_id, day (ordinal of present dates), label, hours, first_weekday: hours of each class, 0 on days without values."""
-    from pyspark.sql import Window
-
-    daily = df.groupBy("subject_id", div("us", DAY).alias("d"), ).agg(F.min("us").alias("us"), *(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in classes))
+    daily = df.groupBy("subject_id", div("us", DAY).alias("d")).agg(F.min("us").alias("us"), *(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in classes))
     by = Window.partitionBy("subject_id")
     daily = daily.withColumns({"day": F.dense_rank().over(by.orderBy("d")) - 1, "first_": F.min("us").over(by)}).withColumn("first_weekday", weekday("first_"))
     return daily.select("subject_id", "day", "first_weekday", F.explode(F.map_from_arrays(F.array(*map(F.lit, classes)), F.array(*(F.col(c) * dt / 3600 for c in classes)))).alias("label", "hours"))
 
 
-def overall(df: DataFrame, column: str, ends: DataFrame) -> DataFrame:
-    """subject_id, avg, sd (sample) between the original first and last time. ends: subject_id, lo, hi."""
-    return df.join(ends, "subject_id").where("us between lo and hi").groupBy("subject_id").agg(F.avg(column).alias("avg"), F.stddev_samp(column).alias("sd"))
+def overall(df: DataFrame, column: str, ends: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """by, avg, sd (sample) between the original first and last time. ends: subject_id, lo, hi."""
+    return df.join(ends, "subject_id").where("us between lo and hi").groupBy(*by).agg(F.avg(column).alias("avg"), F.stddev_samp(column).alias("sd"))
 
 
-def cells(df: DataFrame, column: str) -> DataFrame:
-    """subject_id, weekday, hour, mean."""
-    return df.groupBy("subject_id", weekday().alias("weekday"), hour().alias("hour")).agg(F.avg(column).alias("mean"))
+def cells(df: DataFrame, column: str, by: tuple[str, ...] = BY) -> DataFrame:
+    """by, weekday, hour, mean."""
+    return df.groupBy(*by, weekday().alias("weekday"), hour().alias("hour")).agg(F.avg(column).alias("mean"))
 
 
-def week_average(cell: DataFrame) -> DataFrame:
-    return cell.groupBy("subject_id").agg(F.avg("mean").alias("avg"))
+def week_average(cell: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    return cell.groupBy(*by).agg(F.avg("mean").alias("avg"))
 
 
-def day_of_week_average(cell: DataFrame) -> DataFrame:
-    return cell.groupBy("subject_id", "weekday").agg(F.avg("mean").alias("avg"))
+def day_of_week_average(cell: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    return cell.groupBy(*by, "weekday").agg(F.avg("mean").alias("avg"))
 
 
-def hour_of_day_average(cell: DataFrame) -> DataFrame:
-    return cell.groupBy("subject_id", "hour").agg(F.avg("mean").alias("avg"))
+def hour_of_day_average(cell: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    return cell.groupBy(*by, "hour").agg(F.avg("mean").alias("avg"))
 
 
-def weekend_hours(cell: DataFrame) -> DataFrame:
-    """subject_id, is_weekend, hour, avg."""
-    return cell.groupBy("subject_id", (F.col("weekday") >= 5).cast("int").alias("is_weekend"), "hour").agg(F.avg("mean").alias("avg"))
+def weekend_hours(cell: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """by, is_weekend, hour, avg."""
+    return cell.groupBy(*by, (F.col("weekday") >= 5).cast("int").alias("is_weekend"), "hour").agg(F.avg("mean").alias("avg"))
 
 
-def weekend_average(cell: DataFrame) -> DataFrame:
-    """subject_id, is_weekend, avg: the mean of the hours' means."""
-    return weekend_hours(cell).groupBy("subject_id", "is_weekend").agg(F.avg("avg").alias("avg"))
+def weekend_average(cell: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """by, is_weekend, avg: the mean of the hours' means."""
+    return weekend_hours(cell, by).groupBy(*by, "is_weekend").agg(F.avg("avg").alias("avg"))
 
 
 def ecdf(df: DataFrame, column: str, levels: list[int] = LEVELS, missing_as_below: bool = True) -> DataFrame:

@@ -34,15 +34,17 @@ def metrics(series: DataFrame, filled: DataFrame, classes: list[str], epoch_s: f
     recorded = summary.recorded_hours(series, classes, epoch_s)
     parts.append(tall(recorded, F.format_string("day%d-recorded-%s(hrs)", F.col("day").cast("int"), "label"), "hours"))
     parts.append(tall(recorded.groupBy("subject_id").agg(F.min("first_weekday").alias("v")), F.lit("FirstDay(0=mon,6=sun)"), "v"))
-    for c in ["acc", *classes]:
-        over, cell = summary.overall(filled, c, ends), summary.cells(filled, c)
-        parts += [tall(over, F.lit(f"{c}-overall-avg"), "avg"), tall(over, F.lit(f"{c}-overall-sd"), "sd"), tall(summary.week_average(cell), F.lit(f"{c}-week-avg"), "avg")]
-        days = F.element_at(F.array(*map(F.lit, NAMES)), F.col("weekday") + 1)
-        parts.append(tall(summary.day_of_week_average(cell), F.concat(F.lit(f"{c}-"), days, F.lit("-avg")), "avg"))
-        parts.append(tall(summary.hour_of_day_average(cell), F.format_string(f"{c}-hourOfDay-%d-avg", "hour"), "avg"))
-        which = F.when(F.col("is_weekend") == 1, "end").otherwise("day")
-        parts.append(tall(summary.weekend_average(cell), F.concat(F.lit(f"{c}-week"), which, F.lit("-avg")), "avg"))
-        parts.append(tall(summary.weekend_hours(cell), F.concat(F.lit(f"{c}-hourOfWeek"), which, F.lit("-"), F.col("hour"), F.lit("-avg")), "avg"))
+    # all columns in one pass over the epochs; everything below it works on the small cell table
+    names, by = ["acc", *classes], ("subject_id", "c")
+    long = filled.select("subject_id", "us", F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names))).alias("c", "v"))
+    over, cell = summary.overall(long, "v", ends, by), summary.cells(long, "v", by)
+    key = lambda *rest: F.concat(F.col("c"), *(F.lit(x) if isinstance(x, str) else x for x in rest))
+    which = F.when(F.col("is_weekend") == 1, "end").otherwise("day")
+    parts += [tall(over, key("-overall-avg"), "avg"), tall(over, key("-overall-sd"), "sd"), tall(summary.week_average(cell, by), key("-week-avg"), "avg")]
+    parts.append(tall(summary.day_of_week_average(cell, by), key("-", F.element_at(F.array(*map(F.lit, NAMES)), F.col("weekday") + 1), "-avg"), "avg"))
+    parts.append(tall(summary.hour_of_day_average(cell, by), key("-hourOfDay-", F.col("hour").cast("string"), "-avg"), "avg"))
+    parts.append(tall(summary.weekend_average(cell, by), key("-week", which, "-avg"), "avg"))
+    parts.append(tall(summary.weekend_hours(cell, by), key("-hourOfWeek", which, "-", F.col("hour").cast("string"), "-avg"), "avg"))
     for name, value in (("acc", F.col("acc")), *((("sleep", circadian.sleep_signal(classes)),) if "sleep" in classes else ())):
         parts.append(tall(circadian.psd(filled, value, epoch_s), F.lit(f"PSD_{name}"), "psd"))
         parts.append(tall(circadian.dominant_frequency(filled.withColumn("signal_", value), "signal_", epoch_s), F.lit(f"fourier-frequency_{name}"), "frequency"))
@@ -68,13 +70,11 @@ def process(samples: DataFrame, scorer: Callable[[DataFrame], DataFrame], classe
     kept = exclude(samples, 1 / rate, first_last, wear_below)
     wear = quality.wear_stats(kept, ["x", "y", "z"], 1 / rate)
     labelled = score.predict_recording(kept, scorer, epoch_s, rate, smoother=smoother, least_sleep_s=seconds(least_sleep) if least_sleep else None, single_block=single_block)
-    series = one_hot(labelled, classes)
+    series = one_hot(labelled, classes).persist()  # read by every metric; recomputed from its lineage if an executor goes
     grid, names = epochs.day_grid(series, epoch_s), ["acc", *classes]
-    placed = grid
-    for c in names:
-        placed = placed.join(epochs.nearest(grid, series, c, min(epoch_s, 60)), ["subject_id", "us"])
-    filled = impute.hierarchical(placed, names)
+    placed = epochs.nearest(grid, series.withColumn("row_", F.struct(*names)), "row_", min(epoch_s, 60)).select("subject_id", "us", "row_.*")
+    filled = impute.hierarchical(placed, names).persist()
     minutes = seconds(wear_below) / 60 if wear_below is not None else 0.0
     tall = metrics(series, filled, classes, epoch_s)
     stats = wear.select("subject_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, ["WearTime(days)", "NonwearTime(days)", "Covers24hOK", "PredictOK"])), F.array("wear_days", "nonwear_days", F.col("covers_24h").cast("double"), F.col("wear_start_us").isNotNull().cast("double")))).alias("metric", "value"))
-    return {"series": labelled, "summary": summary.document(tall.where("value is not null").unionByName(stats)), "daily": daily(series, filled, classes, epoch_s, minutes)}
+    return {"series": series.select("subject_id", "us", "acc", "label"), "summary": summary.document(tall.where("value is not null").unionByName(stats)), "daily": daily(series, filled, classes, epoch_s, minutes)}
