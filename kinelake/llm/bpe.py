@@ -53,12 +53,42 @@ def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(ups, out=ups), np.multiply.accumulate(downs, out=downs)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one prefix sum."""
+#: Bytes that one prefix sum covers; longer texts go block by block, as a hash doesn't hang on where its span stands.
+BLOCK = 1 << 21
+
+
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of data with rising powers, and the powers that bring a difference of two of them to one scale."""
     up, down = powers(max(22, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return sums, down
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span, from prefix sums."""
+    if len(data) <= 2 * BLOCK:
+        sums, down = prefix_sums(data)
+        return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out, block = np.empty(len(starts), np.uint64), starts // BLOCK
+    order = np.argsort(block, kind="stable")
+    edge = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True]) if len(order) else [0]
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        own = order[lo:hi]
+        first = int(block[own[0]]) * BLOCK
+        sums, down = prefix_sums(data[first : int(ends[own].max())])
+        a, b = starts[own] - first, ends[own] - first
+        out[own] = mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+    return out
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """The hash of each `gram` neighbouring bytes."""
+    parts = []
+    for first in range(0, max(0, len(data) - gram + 1), BLOCK):
+        sums, down = prefix_sums(data[first : first + BLOCK + gram - 1])
+        parts.append(mix64((sums[gram:] - sums[:-gram]) * down[: len(sums) - gram]))
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

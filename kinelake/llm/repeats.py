@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import gather, powers, span_hashes
+from .bpe import gather, gram_hashes, span_hashes
 from .common import ddl, free, mix64, slices, utf8
 
 LENGTH, GRAM = 200, 96
@@ -73,10 +73,7 @@ def cells(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.
     empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(data) < length:
         return empty
-    up, down = powers(max(22, int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = mix64((sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1])
+    h = gram_hashes(data, gram)
     least = _least(h, length - gram + 1)
     good = np.zeros(len(least) + 1, np.int8)
     size = np.diff(at)

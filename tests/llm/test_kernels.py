@@ -35,6 +35,15 @@ def test_word_bpe_equals_tokenizers():
     assert all(a.tolist() == coder.library.encode(t, add_special_tokens=False).ids for a, t in zip(np.split(ids, ends[:-1]), rows, strict=True))
 
 
+def test_hashes_of_long_texts_equal_those_of_short_ones(monkeypatch):
+    data = np.random.default_rng(6).integers(0, 256, 5000).astype(np.uint8)
+    starts = np.random.default_rng(7).integers(0, 4900, 300)
+    ends = starts + np.arange(300) % 90
+    whole, grams = bpe.span_hashes(data, starts, ends), bpe.gram_hashes(data, 33)
+    monkeypatch.setattr(bpe, "BLOCK", 64)
+    assert (bpe.span_hashes(data, starts, ends) == whole).all() and (bpe.gram_hashes(data, 33) == grams).all() and len(grams) == 4968
+
+
 def test_companding_tables():
     assert telephony.MULAW[0xFF] == 0 and telephony.MULAW[0x80] == 32124 and telephony.MULAW[0x00] == -32124
     assert telephony.ALAW[0xD5] == 8 and telephony.ALAW[0xAA] == 32256 and telephony.ALAW[0x2A] == -32256
