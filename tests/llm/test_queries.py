@@ -1,0 +1,37 @@
+"""Text queries on the smallest tables: columns of each, and SQL where there is some."""
+
+import duckdb
+import pytest
+
+from kinelake.llm import queries
+
+SF = "/root/testdata/sf0.001"
+#: First columns of each query.
+COLUMNS = {
+    "op1": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op2": "doc_id n_words n_base first_word last_word base_labels labels score",
+    "op3": "page_id host path rule verdict",
+    "op4": "doc_id held_out score predicted",
+    "op5": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op6": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
+    "op7": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op8": "query_id rank vec_id score",
+    "op9": "doc_id n_shingles component_id kept",
+    "op10": "doc_id held_out lang_pred score",
+}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query(spark, name):
+    got = queries.QUERIES[name](spark, SF).toArrow()
+    wanted = COLUMNS[name.split("_")[0]].split()
+    assert got.column_names[: len(wanted)] == wanted and got.num_rows > 0
+    if name in queries.ORACLES:
+        db = duckdb.connect()
+        for table in ("documents", "pages", "embeddings", "labels"):
+            db.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+        db.register("got", got)
+        db.execute(f"create temp table want as {queries.ORACLES[name]}")
+        columns = ", ".join(f'"{c}"' for c in got.column_names)
+        for a, b in (("got", "want"), ("want", "got")):
+            assert db.execute(f"select {columns} from {a} except all select {columns} from {b}").fetchall() == []
