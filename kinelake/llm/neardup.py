@@ -9,6 +9,10 @@ its NEAREST by signature and with the stretch's centre. Stretches follow the sor
 group. Candidates are confirmed on full shingle sets, computed anew from the texts, and components come from
 confirmed links alone by FastSV (Zhang, Azad and Buluc 2020) over stored tables.
 
+A second pass then takes the regions of more than FULL nodes, and those that a task's edge may have split, where roots still differ: it
+deals each to blocks of about BLOCK nodes of like size and compares every two blocks, exactly and on whole sets, so that each region is
+worked through in full. A block's texts are shipped once for each block it meets; block pairs with one root, or too different in size to reach the threshold, are left out.
+
 Null, empty and blank texts have no shingles and link with nothing. Rows with one doc_id count as documents of their own that
 share an id; the id's rows with equal sets share a component.
 """
@@ -16,6 +20,7 @@ share an id; the id's rows with equal sets share a component.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,10 @@ from .common import drop_stored, map_slices, mix64, stored, utf8
 TREES, LEVELS = 16, 8
 LEAST_LEVEL = 4
 FULL, STRETCH, NEAREST = 128, 1024, 8
+#: Nodes and shingles of a block of the second pass, about.
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
+#: Shingles in more sets than this are counted by a matrix product.
+HEAVY = 16
 #: Standard errors of a signature's estimate that a candidate may lie below the threshold.
 SLACK = 3.5
 #: Candidates of one node that one task confirms, about.
@@ -150,8 +159,17 @@ def forest_pairs(keys: np.ndarray, sig: np.ndarray, least: int) -> tuple[np.ndar
     return np.concatenate(left), np.concatenate(right)
 
 
+def marked(keys: np.ndarray) -> np.ndarray:
+    """Places of the sort order in regions of more than FULL nodes, and in the first and the last region, which may go on elsewhere."""
+    edge = np.flatnonzero(np.r_[True, (keys[1:, :LEAST_LEVEL] != keys[:-1, :LEAST_LEVEL]).any(axis=1), True])
+    size = np.diff(edge)
+    on = size > FULL
+    on[[0, -1]] = True
+    return np.flatnonzero(np.repeat(on, size))
+
+
 def candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs a < b of nodes (node, signature) that the forest brings together."""
+    """Distinct pairs a < b of nodes (node, signature) that the forest brings together (tree is null), and the nodes a of each tree's marked regions (b is null)."""
     width, s = TREES * LEVELS, percent / 100
     least = int(width * (s - SLACK * (s * (1 - s) / width) ** 0.5))
     rows = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "node", "signature")
@@ -164,7 +182,8 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
         sig = np.frombuffer(b"".join(signature), np.uint8).reshape(len(key), width)
         a, b = forest_pairs(keys, sig, least)
         found = {(node[i], node[j]) if node[i] < node[j] else (node[j], node[i]) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
+        left, right, at = [x for x, _ in found], [y for _, y in found], marked(keys).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(left + [node[i] for i in at], pa.binary()), pa.array(right + [None] * len(at), pa.binary()), pa.array([None] * len(left) + [tree[i] for i in at], pa.int32())], ["a", "b", "tree"])
 
     def run(batches):
         held: list[list] = [[], [], [], []]
@@ -185,7 +204,7 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
         for lo, hi in _runs(held[0]):
             yield pairs(*(c[lo:hi] for c in held))
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.mapInArrow(run, "a binary, b binary, tree int").distinct()
 
 
 def _runs(tree: list[int]):
@@ -223,6 +242,80 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
     return stored(cells.groupBy("cell").cogroup(texts.groupBy("at")).applyInArrow(check, "a binary, b binary"), "links")
 
 
+def apart_links(hashes: np.ndarray, count: np.ndarray, root: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different roots (sorted hashes, one set after another), of all pairs: as many as join what they join."""
+    n = len(count)
+    code = np.unique(np.array([r.hex() for r in root]), return_inverse=True)[1]
+    token, df = np.unique(hashes, return_inverse=True, return_counts=True)[1:]
+    owner = np.repeat(np.arange(n), count)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    light = (df[token] > 1) & (df[token] <= HEAVY)
+    few, who, both = token[light], owner[light], np.zeros(n * n, np.int64)
+    for d in range(1, HEAVY):
+        on = np.flatnonzero(few[d:] == few[:-d])
+        if not len(on):
+            break
+        both += np.bincount(who[on] * n + who[on + d], minlength=n * n)
+    both = both.reshape(n, n).astype(np.float32)
+    both += both.T
+    place = np.cumsum(df > HEAVY) - 1
+    heavy = df[token] > HEAVY
+    many, who = place[token[heavy]], owner[heavy]
+    for lo in range(0, int((df > HEAVY).sum()), 4096):
+        a, b = np.searchsorted(many, [lo, lo + 4096])
+        held = np.zeros((n, 4096), np.float32)
+        held[who[a:b], many[a:b] - lo] = 1
+        both += held @ held.T
+    both = both.astype(np.int64)
+    close = np.triu(100 * both >= percent * (count[:, None] + count[None, :] - both), 1) & (code[:, None] != code[None, :])
+    up, kept = list(range(n)), []
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i, j in zip(*(x.tolist() for x in np.nonzero(close)), strict=True):
+        if (p := find(code[i])) != (q := find(code[j])):
+            up[p] = q
+            kept.append((i, j))
+    return kept
+
+
+def apart(marks: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between nodes of different roots that share one of the marked regions. marks: node, tree; nodes: node, doc_id, text_key, signature, size."""
+    rows = marks.join(nodes, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rows.withColumn("prefix", F.expr(f"substring(signature, tree * {LEVELS} + 1, {LEAST_LEVEL})")).select("tree", "prefix", "node", "root", "size")
+    rows = stored(rows, "marked")
+    top = rows.groupBy("tree", "prefix", "root").agg(F.count("*").alias("n")).groupBy("tree", "prefix").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
+    rows = rows.join(top.where("roots > 1").select("tree", "prefix", F.col("top.root").alias("top")), ["tree", "prefix"])
+    kind = ["tree", "prefix", "rest", "class"]
+    rows = rows.withColumn("rest", F.col("root") != F.col("top")).withColumn("class", F.floor(F.log("size") / math.log(100 / min(percent, 99)))).drop("top")
+    parts = rows.groupBy(*kind).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("parts"))
+    name = F.xxhash64(F.concat_ws("-", *kind[:1], F.hex("prefix"), *kind[2:], F.pmod(F.xxhash64("node"), F.col("parts"))))
+    blocks = stored(rows.join(parts, kind).select("tree", "prefix", "node", "root", "size", name.alias("block")), "blocks")
+    heads = blocks.groupBy("tree", "prefix", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("root").alias("least"), F.max("root").alias("most"))
+    p, q = heads.alias("p"), heads.alias("q")
+    met = p.join(q, (F.col("p.tree") == F.col("q.tree")) & (F.col("p.prefix") == F.col("q.prefix")) & (F.col("p.block") <= F.col("q.block")))
+    met = met.where((100 * F.least("p.high", "q.high") >= percent * F.greatest("p.low", "q.low")) & (F.least("p.least", "q.least") != F.greatest("p.most", "q.most")))
+    met = met.select(F.struct(F.col("p.block").alias("p"), F.col("q.block").alias("q")).alias("at"), F.explode(F.array_distinct(F.array("p.block", "q.block"))).alias("block"))
+    wanted = met.join(blocks.select("block", "node", "root"), "block").join(nodes.select("node", "doc_id", "text_key"), "node").select("at", "node", "root", "doc_id", "text_key")
+    texts = docs.join(wanted, ["doc_id", "text_key"]).select("at", "node", "root", "text")
+
+    def check(held: pa.Table) -> pa.Table:
+        names, at = np.unique(np.array([x.hex() for x in held.column("node").to_pylist()]), return_index=True)
+        held = held.take(pa.array(at))
+        parts = [shingles(*utf8(held.column("text").slice(lo, 500)), k) for lo in range(0, len(names), 500)]
+        kept = apart_links(np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts]), held.column("root").to_pylist(), percent)
+        own = held.column("node").to_pylist()
+        ends = [(own[i], own[j]) if own[i] < own[j] else (own[j], own[i]) for i, j in kept]
+        return pa.table({"a": pa.array([x for x, _ in ends], pa.binary()), "b": pa.array([y for _, y in ends], pa.binary())})
+
+    return stored(texts.groupBy("at").applyInArrow(check, "a binary, b binary"), "links")
+
+
 def thinned(links: DataFrame) -> DataFrame:
     """Links that join the same nodes: a spanning forest of each partition of about FOREST links, so that dense groups leave about as many links as nodes."""
 
@@ -271,12 +364,15 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id, text_key and root (the group; null without words) of each row; links where percent * union size <= 100 * intersection size of k-word shingle sets. Groups whose ids are all null have a null component_id."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     made = stored(sets(rows, k), "sets")
-    nodes = made.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("signature").alias("signature"))
-    nodes = stored(nodes.select("node", "rep.doc_id", "rep.text_key", "signature"), "nodes")
+    nodes = made.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size"))
+    nodes = stored(nodes.select("node", "rep.doc_id", "rep.text_key", "signature", "size"), "nodes")
     reps = nodes.select("node", "doc_id", "text_key")
-    pairs = stored(candidates(nodes, percent), "pairs")
-    links = confirmed(pairs, reps, rows, k, percent)
+    pairs = stored(candidates(nodes.select("node", "signature"), percent), "pairs")
+    links = confirmed(pairs.where("tree is null").select("a", "b"), reps, rows, k, percent)
     roots = components(links)
+    more = apart(pairs.where("tree is not null").select(F.col("a").alias("node"), "tree"), nodes, roots, rows, k, percent)
+    if not more.isEmpty():
+        roots = components(links.union(more))
     labelled = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = labelled.select("node", "root")
     known = F.nullif(F.col("doc_id"), F.lit(NO_ID))

@@ -134,6 +134,25 @@ def test_near_duplicates(docs, none):
     assert neardup.group(none, 3, 85).count() == 0
 
 
+def test_near_duplicates_in_large_regions_lack_no_link(spark, monkeypatch):
+    for name, value in (("FULL", 4), ("NEAREST", 1), ("BLOCK", 8)):
+        monkeypatch.setattr(neardup, name, value)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[: 200 + 4 * i]) for i in range(40)] + [" ".join(f"v{i * j % 1009}" for i in range(60)) for j in range(1, 30)]
+    got = {r.doc_id: r.root for r in neardup.group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).collect()}
+    assert len({got[i] for i in range(40)}) == 1 and len(set(got.values())) == 30
+
+
+def test_second_pass_joins_roots_of_a_region(spark):
+    rows = [(bytes([i]) * 16, i, i, bytes(128), 58) for i in range(6)]
+    nodes = spark.createDataFrame(rows, "node binary, doc_id long, text_key long, signature binary, size long")
+    docs = spark.createDataFrame([(i, i, " ".join(f"w{j + 2 * (i // 3) * 50}" for j in range(60)) + f" {i}") for i in range(6)], "doc_id long, text_key long, text string")
+    marks = spark.createDataFrame([(r[0], 0) for r in rows], "node binary, tree int")
+    roots = spark.createDataFrame([(rows[0][0], rows[0][0]), (rows[1][0], rows[0][0])], "node binary, root binary")
+    links = {(bytes(r.a)[0] // 3, bytes(r.b)[0] // 3) for r in neardup.apart(marks, nodes, roots, docs, 3, 80).collect()}
+    assert links == {(0, 0), (1, 1)}
+
+
 def test_neighbours(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0, 0.0, 0.0]), (200, [0.0, 0.0])]

@@ -158,6 +158,31 @@ def test_forest_finds_near_neighbours_in_dense_regions():
     assert len({find(i) for i in range(600)}) == 1 and len(a) < 600 * 3 * (neardup.NEAREST + 1)
 
 
+def test_second_pass_links_what_is_apart():
+    rng = np.random.default_rng(7)
+    base = np.arange(200)
+    held = [np.unique(np.where(rng.random(200) < 0.04 * (i % 5), rng.integers(1000, 1300, 200), base)).astype(np.uint64) for i in range(150)]
+    root = [bytes([i % 40]) for i in range(150)]
+    group = {r: r for r in root}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, x in enumerate(held):
+        for j, y in enumerate(held[:i]):
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 85 * (len(x) + len(y) - both):
+                group[find(root[i])] = find(root[j])
+    want = {frozenset(r for r in set(root) if find(r) == top) for top in map(find, root)}
+    group = {r: r for r in root}
+    for i, j in neardup.apart_links(np.concatenate(held), np.array([len(x) for x in held]), root, 85):
+        assert find(root[i]) != find(root[j])
+        group[find(root[i])] = find(root[j])
+    assert {frozenset(r for r in set(root) if find(r) == top) for top in map(find, root)} == want
+
+
 def test_collision_counting_recall():
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(4000, 32))
