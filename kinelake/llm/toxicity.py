@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
 On a bounded sample of labelled training rows, words and word beginnings that mark toxic texts are mined and
-dealt to lexicon voters; pattern voters look at density, nearness, shouting and their absence. A generative
+dealt to lexicon voters; pattern voters look at density, nearness, shouting (capitals among the whole text's characters) and their absence. A generative
 model finds each voter's accuracies by expectation maximisation and discounts voters that agree beyond what
 the label explains. A logistic classifier over lexicon and pattern features is trained on the posterior
 labels, and isotonic regression on the same rows makes its output a probability. All of this is one task over the sample; scoring covers every
@@ -11,6 +11,7 @@ row. Null and empty texts score as a text without any sign. Every row gives one
 from __future__ import annotations
 
 import json
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,12 @@ def word_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(who), np.concatenate(keys)) if who else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
+@cache
+def upper() -> np.ndarray:
+    """Which code points are capitals, as str.isupper() tells."""
+    return np.array([chr(i).isupper() for i in range(0x110000)], bool)
+
+
 class Signs:
     """What the voters and the classifier see of each text: hits of lexicon entries and patterns."""
 
@@ -67,7 +74,9 @@ class Signs:
         near = np.zeros(n, bool)
         if len(marked) > 1:
             near[owner[1:][(owner[1:] == owner[:-1]) & (np.diff(marked) <= 6)]] = True
-        loud = np.array([sum(c.isupper() for c in x[:4000]) > 0.3 * max(20, len(x[:4000])) for x in texts], bool)
+        long = np.diff(words.stops, prepend=0)
+        capitals = np.r_[0, np.cumsum(upper()[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)])][np.r_[0, words.stops].astype(np.int64)]
+        loud = np.diff(capitals) > 0.3 * np.maximum(20, long)
         cries = np.array([x.count("!") >= 3 for x in texts], bool)
         self.hits = hits
         self.patterns = np.stack([hits > 0, hits > 1, near, hits > 0.02 * np.maximum(count, 1), loud, cries], axis=1)

@@ -204,3 +204,11 @@ def test_trees_and_label_model():
     votes = np.stack([np.where(rng.random(3000) < a, truth, ~truth) for a in (0.9, 0.85, 0.8, 0.8)], axis=1).astype(float)
     post, model = toxicity.label_model(votes, votes.mean(axis=1))
     assert ((post > 0.5) == truth).mean() > 0.9 and model["yes"][0] > model["yes"][3] - 0.05
+
+
+def test_shouting_counts_the_whole_text():
+    shout, calm = "STOP \u00c9\U0001d400 " * 600, "quiet words " * 400
+    texts = [calm + shout * 3, shout + calm * 10, shout, calm, "", "\U0001f600" * 30, "AB"]
+    want = [sum(c.isupper() for c in x) > 0.3 * max(20, len(x)) for x in texts]
+    assert toxicity.Signs(texts, np.zeros(0, np.uint64)).patterns[:, 4].tolist() == want and want[:4] == [True, False, True, False]
+    assert toxicity.Signs(["", ""], np.zeros(0, np.uint64)).patterns[:, 4].tolist() == [False, False]
