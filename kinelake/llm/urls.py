@@ -5,7 +5,7 @@ urls and urls without `://` have an empty host and path. Rules hold for a host a
 starts with the rule's; the longest rule wins. Urls under a rule are the labelled urls: on a bounded sample of
 them trees learn from length, depth, digit share, entropy, parameter counts and statistics of the host's
 suffix, and judge the urls that no rule fits. Every row gives one row; without labelled urls, or with one label only, urls outside
-the rules are allowed or get that label.
+the rules are allowed or get that label. Suffix statistics (urls, and the block rate of the labelled ones) count all rows.
 """
 
 from __future__ import annotations
@@ -50,18 +50,27 @@ def _entropy(text: str) -> float:
     return float(-(n * np.log2(n)).sum())
 
 
-def suffix(host: str) -> str:
+def suffix(host: Column) -> Column:
     """The last two labels of a host."""
-    return ".".join(host.split(".")[-2:])
+    return F.substring_index(host, ".", -2)
 
 
-def features(urls: list[str], hosts: list[str], paths: list[str], suffixes: dict[str, list[float]]) -> np.ndarray:
+def with_statistics(matched: DataFrame) -> DataFrame:
+    """matched with url_known (log count of the suffix's urls) and url_bad (its labelled urls' block rate less that of all, leaning to 0 by 20 urls), over all rows."""
+    bad = (F.col("rule_verdict") == "block").cast("double")
+    counted = matched.where("url is not null").groupBy(suffix(F.col("url_host")).alias("url_suffix")).agg(F.count("*").alias("url_n"), F.count(bad).alias("url_ruled"), F.coalesce(F.sum(bad), F.lit(0.0)).alias("url_blocked"))
+    base = counted.agg((F.sum("url_blocked") / F.sum("url_ruled")).alias("url_base"))  # one row
+    known = counted.crossJoin(F.broadcast(base)).select("url_suffix", F.log1p("url_n").alias("url_known"), F.coalesce((F.col("url_blocked") + 20 * F.col("url_base")) / (F.col("url_ruled") + 20) - F.col("url_base"), F.lit(0.0)).alias("url_bad"))
+    joined = matched.withColumn("url_suffix", suffix(F.col("url_host"))).join(known, "url_suffix", "left").drop("url_suffix")
+    return joined.fillna(0.0, ["url_known", "url_bad"])
+
+
+def features(urls: list[str], hosts: list[str], paths: list[str], known: list[float], bad: list[float]) -> np.ndarray:
     rows = []
-    for url, host, path in zip(urls, hosts, paths, strict=True):
+    for url, host, path, *stat in zip(urls, hosts, paths, known, bad, strict=True):
         query = url.partition("?")[2].partition("#")[0]
         pairs = [x for x in query.split("&") if x]
         labels = host.split(".")
-        stat = suffixes.get(suffix(host), [0.0, 0.0])
         rows.append([
             len(url), len(host), len(path), len(query), host.count("."), path.count("/"), sum(c.isdigit() for c in host), sum(c.isdigit() for c in url) / max(1, len(url)),
             host.count("-"), path.count("-") + path.count("_"), _entropy(host), _entropy(path), len(pairs), max((len(unquote_plus(x)) for x in pairs), default=0), url.count("%"),
@@ -115,37 +124,34 @@ class Boosted:
 
 
 def fit(matched: DataFrame, train_rows: int = TRAIN_ROWS):
-    """(trees, suffix statistics) from at most about train_rows urls under a rule; label 1 is block. With one label only, that label's rate; None without any."""
+    """The trees, from at most about train_rows urls under a rule of rows with suffix statistics; label 1 is block. With one label only, that label's rate; None without any."""
     known = matched.where("url is not null and rule_verdict is not null")
     every = max(1, known.count() // train_rows)
-    rows = known.where(F.pmod(F.xxhash64("url"), F.lit(every)) == 0).select("url", "url_host", "url_path", (F.col("rule_verdict") == "block").cast("int").alias("y")).orderBy(F.xxhash64("url", F.lit(1)), "url").limit(2 * train_rows).collect()
+    rows = known.where(F.pmod(F.xxhash64("url"), F.lit(every)) == 0).select(F.col("url").cast("string").alias("url"), "url_host", "url_path", "url_known", "url_bad", (F.col("rule_verdict") == "block").cast("int").alias("y")).orderBy(F.xxhash64("url", F.lit(1)), "url").limit(2 * train_rows).collect()
     if not rows:
         return None
-    urls, hosts, paths = ([r[i] for r in rows] for i in range(3))
-    y = np.array([r[3] for r in rows], float)
+    *columns, y = ([r[i] for r in rows] for i in range(6))
+    y = np.array(y, float)
     if y.min() == y.max():
-        return float(y[0]), {}
-    base, stats = y.mean(), {}
-    names, code = np.unique([suffix(h) for h in hosts], return_inverse=True)
-    for name, n, bad in zip(names.tolist(), np.bincount(code), np.bincount(code, weights=y), strict=True):
-        stats[name] = [float(np.log1p(n)), float((bad + 20 * base) / (n + 20) - base)]
-    return Boosted(features(urls, hosts, paths, stats), y), stats
+        return float(y[0])
+    return Boosted(features(*columns), y)
 
 
 def judge(pages: DataFrame, rules: Rules) -> DataFrame:
     """pages with url_host, url_path, url_rule, verdict and block_score (the trees' probability); columns of those names are replaced."""
-    matched = match(pages.drop("url_text", "url_host", "url_path", "url_rule", "rule_verdict", "verdict", "block_score"), rules)
+    matched = match(pages.drop("url_text", "url_host", "url_path", "url_rule", "rule_verdict", "verdict", "block_score", "url_known", "url_bad", "url_suffix"), rules)
+    matched = with_statistics(matched)
     model = fit(matched)
 
     def run(batches):
         for part in batches:
             n = part.num_rows
-            if model is None or isinstance(model[0], float):
-                p = np.full(n, 0.0 if model is None else model[0])
+            if model is None or isinstance(model, float):
+                p = np.full(n, 0.0 if model is None else model)
             else:
-                p = model[0](features(*(part.column(c).fill_null("").to_pylist() for c in ("url_text", "url_host", "url_path")), model[1])) if n else np.zeros(0)
+                p = model(features(*(part.column(c).fill_null("").to_pylist() for c in ("url_text", "url_host", "url_path")), *(part.column(c).to_pylist() for c in ("url_known", "url_bad")))) if n else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, "block_score"])
 
     made = matched.withColumn("url_text", F.col("url").cast("string"))
-    scored = made.mapInArrow(run, f"{ddl(made)}, block_score double").drop("url_text")
+    scored = made.mapInArrow(run, f"{ddl(made)}, block_score double").drop("url_text", "url_known", "url_bad")
     return scored.withColumn("verdict", F.coalesce("rule_verdict", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))).drop("rule_verdict")

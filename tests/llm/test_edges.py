@@ -73,6 +73,16 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_url_statistics_count_all_rows(spark):
+    rows = [f"http://h{i % 50}.s{i % 5}.org/{'es/' if i % 3 else 'en/2'}{i}" for i in range(600)] + ["http://rare.net/x", "http://rare.net/y", "plain", None]
+    made = urls.with_statistics(urls.match(spark.createDataFrame([(x,) for x in rows], "url string"), [("org", "/", "allow"), ("s1.org", "/es/", "block")]))
+    got = {r.url: (r.url_known, r.url_bad) for r in made.collect()}
+    blocked = sum(i % 5 == 1 and i % 3 > 0 for i in range(600))
+    assert made.count() == len(rows) and got["http://rare.net/x"] == pytest.approx((np.log1p(2), 0)) and got["plain"][0] == pytest.approx(np.log1p(1))
+    assert got[rows[1]] == pytest.approx((np.log1p(120), (blocked + 20 * blocked / 600) / 140 - blocked / 600))
+    assert urls.fit(made, train_rows=50) is not None
+
+
 def test_language_and_toxicity(spark, docs, none):
     got = {r.doc_id: r for r in language.held_out_predictions(docs.where("doc_id is not null")).collect()}
     assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and got[4].lang_pred != "und" and 0 <= got[4].score <= 1
