@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates, and phrase positions. DataFrame functions only.
 
 Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z. A text block is a line with at least one word that a template has.
-A template is found in a block if the block holds at least CONTAINMENT of its distinct words. Tokens are ordered by how
+A template is found in a block if the block holds at least CONTAINMENT of its distinct words, and in a text if as many consecutive
+words as the template has, over line ends too, hold them: so wrapped ones are found. The SQL covers the lines alone. Tokens are ordered by how
 many documents hold them, rarest first. A block of b tokens can only reach an overlap of o with a template of t tokens if
 it has o tokens (length filter), shares one of the template's t - o + 1 rarest (prefix filter), and the
 rarest shared token leaves enough tokens after it on both sides (positional filter); survivors are counted exactly.
@@ -91,6 +92,21 @@ def matches(docs: DataFrame, keys: list[str], containment: float = CONTAINMENT)
     return met.where(overlap >= F.col("need")).select(*keys, "block", "template", "label", (overlap / F.col("size")).alias("containment"))
 
 
+def wrapped(docs: DataFrame, keys: list[str], containment: float = CONTAINMENT) -> DataFrame:
+    """A row for each text and template whose best window, of as many words as the template, reaches the threshold: keys, label, containment."""
+    vocabulary, kinds = sorted({w for _, t in TEMPLATES for w in template_words(t)}), []
+    for label, text in TEMPLATES:
+        own, length = template_words(text), len("".join(c if c.isalnum() else " " for c in text).split())
+        kinds.append(F.struct(F.lit(label).alias("label"), F.lit(length).alias("length"), F.lit(max(1, math.ceil(len(own) * containment - 1e-9))).alias("need"), F.array(*map(F.lit, own)).alias("own")))
+    rows = docs.select(*keys, F.split(spaced(F.col("text")), " ").alias("words"))
+    rows = rows.withColumn("held", F.array_intersect("words", F.array(*map(F.lit, vocabulary))))
+    rows = rows.select(*keys, "words", "held", F.inline(F.array(*kinds))).where(F.size(F.array_intersect("held", "own")) >= F.col("need"))  # what the whole text lacks, no window holds
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - F.col("length") + 1, F.lit(1)))
+    best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i, F.col("length")), F.col("own")))))
+    rows = rows.select(*keys, "label", "need", F.size("own").alias("size"), best.alias("best"))
+    return rows.where(F.col("best") >= F.col("need")).select(*keys, "label", (F.col("best") / F.col("size")).alias("containment"))
+
+
 def phrase_columns(text: Column) -> dict[str, Column]:
     """n_words, n_base, first_word, last_word and base (labels) of spaced text."""
     total = word_count(text)
@@ -108,7 +124,8 @@ def phrase_columns(text: Column) -> dict[str, Column]:
 def scan(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best containment, 1 for a phrase, else 0)."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
-    found = matches(rows, ["doc_id", "text_key"]).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    keys = ["doc_id", "text_key"]
+    found = matches(rows, keys).select(*keys, "label", "containment").union(wrapped(rows, keys)).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     own = rows.select("doc_id", "text_key", spaced(F.col("text")).alias("words")).select("doc_id", "text_key", *(c.alias(n) for n, c in phrase_columns(F.col("words")).items()))
     both = own.join(found.withColumnsRenamed({"doc_id": "found_id", "text_key": "found_key"}), F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left")
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")

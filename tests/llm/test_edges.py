@@ -63,6 +63,17 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(held).first().labels == "gpl"
 
 
+def test_wrapped_licenses(spark):
+    texts = [
+        "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated\n# documentation files",
+        " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0",
+        "permission " + "far words " * 30 + "\nis hereby granted free of charge\n" + "far words " * 30 + "to any person obtaining a copy of this",
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("mpl", 1.0), 3: ("", 0.0)}
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://A.example.ORG/es/x?q"), (4, "http://a.org"), (5, "ftp://x.com/de/?a=1#z"), (6, "http://x.net/p"), (6, "http://x.net/p"), (7, "http://org/en"), (8, "a://b.com/fr/://c.com/de/")]
     pages = spark.createDataFrame([(*r, 0, "v") for r in rows], "page_id int, url string, block_score int, verdict string")
