@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with length-bucketed NumPy matrices.
 
-Texts of a slice are cut into pieces by their characters' classes, all at once; a piece is known by a
-64-bit hash of its bytes and its length. Pieces that are new to a worker are laid into padded matrices,
+Texts of a slice are cut into pieces by their characters' classes, all at once; a piece is found by a
+64-bit hash and then compared byte by byte, so that pieces alike by hash alone never share ids. Pieces that are new to a worker are laid into padded matrices,
 one for each power-of-two length. In each round every row merges its leftmost pair of minimum rank;
 ranks come from an open-addressing hash table over id pairs, and rows without a mergeable pair leave
 the matrix. Pieces over LONG_PIECE bytes, of which a text seldom has one, take a heap instead: same
@@ -44,6 +44,12 @@ def classes() -> np.ndarray:
     return out
 
 
+#: Bytes that one prefix sum covers; longer texts go block by block.
+BLOCK = 1 << 21
+#: Spans over this many bytes are hashed one at a time.
+LONG_SPAN = 512
+
+
 @lru_cache(maxsize=1)
 def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse's powers modulo 2**64, for i below 2**bits."""
@@ -53,10 +59,6 @@ def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(ups, out=ups), np.multiply.accumulate(downs, out=downs)
 
 
-#: Bytes that one prefix sum covers; longer texts go block by block, as a hash doesn't hang on where its span stands.
-BLOCK = 1 << 21
-
-
 def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of data with rising powers, and the powers that bring a difference of two of them to one scale."""
     up, down = powers(max(22, int(len(data)).bit_length()))
@@ -65,25 +67,43 @@ def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, down
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from prefix sums."""
-    if len(data) <= 2 * BLOCK:
-        sums, down = prefix_sums(data)
-        return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    out, block = np.empty(len(starts), np.uint64), starts // BLOCK
-    order = np.argsort(block, kind="stable")
-    edge = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True]) if len(order) else [0]
-    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-        own = order[lo:hi]
-        first = int(block[own[0]]) * BLOCK
-        sums, down = prefix_sums(data[first : int(ends[own].max())])
-        a, b = starts[own] - first, ends[own] - first
-        out[own] = mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span: eight bytes at a time, each mixed into what came before, so that no algebra of sums makes two spans alike; long spans by BLAKE2b. Lanes are independent of each other."""
+    size = (ends - starts).astype(np.int64)
+    out = mix64(size.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019 * (lane + 1) % 2**64))
+    spread = np.uint64((0xD6E8FEB86659FD93 + 2 * lane) % 2**64)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    live, at = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(live):
+        left = size[live] - at
+        chunk = eight[starts[live] + at]
+        short = left < 8
+        chunk[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[live] = mix64(out[live] * spread ^ chunk)
+        at += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([lane])).digest(), "little")
+    return out
+
+
+def equal_spans(a: np.ndarray, a_lo: np.ndarray, b: np.ndarray, b_lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[a_lo : a_lo + size] equals b[b_lo : b_lo + size], byte by byte, of each span."""
+    out, has = np.ones(len(size), bool), np.flatnonzero(size > 0)
+    first = 0
+    upto = np.cumsum(size[has])
+    while first < len(has):  # about a block of bytes at a time
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + BLOCK, "right")))
+        own = has[first:last]
+        differ = gather(a, a_lo[own], size[own]) != gather(b, b_lo[own], size[own])
+        out[own] = ~np.logical_or.reduceat(differ, np.cumsum(size[own]) - size[own])
+        first = last
     return out
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """The hash of each `gram` neighbouring bytes."""
+    """A hash of each `gram` neighbouring bytes, by prefix sums: for choosing places by content, not for telling strings alike."""
     parts = []
     for first in range(0, max(0, len(data) - gram + 1), BLOCK):
         sums, down = prefix_sums(data[first : first + BLOCK + gram - 1])
@@ -142,6 +162,7 @@ class ByteBPE:
 
     def forget(self) -> None:
         self.known, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.raw, self.raw_at, self.wide = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def pieces(self, chars: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pieces among the code points of texts that begin at `firsts`."""
@@ -194,13 +215,21 @@ class ByteBPE:
         if len(self.known):
             new = self.known[np.minimum(slot, len(self.known) - 1)] != hashes
         if new.any():
-            at, size = self.learn(data, lo[where[new]], hi[where[new]])
+            first, last = lo[where[new]], hi[where[new]]
+            at, size = self.learn(data, first, last)
             self.known = np.insert(self.known, slot[new], hashes[new])
             self.at, self.size = np.insert(self.at, slot[new], at), np.insert(self.size, slot[new], size)
+            self.raw_at, self.wide = np.insert(self.raw_at, slot[new], len(self.raw) + np.cumsum(last - first) - (last - first)), np.insert(self.wide, slot[new], last - first)
+            self.raw = np.concatenate((self.raw, gather(data, first, last - first)))
             slot = np.searchsorted(self.known, hashes)
         use = slot[back]
-        ids = gather(self.pool, self.at[use], self.size[use])
-        upto = np.concatenate(([0], np.cumsum(self.size[use])))
+        at, size = self.at[use], self.size[use]
+        same = self.wide[use] == hi - lo
+        same[same] = equal_spans(data, lo[same], self.raw, self.raw_at[use[same]], (hi - lo)[same])
+        if not same.all():  # alike by hash only
+            at[~same], size[~same] = self.learn(data, lo[~same], hi[~same])
+        ids = gather(self.pool, at, size)
+        upto = np.concatenate(([0], np.cumsum(size)))
         return ids, upto[np.searchsorted(starts, stops)]
 
     def learn(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,6 +249,9 @@ class ByteBPE:
             up = np.searchsorted(self.whole_keys, keys := span_hashes(data, lo[short], hi[short]))
             hit = self.whole_keys[np.minimum(up, len(self.whole_keys) - 1)] == keys
             short, ids = short[hit], self.whole_ids[up[hit]]
+            hit = wide[short] == self.sizes[ids]
+            hit[hit] = equal_spans(data, lo[short[hit]], self.flat, self.starts[ids[hit]], wide[short[hit]])
+            short, ids = short[hit], ids[hit]
             at[short], size[short], todo[short] = filled + np.arange(len(short)), 1, False
             parts.append(ids)
             filled += len(ids)
@@ -347,12 +379,12 @@ class WordBPE:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids end."""
-        odd = [i for i, x in enumerate(texts) if any(s in x for s in self.special)]
+        odd = {i for i, x in enumerate(texts) if any(s in x for s in self.special)}
         plain = [x if x.isascii() else unicodedata.normalize("NFC", x).replace("\u03a3", "\u03c3") for x in texts]
         ids, ends = self.coder.encode(["" if i in odd else x.lower() for i, x in enumerate(plain)])
         if odd:
             rows = np.split(ids, ends[:-1])
-            for i in odd:
+            for i in sorted(odd):
                 rows[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.int32)
             ids, ends = np.concatenate(rows), np.cumsum([len(x) for x in rows])
         return ids, ends
