@@ -6,7 +6,7 @@ nodes with a longest common prefix of at least LEAST_LEVEL values stand in one r
 nodes all pairs whose whole signatures agree enough are candidates; in a larger one the sorted order is
 taken deeper, in stretches of up to STRETCH neighbours with the longest common prefixes, and each node is a candidate with
 its NEAREST by signature and with the stretch's centre. Stretches follow the sort order, so no key gathers an unbounded
-group. Candidates are confirmed on full shingle sets, computed anew from the texts, and components come from
+group. Candidates are confirmed on full shingle sets, computed anew from the texts (a shingle is two independent 64-bit hashes of its words), and components come from
 confirmed links alone by FastSV (Zhang, Azad and Buluc 2020) over stored tables.
 
 A second pass then takes the regions of more than FULL nodes, and those that a task's edge may have split, where roots still differ: it
@@ -14,7 +14,8 @@ deals each to blocks of about BLOCK nodes of like size and compares every two bl
 worked through in full. A block's texts are shipped once for each block it meets; block pairs with one root, or too different in size to reach the threshold, are left out.
 
 Null, empty and blank texts have no shingles and link with nothing. Rows with one doc_id count as documents of their own that
-share an id; the id's rows with equal sets share a component.
+share an id; the id's rows with equal sets share a component. A null id gives null for component_id, unless its group has another. Only doc_id and
+text of docs are read, so extra columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ HEAVY = 16
 SLACK = 3.5
 #: Candidates of one node that one task confirms, about.
 FAN = 500
+#: Bytes of text that one task confirms, about, and bytes of a shingle's part of its text.
+CELL_BYTES, SHINGLE_BYTES = 32 << 20, 8
 #: Links that one task thins to a spanning forest, about.
 FOREST = 200_000
 #: Stands for a null id.
@@ -52,8 +55,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def shingles(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's k-word shingles, and how many each text has; fewer than k words are one shingle."""
+def shingles(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct k-word shingles of each text as two independent 64-bit hashes (sorted by the first), and how many each text has; fewer than k words are one shingle."""
     n = len(at) - 1
     data = LOWER[data]
     cut = np.zeros(len(data) + 1, bool)
@@ -61,27 +64,38 @@ def shingles(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = ~BLANK[data]
     start, end = np.flatnonzero(inside[1:] & (~inside[:-1] | cut)), np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
-    word = span_hashes(data, start, end)
     doc = np.searchsorted(at[1:], start, "right")
     count = np.bincount(doc, minlength=n)
     first = np.cumsum(count) - count
-    made = np.zeros(max(0, len(word) - k + 1), np.uint64)
-    for j in range(k):
-        made = mix64(made * np.uint64(31) + word[j : j + len(made)])
-    whole = doc[: len(made)] == doc[k - 1 :] if len(made) else np.zeros(0, bool)
-    docs, hashes = [doc[: len(made)][whole]], [made[whole]]
     short = np.flatnonzero((count > 0) & (count < k))
-    one = np.zeros(len(short), np.uint64)
-    for j in range(k - 1):
-        on = count[short] > j
-        one[on] = mix64(one[on] * np.uint64(31) + word[first[short[on]] + j])
-    docs.append(short)
-    hashes.append(~(one + count[short].astype(np.uint64)))
-    docs, hashes = np.concatenate(docs), np.concatenate(hashes)
-    order = np.lexsort((hashes, docs))
-    docs, hashes = docs[order], hashes[order]
-    keep = np.r_[True, (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])] if len(docs) else np.zeros(0, bool)
-    return hashes[keep], np.bincount(docs[keep], minlength=n)
+    whole = doc[: max(0, len(doc) - k + 1)] == doc[k - 1 :]
+    lanes = []
+    for lane in (0, 1):
+        word = span_hashes(data, start, end, lane)
+        made = np.zeros(len(whole), np.uint64)
+        for j in range(k):
+            made = mix64(made * np.uint64(31) + word[j : j + len(made)])
+        one = np.zeros(len(short), np.uint64)
+        for j in range(k - 1):
+            on = count[short] > j
+            one[on] = mix64(one[on] * np.uint64(31) + word[first[short[on]] + j])
+        lanes.append(np.concatenate((made[whole], ~(one + count[short].astype(np.uint64)))))
+    docs = np.concatenate((doc[: len(whole)][whole], short))
+    order = np.lexsort((lanes[0], docs))
+    docs, a, b = docs[order], lanes[0][order], lanes[1][order]
+    again = (docs[1:] == docs[:-1]) & (a[1:] == a[:-1])
+    if (b[1:] != b[:-1])[again].any():  # alike in one hash only
+        order = np.lexsort((b, a, docs))
+        docs, a, b = docs[order], a[order], b[order]
+        again = (docs[1:] == docs[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    keep = np.r_[True, ~again] if len(docs) else np.zeros(0, bool)
+    return a[keep], b[keep], np.bincount(docs[keep], minlength=n)
+
+
+def shared(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many shingles two sets share, equal in both hashes."""
+    _, i, j = np.intersect1d(p[0], q[0], return_indices=True)
+    return int((p[1][i] == q[1][j]).sum())
 
 
 def signatures(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -108,10 +122,10 @@ def sets(rows: DataFrame, k: int) -> DataFrame:
     """doc_id, text_key, n_shingles, node (digest of the set; null if empty) and signature of rows with doc_id, text_key, text."""
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, count = shingles(*utf8(part.column("text")), k)
+        hashes, check, count = shingles(*utf8(part.column("text")), k)
         ends = np.cumsum(count)
-        raw = hashes.tobytes()
-        node = [hashlib.blake2b(raw[8 * (e - n) : 8 * e], digest_size=16).digest() if n else None for n, e in zip(count.tolist(), ends.tolist(), strict=True)]
+        raw = np.stack((hashes, check), axis=1).tobytes()
+        node = [hashlib.blake2b(raw[16 * (e - n) : 16 * e], digest_size=16).digest() if n else None for n, e in zip(count.tolist(), ends.tolist(), strict=True)]
         signed = [x.tobytes() for x in signatures(hashes, count)]
         return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(count), pa.array(node, pa.binary()), pa.array(signed, pa.binary())], ["doc_id", "text_key", "n_shingles", "node", "signature"])
 
@@ -213,40 +227,46 @@ def _runs(tree: list[int]):
 
 
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold. reps: node, doc_id, text_key of one document of each node."""
+    """The pairs whose full shingle sets reach the threshold. reps: node, doc_id, text_key and size (shingles) of one document of each node. The more text the pairs have, the more cells they are dealt to."""
+    mean = reps.agg(F.avg("size")).first()[0] or 0
+    many = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * pairs.count() * mean * SHINGLE_BYTES / CELL_BYTES))
     fan = pairs.groupBy("a").agg(F.floor(F.count("*") / FAN).cast("int").alias("fan"))
     cells = pairs.join(fan, "a").select("a", "b", F.xxhash64("a", F.pmod(F.hash("b"), F.col("fan") + 1)).alias("group"))
-    cells = cells.withColumn("cell", F.pmod("group", F.lit(max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
+    cells = cells.withColumn("cell", F.pmod("group", F.lit(many)))
     cells = stored(cells.select("cell", "a", "b"), "cells")
     need = cells.select(F.col("cell").alias("at"), F.col("a").alias("node")).union(cells.select("cell", "b")).distinct()
-    wanted = need.join(reps, "node")
+    wanted = need.join(reps.drop("size"), "node")
     texts = docs.join(wanted, ["doc_id", "text_key"]).select("at", "node", "text")
 
     def check(edges: pa.Table, held: pa.Table) -> pa.Table:
         a, b = edges.column("a").to_pylist(), edges.column("b").to_pylist()
         names = held.column("node").to_pylist()
-        own: dict[bytes, np.ndarray] = {}
+        own: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         for lo in range(0, len(names), 500):
-            hashes, count = shingles(*utf8(held.column("text").slice(lo, 500)), k)
-            own |= dict(zip(names[lo : lo + 500], np.split(hashes, np.cumsum(count)[:-1]), strict=True))
+            hashes, second, count = shingles(*utf8(held.column("text").slice(lo, 500)), k)
+            cut = np.cumsum(count)[:-1]
+            own |= dict(zip(names[lo : lo + 500], zip(np.split(hashes, cut), np.split(second, cut), strict=True), strict=True))
         ok = []
         for x, y in zip(a, b, strict=True):
             p, q = own[x], own[y]
-            if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+            n, m = len(p[0]), len(q[0])
+            if 100 * min(n, m) < percent * max(n, m):
                 ok.append(False)
                 continue
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            ok.append(100 * both >= percent * (len(p) + len(q) - both))
+            both = shared(p, q)
+            ok.append(100 * both >= percent * (n + m - both))
         return edges.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return stored(cells.groupBy("cell").cogroup(texts.groupBy("at")).applyInArrow(check, "a binary, b binary"), "links")
 
 
-def apart_links(hashes: np.ndarray, count: np.ndarray, root: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Links between sets of different roots (sorted hashes, one set after another), of all pairs: as many as join what they join."""
+def apart_links(hashes: np.ndarray, second: np.ndarray, count: np.ndarray, root: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different roots (two hashes a shingle, one set after another), of all pairs: as many as join what they join."""
     n = len(count)
     code = np.unique(np.array([r.hex() for r in root]), return_inverse=True)[1]
-    token, df = np.unique(hashes, return_inverse=True, return_counts=True)[1:]
+    _, first, token, df = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    if (second[first[token]] != second).any():  # alike in one hash only
+        token, df = np.unique(np.stack((hashes, second), axis=1), axis=0, return_inverse=True, return_counts=True)[1:]
     owner = np.repeat(np.arange(n), count)
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
@@ -308,7 +328,7 @@ def apart(marks: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame,
         names, at = np.unique(np.array([x.hex() for x in held.column("node").to_pylist()]), return_index=True)
         held = held.take(pa.array(at))
         parts = [shingles(*utf8(held.column("text").slice(lo, 500)), k) for lo in range(0, len(names), 500)]
-        kept = apart_links(np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts]), held.column("root").to_pylist(), percent)
+        kept = apart_links(*(np.concatenate(x) for x in zip(*parts, strict=True)), held.column("root").to_pylist(), percent)
         own = held.column("node").to_pylist()
         ends = [(own[i], own[j]) if own[i] < own[j] else (own[j], own[i]) for i, j in kept]
         return pa.table({"a": pa.array([x for x, _ in ends], pa.binary()), "b": pa.array([y for _, y in ends], pa.binary())})
@@ -366,14 +386,14 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
     made = stored(sets(rows, k), "sets")
     nodes = made.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size"))
     nodes = stored(nodes.select("node", "rep.doc_id", "rep.text_key", "signature", "size"), "nodes")
-    reps = nodes.select("node", "doc_id", "text_key")
+    reps = nodes.select("node", "doc_id", "text_key", "size")
     pairs = stored(candidates(nodes.select("node", "signature"), percent), "pairs")
     links = confirmed(pairs.where("tree is null").select("a", "b"), reps, rows, k, percent)
     roots = components(links)
     more = apart(pairs.where("tree is not null").select(F.col("a").alias("node"), "tree"), nodes, roots, rows, k, percent)
     if not more.isEmpty():
         roots = components(links.union(more))
-    labelled = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = labelled.select("node", "root")
     known = F.nullif(F.col("doc_id"), F.lit(NO_ID))
     lowest = made.where("node is not null").groupBy("node").agg(F.min(known).alias("low")).join(labelled, "node")

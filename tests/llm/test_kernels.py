@@ -44,6 +44,33 @@ def test_hashes_of_long_texts_equal_those_of_short_ones(monkeypatch):
     assert (bpe.span_hashes(data, starts, ends) == whole).all() and (bpe.gram_hashes(data, 33) == grams).all() and len(grams) == 4968
 
 
+def thue_morse(size):
+    """Two words of a and b that every sum of powers modulo 2**64 takes for one."""
+    a, b = "a", "b"
+    while len(a) < size:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_alike_by_sums_of_powers_stay_apart(monkeypatch):
+    coder = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.whole, special_tokens={})
+    for size in (256, 1024, 2048):
+        pair = list(thue_morse(size))
+        ids, ends = coder.encode(pair)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [library.encode_ordinary(x) for x in pair]
+        data, at = np.frombuffer("".join(pair).encode(), np.uint8), np.array([0, size, 2 * size])
+        hashes, _, count = neardup.shingles(data, at, 3)
+        assert count.tolist() == [1, 1] and hashes[0] != hashes[1]
+    # even where all hashes are alike
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, ends, lane=0: np.zeros(len(starts), np.uint64))
+    coder.forget()
+    some = ["one two two three", "three one"]
+    ids, ends = coder.encode(some)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [library.encode_ordinary(x) for x in some]
+    coder.forget()
+
+
 def test_companding_tables():
     assert telephony.MULAW[0xFF] == 0 and telephony.MULAW[0x80] == 32124 and telephony.MULAW[0x00] == -32124
     assert telephony.ALAW[0xD5] == 8 and telephony.ALAW[0xAA] == 32256 and telephony.ALAW[0x2A] == -32256
@@ -133,7 +160,7 @@ def test_exchange_moves_swaps_and_pairs():
 
 def test_shingles_and_signatures():
     docs = [b"A b c d", b"a\tb c", b"x", b"", b"  ", b"a b", b"a b c a b c"]
-    hashes, count = neardup.shingles(np.frombuffer(b"".join(docs), np.uint8), np.cumsum([0, *map(len, docs)]), 3)
+    hashes, check, count = neardup.shingles(np.frombuffer(b"".join(docs), np.uint8), np.cumsum([0, *map(len, docs)]), 3)
     assert count.tolist() == [2, 1, 1, 0, 0, 1, 3]
     rows = np.split(hashes, np.cumsum(count)[:-1])
     assert rows[1][0] in rows[0] and rows[1][0] in rows[6] and rows[5][0] not in rows[0]
@@ -177,7 +204,7 @@ def test_second_pass_links_what_is_apart():
                 group[find(root[i])] = find(root[j])
     want = {frozenset(r for r in set(root) if find(r) == top) for top in map(find, root)}
     group = {r: r for r in root}
-    for i, j in neardup.apart_links(np.concatenate(held), np.array([len(x) for x in held]), root, 85):
+    for i, j in neardup.apart_links(np.concatenate(held), np.concatenate(held), np.array([len(x) for x in held]), root, 85):
         assert find(root[i]) != find(root[j])
         group[find(root[i])] = find(root[j])
     assert {frozenset(r for r in set(root) if find(r) == top) for top in map(find, root)} == want
