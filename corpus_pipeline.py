@@ -7,7 +7,7 @@ near-duplicates the document with the least id stays; repeated byte strings are
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.llm import language, neardup, packing, repeats, toxicity
@@ -34,8 +34,9 @@ def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group (null ids last); rows that share id and text count once. Documents without words stay."""
-    first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "text_key")
-    kept = neardup.group(docs, SHINGLE, PERCENT).withColumn("nth", F.row_number().over(first)).where("root is null or nth = 1")
+    groups = neardup.group(docs, SHINGLE, PERCENT).select("root", F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key").alias("row"))
+    least = groups.where("root is not null").groupBy("root").agg(F.min("row").alias("row"))  # combined before the shuffle, so a large group is no load
+    kept = least.select("row").union(groups.where("root is null").select("row")).select("row.doc_id", "row.text_key")
     kept_id, kept_key, key = (free(docs.columns, x) for x in ("kept_id", "kept_key", "stage_key"))
     kept = kept.select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key))
     rows = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
@@ -61,6 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again: a row for each piece of each kept document."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
