@@ -5,7 +5,7 @@ A byte goes if a string of `length` bytes that covers it starts anywhere else to
 1. Every document is cut into cells: runs of window starts whose windows share the least hash of their GRAM-byte
    strings. That choice depends on a window's content alone, so equal windows lie in cells of equal hash.
 2. Cells meet by hash, packed, and those whose hash stands alone go. Equal windows can only lie in what is left.
-3. The texts of the left cells meet by hash again, equal texts as one with all their places.
+3. The texts of the left cells meet by hash again, equal texts (compared byte by byte) as one with all their places.
 4. There a suffix sort by difference cover modulo 3 runs over them: triples of the sampled suffixes (those at
    places 1 and 2 modulo 3) are sorted and named, names are recursed on in triples until they stand for `length` - 3 bytes,
    the remaining suffixes are merged by their leading bytes and the names after them, and neighbours in each order
@@ -13,7 +13,7 @@ A byte goes if a string of `length` bytes that covers it starts anywhere else to
 5. Their places go back to the documents, which are cut.
 
 Cells whose hash more than HOT places share are cut to single windows first and meet by the window's own hash, so a common
-passage in many surroundings doesn't gather in one task. Null and empty texts, and those shorter than `length`, lose nothing.
+passage in many surroundings doesn't gather in one task. Hashes only bring texts together; what is alike is told by bytes. Null and empty texts, and those shorter than `length`, lose nothing.
 Repeated rows are documents of their own: they lose all windows that they have. Bytes of a character cut in two are dropped from the kept text, but not
 from the counts and digests of bytes.
 """
@@ -28,12 +28,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import gather, gram_hashes, span_hashes
+from .bpe import equal_spans, gather, gram_hashes, span_hashes
 from .common import ddl, free, mix64, slices, utf8
 
 LENGTH, GRAM = 200, 96
-#: Bytes that one suffix sort takes, so that three names fit 63 bits.
+#: Bytes that one suffix sort takes, about; a group of cells of one hash isn't split, so it may be more.
 SORT_BYTES = 2_500_000
+#: Bits of a name of which three are one key; longer names are joined two at a time.
+NAME_BITS = 21
 HOT = 20_000
 #: Text that a bucket holds, about.
 BUCKET_BYTES = 3 << 20
@@ -104,6 +106,11 @@ def repeated(text: np.ndarray, starts: np.ndarray, windows: np.ndarray, length:
     def rename(keys: np.ndarray) -> None:
         name[sample] = np.unique(keys, return_inverse=True)[1]
 
+    def joined(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        if int(name.max(initial=0)) < 1 << NAME_BITS:
+            return a << 42 | b << 21 | c
+        return np.unique(a << 31 | b, return_inverse=True)[1] << 31 | c
+
     # triples of bytes, sorted
     rename(padded[sample].astype(np.int64) << 16 | padded[sample + 1].astype(np.int64) << 8 | padded[sample + 2])
     span, goal = 3, length - 3
@@ -112,8 +119,7 @@ def repeated(text: np.ndarray, starts: np.ndarray, windows: np.ndarray, length:
         last = min(2 * step, goal - span) // 3 * 3
         if last < step:
             step = last
-        keys = name[sample] << 42 | name[sample + step] << 21 | name[sample + last]
-        rename(keys)
+        rename(joined(name[sample], name[sample + step], name[sample + last]))
         if last == 0:
             break
         span += last
@@ -127,6 +133,8 @@ def repeated(text: np.ndarray, starts: np.ndarray, windows: np.ndarray, length:
         own = valid[valid % 3 != left_out]
         key = name[own + shift]
         for k in (*range(shift), *range(shift + span, length)):
+            if int(key.max(initial=0)) >= 1 << 55:
+                key = np.unique(key, return_inverse=True)[1]
             key = key << 8 | padded[own + k]
         order = np.argsort(key)
         key = key[order]
@@ -137,6 +145,30 @@ def repeated(text: np.ndarray, starts: np.ndarray, windows: np.ndarray, length:
     return out
 
 
+def _apart(text: np.ndarray, lo: np.ndarray, size: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Numbers that tell apart spans of one group (equal hashes) whose bytes differ; 0 for those equal to their group's first."""
+    _, first, back = np.unique(group, return_index=True, return_inverse=True)
+    head, out = first[back], np.zeros(len(group), np.int64)
+    same = size == size[head]
+    same[same] = equal_spans(text, lo[same], text, lo[head[same]], size[same])
+    seen: dict[bytes, int] = {}
+    for i in np.flatnonzero(~same).tolist():
+        out[i] = 1 + seen.setdefault(text[lo[i] : lo[i] + size[i]].tobytes(), len(seen))
+    return out
+
+
+def _alike(h: np.ndarray, own: np.ndarray, text: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by cell hash in which equal texts stand together, and where in it each run of equal texts begins; equal byte by byte."""
+    order = np.lexsort((own, h))
+    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (own[order][1:] != own[order][:-1])]
+    group = np.empty(len(h), np.int64)
+    group[order] = np.cumsum(new) - 1
+    if (other := _apart(text, lo, size, group)).any():  # alike by hash only
+        order = np.lexsort((other, own, h))
+        new = np.r_[True, (group[order][1:] != group[order][:-1]) | (other[order][1:] != other[order][:-1])]
+    return order, new
+
+
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.r_[0, mask.astype(np.int8), 0])
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -188,8 +220,8 @@ def spans(docs: DataFrame, buckets: int, length: int = LENGTH, gram: int = GRAM)
         own = span_hashes(body, lo, lo + size)
         h = np.where(hot, mix64(h ^ own), h)
         # equal cells are one text with several places
-        order = np.lexsort((own, h))
-        first = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (own[order][1:] != own[order][:-1])])
+        order, new = _alike(h, own, body, lo, size)
+        first = np.flatnonzero(new)
         which = order[first]
         many = np.diff(np.r_[first, len(order)]).astype(np.int32)
         bucket = (h % np.uint64(buckets)).astype(np.int32)
@@ -203,8 +235,7 @@ def spans(docs: DataFrame, buckets: int, length: int = LENGTH, gram: int = GRAM)
         h, own, windows, places, text, ids, keys, start = _joined(part.column("pack").to_pylist())
         windows, size = windows.astype(np.int64), windows.astype(np.int64) + length - 1
         lo, place_at = np.cumsum(size) - size, np.cumsum(places) - places
-        order = np.lexsort((own, h))
-        first = np.r_[True, (h[order][1:] != h[order][:-1]) | (own[order][1:] != own[order][:-1])]
+        order, first = _alike(h, own, text, lo, size)
         text_of = np.empty(len(h), np.int64)
         text_of[order] = np.cumsum(first) - 1  # equal texts of different tasks are one
         which = order[first]  # ordered by hash

@@ -136,6 +136,41 @@ def test_suffix_sort_equals_brute_force(length, gram):
                 assert where.setdefault(window, hash_) == hash_
 
 
+def test_suffix_sort_with_many_names():
+    """Over 2**21 names: windows that differ in one byte aren't repeated, equal ones are."""
+    rng = np.random.default_rng(11)
+    text = rng.integers(0, 256, 3_700_000).astype(np.uint8)
+    starts = np.arange(0, len(text) - 600, 400)
+    text = np.concatenate((text, *(text[i : i + 200] for i in starts[:400])))
+    second = len(text) - 400 * 200 + 200 * np.arange(400)
+    text[second[::2] + 150] ^= 1
+    at = np.concatenate((starts, second))
+    mask = repeats.repeated(text, at, np.ones(len(at), np.int64), 200)
+    twin = np.zeros(len(starts), bool)
+    twin[1:400:2] = True
+    assert (mask[starts] == twin).all() and (mask[second] == twin[:400]).all()
+
+
+@pytest.mark.parametrize("bits", [1, 5])
+def test_suffix_sort_with_long_names(bits, monkeypatch):
+    monkeypatch.setattr(repeats, "NAME_BITS", bits)
+    rng = np.random.default_rng(bits)
+    text = rng.integers(97, 99, 4000).astype(np.uint8)
+    text[3000:3700] = text[100:800]
+    windows = [text[i : i + 31].tobytes() for i in range(3970)]
+    count = Counter(windows)
+    mask = repeats.repeated(text, np.array([0]), np.array([3970]), 31)
+    assert mask[:3970].tolist() == [count[w] > 1 for w in windows]
+
+
+def test_cells_alike_by_hash_only_stay_apart():
+    text = np.frombuffer(b"abcabdabcxyzabd", np.uint8)
+    lo, size, same = np.arange(0, 15, 3), np.full(5, 3), np.zeros(5, np.uint64)
+    order, new = repeats._alike(same, same, text, lo, size)
+    found = [sorted(x.tolist()) for x in np.split(order, np.flatnonzero(new)[1:])]
+    assert sorted(found) == [[0, 2], [1, 4], [3]]
+
+
 def test_packing_keeps_every_piece_and_nears_the_bound():
     r = random.Random(3)
     counts = Counter(min(2048, int(r.lognormvariate(6.3, 0.9)) + 1) for _ in range(4000))
