@@ -4,16 +4,18 @@ Rows are dealt into blocks by a hash of their id, so that equal vectors spread.
 PROJECTIONS random lines. Around a query's own projection a window opens on every line and widens by the factor WIDEN, which
 is virtual rehashing: nothing is hashed anew. Each row counts the windows that hold it; rows that collide on
 THRESHOLD of the lines are verified by their true distance, until VERIFY of the block's rows are. The best of all
-blocks are merged. Queries meet blocks pack by pack over an equi-join of block numbers.
-
-Vectors that are null, empty, zero or hold null or non-finite components take no part; vectors are compared with those of their own
-dimension. A query's own id is no candidate of it. Distances are Euclidean in double precision on the original vectors.
+blocks are merged. A block is built once for each GROUP_QUERIES queries and those queries come to it, so that with n rows of which q ask,
+n * ceil(q / GROUP_QUERIES) + q * blocks vectors are shuffled; blocks grow with the rows up to BLOCK_MOST.
+
+Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an id; vectors are compared with
+those of their own dimension. Rows that share id and vector count once. Rows that share an id with different vectors are candidates of
+their own, and each that asks gets results of its own, under the one query_id. A query's own id is no candidate of it. Distances are
+Euclidean in double precision on the original vectors, ties go to smaller ids. Only vec_id, the vector column and what `queries` names are
+read, so extra columns of any name do no harm.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,10 +23,11 @@ from pyspark.sql import functions as F
 
 from .bpe import gather
 
-PROJECTIONS, THRESHOLD, WIDEN, FIRST = 64, 0.5, 1.35, 0.05
+PROJECTIONS, THRESHOLD, WIDEN, FIRST = 64, 0.8, 1.05, 0.2
 #: Share of a block's rows, and rows at least, that are verified.
 VERIFY, VERIFY_LEAST = 0.1, 64
-BLOCK_ROWS, PACK_QUERIES = 8192, 128
+#: Rows of a block at least and at most, blocks to have before they grow, and queries that meet a block at once.
+BLOCK_LEAST, BLOCK_MOST, BLOCKS, GROUP_QUERIES = 8192, 65_536, 64, 32_768
 
 
 def usable(vector: Column) -> Column:
@@ -32,18 +35,13 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def packs(rows: DataFrame, by: str) -> DataFrame:
-    """A row for each value of (by, dim): ids and vectors (binary)."""
-
-    def pack(part: pa.Table) -> pa.Table:
-        ids = part.column("vec_id").to_numpy().astype("<i8")
-        flat = part.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8")
-        order = np.argsort(ids, kind="stable")
-        flat = flat.reshape(len(ids), -1)[order]
-        return pa.table({by: part.column(by)[:1], "dim": part.column("dim")[:1], "ids": pa.array([ids[order].tobytes()], pa.binary()), "vectors": pa.array([flat.tobytes()], pa.binary())})
-
-    kind = dict(rows.dtypes)[by]
-    return rows.groupBy(by, "dim").applyInArrow(pack, f"{by} {kind}, dim int, ids binary, vectors binary")
+def distinct(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, keys and vectors (double) of a group's rows in the order of ids; rows of one id and key once."""
+    ids, keys = (part.column(c).to_numpy() for c in ("vec_id", "key"))
+    flat = part.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    order = np.lexsort((keys, ids))
+    order = order[np.r_[True, (ids[order][1:] != ids[order][:-1]) | (keys[order][1:] != keys[order][:-1])]]
+    return ids[order], keys[order], flat.reshape(len(ids), -1)[order]
 
 
 class Block:
@@ -59,7 +57,7 @@ class Block:
         order = np.argsort(shadow, axis=0, kind="stable")
         self.spread = max(float(shadow.std()), 1e-12)
         self.apart = np.arange(PROJECTIONS) * (4 * float(np.abs(shadow).max()) + 1e3 * self.spread)
-        self.order, self.sorted = order.T.ravel(), (np.take_along_axis(shadow, order, 0) + self.apart).T.ravel()
+        self.order, self.sorted = order.T.astype(np.int32).ravel(), (np.take_along_axis(shadow, order, 0) + self.apart).T.ravel()
         self.most = float(np.abs(shadow).max())
 
     def nearest(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
@@ -91,24 +89,30 @@ class Block:
 
 def search(rows: DataFrame, queries: Column, k: int = 10, vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found of every row for which `queries` holds."""
-    spark = rows.sparkSession
-    good = rows.select("vec_id", F.col(vector).cast("array<double>").alias("vector"), queries.alias("asks")).where("vec_id is not null").where(usable(F.col("vector"))).withColumn("dim", F.size("vector"))
+    typed = F.col(vector) if dict(rows.dtypes)[vector] in ("array<float>", "array<double>") else F.col(vector).cast("array<double>")
+    good = rows.select("vec_id", typed.alias("vector"), queries.alias("asks")).where("vec_id is not null").where(usable(F.col("vector")))
     n, asks = good.agg(F.count("*"), F.count_if("asks")).first()
-    blocks, groups = max(1, math.ceil(n / BLOCK_ROWS)), max(1, math.ceil(asks / PACK_QUERIES))
-    data = packs(good.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "block")
-    asked = packs(good.where("asks").withColumn("pack", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(groups)).cast("int")), "pack")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
-    met = asked.join(data, ["block", "dim"]).repartition(max(1, min(blocks * groups, 100_000)))
-
-    def run(batches):
-        for part in batches:
-            for row in part.to_pylist():
-                block = Block(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"]))
-                out: list[tuple[int, int, float]] = []
-                for own, query in zip(np.frombuffer(row["query_ids"], "<i8").tolist(), np.frombuffer(row["query_vectors"], "<f8").reshape(-1, row["dim"]), strict=True):
-                    out += [(own, *x) for x in block.nearest(query, own, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["query_id", "vec_id", "score"])
-
-    best = met.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    blocks = max(1, round(n / min(BLOCK_MOST, max(BLOCK_LEAST, n // BLOCKS))))
+    groups = max(1, -(-asks // GROUP_QUERIES))
+    good = good.select(F.col("vec_id").cast("long"), F.size("vector").alias("dim"), F.xxhash64("vector").alias("key"), "vector", "asks")
+    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    dealt = lambda salt, n, name: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int").alias(name)
+    data = good.select("vec_id", "dim", "key", "vector", dealt(1, blocks, "block"), every("part", groups))
+    asked = good.where("asks").select("vec_id", "dim", "key", "vector", every("block", blocks), dealt(2, groups, "part"))
+
+    def meet(held: pa.Table, questions: pa.Table) -> pa.Table:
+        columns: list[list] = [[], [], [], []]
+        if held.num_rows and questions.num_rows:
+            ids, _, vectors = distinct(held)
+            block = Block(ids, vectors)
+            for own, key, query in zip(*distinct(questions), strict=True):
+                for id_, score in block.nearest(query, own, k):
+                    for column, x in zip(columns, (own, key, id_, score), strict=True):
+                        column.append(x)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "query_key", "vec_id", "score"])
+
+    by = ["block", "part", "dim"]
+    best = data.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(meet, "query_id long, query_key long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "query_key").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

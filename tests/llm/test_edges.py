@@ -183,6 +183,19 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_neighbours_with_repeated_ids(spark, monkeypatch):
+    """Equal rows count once; rows that share an id with different vectors are candidates of their own and ask on their own."""
+    rows = [(0, [0.0, 1.0]), (0, [0.0, 1.0]), (0, [5.0, 0.0]), *((i, [float(i), 1.0]) for i in range(1, 15)), (7, [7.0, 1.0]), (8, [0.5, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "GROUP_QUERIES", 1)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.search(df, F.col("vec_id") % 100 == 0, k=5).collect())
+    want = []
+    for query in ([0.0, 1.0], [5.0, 0.0]):
+        near = sorted((np.hypot(query[0] - v[0], query[1] - v[1]), i) for i, v in {(i, tuple(v)) for i, v in rows} if i)
+        want += [(0, n + 1, i, d) for n, (d, i) in enumerate(near[:5])]
+    assert got == sorted(want)
+
+
 def test_pipeline_stages(spark, docs, none, tmp_path):
     spark.createDataFrame([(4, 0), (5, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for start in (docs, none):

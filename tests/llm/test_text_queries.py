@@ -1,6 +1,7 @@
 """Text queries on the smallest tables: columns of each, and SQL where there is some."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from kinelake.llm import queries
@@ -35,3 +36,20 @@ def test_query(spark, name):
         columns = ", ".join(f'"{c}"' for c in got.column_names)
         for a, b in (("got", "want"), ("want", "got")):
             assert db.execute(f"select {columns} from {a} except all select {columns} from {b}").fetchall() == []
+
+
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_recall_of_neighbours(spark, size):
+    got = queries.QUERIES["op8_collision_counting"](spark, SF.replace("0.001", size)).collect()
+    table = spark.read.parquet(f"{SF.replace('0.001', size)}/embeddings.parquet").collect()
+    ids, vectors = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], float)
+    asked = {int(i): np.sqrt(np.square(vectors - vectors[n]).sum(axis=1)) for n, i in enumerate(ids) if i % 100 == 0}
+    hit = 0
+    for r in got:
+        assert r.score == pytest.approx(asked[r.query_id][np.flatnonzero(ids == r.vec_id)[0]], rel=1e-12)
+    for i, distance in asked.items():
+        want = ids[np.lexsort((ids, np.where(ids == i, np.inf, distance)))][:10]
+        own = sorted((r["rank"], r.vec_id) for r in got if r.query_id == i)
+        assert [x for x, _ in own] == list(range(1, 11))
+        hit += len({x for _, x in own} & set(want.tolist()))
+    assert hit / (10 * len(asked)) >= 0.9
