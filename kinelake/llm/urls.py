@@ -5,22 +5,23 @@ urls and urls without `://` have an empty host and path. Rules hold for a host a
 starts with the rule's; the longest rule wins. Urls under a rule are the labelled urls: on a bounded sample of
 them trees learn from length, depth, digit share, entropy, parameter counts and statistics of the host's
 suffix, and judge the urls that no rule fits. Every row gives one row; without labelled urls, or with one label only, urls outside
-the rules are allowed or get that label. Suffix statistics (urls, and the block rate of the labelled ones) count all rows.
+the rules are allowed or get that label. Suffix statistics (urls, and the block rate of the labelled ones) count all rows; a url that the
+trees are fitted on sees those of the other folds alone. Repeated urls count once in the fit. Features are native, so a url may be of any length.
 """
 
 from __future__ import annotations
 
-from urllib.parse import unquote_plus
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ddl
+from .common import ddl, stored
 
 #: About how many labelled urls the trees are fitted on, chosen by hash.
 TRAIN_ROWS = 20_000
+#: Folds of the labelled urls for suffix statistics.
+FOLDS = 5
 TREES, DEPTH, RATE, BINS, LEAST, RIDGE = 60, 3, 0.2, 64, 5, 1.0
 #: (host, path, verdict)
 Rules = list[tuple[str, str, str]]
@@ -43,40 +44,66 @@ def match(pages: DataFrame, rules: Rules) -> DataFrame:
     return pages.withColumns({"url_host": host, "url_path": path}).withColumns({"url_rule": rule, "rule_verdict": verdict})
 
 
-def _entropy(text: str) -> float:
-    if not text:
-        return 0.0
-    n = np.unique(list(text), return_counts=True)[1] / len(text)
-    return float(-(n * np.log2(n)).sum())
-
-
 def suffix(host: Column) -> Column:
     """The last two labels of a host."""
     return F.substring_index(host, ".", -2)
 
 
-def with_statistics(matched: DataFrame) -> DataFrame:
-    """matched with url_known (log count of the suffix's urls) and url_bad (its labelled urls' block rate less that of all, leaning to 0 by 20 urls), over all rows."""
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(5)), F.lit(FOLDS)).cast("int")
+
+
+def suffix_counts(matched: DataFrame) -> DataFrame:
+    """url_suffix, url_fold, url_n, url_ruled, url_blocked over all rows: counts of urls, of those that a rule labels and of the blocked ones among them."""
     bad = (F.col("rule_verdict") == "block").cast("double")
-    counted = matched.where("url is not null").groupBy(suffix(F.col("url_host")).alias("url_suffix")).agg(F.count("*").alias("url_n"), F.count(bad).alias("url_ruled"), F.coalesce(F.sum(bad), F.lit(0.0)).alias("url_blocked"))
-    base = counted.agg((F.sum("url_blocked") / F.sum("url_ruled")).alias("url_base"))  # one row
-    known = counted.crossJoin(F.broadcast(base)).select("url_suffix", F.log1p("url_n").alias("url_known"), F.coalesce((F.col("url_blocked") + 20 * F.col("url_base")) / (F.col("url_ruled") + 20) - F.col("url_base"), F.lit(0.0)).alias("url_bad"))
-    joined = matched.withColumn("url_suffix", suffix(F.col("url_host"))).join(known, "url_suffix", "left").drop("url_suffix")
-    return joined.fillna(0.0, ["url_known", "url_bad"])
-
-
-def features(urls: list[str], hosts: list[str], paths: list[str], known: list[float], bad: list[float]) -> np.ndarray:
-    rows = []
-    for url, host, path, *stat in zip(urls, hosts, paths, known, bad, strict=True):
-        query = url.partition("?")[2].partition("#")[0]
-        pairs = [x for x in query.split("&") if x]
-        labels = host.split(".")
-        rows.append([
-            len(url), len(host), len(path), len(query), host.count("."), path.count("/"), sum(c.isdigit() for c in host), sum(c.isdigit() for c in url) / max(1, len(url)),
-            host.count("-"), path.count("-") + path.count("_"), _entropy(host), _entropy(path), len(pairs), max((len(unquote_plus(x)) for x in pairs), default=0), url.count("%"),
-            max(map(len, labels)), len(labels[0]), float(url.startswith("https")), float("#" in url), float("." in path.rpartition("/")[2]), float(path.endswith("/")), stat[0], stat[1],
-        ])
-    return np.array(rows, np.float64).reshape(len(urls), -1)
+    kinds = matched.where("url is not null").groupBy(suffix(F.col("url_host")).alias("url_suffix"), fold_of(F.col("url")).alias("url_fold"))
+    return kinds.agg(F.count("*").alias("url_n"), F.count(bad).alias("url_ruled"), F.coalesce(F.sum(bad), F.lit(0.0)).alias("url_blocked"))
+
+
+def rates(counted: DataFrame) -> DataFrame:
+    """counted with url_known (log count of urls) and url_bad (the labelled ones' block rate less that of all, leaning to 0 by 20 urls)."""
+    base = counted.agg(F.try_divide(F.sum("url_blocked"), F.sum("url_ruled")).alias("url_base"))  # one row
+    bad = (F.col("url_blocked") + 20 * F.col("url_base")) / (F.col("url_ruled") + 20) - F.col("url_base")
+    return counted.crossJoin(F.broadcast(base)).withColumns({"url_known": F.log1p("url_n"), "url_bad": F.coalesce(bad, F.lit(0.0))})
+
+
+def with_statistics(matched: DataFrame, counted: DataFrame, own_fold: bool = True) -> DataFrame:
+    """matched with url_known and url_bad of its suffix; without its own fold's urls unless own_fold, so that what is fitted on them doesn't see its own label."""
+    if own_fold:
+        sums = [F.sum(c).alias(c) for c in ("url_n", "url_ruled", "url_blocked")]
+        by, rows = ["url_suffix"], rates(counted.groupBy("url_suffix").agg(*sums))
+    else:
+        whole = Window.partitionBy("url_suffix")  # FOLDS rows at most
+        left = {c: F.sum(c).over(whole) - F.col(c) for c in ("url_ruled", "url_blocked")} | {"url_n": F.sum("url_n").over(whole)}
+        by, rows = ["url_suffix", "url_fold"], rates(counted.withColumns(left))
+    keyed = matched.withColumns({"url_suffix": suffix(F.col("url_host")), "url_fold": fold_of(F.col("url"))})
+    return keyed.join(rows.select(*by, "url_known", "url_bad"), by, "left").drop("url_suffix", "url_fold").fillna(0.0, ["url_known", "url_bad"])
+
+
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def _entropy(text: Column) -> Column:
+    """Bits a character."""
+    share = lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / F.length(text)
+    return F.when(F.length(text) > 0, F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda s, c: F.when(c == "", s).otherwise(s - share(c) * F.log2(share(c))))).otherwise(0.0)
+
+
+def features(matched: DataFrame) -> Column:
+    """array<double> of what the trees see, of rows with suffix statistics; native."""
+    url, host, path = F.coalesce(F.col("url").cast("string"), F.lit("")), F.col("url_host"), F.col("url_path")
+    query = F.regexp_extract(url, r"^[^?]*\?([^#]*)", 1)
+    pairs = F.filter(F.split(query, "&"), lambda x: x != "")
+    digits = lambda x: F.length(x) - F.length(F.translate(x, "0123456789", ""))
+    last = F.substring_index(path, "/", -1)
+    made = [
+        F.length(url), F.length(host), F.length(path), F.length(query), _count(host, "."), _count(path, "/"), digits(host), digits(url) / F.greatest(F.length(url), F.lit(1)),
+        _count(host, "-"), _count(path, "-") + _count(path, "_"), _entropy(host), _entropy(path), F.size(pairs), F.coalesce(F.array_max(F.transform(pairs, F.length)), F.lit(0)), _count(url, "%"),
+        F.array_max(F.transform(F.split(host, r"\."), F.length)), F.length(F.substring_index(host, ".", 1)), url.startswith("https").cast("int"), url.contains("#").cast("int"),
+        last.contains(".").cast("int"), path.endswith("/").cast("int"), F.col("url_known"), F.col("url_bad"),
+    ]
+    return F.array(*(x.cast("double") for x in made))
 
 
 class Boosted:
@@ -123,35 +150,40 @@ class Boosted:
         return 1 / (1 + np.exp(-margin))
 
 
-def fit(matched: DataFrame, train_rows: int = TRAIN_ROWS):
-    """The trees, from at most about train_rows urls under a rule of rows with suffix statistics; label 1 is block. With one label only, that label's rate; None without any."""
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def fit(matched: DataFrame, counted: DataFrame, train_rows: int = TRAIN_ROWS):
+    """The trees, from about train_rows different urls under a rule (at most twice as many), with suffix statistics of the other folds; label 1 is block. Only features reach the driver, so long urls don't. With one label only, that label's rate; None without any."""
     known = matched.where("url is not null and rule_verdict is not null")
     every = max(1, known.count() // train_rows)
-    rows = known.where(F.pmod(F.xxhash64("url"), F.lit(every)) == 0).select(F.col("url").cast("string").alias("url"), "url_host", "url_path", "url_known", "url_bad", (F.col("rule_verdict") == "block").cast("int").alias("y")).orderBy(F.xxhash64("url", F.lit(1)), "url").limit(2 * train_rows).collect()
-    if not rows:
+    picked = known.where(F.pmod(F.xxhash64("url"), F.lit(every)) == 0).select("url", "url_host", "url_path", (F.col("rule_verdict") == "block").cast("double").alias("url_y")).dropDuplicates(["url"])
+    picked = picked.orderBy(F.xxhash64("url", F.lit(1)), "url").limit(2 * train_rows)
+    rows = with_statistics(picked, counted, own_fold=False)
+    rows = rows.select("url_y", features(rows).alias("url_x"), F.xxhash64("url", F.lit(1)).alias("url_order")).toArrow().sort_by("url_order")
+    if not rows.num_rows:
         return None
-    *columns, y = ([r[i] for r in rows] for i in range(6))
-    y = np.array(y, float)
-    if y.min() == y.max():
-        return float(y[0])
-    return Boosted(features(*columns), y)
+    y = rows.column("url_y").to_numpy()
+    return float(y[0]) if y.min() == y.max() else Boosted(_matrix(rows.column("url_x")), y)
 
 
 def judge(pages: DataFrame, rules: Rules) -> DataFrame:
-    """pages with url_host, url_path, url_rule, verdict and block_score (the trees' probability); columns of those names are replaced."""
-    matched = match(pages.drop("url_text", "url_host", "url_path", "url_rule", "rule_verdict", "verdict", "block_score", "url_known", "url_bad", "url_suffix"), rules)
-    matched = with_statistics(matched)
-    model = fit(matched)
+    """pages with url_host, url_path, url_rule, verdict and block_score (the trees' probability); columns of those names, and any whose name begins with url_ and is used here, are replaced."""
+    own = ("url_host", "url_path", "url_rule", "rule_verdict", "verdict", "block_score", "url_known", "url_bad", "url_suffix", "url_fold", "url_x")
+    matched = match(pages.drop(*own), rules)
+    counted = stored(suffix_counts(matched), "suffixes")
+    model = fit(matched, counted)
+    made = with_statistics(matched, counted)
+    made = made.withColumn("url_x", features(made)).drop("url_known", "url_bad")
+    kept = [c for c in made.columns if c != "url_x"]
 
     def run(batches):
         for part in batches:
             n = part.num_rows
-            if model is None or isinstance(model, float):
-                p = np.full(n, 0.0 if model is None else model)
-            else:
-                p = model(features(*(part.column(c).fill_null("").to_pylist() for c in ("url_text", "url_host", "url_path")), *(part.column(c).to_pylist() for c in ("url_known", "url_bad")))) if n else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, "block_score"])
-
-    made = matched.withColumn("url_text", F.col("url").cast("string"))
-    scored = made.mapInArrow(run, f"{ddl(made)}, block_score double").drop("url_text", "url_known", "url_bad")
+            p = np.full(n, 0.0 if model is None else model) if model is None or isinstance(model, float) else model(_matrix(part.column("url_x"))) if n else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(p)], [*kept, "block_score"])
+
+    scored = made.mapInArrow(run, f"{ddl(made.select(*kept))}, block_score double")
     return scored.withColumn("verdict", F.coalesce("rule_verdict", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))).drop("rule_verdict")
