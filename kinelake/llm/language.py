@@ -6,7 +6,8 @@ document's words charges SWITCH for each change of language, so that spans of mi
 documents run in segments at once: a max-plus transfer matrix for each segment, chained exactly.
 
 Texts that are null, empty or without letters are `und` with score 0 and no spans. Languages are those of the training rows;
-null languages are never learned. Every row gives one row.
+null languages are never learned. Every row gives one row. A word's script is that of most of its letters. Only doc_id, text and lang are
+read for the fit, and other columns stay as they are unless they have the name of a new one.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ class Words:
         self.start = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
         self.end = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
         self.doc = np.searchsorted(self.stops, self.start, "right")
-        self.script = script[chars[self.start]] if len(self.start) else np.zeros(0, np.uint8)
+        self.script = self.scripts(script[chars], inside[1:-1]) if len(self.start) else np.zeros(0, np.uint8)
         # each word with a mark before and after it, one after another
         size = self.end - self.start
         self.first = np.cumsum(size + 2) - (size + 2)
@@ -80,6 +81,14 @@ class Words:
         self.text[marks] = 0
         self.last = np.repeat(self.first + size + 1, size + 2)
 
+    def scripts(self, script: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The script of most letters of each word, the first in SCRIPT_NAMES of equals."""
+        first = script[self.start]
+        change = np.r_[(script[1:] != script[:-1]) & letter[1:] & letter[:-1], False]
+        for i in np.flatnonzero(np.logical_or.reduceat(change, self.start)).tolist():
+            first[i] = np.bincount(script[self.start[i] : self.end[i]]).argmax()
+        return first
+
     def grams(self):
         """For n from 1 to 4: where n-grams start among the marked words, and their buckets."""
         x, place = self.text * np.uint32(0x9E3779B1), np.arange(len(self.text))
@@ -91,11 +100,12 @@ class Words:
             yield place[: len(h)][ok], ((h ^ (h >> np.uint32(16))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS))[ok]
 
 
-def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict | None:
-    """The model, from at most about train_rows rows of docs with text and language; None if there are none."""
-    known = docs.where("text is not null and lang is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    every = max(1, known.select("lang").count() // train_rows)
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(every)) == 0) if every > 1 else known
+def counted(picked: DataFrame) -> DataFrame:
+    """lang, bucket, n, script: n-gram counts (packed) and letters by script of each language. A row for each task and language comes to one task a language, of at most 4 << BITS counts each."""
+
+    def pack(lang: str, counts: np.ndarray, scripts: np.ndarray) -> pa.RecordBatch:
+        used = np.flatnonzero(counts)
+        return pa.RecordBatch.from_pydict({"lang": [lang], "bucket": [used.astype("<i4").tobytes()], "n": [counts[used].astype("<i8").tobytes()], "script": [scripts.astype("<i8").tobytes()]})
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
@@ -114,23 +124,37 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict | None:
             for i, name in enumerate(names):
                 scripts[name] += np.bincount(words.script[own == i], weights=(words.end - words.start)[own == i], minlength=len(SCRIPT_NAMES)).astype(np.int64)
         for name in counts:
-            used = np.flatnonzero(counts[name])
-            yield pa.RecordBatch.from_pydict({"lang": [name], "bucket": [used.astype("<i4").tobytes()], "n": [counts[name][used].astype("<i8").tobytes()], "script": [scripts[name].astype("<i8").tobytes()]})
-
-    counts, scripts = {}, {}
-    for row in picked.coalesce(4).mapInArrow(run, "lang string, bucket binary, n binary, script binary").toLocalIterator():
-        counts.setdefault(row["lang"], np.zeros(4 << BITS))[np.frombuffer(row["bucket"], "<i4")] += np.frombuffer(row["n"], "<i8")
-        scripts[row["lang"]] = scripts.get(row["lang"], 0) + np.frombuffer(row["script"], "<i8")
-    if not counts:
+            yield pack(name, counts[name], scripts[name])
+
+    def add(part: pa.Table) -> pa.Table:
+        counts, scripts = np.zeros(4 << BITS, np.int64), np.zeros(len(SCRIPT_NAMES), np.int64)
+        for row in part.to_pylist():
+            counts[np.frombuffer(row["bucket"], "<i4")] += np.frombuffer(row["n"], "<i8")
+            scripts += np.frombuffer(row["script"], "<i8")
+        return pa.Table.from_batches([pack(part.column("lang")[0].as_py(), counts, scripts)])
+
+    kind = "lang string, bucket binary, n binary, script binary"
+    return picked.mapInArrow(run, kind).groupBy("lang").applyInArrow(add, kind)
+
+
+def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict | None:
+    """The model, from at most about train_rows rows of docs with text and language, chosen by a hash of id and text; None if there are none. Rows that repeat another count once."""
+    known = docs.where("text is not null and lang is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    every = max(1, known.select("lang").count() // train_rows)
+    picked = known.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(every)) == 0) if every > 1 else known
+    rows = counted(picked.dropDuplicates(["doc_id", "text", "lang"])).collect()  # a row a language
+    if not rows:
         return None
-    names = sorted(counts)
-    table = np.zeros((4 << BITS, len(names)), np.float32)
-    for i, name in enumerate(names):
+    rows.sort(key=lambda r: r["lang"])
+    names, table = [r["lang"] for r in rows], np.zeros((4 << BITS, len(rows)), np.float32)
+    for i, row in enumerate(rows):
+        counts = np.zeros(4 << BITS)
+        counts[np.frombuffer(row["bucket"], "<i4")] = np.frombuffer(row["n"], "<i8")
         for n in range(4):
-            own = counts[name][n << BITS : (n + 1) << BITS]
+            own = counts[n << BITS : (n + 1) << BITS]
             table[n << BITS : (n + 1) << BITS, i] = np.log((own + 0.1) / (own.sum() + 0.1 * (1 << BITS)))
-    share = np.array([scripts[x] / max(1, scripts[x].sum()) for x in names])
-    allowed = share >= SCRIPT_SHARE  # (language, script)
+    scripts = np.array([np.frombuffer(r["script"], "<i8") for r in rows])
+    allowed = scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=1, keepdims=True))  # (language, script)
     allowed[:, ~allowed.any(axis=0)] = True  # a script that nobody has narrows nothing
     return {"langs": names, "table": table, "allowed": allowed}
 
@@ -138,8 +162,9 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict | None:
 def viterbi(score: np.ndarray, doc: np.ndarray, switch: float = SWITCH, segment: int = SEGMENT) -> np.ndarray:
     """The best language of each word; words of a document stand together. Ties go to staying, then to the first language."""
     n, k = score.shape
+    code = np.int8 if k < 128 else np.int32
     if not n:
-        return np.zeros(0, np.int8)
+        return np.zeros(0, code)
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     sizes = np.diff(np.r_[first, n])
     parts = -(-sizes // segment)
@@ -178,7 +203,7 @@ def viterbi(score: np.ndarray, doc: np.ndarray, switch: float = SWITCH, segment:
             docs = np.flatnonzero(parts > i)
             before, now = place[seg_first[docs] + i - 1], place[seg_first[docs] + i]
             enter[now] = (enter[before][:, :, None] + v[slot[before]]).max(axis=1)
-    back = np.empty((n, k), np.int8)
+    back = np.empty((n, k), code)
     v = enter.copy()
     for t in range(steps):
         m = int(live[t])
@@ -186,8 +211,8 @@ def viterbi(score: np.ndarray, doc: np.ndarray, switch: float = SWITCH, segment:
         back[start[:m] + t] = b
         v[:m] = w + score[start[:m] + t]
     # backwards from every last language of each segment, then the right one is chosen
-    at = np.arange(k, dtype=np.int8)[None].repeat(len(start), 0)
-    paths = np.empty((n, k), np.int8)
+    at = np.arange(k, dtype=code)[None].repeat(len(start), 0)
+    paths = np.empty((n, k), code)
     for t in range(steps - 1, -1, -1):
         m = int(live[t])
         paths[start[:m] + t] = at[:m]
@@ -218,7 +243,7 @@ def label(texts: list[str], model: dict, spans: bool = False) -> tuple[list[str]
     words = Words(texts)
     best = viterbi(word_scores(words, model), words.doc)
     k = len(model["langs"])
-    share = np.bincount(words.doc * k + best, weights=words.end - words.start, minlength=len(texts) * k).reshape(len(texts), k)
+    share = np.bincount(words.doc * k + best.astype(np.int64), weights=words.end - words.start, minlength=len(texts) * k).reshape(len(texts), k)
     total = share.sum(axis=1)
     lang = [model["langs"][i] if n else "und" for i, n in zip(share.argmax(axis=1).tolist(), total.tolist(), strict=True)]
     score = share.max(axis=1) / np.maximum(total, 1)
