@@ -3,7 +3,7 @@
 On a bounded sample of labelled training rows, words and word beginnings that mark toxic texts are mined and
 dealt to lexicon voters; pattern voters look at density, nearness, shouting (capitals among the whole text's characters) and their absence. A generative
 model finds each voter's accuracies by expectation maximisation and discounts voters that agree beyond what
-the label explains. A logistic classifier over lexicon and pattern features is trained on the posterior
+the label explains. The given label is one voter more, with an accuracy of its own. A logistic classifier over lexicon and pattern features is trained on the posterior
 labels, and isotonic regression on the same rows makes its output a probability. All of this is one task over the sample; scoring covers every
 row. Null and empty texts score as a text without any sign. Every row gives one row.
 """
@@ -216,21 +216,21 @@ def fit_sample(texts: list[str], toxic: np.ndarray) -> dict:
     lexicon, dealt = strong[order], dealt[order]
     signs = [Signs(some, lexicon) for _, some in chunks(texts)]
     present, patterns, x = (np.concatenate(y) for y in zip(*((z.present, z.patterns, z.features()) for z in signs), strict=True))
-    votes = np.stack([*(present[:, dealt == v].any(axis=1) for v in range(VOTERS)), *patterns.T], axis=1).astype(np.float64)
-    start = 0.5 * patterns[:, 0] + 0.5 * toxic  # the first pattern and the labels
-    posterior, voters = label_model(votes, start)
-    weights = logistic(x, 0.5 * posterior + 0.5 * toxic)
+    votes = np.stack([*(present[:, dealt == v].any(axis=1) for v in range(VOTERS)), *patterns.T, toxic], axis=1).astype(np.float64)
+    posterior, voters = label_model(votes, votes[:, [VOTERS, -1]].mean(axis=1))  # starts from the first pattern and the given label
+    weights = logistic(x, posterior)
     steps, values = isotonic(x @ weights[:-1] + weights[-1], toxic.astype(float))
     return {"lexicon": [int(k) for k in lexicon], "weights": weights.tolist(), "steps": steps.tolist(), "values": values.tolist(), "voters": voters}
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
-    """The model from at most about train_rows rows of docs that labels.toxic (not null) covers; ids with several labels count as toxic if one says so."""
+    """The model from at most about train_rows ids of docs that labels.toxic (not null) covers, chosen by hash; ids with several labels count as toxic if one says so, of ids with several texts the least one counts."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     every = max(1, known.count() // train_rows)
     picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(every)) == 0)
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(picked), "doc_id")  # about train_rows ids
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # combined before the shuffle: one row an id, however often it stands
 
     def run(batches):
         texts, toxic = [], []
