@@ -7,13 +7,15 @@ underfull bins, always towards the fuller bin, so that the sum of squared fill r
 On the executors every piece takes a rank within its length, found by counting in hashed buckets, so that a
 length of which a third of all pieces are is dealt over many tasks, and its rank finds its place in the plan.
 
-Null and empty texts are one piece, the closing id 0 alone. Repeated rows are pieces of their own.
+Null and empty texts are one piece, the closing id 0 alone. Repeated rows are pieces of their own. Only doc_id and text are read, so extra columns
+of any name do no harm; null ids are pieces like others. Rows that share id and piece number, null ids among them, are dealt by their ids' checksum too.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,9 @@ from .common import map_slices, stored
 CAPACITY = 2048
 #: Rows of a length that one task ranks, about.
 BUCKET_ROWS = 20_000
-#: Improving exchanges that the local search makes at most; each raises the squared fill.
-EXCHANGES = 20_000
-#: The emptiest bins that the search tries to empty at a time.
+#: Pairs of bins that the local search looks at, at most. That is work saved on the driver: beyond it the plan is whole and right, only perhaps not as tight as it could get.
+LOOKS = 600_000
+#: The emptiest bins that the search tries to empty first, before it goes on with the rest.
 FRONT = 24
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -76,11 +78,17 @@ def first_fill(counts: dict[int, int], capacity: int) -> Counter:
     return bins
 
 
+@lru_cache(maxsize=4096)
+def _twos(bin_: tuple) -> list[tuple[int, int, int]]:
+    """Sums of two pieces, from distinct lengths: a bin of 2048 has 63 of them at most."""
+    lengths, many = sorted(set(bin_)), Counter(bin_)
+    return sorted((x + y, x, y) for i, x in enumerate(lengths) for y in lengths[i:] if x != y or many[x] > 1)
+
+
 def _exchange(a: tuple, b: tuple, gap: int) -> tuple[tuple, tuple] | None:
     """What to take out of a and of b (which has the gap) so that b gains the most that fits; None if it can't gain."""
     ones_a, ones_b = sorted(set(a)), sorted(set(b))
-    twos_a = sorted({(x + y, x, y) for i, x in enumerate(a) for y in a[i + 1 :]}) if len(a) <= 64 else []
-    twos_b = sorted({(x + y, x, y) for i, x in enumerate(b) for y in b[i + 1 :]}) if len(b) <= 64 else []
+    twos_a, twos_b = _twos(a), _twos(b)
     best, found = 0, None
     give = [((x,), x) for x in ones_a]
     back = [((), 0), *(((y,), y) for y in ones_b)]
@@ -106,36 +114,38 @@ def _without(bin_: tuple, out: tuple, into: tuple) -> tuple:
     return tuple(sorted([*items, *into]))
 
 
-def local_search(bins: Counter, capacity: int, exchanges: int = EXCHANGES) -> Counter:
-    """Exchanges between underfull bins until the fewest possible bins are left or no exchange raises the squared fill."""
+def local_search(bins: Counter, capacity: int, looks: int = LOOKS) -> Counter:
+    """Exchanges between underfull bins until the fewest possible bins are left, no exchange raises the squared fill, or `looks` pairs of bins were tried."""
     bins = Counter(bins)
     least = -(-sum(sum(p) * n for p, n in bins.items()) // capacity)
     dead: set[tuple[tuple, tuple]] = set()
-    made = 0
-    while sum(bins.values()) > least and made < exchanges:
-        open_ = sorted((p for p in bins if sum(p) < capacity), key=lambda p: (sum(p), p))
-        moved = False
-        for a in open_[:FRONT]:
+
+    def better(open_: list[tuple], some: list[tuple]) -> tuple | None:
+        nonlocal looks
+        for a in some:
             for b in reversed(open_):
                 if sum(b) < sum(a) or a == b and bins[a] < 2 or (a, b) in dead:
                     continue
-                if (swap := _exchange(a, b, capacity - sum(b))) is None:
-                    dead.add((a, b))
-                    continue
-                times = bins[a] // 2 if a == b else min(bins[a], bins[b])
-                out, back = swap
-                bins.subtract({a: times})
-                bins.subtract({b: times})
-                for p in (_without(a, out, back), _without(b, back, out)):
-                    if p:
-                        bins[p] += times
-                bins = +bins
-                made, moved = made + 1, True
-                break
-            if moved:
-                break
-        if not moved:
+                looks -= 1
+                if (swap := _exchange(a, b, capacity - sum(b))) is not None:
+                    return a, b, *swap
+                dead.add((a, b))
+                if looks <= 0:
+                    return None
+        return None
+
+    while sum(bins.values()) > least and looks > 0:
+        open_ = sorted((p for p in bins if sum(p) < capacity), key=lambda p: (sum(p), p))
+        if (found := better(open_, open_[:FRONT]) or better(open_, open_[FRONT:])) is None:
             break
+        a, b, out, back = found
+        times = bins[a] // 2 if a == b else min(bins[a], bins[b])
+        bins.subtract({a: times})
+        bins.subtract({b: times})
+        for p in (_without(a, out, back), _without(b, back, out)):
+            if p:
+                bins[p] += times
+        bins = +bins
     return bins
 
 
@@ -169,7 +179,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return cut.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     plan = Plan(local_search(first_fill(counts, capacity), capacity))
     buckets = max(64, sum(counts.values()) // BUCKET_ROWS)
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     base = cut.groupBy("length", "bucket").count()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = base.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
