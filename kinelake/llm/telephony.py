@@ -3,7 +3,8 @@
 mu-law and A-law expand by 256-entry tables made from their formulas. ADPCM blocks decode together: one
 NumPy step for each nibble place over all blocks. Linear resampling doubles the rate within a document.
 
-Null and empty texts give a payload of 64 zero bytes. Every row gives one row.
+Null and empty texts give a payload of 64 zero bytes. Every row gives one row, equal texts equal values. A WAV file holds up to 4 GB, Spark a value of up to 2 GB. Other
+columns stay as they are unless they have the name of a new one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, map_slices, utf8
+from .common import ddl, map_slices, stored
 
 UNIT = 64
 RATE = 8000
@@ -160,32 +161,39 @@ def _padded(raw: bytes) -> bytes:
     return raw + b"\0" * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """The stored form of each text, read back: sizes, digests and features of the mu-law, A-law and ADPCM readings and of the resampled PCM."""
+def digest(docs: DataFrame, codec: str = "mulaw") -> DataFrame:
+    """A row for each document: its text is stored as a WAV file in a table of the shared folder, read back, expanded and resampled.
+
+    doc_id, sizes and digests of payload and file, a feature text (mu-law, A-law and ADPCM readings of the payload, and the resampled PCM) and
+    pcm, the resampled 16-bit WAV file itself.
+    """
+    texts = docs.select("doc_id", F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("n_bytes"), F.col("text").cast("string").alias("text"))
+    media = stored(store(texts, codec=codec).drop("text"), "media")
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
-        body, at = utf8(part.column("text"))
-        rows, back = [], []
-        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            media = wav(_padded(body[lo:hi].tobytes()), "mulaw")
+        rows, back, files = [], [], part.column("media").to_pylist()
+        for media in files:
             data = read_wav(media)[2]
             back.append(data)
-            rows.append([hi - lo, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest()])
+            rows.append([len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest()])
         flat = np.frombuffer(b"".join(back), np.uint8)
         ends = np.cumsum([len(x) for x in back])
         starts = np.concatenate(([0], ends[:-1]))
         readings = []
-        mulaw = expand("mulaw", flat)
-        for name, pcm, first in (("mulaw", mulaw, starts), ("alaw", expand("alaw", flat), starts), ("adpcm", expand("adpcm", flat), starts // UNIT * (2 * UNIT - 7))):
-            energy, peak, turns = _sums(pcm, first)
-            count = np.diff(np.append(first, len(pcm)))
+        samples = {x: expand(x, flat) for x in ("mulaw", "alaw", "adpcm")}
+        for name, first in (("mulaw", starts), ("alaw", starts), ("adpcm", starts // UNIT * (2 * UNIT - 7))):
+            energy, peak, turns = _sums(samples[name], first)
+            count = np.diff(np.append(first, len(samples[name])))
             readings.append([f"{name}:n={n},rms={np.sqrt(e / n):.3f},peak={p},turns={t}" for n, e, p, t in zip(count.tolist(), energy.tolist(), peak.tolist(), turns.tolist(), strict=True)])
-        wide = doubled(mulaw, ends).tobytes()
-        crcs = [f"pcm16k:crc32={zlib.crc32(wide[4 * lo : 4 * hi])}" for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True)]
+        own = starts if codec != "adpcm" else starts // UNIT * (2 * UNIT - 7)
+        stop = np.append(own[1:], len(samples[codec]))
+        wide = doubled(samples[codec], stop).tobytes()
+        cut = [wide[4 * lo : 4 * hi] for lo, hi in zip(own.tolist(), stop.tolist(), strict=True)]
+        feature = ["|".join(x) for x in zip(*readings, (f"pcm16k:crc32={zlib.crc32(x)}" for x in cut), strict=True)]
         columns = list(zip(*rows, strict=True))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-        feature = ["|".join(x) for x in zip(*readings, crcs, strict=True)]
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(feature)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        arrays = [part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(feature), pa.array([wav(x, "pcm", 2 * RATE) for x in cut], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_slices(docs.select("doc_id", F.col("text").cast("string").alias("text")), "text", kernel, schema, most=1 << 20)
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
+    return map_slices(media, "media", kernel, schema, most=1 << 20)
