@@ -1,13 +1,14 @@
 """License scans: an exact set-similarity join of text blocks with license templates, and phrase positions. DataFrame functions only.
 
-Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z. A text block is a line with at least one word that a template has.
-A template is found in a block if the block holds at least CONTAINMENT of its distinct words, and in a text if as many consecutive
-words as the template has, over line ends too, hold them: so wrapped ones are found. The SQL covers the lines alone. Tokens are ordered by how
+Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z. Text blocks are lines, and windows of WINDOW words over line ends, each half
+over the next. A template is found in a line that holds at least CONTAINMENT of its distinct words, and in a window of which as many
+consecutive words as the template has hold them: so wrapped ones are found. Tokens are ordered by how
 many documents hold them, rarest first. A block of b tokens can only reach an overlap of o with a template of t tokens if
 it has o tokens (length filter), shares one of the template's t - o + 1 rarest (prefix filter), and the
-rarest shared token leaves enough tokens after it on both sides (positional filter); survivors are counted exactly.
+rarest shared token, at which the two meet once, leaves enough tokens after it on both sides (positional filter); survivors are counted exactly.
 Templates are a fixed short list: their tokens' frequencies are all that reaches the driver, and their side of the join is
-broadcast. Null and empty texts have no words, no labels and score 0. Every row gives one row; equal rows give equal rows.
+broadcast. Null and empty texts have no words, no labels and score 0. Every row gives one row; equal rows
+give equal rows. Only doc_id and text are read, so extra columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONTAINMENT = 0.8
+#: Words of a block that crosses lines; at least twice those of any template.
+WINDOW = 64
 #: Runs of anything but word characters, of lower-cased text.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,49 +65,81 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}  # a row for each template word at most
 
 
+def all_words(text: str) -> int:
+    """How many words an ASCII template has."""
+    return len("".join(c if c.isalnum() else " " for c in text).split())
+
+
+def needed(own: list[str], containment: float) -> int:
+    """How many of a template's distinct words a block must hold."""
+    return max(1, math.ceil(len(own) * containment - 1e-9))
+
+
+def ranked(docs: DataFrame) -> dict[str, int]:
+    """The place of each template word in the order of document frequency, rarest first."""
+    vocabulary = sorted({w for _, t in TEMPLATES for w in template_words(t)})
+    seen = frequencies(docs, vocabulary)
+    return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
+
+
 def prefixes(spark: SparkSession, rank: dict[str, int], containment: float) -> DataFrame:
     """A row for each prefix token of each template: template, label, size, need, own (its ranks), at_template, rank."""
     rows = []
     for i, (label, text) in enumerate(TEMPLATES):
         own = sorted(rank[w] for w in template_words(text))
-        need = max(1, math.ceil(len(own) * containment - 1e-9))
+        need = needed(own, containment)
         for at, r in enumerate(own[: len(own) - need + 1]):
             rows.append(F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(len(own)).alias("size"), F.lit(need).alias("need"), F.array(*map(F.lit, own)).alias("own"), F.lit(at).alias("at_template"), F.lit(r).alias("rank")))
     return spark.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
 
 
-def matches(docs: DataFrame, keys: list[str], containment: float = CONTAINMENT) -> DataFrame:
-    """A row for each block and template whose containment reaches the threshold: keys, block (line number), template, label, containment."""
-    vocabulary = sorted({w for _, t in TEMPLATES for w in template_words(t)})
-    seen = frequencies(docs, vocabulary)
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
+def kinds(containment: float) -> Column:
+    """An array of the templates: template, label, length (words), own (distinct words), need (of them)."""
+    rows = []
+    for i, (label, text) in enumerate(TEMPLATES):
+        own = template_words(text)
+        rows.append(F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(all_words(text)).alias("length"), F.array(*map(F.lit, own)).alias("own"), F.lit(needed(own, containment)).alias("need")))
+    return F.array(*rows)
+
+
+def joined(blocks: DataFrame, rank: dict[str, int], containment: float) -> DataFrame:
+    """blocks (with tokens, their distinct template words) joined with the templates that they contain: one row for each block and template, with template, label, size, overlap."""
     ranks = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))
-    right = prefixes(docs.sparkSession, rank, containment)
-    least = min(max(1, math.ceil(len(template_words(t)) * containment - 1e-9)) for _, t in TEMPLATES)
-    lines = docs.select(*keys, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block", "line"))
-    blocks = lines.select(*keys, "block", F.array_intersect(F.split(spaced(F.col("line")), " "), F.array(*map(F.lit, vocabulary))).alias("tokens"))
-    blocks = blocks.where(F.size("tokens") >= least)  # length filter against the shortest template
-    held = blocks.select(*keys, "block", F.array_sort(F.transform("tokens", lambda t: F.element_at(ranks, t))).alias("held"))
-    met = held.select(*keys, "block", "held", F.posexplode("held").alias("at_block", "rank")).join(F.broadcast(right), "rank")
+    right = prefixes(blocks.sparkSession, rank, containment)
+    held = blocks.withColumn("held", F.array_sort(F.transform("tokens", lambda t: F.element_at(ranks, t)))).drop("tokens")
+    met = held.select("*", F.posexplode("held").alias("at_block", "rank")).join(F.broadcast(right), "rank")
+    met = met.where(F.col("rank") == F.array_min(F.array_intersect("held", "own")))  # a block and template meet at their rarest shared token alone
     left_over = F.least(F.size("held") - F.col("at_block"), F.col("size") - F.col("at_template"))
-    met = met.where((F.size("held") >= F.col("need")) & (F.least("at_block", "at_template") + left_over >= F.col("need")))
-    overlap = F.size(F.array_intersect("held", "own"))
-    return met.where(overlap >= F.col("need")).select(*keys, "block", "template", "label", (overlap / F.col("size")).alias("containment"))
-
-
-def wrapped(docs: DataFrame, keys: list[str], containment: float = CONTAINMENT) -> DataFrame:
-    """A row for each text and template whose best window, of as many words as the template, reaches the threshold: keys, label, containment."""
-    vocabulary, kinds = sorted({w for _, t in TEMPLATES for w in template_words(t)}), []
-    for label, text in TEMPLATES:
-        own, length = template_words(text), len("".join(c if c.isalnum() else " " for c in text).split())
-        kinds.append(F.struct(F.lit(label).alias("label"), F.lit(length).alias("length"), F.lit(max(1, math.ceil(len(own) * containment - 1e-9))).alias("need"), F.array(*map(F.lit, own)).alias("own")))
-    rows = docs.select(*keys, F.split(spaced(F.col("text")), " ").alias("words"))
-    rows = rows.withColumn("held", F.array_intersect("words", F.array(*map(F.lit, vocabulary))))
-    rows = rows.select(*keys, "words", "held", F.inline(F.array(*kinds))).where(F.size(F.array_intersect("held", "own")) >= F.col("need"))  # what the whole text lacks, no window holds
-    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - F.col("length") + 1, F.lit(1)))
-    best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i, F.col("length")), F.col("own")))))
-    rows = rows.select(*keys, "label", "need", F.size("own").alias("size"), best.alias("best"))
-    return rows.where(F.col("best") >= F.col("need")).select(*keys, "label", (F.col("best") / F.col("size")).alias("containment"))
+    met = met.where((F.size("held") >= F.col("need")) & (left_over >= F.col("need")))
+    met = met.withColumn("overlap", F.size(F.array_intersect("held", "own"))).where(F.col("overlap") >= F.col("need"))
+    return met.drop("held", "at_block", "rank", "at_template", "own", "need")
+
+
+def matches(docs: DataFrame, keys: list[str], containment: float = CONTAINMENT) -> DataFrame:
+    """keys, kind (line or window), block (its number), template, label, containment: one row for each block and template whose containment reaches the threshold.
+
+    Lines are blocks as they are. Windows of WINDOW words, each half over the next, are blocks of texts that hold enough words of
+    some template; there the best run of as many words as the template counts. No run that a template fits is longer than half a window.
+    """
+    vocabulary = F.array(*map(F.lit, sorted({w for _, t in TEMPLATES for w in template_words(t)})))
+    rank = ranked(docs)
+    least = min(needed(template_words(t), containment) for _, t in TEMPLATES)
+    tokens = lambda words: F.array_intersect(words, vocabulary)
+    lines = docs.select(*keys, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block", "line"))
+    lines = lines.select(*keys, "block", tokens(F.split(spaced(F.col("line")), " ")).alias("tokens")).where(F.size("tokens") >= least)  # length filter against the shortest template
+    lines = joined(lines, rank, containment).select(*keys, F.lit("line").alias("kind"), "block", "template", "label", (F.col("overlap") / F.col("size")).alias("containment"))
+
+    texts = docs.select(*keys, F.split(spaced(F.col("text")), " ").alias("words")).withColumn("held", tokens(F.col("words")))
+    texts = texts.where(F.exists(kinds(containment), lambda t: F.size(F.array_intersect("held", t["own"])) >= t["need"]))  # what the whole text lacks, no window holds
+    half = WINDOW // 2
+    starts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("words") / half) - 2, F.lit(0))), lambda i: (i * half + 1).cast("int"))
+    windows = texts.select(*keys, F.posexplode(F.transform(starts, lambda i: F.slice("words", i, WINDOW))).alias("block", "words"))
+    windows = windows.withColumn("tokens", tokens(F.col("words"))).where(F.size("tokens") >= least)
+    windows = joined(windows, rank, containment).withColumn("own", F.element_at(kinds(containment), F.col("template") + 1))
+    runs = F.sequence(F.lit(1), F.greatest(F.size("words") - F.col("own.length") + 1, F.lit(1)))
+    best = F.array_max(F.transform(runs, lambda i: F.size(F.array_intersect(F.slice("words", i, F.col("own.length")), F.col("own.own")))))
+    windows = windows.withColumn("best", best).where(F.col("best") >= F.col("own.need"))
+    return lines.union(windows.select(*keys, F.lit("window").alias("kind"), "block", "template", "label", (F.col("best") / F.col("size")).alias("containment")))
 
 
 def phrase_columns(text: Column) -> dict[str, Column]:
@@ -125,7 +160,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best containment, 1 for a phrase, else 0)."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
     keys = ["doc_id", "text_key"]
-    found = matches(rows, keys).select(*keys, "label", "containment").union(wrapped(rows, keys)).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    found = matches(rows, keys).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     own = rows.select("doc_id", "text_key", spaced(F.col("text")).alias("words")).select("doc_id", "text_key", *(c.alias(n) for n, c in phrase_columns(F.col("words")).items()))
     both = own.join(found.withColumnsRenamed({"doc_id": "found_id", "text_key": "found_key"}), F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left")
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
@@ -140,13 +175,15 @@ def scan_sql() -> str:
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     words = lambda text: f"string_split(trim(regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{GAP}', ' ', 'g'), ' '), ' ')"
     places = " union all ".join(f"select k, i - 1 as pos, '{label}' as label from (select k, w, unnest(range(1, len(w) + 1)) as i from d) where " + " and ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(p.split(" "))) for p, label in PHRASES.items())
-    values = ", ".join(f"('{label}', {quoted(template_words(t))})" for label, t in TEMPLATES)
+    values = ", ".join(f"('{label}', {all_words(t)}, {needed(template_words(t), CONTAINMENT)}, {quoted(template_words(t))})" for label, t in TEMPLATES)
     return f"""
 with d as (select row_number() over () as k, doc_id, case when w = [''] then [] else w end as w, text from (select doc_id, text, {words('text')} as w from documents)),
 p as ({places}),
-t(label, w) as (values {values}),
+t(label, n, need, w) as (values {values}),
 b as (select k, list_distinct({words('line')}) as w from (select k, unnest(string_split(coalesce(text, ''), chr(10))) as line from d)),
-m as (select k, label, len(list_intersect(b.w, t.w)) / len(t.w)::double as c from b, t where len(list_intersect(b.w, t.w)) >= ceil(len(t.w) * {CONTAINMENT} - 1e-9)),
+m as (select k, label, len(list_intersect(b.w, t.w)) / len(t.w)::double as c from b, t where len(list_intersect(b.w, t.w)) >= need
+  union all select k, label, max(len(list_intersect(words[i:i + n - 1], w))) / max(len(w))::double as c
+  from (select k, label, n, need, t.w as w, d.w as words, unnest(range(1, greatest(len(d.w) - n + 1, 1) + 1)) as i from d, t where len(list_intersect(d.w, t.w)) >= need) group by k, label, n, w having max(len(list_intersect(words[i:i + n - 1], w))) >= any_value(need)),
 base as (select k, count(*) as n, min(pos) as f, max(pos) as l, string_agg(distinct label, ',' order by label) as labels from p group by k),
 every as (select k, string_agg(distinct label, ',' order by label) as labels, max(c) as c from (select k, label, 1.0::double as c from p union all select k, label, c from m) group by k)
 select doc_id, len(w)::bigint as n_words, coalesce(base.n, 0)::bigint as n_base, f::bigint as first_word, l::bigint as last_word, coalesce(base.labels, '') as base_labels,

@@ -74,6 +74,26 @@ def test_wrapped_licenses(spark):
     assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("mpl", 1.0), 3: ("", 0.0)}
 
 
+def test_license_blocks_meet_each_template_once(spark):
+    """Against all runs of words, wherever in the text the statement stands and however many windows hold it."""
+    assert all(2 * licenses.all_words(t) <= licenses.WINDOW for _, t in licenses.TEMPLATES)
+    statements = [t for _, t in licenses.TEMPLATES]
+    texts = [f"{'x ' * (7 * i)}{'\n'.join(statements[i % 12].split())}{' y' * (11 * i % 100)}" for i in range(36)] + ["\n".join(statements), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.matches(docs, ["doc_id"]).collect()
+    assert len({(r.doc_id, r.kind, r.block, r.template) for r in found}) == len(found)
+    got = {(r.doc_id, r.template): max(x.containment for x in found if (x.doc_id, x.template) == (r.doc_id, r.template)) for r in found if r.kind == "window"}
+    want = {}
+    for i, text in enumerate(texts):
+        words = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+        for j, statement in enumerate(statements):
+            own, n = set(licenses.template_words(statement)), licenses.all_words(statement)
+            best = max((len(own & set(words[k : k + n])) for k in range(max(1, len(words) - n + 1))), default=0)
+            if best >= licenses.needed(list(own), licenses.CONTAINMENT):
+                want[i, j] = best / len(own)
+    assert got == pytest.approx(want)
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://A.example.ORG/es/x?q"), (4, "http://a.org"), (5, "ftp://x.com/de/?a=1#z"), (6, "http://x.net/p"), (6, "http://x.net/p"), (7, "http://org/en"), (8, "a://b.com/fr/://c.com/de/")]
     pages = spark.createDataFrame([(*r, 0, "v") for r in rows], "page_id int, url string, block_score int, verdict string")
