@@ -400,3 +400,20 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
     lowest = lowest.groupBy("root").agg(F.min("low").alias("component_id"))
     labelled = labelled.join(lowest, "root")
     return made.drop("signature").join(labelled, "node", "left").select(known.alias("doc_id"), "n_shingles", F.coalesce("component_id", known).alias("component_id"), "text_key", "root")
+
+
+def group_sql(k: int, percent: int) -> str:
+    """DuckDB SQL for doc_id, n_shingles, component_id and kept (doc_id = component_id), of all pairs that share a shingle."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    parts = ", ".join(f"w[i + {j}]" for j in range(k))
+    return f"""
+with recursive d as materialized (select r, doc_id, case when w = [''] then [] else w end as w from (select row_number() over () as r, doc_id, string_split(trim(regexp_replace(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), ' ') as w from documents)),
+s as materialized (select distinct r, sh from (select r, md5_number(concat_ws(' ', {parts})) as sh from (select r, w, unnest(range(1, len(w) - {k - 1} + 1)) as i from d where len(w) >= {k}) union all select r, md5_number('short ' || array_to_string(w, ' ')) from d where len(w) between 1 and {k - 1})),
+n as materialized (select r, count(*) as n from s group by r),
+u as materialized (select r, sh, count(*) over (partition by sh) as df from s),
+met as materialized (select a.r as a, b.r as b, count(*) as c from u a join u b on a.sh = b.sh and a.r < b.r where a.df > 1 and b.df > 1 group by all),
+link as materialized (select a, b from met join n x on x.r = a join n y on y.r = b where 100 * c >= {percent} * (x.n + y.n - c)),
+edge as materialized (select a, b from link union select b, a from link),
+reach(r, root) as (select r, r from d union select e.b, reach.root from reach join edge e on e.a = reach.r),
+comp as (select r, min(d2.doc_id) as component_id from (select distinct r, root from reach) q join (select r as rr, doc_id from d) d2 on d2.rr = q.root group by r)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, comp.component_id, d.doc_id = comp.component_id as kept from d left join n using (r) join comp using (r)"""

@@ -348,3 +348,20 @@ def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "te
 
     schema = ", ".join([ddl(rows.select(*names)), "repeat_bytes long, repeat_removed long, repeat_spans long, repeat_sha256 string"])
     return whole.groupBy(bucket_).cogroup(gone.withColumnRenamed("doc_bucket", "repeat_at").groupBy("repeat_at")).applyInArrow(keep, schema)
+
+
+def cut_sql(length: int = LENGTH) -> str:
+    """DuckDB SQL for doc_id, n_bytes, n_removed, n_spans and kept_sha256, of all windows."""
+    step = 1000
+    return f"""
+with d as materialized (select row_number() over () as r, doc_id, hex(coalesce(text, '')) as x from documents),
+c as materialized (select r, len(x) // 2 as n, j * {step} as base, substr(x, j * {2 * step} + 1, {2 * (step + length - 1)}) as y from (select r, x, unnest(range(0, len(x) // 2 // {step} + 1)) as j from d)),
+w as materialized (select r, base + i as pos, md5_number(substr(y, 2 * i + 1, {2 * length})) as h from (select r, n, base, y, unnest(range(0, {step})) as i from c) where base + i + {length} <= n),
+m as materialized (select r, pos from (select r, pos, count(*) over (partition by h) as k from w) where k > 1),
+g as (select r, pos, pos - lag(pos) over (partition by r order by pos) as gap from m),
+i as (select r, pos, sum(case when gap is null or gap > {length} then 1 else 0 end) over (partition by r order by pos) as run from g),
+span as materialized (select r, run, min(pos) as lo, max(pos) + {length} as hi from i group by all),
+gone as (select r, sum(hi - lo)::bigint as n_removed, count(*) as n_spans from span group by r),
+kept as (select r, lo, hi from (select r, coalesce(lag(hi) over (partition by r order by run), 0) as lo, lo as hi from span) union all select span.r, max(hi), any_value(len(x) // 2) from span join d using (r) group by span.r),
+left_ as (select kept.r, string_agg(substr(x, 2 * lo + 1, 2 * (hi - lo)), '' order by lo) as y from kept join d using (r) group by kept.r)
+select doc_id, (len(x) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(y, x))) as kept_sha256 from d left join gone using (r) left join left_ using (r)"""

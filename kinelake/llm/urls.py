@@ -4,8 +4,8 @@ Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; pat
 urls and urls without `://` have an empty host and path. Rules hold for a host and its subdomains where the path
 starts with the rule's; the longest rule wins. Urls under a rule are the labelled urls: on a bounded sample of
 them trees learn from length, depth, digit share, entropy, parameter counts and statistics of the host's
-suffix, and judge the urls that no rule fits. Every row gives one row; without labelled urls, or with one label only, urls outside
-the rules are allowed or get that label. Suffix statistics (urls, and the block rate of the labelled ones) count all rows; a url that the
+suffix and the path's first part, and judge the urls that no rule fits. Every row gives one row; without labelled urls, or with one label only, urls outside
+the rules are allowed or get that label. Statistics (urls, and the block rate of the labelled ones) count all rows; a url that the
 trees are fitted on sees those of the other folds alone. Repeated urls count once in the fit. Features are native, so a url may be of any length.
 """
 
@@ -20,7 +20,7 @@ from .common import ddl, stored
 
 #: About how many labelled urls the trees are fitted on, chosen by hash.
 TRAIN_ROWS = 20_000
-#: Folds of the labelled urls for suffix statistics.
+#: Folds of the labelled urls for statistics.
 FOLDS = 5
 TREES, DEPTH, RATE, BINS, LEAST, RIDGE = 60, 3, 0.2, 64, 5, 1.0
 #: (host, path, verdict)
@@ -44,40 +44,42 @@ def match(pages: DataFrame, rules: Rules) -> DataFrame:
     return pages.withColumns({"url_host": host, "url_path": path}).withColumns({"url_rule": rule, "rule_verdict": verdict})
 
 
-def suffix(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+#: What urls are counted by: the last two labels of the host, and the first part of the path.
+KEYS = {"suffix": "substring_index(url_host, '.', -2)", "head": "substring_index(substring(url_path, 2), '/', 1)"}
+STATISTICS = [f"url_{what}_{kind}" for kind in KEYS for what in ("known", "bad")]
 
 
 def fold_of(url: Column) -> Column:
     return F.pmod(F.xxhash64(url, F.lit(5)), F.lit(FOLDS)).cast("int")
 
 
-def suffix_counts(matched: DataFrame) -> DataFrame:
-    """url_suffix, url_fold, url_n, url_ruled, url_blocked over all rows: counts of urls, of those that a rule labels and of the blocked ones among them."""
+def counts(matched: DataFrame) -> DataFrame:
+    """url_kind, url_key, url_fold, url_n, url_ruled, url_blocked over all rows: counts of urls, of those that a rule labels and of the blocked ones among them."""
     bad = (F.col("rule_verdict") == "block").cast("double")
-    kinds = matched.where("url is not null").groupBy(suffix(F.col("url_host")).alias("url_suffix"), fold_of(F.col("url")).alias("url_fold"))
-    return kinds.agg(F.count("*").alias("url_n"), F.count(bad).alias("url_ruled"), F.coalesce(F.sum(bad), F.lit(0.0)).alias("url_blocked"))
+    each = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.expr(key).alias("key")) for kind, key in KEYS.items())))
+    rows = matched.where("url is not null").select(each.alias("k"), fold_of(F.col("url")).alias("url_fold"), bad.alias("bad"))
+    return rows.groupBy(F.col("k.kind").alias("url_kind"), F.col("k.key").alias("url_key"), "url_fold").agg(F.count("*").alias("url_n"), F.count("bad").alias("url_ruled"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("url_blocked"))
 
 
-def rates(counted: DataFrame) -> DataFrame:
-    """counted with url_known (log count of urls) and url_bad (the labelled ones' block rate less that of all, leaning to 0 by 20 urls)."""
+def rates(counted: DataFrame, kind: str) -> DataFrame:
+    """counted with url_known_kind (log count of urls) and url_bad_kind (the labelled ones' block rate less that of all, leaning to 0 by 20 urls)."""
     base = counted.agg(F.try_divide(F.sum("url_blocked"), F.sum("url_ruled")).alias("url_base"))  # one row
     bad = (F.col("url_blocked") + 20 * F.col("url_base")) / (F.col("url_ruled") + 20) - F.col("url_base")
-    return counted.crossJoin(F.broadcast(base)).withColumns({"url_known": F.log1p("url_n"), "url_bad": F.coalesce(bad, F.lit(0.0))})
+    return counted.crossJoin(F.broadcast(base)).withColumns({f"url_known_{kind}": F.log1p("url_n"), f"url_bad_{kind}": F.coalesce(bad, F.lit(0.0))})
 
 
 def with_statistics(matched: DataFrame, counted: DataFrame, own_fold: bool = True) -> DataFrame:
-    """matched with url_known and url_bad of its suffix; without its own fold's urls unless own_fold, so that what is fitted on them doesn't see its own label."""
-    if own_fold:
-        sums = [F.sum(c).alias(c) for c in ("url_n", "url_ruled", "url_blocked")]
-        by, rows = ["url_suffix"], rates(counted.groupBy("url_suffix").agg(*sums))
-    else:
-        whole = Window.partitionBy("url_suffix")  # FOLDS rows at most
-        left = {c: F.sum(c).over(whole) - F.col(c) for c in ("url_ruled", "url_blocked")} | {"url_n": F.sum("url_n").over(whole)}
-        by, rows = ["url_suffix", "url_fold"], rates(counted.withColumns(left))
-    keyed = matched.withColumns({"url_suffix": suffix(F.col("url_host")), "url_fold": fold_of(F.col("url"))})
-    return keyed.join(rows.select(*by, "url_known", "url_bad"), by, "left").drop("url_suffix", "url_fold").fillna(0.0, ["url_known", "url_bad"])
+    """matched with STATISTICS of its keys; without its own fold's urls unless own_fold, so that what is fitted on them doesn't see its own label."""
+    out = matched.withColumn("url_fold", fold_of(F.col("url")))
+    for kind, key in KEYS.items():
+        mine = counted.where(F.col("url_kind") == kind).drop("url_kind")
+        if own_fold:
+            by, rows = ["url_key"], mine.groupBy("url_key").agg(*(F.sum(c).alias(c) for c in ("url_n", "url_ruled", "url_blocked")))
+        else:
+            whole = Window.partitionBy("url_key")  # FOLDS rows at most
+            by, rows = ["url_key", "url_fold"], mine.withColumns({"url_n": F.sum("url_n").over(whole)} | {c: F.sum(c).over(whole) - F.col(c) for c in ("url_ruled", "url_blocked")})
+        out = out.withColumn("url_key", F.expr(key)).join(rates(rows, kind).select(*by, f"url_known_{kind}", f"url_bad_{kind}"), by, "left").drop("url_key")
+    return out.drop("url_fold").fillna(0.0, STATISTICS)
 
 
 def _count(text: Column, mark: str) -> Column:
@@ -91,7 +93,7 @@ def _entropy(text: Column) -> Column:
 
 
 def features(matched: DataFrame) -> Column:
-    """array<double> of what the trees see, of rows with suffix statistics; native."""
+    """array<double> of what the trees see, of rows with STATISTICS; native."""
     url, host, path = F.coalesce(F.col("url").cast("string"), F.lit("")), F.col("url_host"), F.col("url_path")
     query = F.regexp_extract(url, r"^[^?]*\?([^#]*)", 1)
     pairs = F.filter(F.split(query, "&"), lambda x: x != "")
@@ -101,7 +103,7 @@ def features(matched: DataFrame) -> Column:
         F.length(url), F.length(host), F.length(path), F.length(query), _count(host, "."), _count(path, "/"), digits(host), digits(url) / F.greatest(F.length(url), F.lit(1)),
         _count(host, "-"), _count(path, "-") + _count(path, "_"), _entropy(host), _entropy(path), F.size(pairs), F.coalesce(F.array_max(F.transform(pairs, F.length)), F.lit(0)), _count(url, "%"),
         F.array_max(F.transform(F.split(host, r"\."), F.length)), F.length(F.substring_index(host, ".", 1)), url.startswith("https").cast("int"), url.contains("#").cast("int"),
-        last.contains(".").cast("int"), path.endswith("/").cast("int"), F.col("url_known"), F.col("url_bad"),
+        last.contains(".").cast("int"), path.endswith("/").cast("int"), *map(F.col, STATISTICS),
     ]
     return F.array(*(x.cast("double") for x in made))
 
@@ -156,7 +158,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def fit(matched: DataFrame, counted: DataFrame, train_rows: int = TRAIN_ROWS):
-    """The trees, from about train_rows different urls under a rule (at most twice as many), with suffix statistics of the other folds; label 1 is block. Only features reach the driver, so long urls don't. With one label only, that label's rate; None without any."""
+    """The trees, from about train_rows different urls under a rule (at most twice as many), with statistics of the other folds; label 1 is block. Only features reach the driver, so long urls don't. With one label only, that label's rate; None without any."""
     known = matched.where("url is not null and rule_verdict is not null")
     every = max(1, known.count() // train_rows)
     picked = known.where(F.pmod(F.xxhash64("url"), F.lit(every)) == 0).select("url", "url_host", "url_path", (F.col("rule_verdict") == "block").cast("double").alias("url_y")).dropDuplicates(["url"])
@@ -171,12 +173,12 @@ def fit(matched: DataFrame, counted: DataFrame, train_rows: int = TRAIN_ROWS):
 
 def judge(pages: DataFrame, rules: Rules) -> DataFrame:
     """pages with url_host, url_path, url_rule, verdict and block_score (the trees' probability); columns of those names, and any whose name begins with url_ and is used here, are replaced."""
-    own = ("url_host", "url_path", "url_rule", "rule_verdict", "verdict", "block_score", "url_known", "url_bad", "url_suffix", "url_fold", "url_x")
+    own = ("url_host", "url_path", "url_rule", "rule_verdict", "verdict", "block_score", "url_key", "url_fold", "url_x", *STATISTICS)
     matched = match(pages.drop(*own), rules)
-    counted = stored(suffix_counts(matched), "suffixes")
+    counted = stored(counts(matched), "url_counts")
     model = fit(matched, counted)
     made = with_statistics(matched, counted)
-    made = made.withColumn("url_x", features(made)).drop("url_known", "url_bad")
+    made = made.withColumn("url_x", features(made)).drop(*STATISTICS)
     kept = [c for c in made.columns if c != "url_x"]
 
     def run(batches):

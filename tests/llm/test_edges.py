@@ -107,16 +107,16 @@ def test_urls(spark):
 def test_url_statistics_count_all_rows(spark):
     rows = [f"http://h{i % 50}.s{i % 5}.org/{'es/' if i % 3 else 'en/2'}{i}" for i in range(600)] + ["http://rare.net/x", "http://rare.net/y", "plain", None]
     matched = urls.match(spark.createDataFrame([(x,) for x in rows], "url string"), [("org", "/", "allow"), ("s1.org", "/es/", "block")])
-    counted = urls.suffix_counts(matched)
+    counted = urls.counts(matched)
     made = urls.with_statistics(matched, counted)
-    got = {r.url: (r.url_known, r.url_bad) for r in made.collect()}
+    got = {r.url: (r.url_known_suffix, r.url_bad_suffix) for r in made.collect()}
     blocked = sum(i % 5 == 1 and i % 3 > 0 for i in range(600))
     assert made.count() == len(rows) and got["http://rare.net/x"] == pytest.approx((np.log1p(2), 0)) and got["plain"][0] == pytest.approx(np.log1p(1))
     assert got[rows[1]] == pytest.approx((np.log1p(120), (blocked + 20 * blocked / 600) / 140 - blocked / 600))
     assert urls.fit(matched, counted, train_rows=50) is not None
     # without the own fold
     fold = {r.url: r.fold for r in matched.select("url", urls.fold_of(F.col("url")).alias("fold")).collect()}
-    held = {r.url: r.url_bad for r in urls.with_statistics(matched, counted, own_fold=False).collect()}
+    held = {r.url: r.url_bad_suffix for r in urls.with_statistics(matched, counted, own_fold=False).collect()}
     for url in rows[1:600:97]:
         others = [i for i in range(600) if i % 5 == int(url.split(".s")[1][0]) and fold[rows[i]] != fold[url]]
         every = [i for i in range(600) if fold[rows[i]] != fold[url]]
@@ -127,12 +127,12 @@ def test_url_statistics_count_all_rows(spark):
 
 def test_url_features(spark):
     url = "https://a-b.c.example.org/x_1/y-2.html?p=1&&qq=%20z#f"
-    made = urls.match(spark.createDataFrame([(url,), (None,), ("x://" + "h" * 5000 + "." * 3000 + "/" + "p1" * 50_000,)], "url string"), []).selectExpr("*", "0.5D as url_known", "0.25D as url_bad")
+    made = urls.match(spark.createDataFrame([(url,), (None,), ("x://" + "h" * 5000 + "." * 3000 + "/" + "p1" * 50_000,)], "url string"), []).selectExpr("*", *(f"0.5D as {x}" for x in urls.STATISTICS))
     got = [r.x for r in made.select(urls.features(made).alias("x")).collect()]
     host, path = "a-b.c.example.org", "/x_1/y-2.html"
     bits = lambda t: -sum(t.count(c) / len(t) * np.log2(t.count(c) / len(t)) for c in set(t))
-    want = [len(url), len(host), len(path), 12, 3, 2, 0, 5 / len(url), 1, 2, bits(host), bits(path), 2, 7, 1, 7, 3, 1, 1, 1, 0, 0.5, 0.25]
-    assert got[0] == pytest.approx(want) and got[1][:13] == [0.0] * 13 and all(np.isfinite(x) for row in got for x in row) and {len(x) for x in got} == {23}
+    want = [len(url), len(host), len(path), 12, 3, 2, 0, 5 / len(url), 1, 2, bits(host), bits(path), 2, 7, 1, 7, 3, 1, 1, 1, 0] + [0.5] * 4
+    assert got[0] == pytest.approx(want) and got[1][:13] == [0.0] * 13 and all(np.isfinite(x) for row in got for x in row) and {len(x) for x in got} == {25}
 
 
 def test_language_and_toxicity(spark, docs, none):
