@@ -73,7 +73,7 @@ def dominant_frequency(df: DataFrame, value: str, epoch_s: float) -> DataFrame:
         y = part.sort_values("us")[value].to_numpy(float)
         out = None
         if len(y) > 2 and np.isfinite(y).all():
-            k = 1 + int(np.abs(np.fft.fft(y))[1:].argmax())
+            k = 1 + int(np.abs(np.fft.rfft(y))[1:].argmax())  # the upper half mirrors the lower one, and the first of equals counts
             out = _refine(y, k) / (len(y) * epoch_s / 86400)
         return pd.DataFrame({"subject_id": [part["subject_id"].iloc[0]], "frequency": [out]})
 

@@ -42,25 +42,28 @@ def sleep_blocks(df: DataFrame, gap: int, label: str = "label", sleep: str = "sl
 
 
 def choose_blocks(first: list[int], last: list[int], n: int, period: int) -> list[int]:
-    """Blocks that stay: those at either edge, and the longest that starts within each period after the last choice's end."""
-    kept, cursor = set(), 0
-    for k, (a, b) in enumerate(zip(first, last, strict=True)):
-        if a == 0:
-            kept.add(k)
-            cursor = b
-        if b == n - 1:
-            kept.add(k)
+    """Blocks that stay: those at either edge, and of the others the longest that starts within each period after the last choice's end, the earliest of equals. A block at the start sets where the search begins."""
+    edge = {k for k, (a, b) in enumerate(zip(first, last, strict=True)) if a == 0 or b == n - 1}
+    kept, cursor = set(edge), max((last[k] for k in edge if first[k] == 0), default=0)
     while cursor + period < n:
-        among = [k for k in range(len(first)) if cursor < first[k] <= cursor + period]
+        among = [k for k in range(len(first)) if k not in edge and cursor < first[k] <= cursor + period]
         if among:
             best = max(among, key=lambda k: (last[k] - first[k], -first[k]))
             kept.add(best)
-            cursor = max(last[best], cursor + 1)
+            cursor = last[best]
         else:
             cursor += period
     return sorted(kept)
 
 
+def still_label(labels: list[str]) -> str:
+    """What sleep that doesn't count becomes: sedentary, or sit-stand where a scheme has none; schemes without sleep or either are an error."""
+    for name in ("sedentary", "sit-stand"):
+        if "sleep" in labels and name in labels:
+            return name
+    raise ValueError("sleep rules need the labels sleep, and sedentary or sit-stand")
+
+
 def single_sleep_block(df: DataFrame, gap: int, period: int, label: str = "label", sleep: str = "sleep", sedentary: str = "sedentary") -> DataFrame:
     """Sleep outside the chosen blocks becomes sedentary. The choice walks each subject's small block table; the edit is a join."""
     blocks = sleep_blocks(df, gap, label, sleep).join(df.groupBy("subject_id").agg(F.count("*").alias("n")), "subject_id")
@@ -156,6 +159,19 @@ class HiddenMarkov:
         smoothed = df.select("subject_id", "us", label).groupBy("subject_id").applyInPandas(kernel, f"subject_id {kind}, us long, {out} string")
         return df.join(smoothed, ["subject_id", "us"])
 
+    def ordered(self, labels: list[str]) -> dict[str, np.ndarray]:
+        """prior, emission and transition with rows and columns in the order of `labels`, each of which must be known once."""
+        if sorted(labels) != self.labels:
+            raise ValueError(f"not the labels {self.labels}: {labels}")
+        at = [self.labels.index(x) for x in labels]
+        return {"prior": self.prior[at], "emission": self.emission[np.ix_(at, at)], "transition": self.transition[np.ix_(at, at)]}
+
+    def pretty(self, labels: list[str] | None = None, digits: int = 3) -> str:
+        """The matrices as text, in an order of labels."""
+        labels = labels or self.labels
+        parts = (f"{name}\n{np.array2string(x.round(digits), suppress_small=True)}" for name, x in self.ordered(labels).items())
+        return "\n\n".join((", ".join(labels), *parts))
+
     def to_json(self) -> str:
         return json.dumps({"labels": self.labels, "prior": self.prior.tolist(), "emission": self.emission.tolist(), "transition": self.transition.tolist(), "uniform": self.uniform})
 

@@ -280,9 +280,16 @@ def psd_daily(spark, sf):
     return rounded(acc.join(sleep, "subject_id"), "psd_acc", "psd_sleep")
 
 
-@query()
+_AT = "pow(list_sum(list_transform(y, lambda v, i: v * cos(2 * pi() * ({k}) * (i - 1) / len(y)))), 2) + pow(list_sum(list_transform(y, lambda v, i: v * sin(2 * pi() * ({k}) * (i - 1) / len(y)))), 2)"
+
+
+@query(f"""with recursive {IMP}, fy as (select subject_id, list(acc order by us) as y from imp group by 1), fb as (select subject_id, y, k, {_AT.format(k='k')} as f from fy, range(1, 5000) r(k) where k <= len(y) // 2),
+fk as (select subject_id, arg_max(k, (f, -k)) as k from fb group by 1), g as (select (1 + sqrt(5)) / 2 as g),
+fz(subject_id, step, lo, hi) as (select subject_id, 0, k - 1.0::double, k + 1.0::double from fk union all
+select subject_id, step + 1, case when {_AT.format(k='hi - (hi - lo) / g')} > {_AT.format(k='lo + (hi - lo) / g')} then lo else hi - (hi - lo) / g end, case when {_AT.format(k='hi - (hi - lo) / g')} > {_AT.format(k='lo + (hi - lo) / g')} then lo + (hi - lo) / g else hi end from fz join fy using (subject_id), g where step < 60)
+select subject_id, round((lo + hi) / 2 / (len(y) * {DT} / 86400), 5) as frequency from fz join fy using (subject_id) where step = 60""")
 def dominant_frequency(spark, sf):
-    return circadian.dominant_frequency(imputed(spark, sf), "acc", DT)
+    return rounded(circadian.dominant_frequency(imputed(spark, sf), "acc", DT), "frequency", digits=5)
 
 
 M10L5 = f"""md as (select *, min(us) over (partition by subject_id) as first, (max(us) over (partition by subject_id) - min(us) over (partition by subject_id)) // {DAY} as days from imp), mw as (select subject_id, (us - first) // {DAY} as day, us, acc from md where (us - first) // {DAY} < days),
@@ -322,7 +329,16 @@ def sleep_blocks(spark, sf):
     return sequence.sleep_blocks(hourly(spark, sf), 6)
 
 
-@query()
+BLOCKS = f"""{EP}, bi as (select *, row_number() over (partition by subject_id order by us) - 1 as i, count(*) over (partition by subject_id) as n from ep), bs as (select *, case when i - lag(i) over (partition by subject_id order by us) > 6 then 1 else 0 end as new from bi where label = 'sleep'),
+bb as (select *, sum(new) over (partition by subject_id order by us) as block from bs), be as (select subject_id, min(i) as first, max(n) as n, case when max(n) - 1 - max(i) < 6 then max(n) - 1 else max(i) end as last from bb group by subject_id, block)"""
+
+
+@query(f"""with recursive {BLOCKS}, inner_ as (select * from be where first <> 0 and last <> n - 1),
+walk(subject_id, n, cursor, first, last) as (select subject_id, max(n), coalesce(max(last) filter (first = 0), 0), -1, -1 from be group by 1
+union all select w.subject_id, w.n, case when max(b.last) is null then w.cursor + 24 else arg_max(b.last, (b.last - b.first) * 100000 - b.first) end, coalesce(arg_max(b.first, (b.last - b.first) * 100000 - b.first), -1), coalesce(arg_max(b.last, (b.last - b.first) * 100000 - b.first), -1)
+from walk w left join inner_ b on b.subject_id = w.subject_id and b.first > w.cursor and b.first <= w.cursor + 24 where w.cursor + 24 < w.n group by w.subject_id, w.n, w.cursor),
+keep as (select subject_id, first, last from walk where first >= 0 union select subject_id, first, last from be where first = 0 or last = n - 1)
+select subject_id, us, case when label = 'sleep' and not exists (select 1 from keep k where k.subject_id = bi.subject_id and bi.i between k.first and k.last) then 'sedentary' else label end as label from bi""")
 def single_sleep_block(spark, sf):
     return sequence.single_sleep_block(hourly(spark, sf), 6, 24).select("subject_id", "us", "label")
 
@@ -350,7 +366,21 @@ def smoother() -> sequence.HiddenMarkov:
     return sequence.HiddenMarkov(CLASSES, np.full(4, 0.25), eye * 0.75 + 0.0625, eye * 0.8 + 0.05)
 
 
-@query()
+def _viterbi_sql() -> str:
+    """Steps in time; a step holds the best score and path to each state. Ties go to the first state."""
+    stay, move, right, wrong = (f"ln({x}::double + 1e-16)" for x in ("(0.8::double + 0.05::double)", 0.05, 0.8125, 0.0625))
+    through = lambda j: [f"(v[{i}] + {stay if i == j else move})" for i in range(1, 5)]
+    emit = lambda j: f"case when code = {j} then {right} else {wrong} end"
+    best = lambda j: f"list_position([{', '.join(through(j))}], greatest({', '.join(through(j))}))"
+    first = ", ".join(f"ln(0.25::double + 1e-16) + {emit(j)}" for j in range(1, 5))
+    return f"""with recursive {EP}, vk as (select subject_id, us, label, list_position([{', '.join(f"'{c}'" for c in CLASSES)}], label) as code, row_number() over (partition by subject_id order by us) as t, us - lag(us) over (partition by subject_id order by us) as gap from ep where label is not null),
+vw(subject_id, t, v, p) as (select subject_id, t, [{first}], [[1], [2], [3], [4]] from vk where t = 1 union all
+select k.subject_id, k.t, [{', '.join(f"greatest({', '.join(through(j))}) + {emit(j)}" for j in range(1, 5))}], [{', '.join(f"list_append(p[{best(j)}], {j})" for j in range(1, 5))}] from vw join vk k on k.subject_id = vw.subject_id and k.t = vw.t + 1),
+vl as (select subject_id, p[list_position(v, list_max(v))] as path from vw join (select subject_id, max(t) as t from vk group by 1) using (subject_id, t))
+select e.subject_id, e.us, e.label, case when k.label is null then null when coalesce(k.gap, {HOUR}) <> {HOUR} then k.label else [{', '.join(f"'{c}'" for c in CLASSES)}][path[k.t]] end as smoothed from ep e left join vk k using (subject_id, us) left join vl on vl.subject_id = e.subject_id"""
+
+
+@query(_viterbi_sql())
 def viterbi_smooth(spark, sf):
     return smoother().smooth(hourly(spark, sf), "label", HOUR).select("subject_id", "us", "label", "smoothed")
 
@@ -411,9 +441,15 @@ def paired_t_statistic(spark, sf):
     return rounded(evaluate.paired_t(pairs(spark, sf), ["segment"], "a", "b", p=False), "t")
 
 
-@query()
+@query(f"""with {PAIRS}, pt as (select segment, count(*) as n, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) as t from paired group by 1), pa as (select *, n - 1 as df, atan(t / sqrt(n - 1)) as x from pt),
+pj as (select *, unnest(range(1, greatest(2, df // 2 + 2))) as j from pa), pf as (select *, case when j = 1 then 1.0 when df % 2 = 1 then (2.0 * j - 2) / (2 * j - 1) else (2.0 * j - 3) / (2 * j - 2) end as f from pj where j <= greatest(1, df // 2)),
+pp as (select *, product(f) over (partition by segment order by j) as c from pf),
+ps as (select segment, any_value(n) as n, any_value(t) as t, any_value(df) as df, any_value(x) as x, sum(c * pow(cos(x), case when df % 2 = 1 then 2 * j - 1 else 2 * j - 2 end)) as s from pp group by segment),
+pv as (select segment, n, t, 1 - abs(case when df = 1 then 2 * x / pi() when df % 2 = 1 then 2 / pi() * (x + sin(x) * s) else sin(x) * s end) as p from ps)
+select segment, n, round(t, 6) as t, round(p, 6) as p, case when p < 0.001 then '<0.001' else printf('%.3f', p) end as p_text from pv""")
 def paired_t_p_value(spark, sf):
-    return evaluate.paired_t(pairs(spark, sf), ["segment"], "a", "b")
+    """Student's t of a whole number of degrees of freedom as a finite series, in the SQL."""
+    return rounded(evaluate.paired_t(pairs(spark, sf), ["segment"], "a", "b"), "t", "p")
 
 
 @query(f"with {PAIRS} select segment, count(*) as n, round(corr(a, b), 9) as r, round(avg(a - b), 9) as mean_difference, round(stddev_samp(a - b), 9) as sd, round(avg((a + b) / 2), 9) as mean_of_means, round(avg(a - b) - 1.96 * stddev_samp(a - b), 9) as lower, round(avg(a - b) + 1.96 * stddev_samp(a - b), 9) as upper from paired group by 1")
