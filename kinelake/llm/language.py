@@ -12,6 +12,7 @@ read for the fit, and other columns stay as they are unless they have the name o
 
 from __future__ import annotations
 
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -100,41 +101,40 @@ class Words:
             yield place[: len(h)][ok], ((h ^ (h >> np.uint32(16))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS))[ok]
 
 
-def counted(picked: DataFrame) -> DataFrame:
-    """lang, bucket, n, script: n-gram counts (packed) and letters by script of each language. A row for each task and language comes to one task a language, of at most 4 << BITS counts each."""
+#: Places in a language's counts: n-gram buckets, then letters by script. They are summed in blocks.
+PLACES, COUNT_BLOCK = (4 << BITS) + len(SCRIPT_NAMES), 1 << 13
+
 
-    def pack(lang: str, counts: np.ndarray, scripts: np.ndarray) -> pa.RecordBatch:
-        used = np.flatnonzero(counts)
-        return pa.RecordBatch.from_pydict({"lang": [lang], "bucket": [used.astype("<i4").tobytes()], "n": [counts[used].astype("<i8").tobytes()], "script": [scripts.astype("<i8").tobytes()]})
+def counted(picked: DataFrame) -> DataFrame:
+    """lang, block, n: n-gram counts, and letters by script, of each language, as arrays of COUNT_BLOCK places. Tasks count what they have, then each block is summed on its own."""
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
-        scripts: dict[str, np.ndarray] = {}
         for part in slices(batches, "text", 1 << 20):
             words = Words(part.column("text").to_pylist())
             names, code = np.unique(np.array(part.column("lang").to_pylist(), object), return_inverse=True)
             own = code[words.doc]
             owner = np.repeat(own, words.count)
             for name in names:
-                counts.setdefault(name, np.zeros(4 << BITS, np.int64))
-                scripts.setdefault(name, np.zeros(len(SCRIPT_NAMES), np.int64))
+                counts.setdefault(name, np.zeros(-(-PLACES // COUNT_BLOCK) * COUNT_BLOCK, np.int64))
             for n, (place, bucket) in enumerate(words.grams()):
                 for i, name in enumerate(names):
                     counts[name][n << BITS : (n + 1) << BITS] += np.bincount(bucket[owner[place] == i], minlength=1 << BITS)
             for i, name in enumerate(names):
-                scripts[name] += np.bincount(words.script[own == i], weights=(words.end - words.start)[own == i], minlength=len(SCRIPT_NAMES)).astype(np.int64)
-        for name in counts:
-            yield pack(name, counts[name], scripts[name])
+                counts[name][4 << BITS : PLACES] += np.bincount(words.script[own == i], weights=(words.end - words.start)[own == i], minlength=len(SCRIPT_NAMES)).astype(np.int64)
+        for name, every in counts.items():
+            blocks = every.reshape(-1, COUNT_BLOCK)
+            used = np.flatnonzero(blocks.any(axis=1))
+            yield pa.RecordBatch.from_pydict({"lang": [name] * len(used), "block": pa.array(used, pa.int32()), "n": [zlib.compress(blocks[k].astype("<i8").tobytes(), 1) for k in used]})
 
     def add(part: pa.Table) -> pa.Table:
-        counts, scripts = np.zeros(4 << BITS, np.int64), np.zeros(len(SCRIPT_NAMES), np.int64)
-        for row in part.to_pylist():
-            counts[np.frombuffer(row["bucket"], "<i4")] += np.frombuffer(row["n"], "<i8")
-            scripts += np.frombuffer(row["script"], "<i8")
-        return pa.Table.from_batches([pack(part.column("lang")[0].as_py(), counts, scripts)])
+        total = np.zeros(COUNT_BLOCK, np.int64)
+        for raw in part.column("n").to_pylist():
+            total += np.frombuffer(zlib.decompress(raw), "<i8")
+        return pa.table({"lang": part.column("lang")[:1], "block": part.column("block")[:1], "n": [zlib.compress(total.tobytes(), 1)]})
 
-    kind = "lang string, bucket binary, n binary, script binary"
-    return picked.mapInArrow(run, kind).groupBy("lang").applyInArrow(add, kind)
+    kind = "lang string, block int, n binary"
+    return picked.mapInArrow(run, kind).groupBy("lang", "block").applyInArrow(add, kind)
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict | None:
@@ -142,18 +142,19 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict | None:
     known = docs.where("text is not null and lang is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     every = max(1, known.select("lang").count() // train_rows)
     picked = known.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(every)) == 0) if every > 1 else known
-    rows = counted(picked.dropDuplicates(["doc_id", "text", "lang"])).collect()  # a row a language
-    if not rows:
+    counts: dict[str, np.ndarray] = {}
+    for row in counted(picked.dropDuplicates(["doc_id", "text", "lang"])).collect():  # 65 rows a language
+        every = counts.setdefault(row["lang"], np.zeros(-(-PLACES // COUNT_BLOCK) * COUNT_BLOCK))
+        every[row["block"] * COUNT_BLOCK :][:COUNT_BLOCK] = np.frombuffer(zlib.decompress(row["n"]), "<i8")
+    if not counts:
         return None
-    rows.sort(key=lambda r: r["lang"])
-    names, table = [r["lang"] for r in rows], np.zeros((4 << BITS, len(rows)), np.float32)
-    for i, row in enumerate(rows):
-        counts = np.zeros(4 << BITS)
-        counts[np.frombuffer(row["bucket"], "<i4")] = np.frombuffer(row["n"], "<i8")
+    names = sorted(counts)
+    table = np.zeros((4 << BITS, len(names)), np.float32)
+    for i, name in enumerate(names):
         for n in range(4):
-            own = counts[n << BITS : (n + 1) << BITS]
+            own = counts[name][n << BITS : (n + 1) << BITS]
             table[n << BITS : (n + 1) << BITS, i] = np.log((own + 0.1) / (own.sum() + 0.1 * (1 << BITS)))
-    scripts = np.array([np.frombuffer(r["script"], "<i8") for r in rows])
+    scripts = np.array([counts[x][4 << BITS : PLACES] for x in names])
     allowed = scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=1, keepdims=True))  # (language, script)
     allowed[:, ~allowed.any(axis=0)] = True  # a script that nobody has narrows nothing
     return {"langs": names, "table": table, "allowed": allowed}
