@@ -1,11 +1,11 @@
-"""Commands: `process` recordings to series, summaries and daily tables; `collate` summaries to one table."""
+"""Commands: `process` recordings to series, summaries and daily tables; `collate` summaries to one table; `panels` of series for figures."""
 
 from __future__ import annotations
 
 import argparse
 
 from kinelake import session
-from kinelake.operators import quality, score, sequence
+from kinelake.operators import circadian, score, sequence, summary
 from kinelake.plans import recording
 from kinelake.sources import readers, writers
 
@@ -17,6 +17,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("path")
     p.add_argument("-o", "--outdir", default="outputs")
     p.add_argument("--scheme", choices=sorted(score.SCHEMES), default="four")
+    p.add_argument("--scorer", choices=sorted(score.SCORERS), help="default: forest with --model, else threshold")
     p.add_argument("--model", help="a saved forest over window features; default: intensity thresholds")
     p.add_argument("--smoother", help="a smoother's JSON file")
     p.add_argument("--no-hmm", action="store_true")
@@ -29,12 +30,18 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--csv-txyz", default="time,x,y,z")
     p.add_argument("--csv-txyz-idxs")
     p.add_argument("--csv-date-format", default="%Y-%m-%d %H:%M:%S.%f")
-    p.add_argument("--calibration-stdtol-min", type=float)
-    p.add_argument("--calibrate", action="store_true")
+    p.add_argument("--calibration-stdtol-min", type=float, default=0.0)
+    p.add_argument("--no-calibration", action="store_true")
+    p.add_argument("--no-nonwear", action="store_true")
     p.add_argument("-q", "--quiet", action="store_true")
     c = sub.add_parser("collate", help="summaries below a folder to one CSV table")
     c.add_argument("folder")
     c.add_argument("-o", "--out", default="collated")
+    d = sub.add_parser("panels", help="written series to one row a day, for figures")
+    d.add_argument("folder", help="the series folder of process")
+    d.add_argument("-o", "--out", default="panels")
+    d.add_argument("--scheme", choices=sorted(score.SCHEMES), default="four")
+    d.add_argument("--days", type=int, help="each subject's first days only")
     return top.parse_args(argv)
 
 
@@ -44,23 +51,22 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "collate":
         writers.collate(readers.read_summaries(spark, args.folder), args.out)
         return
-    options = {"columns": args.csv_txyz, "indices": args.csv_txyz_idxs, "start_row": args.csv_start_row, "date_format": args.csv_date_format} if readers.kind_of(args.path) == "csv" else {}
-    samples = readers.read_recording(spark, args.path, **options)
-    if args.calibrate:
-        samples = quality.calibrate(samples, least=args.calibration_stdtol_min or 0.0)
-    rate = args.sample_rate or max(r["rate"] for r in quality.sample_rate(samples).collect())
     classes = score.SCHEMES[args.scheme]
+    if args.command == "panels":
+        rows = readers.read_series(spark, args.folder, classes)
+        summary.day_panels(circadian.first_days(rows, args.days) if args.days else rows, ["acc", *classes]).write.parquet(args.out)
+        return
+    kind = readers.kind_of(args.path)
+    scorer = score.load(args.scorer or ("forest" if args.model else "threshold"), args.scheme, args.model)
+    options = {"columns": args.csv_txyz, "indices": args.csv_txyz_idxs, "start_row": args.csv_start_row, "date_format": args.csv_date_format} if kind == "csv" else {}
+    samples = readers.read_recording(spark, args.path, **options)
     smoother = None
     if args.smoother and not args.no_hmm:
-        smoother = sequence.HiddenMarkov.from_json("\n".join(r["value"] for r in spark.read.text(args.smoother).collect()))
-    if args.model:
-        from pyspark.ml import PipelineModel
-
-        model = PipelineModel.load(args.model)
-        scorer = lambda w: score.predict_forest(model, w)
-    else:
-        scorer = lambda w: w.withColumn("label", score.threshold_label("acc", [(10.0, "sleep"), (35.0, "sedentary"), (100.0, "light")], "moderate-vigorous"))
-    made = recording.process(samples, scorer, classes, rate, smoother=smoother, first_last=args.exclude_first_last, wear_below=args.exclude_wear_below, least_sleep=args.require_sleep_above, single_block=args.single_sleep_block)
+        smoother = sequence.HiddenMarkov.from_json("\n".join(r["value"] for r in spark.read.text(args.smoother).collect()))  # one small model
+    made = recording.process(
+        samples, scorer, classes, args.sample_rate, smoother=smoother, first_last=args.exclude_first_last, wear_below=args.exclude_wear_below, least_sleep=args.require_sleep_above, single_block=args.single_sleep_block,
+        calibrate=not args.no_calibration, still_sd_least=args.calibration_stdtol_min, nonwear=not args.no_nonwear, device=f".{kind}",
+    )
     writers.write_series(made["series"], f"{args.outdir}/series", classes)
     writers.write_summaries(made["summary"], f"{args.outdir}/summary")
     writers.write_daily(made["daily"], f"{args.outdir}/daily")

@@ -89,6 +89,22 @@ def truth(text: Column) -> Column:
     return F.lower(F.trim(text)).isin("yes", "true", "t", "y", "1")
 
 
+def version_tag(text: Column) -> Column:
+    """'v1-2-3' of '1.2.3' or '1.2.3+4'; another format is an error."""
+    form = r"^(\d+)\.(\d+)\.(\d+)(\+\d+)?"
+    return F.when(text.isNull(), None).when(F.regexp_like(text, F.lit(form)), F.concat(F.lit("v"), F.regexp_extract(text, form, 1), F.lit("-"), F.regexp_extract(text, form, 2), F.lit("-"), F.regexp_extract(text, form, 3))).otherwise(F.raise_error(F.concat(F.lit("not a version: "), text)))
+
+
+def get_or(entries: Column, key: str | Column, default: float = 0.0) -> Column:
+    """A map's value of a key, or the default."""
+    return F.coalesce(F.try_element_at(entries, F.lit(key)), F.lit(default))
+
+
+def usable(label: Column) -> Column:
+    """A label, null where it is missing, blank or the text nan."""
+    return F.when(~F.lower(F.trim(label)).isin("", "nan"), label)
+
+
 def missing(column: str | Column) -> Column:
     """NaN as null."""
     c = F.col(column) if isinstance(column, str) else column

@@ -12,10 +12,10 @@ def by_subject() -> Window:
 
 
 def anchored(df: DataFrame, epoch_s: float) -> DataFrame:
-    """df with idx and epoch_us of its tumbling epoch, counted from its subject's first time."""
+    """df with idx and epoch_us of its tumbling epoch, counted from its subject's first time. The first times come from an aggregate, so no subject's rows are gathered or sorted."""
     size = int(epoch_s * 1e6)
-    first = F.min("us").over(by_subject())
-    return df.withColumn("first_", first).withColumn("idx", div(F.col("us") - F.col("first_"), size)).withColumn("epoch_us", F.col("first_") + F.col("idx") * size).drop("first_")
+    firsts = df.groupBy("subject_id").agg(F.min("us").alias("first_"))
+    return df.join(firsts, "subject_id").withColumn("idx", div(F.col("us") - F.col("first_"), size)).withColumn("epoch_us", F.col("first_") + F.col("idx") * size).drop("first_").select(*df.columns, "idx", "epoch_us")
 
 
 def anchored_grid(df: DataFrame, epoch_s: float, value: str) -> DataFrame:
@@ -61,11 +61,27 @@ def good_windows(df: DataFrame, columns: list[str], length: int, annotation: str
     return df.groupBy("subject_id", "idx").agg(checks.alias("good")).where("good").drop("good")
 
 
+def every_window_label(df: DataFrame, columns: list[str], length: int, dictionary: DataFrame | None, annotation: str, label: str) -> DataFrame:
+    """subject_id, idx, label of every window with rows: as window_label for windows that are good and annotated, null for the others."""
+    good = good_windows(df, columns, length, annotation)
+    voted = window_label(df.join(good, ["subject_id", "idx"], "left_semi"), dictionary, annotation, label)
+    return df.select("subject_id", "idx").distinct().join(voted, ["subject_id", "idx"], "left")
+
+
+def with_truth(predicted: DataFrame, truth: DataFrame, epoch_s: float, annotation: str = "annotation", out: str = "true") -> DataFrame:
+    """predicted (subject_id, us: epoch starts) with `out`: the commonest annotation of truth's rows in the epoch, ties to the smallest; null without one."""
+    size = int(epoch_s * 1e6)
+    firsts = predicted.groupBy("subject_id").agg(F.min("us").alias("first_"))
+    placed = truth.join(firsts, "subject_id").where(F.col("us") >= F.col("first_")).withColumn("idx", div(F.col("us") - F.col("first_"), size))
+    votes = window_label(placed, None, annotation, annotation).join(firsts, "subject_id").select("subject_id", (F.col("first_") + F.col("idx") * size).alias("us"), F.col(annotation).alias(out))
+    return predicted.join(votes, ["subject_id", "us"], "left")
+
+
 def window_label(df: DataFrame, dictionary: DataFrame | None, annotation: str, label: str) -> DataFrame:
     """subject_id, idx, label: the commonest label of a window's annotated rows; a label that the dictionary leaves missing votes too; ties to the smallest, missing last."""
     rows = df.where(F.col(annotation).isNotNull())
     if dictionary is not None:
-        rows = rows.join(F.broadcast(dictionary), annotation, "left")
+        rows = rows.join(dictionary, annotation, "left")  # broadcast by Spark while it is small
     votes = rows.groupBy("subject_id", "idx", label).count()
     first = Window.partitionBy("subject_id", "idx").orderBy(F.col("count").desc(), F.col(label).asc_nulls_last())
     return votes.withColumn("nth_", F.row_number().over(first)).where("nth_ = 1").select("subject_id", "idx", label)
@@ -79,10 +95,10 @@ def relabel(df: DataFrame, column: str, mapping: dict[str, str], out: str, stric
     return df.withColumn(out, found)
 
 
-def fit(values: Column, length: int) -> Column:
+def fit(values: Column, length: int | Column) -> Column:
     """An array of exactly `length`: cut at the end, or continued from its own start if it holds more than half; else null."""
     n = F.size(values)
-    return F.when(n >= length, F.slice(values, 1, length)).when(2 * n > length, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.element_at(values, (i % n + 1).cast("int"))))
+    return F.when(n >= length, F.slice(values, 1, length)).when(2 * n > length, F.transform(F.sequence(F.lit(0), F.lit(length) - 1), lambda i: F.element_at(values, (i % n + 1).cast("int"))))
 
 
 def resize(values: Column, length: int) -> Column:
@@ -110,5 +126,5 @@ def window_features(df: DataFrame, value: str) -> DataFrame:
     """Moments and quantiles of each window (subject_id, idx)."""
     return df.groupBy("subject_id", "idx").agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), (F.stddev_samp(value) / F.avg(value)).alias("cv"), F.min(value).alias("min"), F.max(value).alias("max"),
-        F.percentile(value, F.lit(0.25)).alias("p25"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.75)).alias("p75"),
+        F.percentile(value, F.lit(0.25)).alias("p25"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.75)).alias("p75"), F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurt"),
     )

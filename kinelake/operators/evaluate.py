@@ -102,8 +102,32 @@ def class_weights(df: DataFrame, label: str, codes: list[str]) -> DataFrame:
     every = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, codes))).alias("label"))
     counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n"))
     made = every.join(F.broadcast(counts), "label", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    total = df.where(F.col(label).isNotNull()).agg(F.count("*").alias("total"))
-    return made.join(F.broadcast(total)).select("label", (F.col("total") / F.col("n")).alias("weight"))
+    total = df.where(F.col(label).isNotNull()).agg(F.count("*").alias("total"))  # one row
+    return made.crossJoin(total).select("label", (F.col("total") / F.col("n")).alias("weight"))
+
+
+def with_metadata(predicted: DataFrame, people: DataFrame, subject: str = "subject_id") -> DataFrame:
+    """Predictions of the subjects that have metadata, with its columns."""
+    return predicted.join(people, subject)
+
+
+def subgroup(df: DataFrame, **wanted: str | None) -> DataFrame:
+    """Rows whose columns have the wanted values; a wanted None stands for all."""
+    for column, value in wanted.items():
+        if value is not None:
+            df = df.where(F.col(column) == value)
+    return df
+
+
+def paired(df: DataFrame, key: list[str], model: str, value: str, a: str, b: str) -> DataFrame:
+    """key, a, b: the value under two models of the keys that have both."""
+    own = lambda name: F.max(F.when(F.col(model) == name, F.col(value))).alias(name)
+    return df.where(F.col(model).isin(a, b)).groupBy(*key).agg(own(a), own(b)).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+
+
+def performance_table(df: DataFrame, rows: str, columns: str, value: str, names: list[str]) -> DataFrame:
+    """A row for each of `rows` with the mean value under each name of `columns`, best first by the first name."""
+    return df.groupBy(rows).pivot(columns, names).agg(F.avg(value)).orderBy(F.col(names[0]).desc_nulls_last(), rows)
 
 
 def folds(df: DataFrame, subject: str, n: int) -> DataFrame:

@@ -31,16 +31,21 @@ def sample_rate(df: DataFrame) -> DataFrame:
     return infer_step(df).select("subject_id", F.round(1 / F.col("step_s")).cast("int").alias("rate"))
 
 
-def wear_stats(df: DataFrame, columns: list[str], dt: float) -> DataFrame:
-    """Start, end, first and last valid time, wear and non-wear days, and whether every clock hour is worn at least one percent."""
+def _step(dt: float | str) -> Column:
+    """Seconds of a row in an aggregate: a number, or a column of which each subject has one value."""
+    return F.max(dt) if isinstance(dt, str) else F.lit(float(dt))
+
+
+def wear_stats(df: DataFrame, columns: list[str], dt: float | str) -> DataFrame:
+    """Start, end, first and last valid time, wear and non-wear days, and whether every clock hour is worn at least one percent. dt: seconds of a row, or the column that has them."""
     worn = _all_present(columns)
     hours = df.groupBy("subject_id", div(F.pmod("us", F.lit(DAY)), HOUR).alias("h")).agg(
         F.count("*").alias("n"), F.count_if(worn).alias("ok"), F.min("us").alias("lo"), F.max("us").alias("hi"),
-        F.min(F.when(_any_present(columns), F.col("us"))).alias("first"), F.max(F.when(_any_present(columns), F.col("us"))).alias("last"),
+        F.min(F.when(_any_present(columns), F.col("us"))).alias("first"), F.max(F.when(_any_present(columns), F.col("us"))).alias("last"), _step(dt).alias("dt"),
     )
     return hours.groupBy("subject_id").agg(
         F.min("lo").alias("start_us"), F.max("hi").alias("end_us"), F.min("first").alias("wear_start_us"), F.max("last").alias("wear_end_us"),
-        (F.sum("n") * dt / 86400 - F.sum(F.col("n") - F.col("ok")) * dt / 86400).alias("wear_days"), (F.sum(F.col("n") - F.col("ok")) * dt / 86400).alias("nonwear_days"),
+        (F.sum("n") * F.max("dt") / 86400 - F.sum(F.col("n") - F.col("ok")) * F.max("dt") / 86400).alias("wear_days"), (F.sum(F.col("n") - F.col("ok")) * F.max("dt") / 86400).alias("nonwear_days"),
         ((F.count("*") == 24) & (F.min(F.col("ok") / F.col("n")) >= 0.01)).cast("int").alias("covers_24h"),
     )
 
@@ -65,19 +70,19 @@ def daily_wear(df: DataFrame, columns: list[str], dt: float) -> DataFrame:
 
 
 def drop_edge_days(df: DataFrame, which: str) -> DataFrame:
-    """Rows without the first, the last or both calendar days of their subject."""
+    """Rows without the first, the last or both calendar days of their subject. The ends come from an aggregate, so no subject's rows are gathered."""
     if which not in ("first", "last", "both"):
         raise ValueError(f"which day: {which!r}")
     day = div("us", DAY)
-    lo, hi = F.min(day).over(by_subject()), F.max(day).over(by_subject())
+    ends = df.groupBy("subject_id").agg(F.min(day).alias("lo_"), F.max(day).alias("hi_"))
     keep = {"first": day > F.col("lo_"), "last": day < F.col("hi_"), "both": (day > F.col("lo_")) & (day < F.col("hi_"))}[which]
-    return df.withColumns({"lo_": lo, "hi_": hi}).where(keep).drop("lo_", "hi_")
+    return df.join(ends, "subject_id").where(keep).select(df.columns)
 
 
-def blank_low_wear_days(df: DataFrame, columns: list[str], dt: float, least_s: float) -> DataFrame:
-    """Values of days with less wear than least_s become null; rows stay."""
-    ok = F.sum(_all_present(columns).cast("long")).over(Window.partitionBy("subject_id", div("us", DAY))) * dt >= least_s
-    return df.withColumn("ok_", ok).withColumns({c: F.when(F.col("ok_"), F.col(c)) for c in columns}).drop("ok_")
+def blank_low_wear_days(df: DataFrame, columns: list[str], dt: float | str, least_s: float) -> DataFrame:
+    """Values of days with less wear than least_s become null; rows stay. dt: seconds of a row, or the column that has them."""
+    days = df.groupBy("subject_id", div("us", DAY).alias("d_")).agg((F.count_if(_all_present(columns)) * _step(dt) >= least_s).alias("ok_"))
+    return df.withColumn("d_", div("us", DAY)).join(days, ["subject_id", "d_"]).withColumns({c: F.when(F.col("ok_"), F.col(c)) for c in columns}).select(df.columns)
 
 
 def nonwear_bouts(df: DataFrame, columns: list[str], window_s: float = 10, sd: float = 0.015, least_s: float = 5400) -> DataFrame:
@@ -95,6 +100,19 @@ def nonwear_bouts(df: DataFrame, columns: list[str], window_s: float = 10, sd: f
     return bouts.where(F.col("end_us") - F.col("start_us") > int(least_s * 1e6)).select("subject_id", "start_us", "end_us")
 
 
+def blank_bouts(df: DataFrame, bouts: DataFrame, columns: list[str], window_s: float = 10) -> DataFrame:
+    """df with null values inside bouts (subject_id, start_us, end_us, whole windows of window_s); an equi-join on windows, no range join."""
+    size = int(window_s * 1e6)
+    marks = bouts.select("subject_id", F.explode(F.sequence(F.col("start_us"), F.col("end_us") - size, F.lit(size))).alias("w_"), F.lit(True).alias("off_"))
+    made = df.withColumn("w_", div("us", size) * size).join(marks, ["subject_id", "w_"], "left")
+    return made.withColumns({c: F.when(F.col("off_").isNull(), F.col(c)) for c in columns}).select(df.columns)
+
+
+def head(df: DataFrame, n: int) -> DataFrame:
+    """Each subject's first n rows by time, for probing."""
+    return df.withColumn("nth_", F.row_number().over(by_subject().orderBy("us"))).where(F.col("nth_") <= n).drop("nth_")
+
+
 def calibrate(df: DataFrame, sd: float = 0.015, window_s: float = 10, rounds: int = 1000, least: float = 0.0) -> DataFrame:
     """x, y, z after a gain and offset for each axis that bring still 10-second means to the unit sphere; subjects with fewer than 10 still windows stay as they are."""
     size = int(window_s * 1e6)
@@ -119,5 +137,5 @@ def calibrate(df: DataFrame, sd: float = 0.015, window_s: float = 10, rounds: in
 
     kind = dict(df.dtypes)["subject_id"]
     found = still.groupBy("subject_id").applyInPandas(fit, f"subject_id {kind}, gx double, gy double, gz double, ox double, oy double, oz double")
-    both = df.join(found, "subject_id", "left")
+    both = df.join(found, "subject_id", "left")  # a row a subject
     return both.withColumns({c: F.col(c) * F.coalesce(f"g{c}", F.lit(1.0)) + F.coalesce(f"o{c}", F.lit(0.0)) for c in "xyz"}).select(df.columns)

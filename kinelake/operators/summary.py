@@ -54,11 +54,21 @@ def weekend_average(cell: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
 
 
 def ecdf(df: DataFrame, column: str, levels: list[int] = LEVELS, missing_as_below: bool = True) -> DataFrame:
-    """subject_id, level, share: the share of values at or below each level, averaged over (hour, minute) cells. Missing values count as below unless told otherwise. One pass with an aggregate for each level."""
-    low = lambda x: F.when(F.col(column).isNull(), 1.0 if missing_as_below else 0.0).when(F.col(column) <= x, 1.0).otherwise(0.0)
-    cell = df.groupBy("subject_id", hour().alias("h"), minute().alias("m")).agg(*(F.avg(low(x)).alias(f"l{x}") for x in levels))
-    wide = cell.groupBy("subject_id").agg(*(F.avg(f"l{x}").alias(f"l{x}") for x in levels))
-    return wide.select("subject_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, levels)), F.array(*(F.col(f"l{x}") for x in levels)))).alias("level", "share"))
+    """subject_id, level, share: the share of values at or below each level, averaged over (hour, minute) cells. Missing values count as below unless told otherwise."""
+    return ecdf_both(df, column, levels).select("subject_id", "level", F.col("share_missing_below" if missing_as_below else "share").alias("share"))
+
+
+def ecdf_both(df: DataFrame, column: str, levels: list[int] = LEVELS) -> DataFrame:
+    """subject_id, level, share, share_missing_below: each value counts once, at the first level that holds it; running sums over the levels of a cell make the shares."""
+    bounds = F.array(*(F.lit(float(x)) for x in levels))
+    place = F.when(F.col(column).isNull(), -1).when(F.isnan(column), len(levels)).otherwise(F.size(F.filter(bounds, lambda b: b < F.col(column))))  # how many levels are below it
+    counts = df.groupBy("subject_id", hour().alias("h"), minute().alias("m"), place.alias("place")).agg(F.count("*").alias("n"))
+    cell = counts.groupBy("subject_id", "h", "m").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("at"))  # len(levels) + 2 entries at most
+    upto = F.transform(F.sequence(F.lit(0), F.lit(len(levels) - 1)), lambda i: F.aggregate(F.sequence(F.lit(0), i), F.lit(0).cast("long"), lambda s, j: s + F.coalesce(F.try_element_at("at", j), F.lit(0).cast("long"))))
+    none = F.coalesce(F.try_element_at("at", F.lit(-1)), F.lit(0).cast("long"))
+    each = cell.select("subject_id", "n", none.alias("none"), F.posexplode(upto).alias("i", "below"))
+    means = each.groupBy("subject_id", "i").agg(F.avg(F.col("below") / F.col("n")).alias("share"), F.avg((F.col("below") + F.col("none")) / F.col("n")).alias("share_missing_below"))
+    return means.select("subject_id", F.element_at(F.array(*map(F.lit, levels)), F.col("i") + 1).alias("level"), "share", "share_missing_below")
 
 
 def _days(df: DataFrame) -> DataFrame:
@@ -78,7 +88,19 @@ def daily_hours(df: DataFrame, columns: dict[str, str], dt: float, least_minutes
     return _days(df).join(made, ["subject_id", "d"], "left").select("subject_id", day_text(F.col("d") * DAY).alias("date"), *columns.values())
 
 
-def document(metrics: DataFrame) -> DataFrame:
-    """subject_id, summary (JSON) of tall metrics (subject_id, metric, value); later duplicates don't occur in it."""
+def day_panels(df: DataFrame, columns: list[str]) -> DataFrame:
+    """subject_id, date, weekday, us and columns as arrays in time's order: what a figure of one row a day draws. A row is one subject's day."""
+    row = F.array_sort(F.collect_list(F.struct("us", *columns)))
+    days = df.groupBy("subject_id", div("us", DAY).alias("d")).agg(row.alias("r"))
+    return days.select("subject_id", day_text(F.col("d") * DAY).alias("date"), F.pmod(F.col("d") + 3, F.lit(7)).cast("int").alias("weekday"), F.col("r.us").alias("us"), *(F.col(f"r.{c}").alias(c) for c in columns))
+
+
+def document(metrics: DataFrame, info: DataFrame | None = None) -> DataFrame:
+    """subject_id, summary (JSON) of tall metrics (subject_id, metric, value), with the columns of info (a row a subject) before them; where both have a key, info's counts."""
     entry = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value"))))
-    return metrics.groupBy("subject_id").agg(F.to_json(entry).alias("summary"))
+    if info is None:
+        return metrics.groupBy("subject_id").agg(F.to_json(entry).alias("summary"))
+    keys = [c for c in info.columns if c != "subject_id"]
+    body = metrics.where(~F.col("metric").isin(keys)).groupBy("subject_id").agg(F.to_json(entry).alias("body"))
+    both = info.join(body, "subject_id", "left").withColumn("head", F.to_json(F.struct(*(f"`{k}`" for k in keys)), {"ignoreNullFields": "false"}))
+    return both.select("subject_id", F.when(F.col("body").isNull() | (F.col("body") == "{}"), F.col("head")).otherwise(F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(","), F.expr("substring(body, 2)"))).alias("summary"))

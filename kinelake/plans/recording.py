@@ -13,7 +13,7 @@ from kinelake.operators import circadian, epochs, impute, quality, score, sequen
 NAMES = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 
 
-def exclude(samples: DataFrame, dt: float, first_last: str | None = None, wear_below: str | float | None = None) -> DataFrame:
+def exclude(samples: DataFrame, dt: float | str, first_last: str | None = None, wear_below: str | float | None = None) -> DataFrame:
     """Samples without edge days and with low-wear days blanked, as asked."""
     if first_last:
         samples = quality.drop_edge_days(samples, first_last)
@@ -65,11 +65,25 @@ def daily(series: DataFrame, filled: DataFrame, classes: list[str], epoch_s: flo
     return wear.join(means, ["subject_id", "date"], "full").join(hours, ["subject_id", "date"], "full")
 
 
-def process(samples: DataFrame, scorer: Callable[[DataFrame], DataFrame], classes: list[str], rate: int, epoch_s: float = 30.0, smoother: sequence.HiddenMarkov | None = None, first_last: str | None = None, wear_below: str | float | None = None, least_sleep: str | float | None = None, single_block: bool = False) -> dict[str, DataFrame]:
-    """series, summary (JSON document for each subject) and daily of recordings (subject_id, us, x, y, z). Subjects without any worn sample have a document with zero wear and predict_ok 0."""
-    kept = exclude(samples, 1 / rate, first_last, wear_below)
-    wear = quality.wear_stats(kept, ["x", "y", "z"], 1 / rate)
-    labelled = score.predict_recording(kept, scorer, epoch_s, rate, smoother=smoother, least_sleep_s=seconds(least_sleep) if least_sleep else None, single_block=single_block)
+def prepare(samples: DataFrame, rate: int | None = None, calibrate: bool = True, still_sd_least: float = 0.0, nonwear: bool = True) -> DataFrame:
+    """samples with rate and dt_ (seconds of a sample): each subject's own unless one is given; calibrated, and null inside non-wear bouts, unless told otherwise."""
+    if calibrate:
+        samples = quality.calibrate(samples, least=still_sd_least)
+    if nonwear:
+        samples = quality.blank_bouts(samples, quality.nonwear_bouts(samples, ["x", "y", "z"]), ["x", "y", "z"])
+    if rate is None:
+        samples = samples.join(quality.sample_rate(samples).withColumn("rate", F.greatest("rate", F.lit(1))), "subject_id")
+    else:
+        samples = samples.withColumn("rate", F.lit(rate))
+    return samples.withColumn("dt_", 1.0 / F.col("rate"))
+
+
+def process(samples: DataFrame, scorer: Callable[[DataFrame], DataFrame], classes: list[str], rate: int | None = None, epoch_s: float = 30.0, smoother: sequence.HiddenMarkov | None = None, first_last: str | None = None, wear_below: str | float | None = None, least_sleep: str | float | None = None, single_block: bool = False, calibrate: bool = True, still_sd_least: float = 0.0, nonwear: bool = True, device: str = "csv") -> dict[str, DataFrame]:
+    """series, summary (JSON document for each subject) and daily of recordings (subject_id, us, x, y, z). Subjects without any worn sample have a document with zero wear and PredictOK 0."""
+    raw = prepare(samples, rate, calibrate, still_sd_least, nonwear)
+    kept = exclude(raw, "dt_", first_last, wear_below)
+    wear = quality.wear_stats(kept, ["x", "y", "z"], "dt_")
+    labelled = score.predict_recording(kept, scorer, epoch_s, None, smoother=smoother, least_sleep_s=seconds(least_sleep) if least_sleep else None, single_block=single_block, labels=classes)
     series = one_hot(labelled, classes).persist()  # read by every metric; recomputed from its lineage if an executor goes
     grid, names = epochs.day_grid(series, epoch_s), ["acc", *classes]
     placed = epochs.nearest(grid, series.withColumn("row_", F.struct(*names)), "row_", min(epoch_s, 60)).select("subject_id", "us", "row_.*")
@@ -77,4 +91,9 @@ def process(samples: DataFrame, scorer: Callable[[DataFrame], DataFrame], classe
     minutes = seconds(wear_below) / 60 if wear_below is not None else 0.0
     tall = metrics(series, filled, classes, epoch_s)
     stats = wear.select("subject_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, ["WearTime(days)", "NonwearTime(days)", "Covers24hOK", "PredictOK"])), F.array("wear_days", "nonwear_days", F.col("covers_24h").cast("double"), F.col("wear_start_us").isNotNull().cast("double")))).alias("metric", "value"))
-    return {"series": series.select("subject_id", "us", "acc", "label"), "summary": summary.document(tall.where("value is not null").unionByName(stats)), "daily": daily(series, filled, classes, epoch_s, minutes)}
+    clock = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm:ss")
+    info = raw.groupBy("subject_id").agg(F.max("rate").alias("rate")).join(wear, "subject_id", "left").select(
+        "subject_id", F.col("subject_id").alias("Filename"), F.lit(device).alias("Device"), F.lit(1).alias("ReadOK"), F.col("rate").alias("SampleRate"), F.col("rate").alias("ResampleRate"), F.lit(int(calibrate)).alias("CalibOK"),
+        clock("start_us").alias("StartTime"), clock("end_us").alias("EndTime"), clock("wear_start_us").alias("WearStartTime"), clock("wear_end_us").alias("WearEndTime"),
+    )
+    return {"series": series.select("subject_id", "us", "acc", "label"), "summary": summary.document(tall.where("value is not null").unionByName(stats), info), "daily": daily(series, filled, classes, epoch_s, minutes)}

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinelake import session
 from kinelake.functions.scalar import DAY, HOUR, MINUTE, div, enmo, micros
 from kinelake.operators import circadian, epochs, evaluate, impute, quality, score, sequence, signal, summary
 
@@ -249,9 +250,9 @@ def weekday_weekend_avg(spark, sf):
 c as (select subject_id, level, missing_below, {HR} as h, {MN} as mi, avg(case when acc is null then missing_below when acc <= level then 1 else 0 end) as s from ep, l, m group by all)
 select subject_id, level::int as level, missing_below, round(avg(s), 6) as share from c group by all""")
 def ecdf_67_levels(spark, sf):
-    base = hourly(spark, sf)
-    both = [summary.ecdf(base, "acc", missing_as_below=m).select("subject_id", "level", F.lit(int(m)).alias("missing_below"), "share") for m in (True, False)]
-    return rounded(both[0].unionByName(both[1]), "share")
+    both = summary.ecdf_both(hourly(spark, sf), "acc")
+    each = F.explode(F.array(F.struct(F.lit(1).alias("missing_below"), F.col("share_missing_below").alias("share")), F.struct(F.lit(0).alias("missing_below"), "share"))).alias("s")
+    return rounded(both.select("subject_id", "level", each).select("subject_id", "level", "s.missing_below", "s.share"), "share")
 
 
 @query(f"""with {IMP}, c as (select subject_id, us // {DAY} as d, case when count(acc) * 60 > 1320 then avg(acc) end as enmo from ep group by 1, 2), a as (select subject_id, us // {DAY} as d, case when count(acc) * 60 > 1320 then avg(acc) end as adjusted from imp group by 1, 2)
@@ -482,9 +483,9 @@ def fold_members(spark, sf):
     return evaluate.fold_members(evaluate.folds(spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct(), "user_id", 5), "user_id")
 
 
-@query(f"with {SIX} select subject_id, idx, count(acc) as n, round(avg(acc), 9) as mean, round(stddev_samp(acc), 9) as sd, round(stddev_samp(acc) / avg(acc), 9) as cv, round(min(acc), 9) as min, round(max(acc), 9) as max, round(quantile_cont(acc, 0.25), 9) as p25, round(quantile_cont(acc, 0.5), 9) as median, round(quantile_cont(acc, 0.75), 9) as p75 from six group by 1, 2")
+@query(f"with {SIX} select subject_id, idx, count(acc) as n, round(avg(acc), 9) as mean, round(stddev_samp(acc), 9) as sd, round(stddev_samp(acc) / avg(acc), 9) as cv, round(min(acc), 9) as min, round(max(acc), 9) as max, round(quantile_cont(acc, 0.25), 9) as p25, round(quantile_cont(acc, 0.5), 9) as median, round(quantile_cont(acc, 0.75), 9) as p75, round(avg(pow(acc - m, 3)) / pow(nullif(var_pop(acc), 0), 1.5), 9) + 0 as skew, round(avg(pow(acc - m, 4)) / pow(nullif(var_pop(acc), 0), 2) - 3, 9) + 0 as kurt from (select *, avg(acc) over (partition by subject_id, idx) as m from six) group by 1, 2")
 def window_features(spark, sf):
-    return rounded(epochs.window_features(six_hours(spark, sf), "acc"), "mean", "sd", "cv", "min", "max", "p25", "median", "p75", digits=9)
+    return rounded(epochs.window_features(six_hours(spark, sf), "acc"), "mean", "sd", "cv", "min", "max", "p25", "median", "p75", "skew", "kurt", digits=9)
 
 
 @query(f"""with {EV}, s as (select subject_id, us // {HOUR} * {HOUR} as us from ev group by 1, 2 having coalesce(stddev_samp(value), 0) < 30), r as (select *, case when us - lag(us) over (partition by subject_id order by us) = {HOUR} then 0 else 1 end as new from s),
@@ -513,11 +514,15 @@ def mask_imputed(spark, sf):
 
 
 def metrics(spark, sf):
-    """subject_id, metric, value: the tall summary."""
-    base, cell = imputed(spark, sf), cells(spark, sf)
+    """subject_id, metric, value: the tall summary. The imputed series is written once; its cells are a small table that the averages share."""
+    path = session.scratch(spark, "imputed")
+    imputed(spark, sf).select("subject_id", "us", "acc").write.parquet(path)
+    base = spark.read.parquet(path)
+    cell = summary.cells(base, "acc")
     over, week, power, ten = summary.overall(base, "acc", ends(spark, sf)), summary.week_average(cell), circadian.psd(base, F.col("acc"), DT), circadian.m10_l5(base, "acc", DT)
     tall = lambda df, name, column: df.select("subject_id", F.lit(name).alias("metric"), F.col(column).alias("value"))
-    parts = [tall(over, "acc-overall-avg", "avg"), tall(over, "acc-overall-sd", "sd"), tall(week, "acc-week-avg", "avg"), tall(power, "PSD_acc", "psd"), tall(ten, "M10L5", "relative_amplitude")]
+    both = over.select("subject_id", F.explode(F.array(F.struct(F.lit("acc-overall-avg").alias("metric"), F.col("avg").alias("value")), F.struct(F.lit("acc-overall-sd").alias("metric"), F.col("sd").alias("value")))).alias("m")).select("subject_id", "m.*")
+    parts = [both, tall(week, "acc-week-avg", "avg"), tall(power, "PSD_acc", "psd"), tall(ten, "M10L5", "relative_amplitude")]
     parts.append(summary.hour_of_day_average(cell).select("subject_id", F.concat(F.lit("acc-hourOfDay-"), "hour", F.lit("-avg")), "avg"))
     out = parts[0]
     for p in parts[1:]:

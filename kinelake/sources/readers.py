@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinelake.functions.scalar import java_pattern, missing
+from kinelake.functions.scalar import java_pattern, missing, usable, zoned_local
 
 #: Suffixes of compressed files that are looked through.
 COMPRESSED = (".gz", ".bz2", ".xz", ".lzma", ".zip")
@@ -110,8 +110,8 @@ def read_training(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dictionary(spark: SparkSession, path: str, scheme: str) -> DataFrame:
-    """annotation, label of an annotation dictionary's scheme; blank labels are null."""
-    return spark.read.option("header", True).csv(path).select("annotation", F.nullif(F.col(f"`label:{scheme}`"), F.lit("")).alias("label"))
+    """annotation, label of an annotation dictionary's scheme; blank labels and the text nan are null."""
+    return spark.read.option("header", True).csv(path).select("annotation", usable(F.col(f"`label:{scheme}`")).alias("label"))
 
 
 def read_features(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -121,8 +121,22 @@ def read_features(spark: SparkSession, path: str, columns: list[str]) -> DataFra
 
 
 def read_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    """All *-outputSummary.json below a folder as one table; keys that a file lacks are null."""
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*-outputSummary.json").option("multiLine", True).json(folder)
+    """All summaries below a folder as one table, *-outputSummary.json files and what writers.write_summaries wrote; keys that one lacks are null."""
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{*-outputSummary.json,part-*.txt}").option("multiLine", True).json(folder)
+
+
+def read_series(spark: SparkSession, path: str, classes: list[str]) -> DataFrame:
+    """subject_id, us, acc and class columns of what writers.write_series wrote, or of CSV files of that form. Times may be zoned ('2014-05-07 13:29:50.439+0100 [Europe/London]'): their local clock counts."""
+    raw = spark.read.option("header", True).csv(path)
+    subject = F.col("subject_id").cast("string") if "subject_id" in raw.columns else stem(F.col("_metadata.file_path"))
+    local = F.coalesce(zoned_local(F.col("time")), F.col("time").try_cast("timestamp_ntz"))
+    return raw.select(subject.alias("subject_id"), F.unix_micros(local.cast("timestamp")).alias("us"), *(F.col(f"`{c}`").try_cast("double").alias(c) for c in ("acc", *classes)))
+
+
+def read_metadata(spark: SparkSession, path: str, subject: str = "pid") -> DataFrame:
+    """subject_id and the other columns (text) of a table of subjects."""
+    raw = spark.read.option("header", True).csv(path)
+    return raw.select(F.col(subject).alias("subject_id"), *(F.col(f"`{c}`") for c in raw.columns if c != subject))
 
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:

@@ -18,7 +18,7 @@ def write_daily(df: DataFrame, path: str) -> None:
 
 
 def write_summaries(documents: DataFrame, path: str) -> None:
-    """subject_id, summary (JSON): a text file of one line for each subject, in its folder."""
+    """subject_id, summary (JSON): a text file of one line for each subject, in its folder; readers.read_summaries reads them."""
     documents.select("subject_id", F.col("summary").alias("value")).write.partitionBy("subject_id").text(path)
 
 

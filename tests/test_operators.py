@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinelake import cli
 from kinelake.functions import scalar
-from kinelake.operators import circadian, epochs, evaluate, impute, quality, score, sequence, signal, summary
+from kinelake.operators import circadian, epochs, evaluate, fit, impute, quality, score, sequence, signal, summary
 from kinelake.plans import recording
 from kinelake.sources import readers, writers
 from kinelake.streaming.epochs import stream_epochs
@@ -149,9 +149,8 @@ def test_csv_sources_and_sinks(spark, tmp_path):
     assert readers.read_recording(spark, str(tmp_path / "p2.csv.xz")).first().subject_id == "p2"
     tall = spark.createDataFrame([("a", "m", 1.0), ("b", "n", 2.0)], "subject_id string, metric string, value double")
     writers.write_summaries(summary.document(tall), str(tmp_path / "out"))
-    for i, folder in enumerate(sorted((tmp_path / "out").glob("subject_id=*"))):
-        next(folder.glob("part-*")).rename(tmp_path / f"{i}-outputSummary.json")
-    assert sorted(readers.read_summaries(spark, str(tmp_path)).columns) == ["m", "n"]
+    (tmp_path / "own-outputSummary.json").write_text('{\n "k": 1,\n "m": 2\n}')
+    assert sorted(readers.read_summaries(spark, str(tmp_path)).columns) == ["k", "m", "n"]
 
 
 def test_recording_pipeline(spark):
@@ -213,9 +212,105 @@ def test_process_recordings(spark):
     still = (F.col("id") / 7200).cast("long") % 3 == 0
     samples = spark.range(30 * 3600).select(F.lit("a").alias("subject_id"), (F.col("id") * S).alias("us"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.when(still, 1.0).otherwise(1.2).alias("z"))
     scorer = lambda w: w.withColumn("label", score.threshold_label("acc", [(50.0, "sleep")], "light"))
-    made = recording.process(samples, scorer, ["light", "sleep"], rate=1, epoch_s=60 * 30, least_sleep="30min")
+    made = recording.process(samples, scorer, ["light", "sedentary", "sleep"], rate=1, epoch_s=60 * 30, least_sleep="30min", calibrate=False, nonwear=False)
     document = json.loads(made["summary"].orderBy("subject_id").first().summary)
     assert document["PredictOK"] == 1 and "light-hourOfWeekday-3-avg" in document and "acc-ecdf-2000mg" in document and made["daily"].count() == 2
+    assert (document["Filename"], document["Device"], document["SampleRate"], document["ReadOK"], document["WearTime(days)"]) == ("a", "csv", 1, 1, 1.25)
+
+
+def test_process_then_collate(spark, tmp_path):
+    """Two recordings of different rates through the commands; one has two hours without wear."""
+    rng = np.random.default_rng(8)
+    for name, rate, hours in (("p1", 1, 9), ("p2", 2, 7)):
+        n = rate * hours * 3600
+        t, v = np.arange(n) / rate, rng.normal(0, 0.06, (n, 3)) + [0, 0, 1]
+        if name == "p1":
+            v[(t >= 3600) & (t < 3 * 3600)] = [0, 0, 1]
+        stamps = np.datetime_as_string(np.datetime64("2024-03-01T10:00:00") + (t * 1e6).astype("timedelta64[us]"), unit="us")
+        (tmp_path / f"{name}.csv").write_text("time,x,y,z\n" + "".join(f"{s.replace('T', ' ')},{a:.4f},{b:.4f},{c:.4f}\n" for s, (a, b, c) in zip(stamps, v, strict=True)))
+    out = str(tmp_path / "out")
+    cli.main(["process", f"{tmp_path}/*.csv", "-o", out, "--no-calibration", "-q"])
+    cli.main(["collate", out, "-o", str(tmp_path / "all")])
+    rows = {r.Filename: r for r in spark.read.option("header", True).csv(str(tmp_path / "all")).collect()}
+    assert {k: (r.SampleRate, r.Device, r.ReadOK, r.PredictOK) for k, r in rows.items()} == {"p1": ("1", ".csv", "1", "1.0"), "p2": ("2", ".csv", "1", "1.0")}
+    assert float(rows["p1"]["NonwearTime(days)"]) == pytest.approx(2 / 24, abs=1e-4) and float(rows["p2"]["NonwearTime(days)"]) == 0 and float(rows["p2"]["WearTime(days)"]) == pytest.approx(7 / 24, abs=1e-4)
+    assert {"acc-overall-avg", "sleep-week-avg", "acc-ecdf-1mg"} <= set(rows["p1"].asDict())
+    series = readers.read_series(spark, f"{out}/series", score.SCHEMES["four"])
+    assert series.where("subject_id = 'p1' and acc is null").count() == 240 and series.where("subject_id = 'p2'").count() == 7 * 120
+    cli.main(["panels", f"{out}/series", "-o", str(tmp_path / "panels")])
+    assert spark.read.parquet(str(tmp_path / "panels")).count() == 2
+    with pytest.raises(ValueError, match="six|four"):
+        cli.main(["process", f"{tmp_path}/*.csv", "-o", out, "--scheme", "six"])
+
+
+def test_chosen_blocks_leave_edges_out():
+    assert sequence.choose_blocks([60, 90], [70, 199], 200, 100) == [0, 1]
+    assert sequence.choose_blocks([0, 30, 60, 150], [20, 35, 80, 160], 300, 100) == [0, 2, 3]
+    assert sequence.choose_blocks([], [], 50, 10) == [] and sequence.choose_blocks([0], [49], 50, 10) == [0]
+    assert sequence.still_label(["light", "sit-stand", "sleep"]) == "sit-stand"
+    with pytest.raises(ValueError):
+        sequence.still_label(["light", "sleep"])
+
+
+def test_smoother_matrices_in_another_order():
+    hmm = sequence.HiddenMarkov(["a", "b", "c"], np.arange(3), np.arange(9).reshape(3, 3), np.arange(9).reshape(3, 3) + 10)
+    made = hmm.ordered(["c", "a", "b"])
+    assert made["prior"].tolist() == [2, 0, 1] and made["transition"].tolist() == [[18, 16, 17], [12, 10, 11], [15, 13, 14]] and "c, a, b" in hmm.pretty(["c", "a", "b"])
+    with pytest.raises(ValueError):
+        hmm.ordered(["a", "b"])
+
+
+def test_low_pass_equals_a_sample_at_a_time():
+    rng = np.random.default_rng(5)
+    for n in (1, 255, 256, 1000):
+        x = rng.normal(size=n)
+        for b, a in signal.butterworth(8, 20, 100):
+            want, s1, s2 = [], (1 - b[0]) * x[0], (b[2] - a[2]) * x[0]
+            for v in x:
+                want.append(b[0] * v + s1)
+                s1, s2 = b[1] * v - a[1] * want[-1] + s2, b[2] * v - a[2] * want[-1]
+            assert np.allclose(signal._section(x, b, a), want, atol=1e-9)
+
+
+def test_fit_with_smoother_and_cross_validation(spark):
+    """Two forests on the same folds, and a smoother from held-out probabilities."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for s in range(12):
+        state = 0
+        for t in range(60):
+            state = state if rng.random() < 0.9 else 1 - state
+            rows.append((f"s{s}", t * 30 * S, float(state + rng.normal(0, 0.4)), float(rng.normal()), ["sedentary", "sleep"][state]))
+    df = spark.createDataFrame(rows, "subject_id string, us long, f double, noise double, label string")
+    good, bad = fit.forest(["f"], "label", 5, 4), fit.forest(["noise"], "label", 5, 4)
+    made = fit.cross_validate(df, {"good": good, "bad": bad}, "subject_id", "label", 3).persist()
+    assert made.count() == 2 * len(rows) and made.groupBy("subject_id", "model").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
+    assert made.select("subject_id", "fold").distinct().count() == 12 and made.where("model = 'good'").groupBy("fold").count().count() == 3
+    table = fit.compare(made, "label").collect()
+    assert [r.model for r in table] == ["good", "bad"] and table[0].accuracy > 0.75
+    model, hmm = fit.fit_with_smoother(df, good, "subject_id", "label", ["sedentary", "sleep"], 30 * S, percent=30)
+    assert hmm.transition.diagonal().min() > 0.75 and hmm.emission.diagonal().min() > 0.6
+    guessed = hmm.smooth(score.predict_forest(model, df.drop("label"), "label"), "label", 30 * S).join(df.select("subject_id", "us", F.col("label").alias("y")), ["subject_id", "us"])
+    right = lambda c: guessed.where(F.col(c) == F.col("y")).count()
+    assert right("smoothed") > right("label")
+    lacking = df.withColumn("f", F.when(F.col("us") > 0, F.col("f"))).drop("label")
+    kept = score.predict_forest(model, lacking)
+    assert kept.count() == len(rows) and kept.where("label is null and probability is null").count() == 12
+
+
+def test_forest_in_the_recording_path(spark, tmp_path):
+    """A saved forest over window features, loaded by name, scores samples."""
+    rng = np.random.default_rng(9)
+    rows = [("a", int(i * S / 10), *(float(x) for x in rng.normal(0, 0.02 if i < 1500 else 0.4, 3) + [0, 0, 1])) for i in range(3000)]
+    samples = spark.createDataFrame(rows, "subject_id string, us long, x double, y double, z double")
+    made = score.array_features(score.window_enmo(score.windows(samples, 30, 10))).withColumn("label", F.when(F.col("idx") < 5, "sleep").otherwise("light"))
+    assert made.where(" or ".join(f"`{c}` is null" for c in score.FEATURES)).count() == 0
+    score.fit_forest(made, ["sd", "enmoTrunc", "xyCov"], "label", 5, 3).write().overwrite().save(str(tmp_path / "forest"))
+    got = score.predict_recording(samples, score.load("forest", "four", str(tmp_path / "forest")), 30, 10).orderBy("us").collect()
+    assert [r.label for r in got] == ["sleep"] * 5 + ["light"] * 5
+    for name, scheme in (("threshold", "six"), ("nothing", "four"), ("forest", "four")):
+        with pytest.raises(ValueError):
+            score.load(name, scheme)
 
 
 def test_command_line(spark, tmp_path):

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from kinelake.plans import registry
+from kinelake.plans import modelling, registry, round_trips  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
