@@ -46,6 +46,8 @@ FAN = 500
 CELL_BYTES, SHINGLE_BYTES = 32 << 20, 8
 #: Links that one task thins to a spanning forest, about.
 FOREST = 200_000
+#: Tasks that the rows of one region are dealt to.
+SALTS = 32
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 
@@ -304,18 +306,24 @@ def apart_links(hashes: np.ndarray, second: np.ndarray, count: np.ndarray, root:
     return kept
 
 
+def met_by(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with table, a row a key, so that a key of many rows is dealt over SALTS tasks."""
+    salted = table.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt_", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt_"]).drop("salt_")
+
+
 def apart(marks: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between nodes of different roots that share one of the marked regions. marks: node, tree; nodes: node, doc_id, text_key, signature, size."""
-    rows = marks.join(nodes, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """Links between different roots (a, b: roots) whose nodes share one of the marked regions. marks: node, tree; nodes: node, doc_id, text_key, signature, size."""
+    rows = marks.join(nodes.select("node", "signature", "size"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = rows.withColumn("prefix", F.expr(f"substring(signature, tree * {LEVELS} + 1, {LEAST_LEVEL})")).select("tree", "prefix", "node", "root", "size")
     rows = stored(rows, "marked")
     top = rows.groupBy("tree", "prefix", "root").agg(F.count("*").alias("n")).groupBy("tree", "prefix").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
-    rows = rows.join(top.where("roots > 1").select("tree", "prefix", F.col("top.root").alias("top")), ["tree", "prefix"])
+    rows = met_by(rows, top.where("roots > 1").select("tree", "prefix", F.col("top.root").alias("top")), ["tree", "prefix"])
     kind = ["tree", "prefix", "rest", "class"]
-    rows = rows.withColumn("rest", F.col("root") != F.col("top")).withColumn("class", F.floor(F.log("size") / math.log(100 / min(percent, 99)))).drop("top")
+    rows = stored(rows.withColumn("rest", F.col("root") != F.col("top")).withColumn("class", F.floor(F.log("size") / math.log(100 / min(percent, 99)))).drop("top"), "parted")
     parts = rows.groupBy(*kind).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("parts"))
     name = F.xxhash64(F.concat_ws("-", *kind[:1], F.hex("prefix"), *kind[2:], F.pmod(F.xxhash64("node"), F.col("parts"))))
-    blocks = stored(rows.join(parts, kind).select("tree", "prefix", "node", "root", "size", name.alias("block")), "blocks")
+    blocks = stored(met_by(rows, parts, kind).select("tree", "prefix", "node", "root", "size", name.alias("block")), "blocks")
     heads = blocks.groupBy("tree", "prefix", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("root").alias("least"), F.max("root").alias("most"))
     p, q = heads.alias("p"), heads.alias("q")
     met = p.join(q, (F.col("p.tree") == F.col("q.tree")) & (F.col("p.prefix") == F.col("q.prefix")) & (F.col("p.block") <= F.col("q.block")))
@@ -328,12 +336,12 @@ def apart(marks: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame,
         names, at = np.unique(np.array([x.hex() for x in held.column("node").to_pylist()]), return_index=True)
         held = held.take(pa.array(at))
         parts = [shingles(*utf8(held.column("text").slice(lo, 500)), k) for lo in range(0, len(names), 500)]
-        kept = apart_links(*(np.concatenate(x) for x in zip(*parts, strict=True)), held.column("root").to_pylist(), percent)
-        own = held.column("node").to_pylist()
-        ends = [(own[i], own[j]) if own[i] < own[j] else (own[j], own[i]) for i, j in kept]
+        root = held.column("root").to_pylist()
+        kept = apart_links(*(np.concatenate(x) for x in zip(*parts, strict=True)), root, percent)
+        ends = [(root[i], root[j]) if root[i] < root[j] else (root[j], root[i]) for i, j in kept]
         return pa.table({"a": pa.array([x for x, _ in ends], pa.binary()), "b": pa.array([y for _, y in ends], pa.binary())})
 
-    return stored(texts.groupBy("at").applyInArrow(check, "a binary, b binary"), "links")
+    return stored(texts.groupBy("at").applyInArrow(check, "a binary, b binary").distinct(), "links")
 
 
 def thinned(links: DataFrame) -> DataFrame:
@@ -369,12 +377,12 @@ def components(links: DataFrame) -> DataFrame:
         grand = stored(grand, "grand")
         least = both.join(grand, both["v"] == grand["node"]).groupBy("u").agg(F.min("grand").alias("least"))
         hooks = least.join(grand, least["u"] == grand["node"]).select(F.explode(F.array(F.struct(F.col("root").alias("node"), F.col("least").alias("root")), F.struct(F.col("u").alias("node"), F.col("least").alias("root")))).alias("x")).select("x.*")
-        new = hooks.union(grand.select("node", "grand")).groupBy("node").agg(F.min("root").alias("root"))
-        new = stored(new, "parents")
-        changed = new.join(grand.withColumnRenamed("root", "old"), "node").where(F.col("root") != F.col("old")).limit(1).count()
+        now = grand.select("node", F.col("grand").alias("root"), F.col("root").alias("old")).unionByName(hooks, allowMissingColumns=True)
+        new = stored(now.groupBy("node").agg(F.min("root").alias("root"), F.max("old").alias("old")), "parents")  # one old root a node
+        changed = not new.where("root != old").isEmpty()
         drop_stored(grand)
         drop_stored(parent)
-        parent = new
+        parent = new.drop("old")
         if not changed:
             drop_stored(both)
             return parent
@@ -392,7 +400,9 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
     roots = components(links)
     more = apart(pairs.where("tree is not null").select(F.col("a").alias("node"), "tree"), nodes, roots, rows, k, percent)
     if not more.isEmpty():
-        roots = components(links.union(more))
+        higher = components(more).withColumnRenamed("root", "top")  # of the roots alone
+        roots = roots.union(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+        roots = roots.join(higher.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     labelled = nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = labelled.select("node", "root")
     known = F.nullif(F.col("doc_id"), F.lit(NO_ID))
