@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 CONTAINMENT = 0.8
 #: Words of a block that crosses lines; at least twice those of any template.
 WINDOW = 64
@@ -59,9 +61,27 @@ def template_words(text: str) -> list[str]:
     return list(dict.fromkeys("".join(c if c.isalnum() else " " for c in text.lower()).split()))
 
 
-def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+def vocabulary() -> list[str]:
+    return sorted({w for _, t in TEMPLATES for w in template_words(t)})
+
+
+def prepared(docs: DataFrame, keys: list[str], containment: float = CONTAINMENT) -> DataFrame:
+    """What one pass over the texts leaves, written to the shared folder: keys, the phrase columns, held (distinct template words), lines (block and
+    tokens of those with enough template words for some template) and words (all, of texts that hold enough words of some template; else null)."""
+    known, least = F.array(*map(F.lit, vocabulary())), min(needed(template_words(t), containment) for _, t in TEMPLATES)
+    tokens = lambda words: F.array_intersect(words, known)
+    rows = docs.select(*keys, F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), spaced).alias("lines"))
+    rows = rows.withColumn("whole", F.array_join(F.filter("lines", lambda x: x != ""), " "))  # a line's end is no part of a word
+    rows = rows.select(*keys, "lines", "whole", *(c.alias(n) for n, c in phrase_columns(F.col("whole")).items()), tokens(F.split("whole", " ")).alias("held"))
+    blocks = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("block"), tokens(F.split(x, " ")).alias("tokens"))), lambda b: F.size(b["tokens"]) >= least)  # length filter against the shortest template
+    enough = F.exists(kinds(containment), lambda t: F.size(F.array_intersect("held", t["own"])) >= t["need"])  # what the whole text lacks, no window holds
+    ready = rows.withColumns({"lines": F.when(F.size("held") >= least, blocks).otherwise(F.array().cast("array<struct<block:int,tokens:array<string>>>")), "words": F.when(enough, F.split("whole", " "))})
+    return stored(ready.drop("whole"), "licenses")
+
+
+def frequencies(ready: DataFrame) -> dict[str, int]:
     """How many documents hold each template word, over all documents: the global order."""
-    held = docs.select(F.explode(F.array_intersect(F.split(spaced(F.col("text")), " "), F.array(*map(F.lit, vocabulary)))).alias("token"))
+    held = ready.select(F.explode("held").alias("token"))
     return {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}  # a row for each template word at most
 
 
@@ -75,11 +95,10 @@ def needed(own: list[str], containment: float) -> int:
     return max(1, math.ceil(len(own) * containment - 1e-9))
 
 
-def ranked(docs: DataFrame) -> dict[str, int]:
+def ranked(ready: DataFrame) -> dict[str, int]:
     """The place of each template word in the order of document frequency, rarest first."""
-    vocabulary = sorted({w for _, t in TEMPLATES for w in template_words(t)})
-    seen = frequencies(docs, vocabulary)
-    return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
+    seen = frequencies(ready)
+    return {w: i for i, w in enumerate(sorted(vocabulary(), key=lambda w: (seen.get(w, 0), w)))}
 
 
 def prefixes(spark: SparkSession, rank: dict[str, int], containment: float) -> DataFrame:
@@ -115,26 +134,20 @@ def joined(blocks: DataFrame, rank: dict[str, int], containment: float) -> DataF
     return met.drop("held", "at_block", "rank", "at_template", "own", "need")
 
 
-def matches(docs: DataFrame, keys: list[str], containment: float = CONTAINMENT) -> DataFrame:
-    """keys, kind (line or window), block (its number), template, label, containment: one row for each block and template whose containment reaches the threshold.
+def matches(ready: DataFrame, keys: list[str], containment: float = CONTAINMENT) -> DataFrame:
+    """keys, kind (line or window), block (its number), template, label, containment: one row for each block and template whose containment reaches the threshold. ready: what `prepared` made.
 
     Lines are blocks as they are. Windows of WINDOW words, each half over the next, are blocks of texts that hold enough words of
     some template; there the best run of as many words as the template counts. No run that a template fits is longer than half a window.
     """
-    vocabulary = F.array(*map(F.lit, sorted({w for _, t in TEMPLATES for w in template_words(t)})))
-    rank = ranked(docs)
+    known, rank = F.array(*map(F.lit, vocabulary())), ranked(ready)
     least = min(needed(template_words(t), containment) for _, t in TEMPLATES)
-    tokens = lambda words: F.array_intersect(words, vocabulary)
-    lines = docs.select(*keys, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block", "line"))
-    lines = lines.select(*keys, "block", tokens(F.split(spaced(F.col("line")), " ")).alias("tokens")).where(F.size("tokens") >= least)  # length filter against the shortest template
-    lines = joined(lines, rank, containment).select(*keys, F.lit("line").alias("kind"), "block", "template", "label", (F.col("overlap") / F.col("size")).alias("containment"))
+    lines = joined(ready.select(*keys, F.inline("lines")), rank, containment).select(*keys, F.lit("line").alias("kind"), "block", "template", "label", (F.col("overlap") / F.col("size")).alias("containment"))
 
-    texts = docs.select(*keys, F.split(spaced(F.col("text")), " ").alias("words")).withColumn("held", tokens(F.col("words")))
-    texts = texts.where(F.exists(kinds(containment), lambda t: F.size(F.array_intersect("held", t["own"])) >= t["need"]))  # what the whole text lacks, no window holds
     half = WINDOW // 2
     starts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("words") / half) - 2, F.lit(0))), lambda i: (i * half + 1).cast("int"))
-    windows = texts.select(*keys, F.posexplode(F.transform(starts, lambda i: F.slice("words", i, WINDOW))).alias("block", "words"))
-    windows = windows.withColumn("tokens", tokens(F.col("words"))).where(F.size("tokens") >= least)
+    windows = ready.where("words is not null").select(*keys, F.posexplode(F.transform(starts, lambda i: F.slice("words", i, WINDOW))).alias("block", "words"))
+    windows = windows.withColumn("tokens", F.array_intersect("words", known)).where(F.size("tokens") >= least)
     windows = joined(windows, rank, containment).withColumn("own", F.element_at(kinds(containment), F.col("template") + 1))
     runs = F.sequence(F.lit(1), F.greatest(F.size("words") - F.col("own.length") + 1, F.lit(1)))
     best = F.array_max(F.transform(runs, lambda i: F.size(F.array_intersect(F.slice("words", i, F.col("own.length")), F.col("own.own")))))
@@ -160,13 +173,13 @@ def scan(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best containment, 1 for a phrase, else 0)."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
     keys = ["doc_id", "text_key"]
-    found = matches(rows, keys).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    own = rows.select("doc_id", "text_key", spaced(F.col("text")).alias("words")).select("doc_id", "text_key", *(c.alias(n) for n, c in phrase_columns(F.col("words")).items()))
-    both = own.join(found.withColumnsRenamed({"doc_id": "found_id", "text_key": "found_key"}), F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left")
-    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    ready = prepared(rows, keys)
+    found = matches(ready, keys).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    both = ready.drop("held", "lines", "words").join(found.withColumnsRenamed({"doc_id": "found_id", "text_key": "found_key"}), F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left")
+    listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return both.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("base")).alias("base_labels"),
-        joined(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"), F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        "doc_id", "n_words", "n_base", "first_word", "last_word", listed(F.col("base")).alias("base_labels"),
+        listed(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"), F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
 
 

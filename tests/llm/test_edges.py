@@ -80,7 +80,7 @@ def test_license_blocks_meet_each_template_once(spark):
     statements = [t for _, t in licenses.TEMPLATES]
     texts = [f"{'x ' * (7 * i)}{'\n'.join(statements[i % 12].split())}{' y' * (11 * i % 100)}" for i in range(36)] + ["\n".join(statements), "", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = licenses.matches(docs, ["doc_id"]).collect()
+    found = licenses.matches(licenses.prepared(docs, ["doc_id"]), ["doc_id"]).collect()
     assert len({(r.doc_id, r.kind, r.block, r.template) for r in found}) == len(found)
     got = {(r.doc_id, r.template): max(x.containment for x in found if (x.doc_id, x.template) == (r.doc_id, r.template)) for r in found if r.kind == "window"}
     want = {}
