@@ -259,7 +259,9 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
             ok.append(100 * both >= percent * (n + m - both))
         return edges.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return stored(cells.groupBy("cell").cogroup(texts.groupBy("at")).applyInArrow(check, "a binary, b binary"), "links")
+    links = stored(cells.groupBy("cell").cogroup(texts.groupBy("at")).applyInArrow(check, "a binary, b binary"), "links")
+    drop_stored(cells)
+    return links
 
 
 def apart_links(hashes: np.ndarray, second: np.ndarray, count: np.ndarray, root: list[bytes], percent: int) -> list[tuple[int, int]]:
@@ -316,7 +318,7 @@ def apart(marks: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame,
     """Links between different roots (a, b: roots) whose nodes share one of the marked regions. marks: node, tree; nodes: node, doc_id, text_key, signature, size."""
     rows = marks.join(nodes.select("node", "signature", "size"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = rows.withColumn("prefix", F.expr(f"substring(signature, tree * {LEVELS} + 1, {LEAST_LEVEL})")).select("tree", "prefix", "node", "root", "size")
-    rows = stored(rows, "marked")
+    rows = marked_rows = stored(rows, "marked")
     top = rows.groupBy("tree", "prefix", "root").agg(F.count("*").alias("n")).groupBy("tree", "prefix").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
     rows = met_by(rows, top.where("roots > 1").select("tree", "prefix", F.col("top.root").alias("top")), ["tree", "prefix"])
     kind = ["tree", "prefix", "rest", "class"]
@@ -341,7 +343,10 @@ def apart(marks: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame,
         ends = [(root[i], root[j]) if root[i] < root[j] else (root[j], root[i]) for i, j in kept]
         return pa.table({"a": pa.array([x for x, _ in ends], pa.binary()), "b": pa.array([y for _, y in ends], pa.binary())})
 
-    return stored(texts.groupBy("at").applyInArrow(check, "a binary, b binary").distinct(), "links")
+    links = stored(texts.groupBy("at").applyInArrow(check, "a binary, b binary").distinct(), "links")
+    for table in (marked_rows, rows, blocks):
+        drop_stored(table)
+    return links
 
 
 def thinned(links: DataFrame) -> DataFrame:
@@ -402,7 +407,9 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
     if not more.isEmpty():
         higher = components(more).withColumnRenamed("root", "top")  # of the roots alone
         roots = roots.union(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
-        roots = roots.join(higher.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        roots = stored(roots.join(higher.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+    for table in (pairs, links, more):
+        drop_stored(table)
     labelled = nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = labelled.select("node", "root")
     known = F.nullif(F.col("doc_id"), F.lit(NO_ID))

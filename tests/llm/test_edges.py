@@ -146,6 +146,29 @@ def test_language_and_toxicity(spark, docs, none):
     assert toxicity.held_out_scores(none, labels).count() == 0
 
 
+def test_toxicity_with_one_id_for_most_rows(spark):
+    """An id that most rows share teaches with one text, so the fit stays as large as its ids; a very long text is scored whole."""
+    rows = [(7, f"plain words number {i}") for i in range(300)] + [(i, "you awful zlorp go" if i % 3 == 0 else f"nice day number {i}") for i in range(10, 90)] + [(500, "calm words " * 60_000 + "awful zlorp " * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 0), *((i, int(i % 3 == 0)) for i in range(10, 90))], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {(r.doc_id, r.text): r.score for r in toxicity.score(docs, model).collect()}
+    assert len(got) == len(rows) and min(s for (i, _), s in got.items() if 10 <= i < 90 and i % 3 == 0) > 0.7 > max(s for (i, _), s in got.items() if i == 7)
+    assert got[rows[-1]] > got[7, "plain words number 1"]
+
+
+def test_near_duplicates_with_null_ids(spark):
+    docs = spark.createDataFrame([(None, WORDS), (None, WORDS), (4, WORDS), (None, "lone words of nobody at all"), (None, "")], "doc_id long, text string")
+    assert sorted((repr(r.doc_id), repr(r.component_id)) for r in neardup.group(docs, 3, 85).collect()) == [("4", "4"), ("None", "4"), ("None", "4"), ("None", "None"), ("None", "None")]
+
+
+def test_url_suffixes_of_odd_hosts(spark):
+    rows = ["http://10.0.0.1:8080/x", "http://host:80/", "http://[::1]/p", "http:///p", "http://a.b.c.org:81/q", "://", "http://..../"]
+    made = urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), queries.URL_RULES)
+    got = {r.page_id: (r.url_host, r.verdict) for r in made.collect()}
+    assert len(got) == len(rows) and got[0][0] == "10.0.0.1:8080" and got[3][0] == "" and got[4] == ("a.b.c.org:81", got[4][1])
+
+
 def test_mixed_language_spans(spark):
     en, de = ("the house with that and which other", "das haus mit dem und welches andere")
     rows = [(i, f"{en} " * 8, "en") for i in range(0, 40, 2)] + [(i, f"{de} " * 8, "de") for i in range(1, 40, 2)]

@@ -96,17 +96,18 @@ def test_wav_round_trip(codec):
     assert telephony.read_wav(telephony.wav(b"abcd" * 64, codec, block=64)) == (codec, 8000, b"abcd" * 64)
 
 
-@pytest.mark.parametrize("segment", [4, 7, 64])
-def test_viterbi_equals_a_word_at_a_time(segment):
+@pytest.mark.parametrize(("segment", "langs"), [(4, 3), (7, 3), (64, 3), (7, 200)])
+def test_viterbi_equals_a_word_at_a_time(segment, langs):
+    """Also with more languages than a byte has codes."""
     rng = np.random.default_rng(segment)
     doc = np.repeat(np.arange(7), rng.integers(1, 60, 7))
-    score = rng.normal(size=(len(doc), 3)) * 2
+    score = rng.normal(size=(len(doc), langs)) * 2
     got = language.viterbi(score, doc, 3.0, segment)
     for d in range(7):
-        v, back = np.zeros(3), []
+        v, back = np.zeros(langs), []
         for row in score[doc == d]:
             jump = v.max() - 3.0
-            back.append(np.where(jump > v, v.argmax(), np.arange(3)))
+            back.append(np.where(jump > v, v.argmax(), np.arange(langs)))
             v = np.maximum(v, jump) + row
         path = [int(v.argmax())]
         for b in back[:0:-1]:
@@ -257,6 +258,12 @@ def test_collision_counting_recall():
     assert hit / 400 >= 0.9
 
 
+def test_scripts_of_words():
+    words = language.Words(["abc дом дoм", "ab漢字漢", ""])
+    names = [language.SCRIPT_NAMES[i] for i in words.script]
+    assert names == ["latin", "cyrillic", "cyrillic", "han"]
+
+
 def test_trees_and_label_model():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(2000, 4))
