@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from kinelake.functions import scalar
 from kinelake.functions.scalar import DAY, HOUR, MINUTE, SECOND
 from kinelake.operators import epochs, evaluate, fit, quality, score, signal, summary
-from kinelake.plans.registry import CLASSES, DATE, DT, EP, EV, MARKS, SIX, events, hourly, query, rounded, six_hours
+from kinelake.plans import recording
+from kinelake.plans.registry import CLASSES, COLUMNS, DATE, DT, EP, EV, HR, IMP, M10L5, MARKS, MN, SIX, WD, _POWER, events, hourly, imputed, query, rounded, six_hours
 
 #: Embeddings as recordings of three axes, a sample a second, with holes.
 HOLES = "pt as (select vec_id as subject_id, i - 1 as t, case when (vec_id + i) % 5 = 0 and vec_id % 3 = 0 or vec_id % 7 = 0 and i > 10 then null else 6.0::double * embedding[i]::double end as x, 6.0::double * embedding[i + 21]::double as y, 6.0::double * embedding[i + 42]::double as z from embeddings, range(1, 22) r(i))"
@@ -176,3 +177,32 @@ select subject_id, f + k * {10 * MINUTE} as us, round(case when nu is null or 2
 def resample_nearest(spark, sf):
     some = events(spark, sf).groupBy("subject_id", "us").agg(F.max("value").alias("value"))
     return rounded(signal.resample(some, ["value"], 10 * MINUTE, linear=False), "value")
+
+
+def _document_sql() -> str:
+    """Every number of the summary document; the averages of each column from its weekday and hour cells."""
+    level = ", ".join(map(str, summary.LEVELS))
+    days = ", ".join(f"'{d}'" for d in recording.NAMES)
+    tall = " union all ".join(f"select subject_id, us, '{c}' as c, {c} as v from imp" for c in COLUMNS)
+    z = " ".join(f"when {c} = greatest({', '.join(CLASSES)}) then {1.0 if c == 'sleep' else -1.0}" for c in CLASSES)
+    recorded = " union all ".join(f"select subject_id, 'day' || day || '-recorded-{c}(hrs)' as metric, {c} * {DT} / 3600 as value from rec" for c in CLASSES)
+    return f"""with {IMP}, long as ({tall}), ends_ as (select subject_id, min(us) as lo, max(us) as hi from ep group by 1),
+cells as (select subject_id, c, {WD} as weekday, {HR} as hour, avg(v) as mean from long group by all), wk as (select subject_id, c, weekday >= 5 as we, hour, avg(mean) as avg from cells group by all),
+lv(level) as (select unnest([{level}])), ec as (select subject_id, level, {HR} as h, {MN} as mi, avg(case when acc is null or acc <= level then 1 else 0 end) as s from imp, lv group by all),
+rd as (select subject_id, us // {DAY} as d, min(us) as us, {', '.join(f'coalesce(sum({c}), 0) as {c}' for c in CLASSES)} from ep group by 1, 2), rec as (select *, dense_rank() over (partition by subject_id order by d) - 1 as day from rd),
+sg as (select subject_id, row_number() over (partition by subject_id order by us) - 1 as t, 2 * pi() * 3600 / 86400 as w, acc, case {z} else -1.0 end as z from imp), {M10L5},
+m as (select subject_id, 'acc-ecdf-' || level || 'mg' as metric, avg(s) as value from ec group by subject_id, level union all {recorded}
+union all select subject_id, 'FirstDay(0=mon,6=sun)', (min(us) // {DAY} + 3) % 7 from rd group by 1
+union all select subject_id, c || '-overall-avg', avg(v) from long join ends_ using (subject_id) where us between lo and hi group by subject_id, c union all select subject_id, c || '-overall-sd', stddev_samp(v) from long join ends_ using (subject_id) where us between lo and hi group by subject_id, c
+union all select subject_id, c || '-week-avg', avg(mean) from cells group by subject_id, c union all select subject_id, c || '-' || [{days}][weekday + 1] || '-avg', avg(mean) from cells group by subject_id, c, weekday
+union all select subject_id, c || '-hourOfDay-' || hour || '-avg', avg(mean) from cells group by subject_id, c, hour
+union all select subject_id, c || '-week' || case when we then 'end' else 'day' end || '-avg', avg(avg) from wk group by subject_id, c, we union all select subject_id, c || '-hourOfWeek' || case when we then 'end' else 'day' end || '-' || hour || '-avg', avg from wk
+union all select subject_id, 'PSD_acc', {_POWER.format(v='acc')} from sg group by 1 union all select subject_id, 'PSD_sleep', {_POWER.format(v='z')} from sg group by 1 union all select subject_id, 'M10L5', (m10 - l5) / (m10 + l5) from ml)
+select subject_id, metric, round(value, 6) + 0 as value from m"""
+
+
+@query(_document_sql())
+def summary_document(spark, sf):
+    """All metrics of a recording's summary but the dominant frequencies, which have a query of their own."""
+    made = recording.metrics(hourly(spark, sf), imputed(spark, sf), CLASSES, DT).where(~F.col("metric").startswith("fourier"))
+    return rounded(made, "value")
