@@ -35,8 +35,8 @@ def psd(df: DataFrame, value: Column, epoch_s: float) -> DataFrame:
 def m10_l5(df: DataFrame, value: str, epoch_s: float, include_last: bool = False) -> DataFrame:
     """subject_id, m10, l5, relative_amplitude, status. Days count from each subject's first epoch; as many as whole days lie between first and last epoch; the last window start of a day is skipped unless include_last. Sliding sums are differences of prefix sums."""
     ten, five = int(10 * 3600 / epoch_s), int(5 * 3600 / epoch_s)
-    whole = div(F.max("us").over(by_subject()) - F.min("us").over(by_subject()), DAY)
-    days = df.select("subject_id", "us", F.col(value).alias("v"), F.min("us").over(by_subject()).alias("first"), whole.alias("days")).withColumn("day", div(F.col("us") - F.col("first"), DAY))
+    ends = df.groupBy("subject_id").agg(F.min("us").alias("first"), div(F.max("us") - F.min("us"), DAY).alias("days"))
+    days = df.select("subject_id", "us", F.col(value).alias("v")).join(ends, "subject_id").withColumn("day", div(F.col("us") - F.col("first"), DAY))
     by = Window.partitionBy("subject_id", "day")
     order = by.orderBy("us")
     inside = days.where("day < days").withColumns({"n": F.count("*").over(by), "rn": F.row_number().over(order), "upto": F.sum(F.coalesce("v", F.lit(0.0))).over(order.rowsBetween(Window.unboundedPreceding, 0)), "miss": F.count_if(F.col("v").isNull()).over(order.rowsBetween(Window.unboundedPreceding, 0))})
@@ -87,5 +87,6 @@ def rolling_minute(df: DataFrame, value: str, top: float = 2000.0) -> DataFrame:
 
 
 def first_days(df: DataFrame, n: int) -> DataFrame:
-    """Rows of each subject's first n days."""
-    return df.withColumn("first_", F.min("us").over(by_subject())).where(F.col("us") < F.col("first_") + n * DAY).drop("first_")
+    """Rows of each subject's first n days. The first times come from an aggregate that is joined back."""
+    firsts = df.groupBy("subject_id").agg(F.min("us").alias("first_"))
+    return df.join(firsts, "subject_id").where(F.col("us") < F.col("first_") + n * DAY).select(df.columns)

@@ -158,6 +158,37 @@ def load(name: str, scheme: str, path: str | None = None) -> Callable[[DataFrame
     return make(path)
 
 
+def array_scorer(make: Callable[[], Callable[[np.ndarray], np.ndarray]], labels: list[str], batch: int = 512) -> Callable[[DataFrame], DataFrame]:
+    """A scorer for a model over window arrays: make() is called once a task and gives a function from (windows, 3, samples) float32, of at most
+    `batch` windows, to (windows, labels) logits. Windows get label (the largest logit, ties to the first), logits and probability; those without whole arrays get nulls, in their place."""
+
+    def score(df: DataFrame) -> DataFrame:
+        df = df.drop("label", "logits", "probability")
+
+        def run(batches):
+            model = make()
+            for part in batches:
+                size = np.where(part.column("x").is_valid().to_numpy(zero_copy_only=False), part.column("x").value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+                out = np.full((part.num_rows, len(labels)), np.nan)
+                for n in np.unique(size[size > 0]).tolist():
+                    at = np.flatnonzero(size == n)
+                    v = np.stack([part.column(c).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n) for c in "xyz"], axis=1).astype(np.float32)
+                    whole = np.isfinite(v).all(axis=(1, 2))
+                    at, v = at[whole], v[whole]
+                    for lo in range(0, len(at), batch):
+                        out[at[lo : lo + batch]] = model(v[lo : lo + batch])
+                none = np.isnan(out[:, 0])
+                high = np.exp(out - np.max(out, axis=1, keepdims=True))
+                pick = [None if x else labels[i] for x, i in zip(none, np.where(none[:, None], 0, out).argmax(axis=1), strict=True)]
+                rows = lambda m: pa.array([None if x else r for x, r in zip(none, m.tolist(), strict=True)], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pick, pa.string()), rows(out), rows(high / high.sum(axis=1, keepdims=True))], [*part.schema.names, "label", "logits", "probability"])
+
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "label string, logits array<double>, probability array<double>"])
+        return df.mapInArrow(run, schema)
+
+    return score
+
+
 def predict_recording(samples: DataFrame, scorer: Callable[[DataFrame], DataFrame], epoch_s: float, rate: int | None, length: int | None = None, smoother: sequence.HiddenMarkov | None = None, least_sleep_s: float | None = None, single_block: bool = False, labels: list[str] | None = None) -> DataFrame:
     """subject_id, us, acc, label of each epoch. scorer adds label to windows (null arrays must get null). Sleep that doesn't count becomes the still label of `labels`. Without a rate the samples' column of that name has each subject's."""
     still = sequence.still_label(labels) if labels and (least_sleep_s or single_block) else "sedentary"

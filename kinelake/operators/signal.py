@@ -15,7 +15,8 @@ from kinelake.functions.scalar import HOUR, div
 def resample(df: DataFrame, columns: list[str], step_us: int, linear: bool = True) -> DataFrame:
     """subject_id, us and columns on each subject's grid from its first time on: linear between the neighbours, or the nearer one's value (ties to the later). A missing neighbour gives a missing value."""
     by = Window.partitionBy("subject_id").orderBy("us")
-    nxt = df.select("subject_id", "us", *columns).withColumns({"next_": F.lead("us").over(by), "first_": F.min("us").over(Window.partitionBy("subject_id")), **{f"next_{c}": F.lead(c).over(by) for c in columns}})
+    firsts = df.groupBy("subject_id").agg(F.min("us").alias("first_"))
+    nxt = df.select("subject_id", "us", *columns).join(firsts, "subject_id").withColumns({"next_": F.lead("us").over(by), **{f"next_{c}": F.lead(c).over(by) for c in columns}})
     # the grid points in [us, next us) belong to this row alone, so no join is needed
     start = -div(F.col("first_") - F.col("us"), step_us)
     stop = F.when(F.col("next_").isNull(), div(F.col("us") - F.col("first_"), step_us)).otherwise(-div(F.col("first_") - F.col("next_"), step_us) - 1)

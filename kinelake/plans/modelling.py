@@ -198,11 +198,63 @@ union all select subject_id, c || '-week-avg', avg(mean) from cells group by sub
 union all select subject_id, c || '-hourOfDay-' || hour || '-avg', avg(mean) from cells group by subject_id, c, hour
 union all select subject_id, c || '-week' || case when we then 'end' else 'day' end || '-avg', avg(avg) from wk group by subject_id, c, we union all select subject_id, c || '-hourOfWeek' || case when we then 'end' else 'day' end || '-' || hour || '-avg', avg from wk
 union all select subject_id, 'PSD_acc', {_POWER.format(v='acc')} from sg group by 1 union all select subject_id, 'PSD_sleep', {_POWER.format(v='z')} from sg group by 1 union all select subject_id, 'M10L5', (m10 - l5) / (m10 + l5) from ml)
-select subject_id, metric, round(value, 6) + 0 as value from m"""
+select subject_id, metric, round(value, 9) + 0 as value from m"""
 
 
 @query(_document_sql())
 def summary_document(spark, sf):
     """All metrics of a recording's summary but the dominant frequencies, which have a query of their own."""
     made = recording.metrics(hourly(spark, sf), imputed(spark, sf), CLASSES, DT).where(~F.col("metric").startswith("fourier"))
-    return rounded(made, "value")
+    return rounded(made, "value", digits=9)
+
+
+def _levels():
+    """A stand-in for a trained network: logits from each axis' mean."""
+    return lambda v: 4 * v.mean(axis=2, dtype="float64") + [0.0, 0.1, 0.2]
+
+
+@query("""with v as (select vec_id, [4 * list_avg(list_transform(range(1, 22), lambda i: embedding[i]::double)), 4 * list_avg(list_transform(range(1, 22), lambda i: embedding[i + 21]::double)) + 0.1, 4 * list_avg(list_transform(range(1, 22), lambda i: embedding[i + 42]::double)) + 0.2] as l from embeddings),
+p as (select vec_id, l, list_transform(l, lambda x: exp(x - list_max(l))) as e from v) select vec_id, case when vec_id % 9 > 0 then ['light', 'sedentary', 'sleep'][list_position(l, list_max(l))] end as label, case when vec_id % 9 > 0 then round(l[3], 6) end as logit, case when vec_id % 9 > 0 then round(e[1] / list_sum(e), 6) end as p_light from p""")
+def batched_array_scorer(spark, sf):
+    """A model over window arrays in batches: label, logits and probabilities; windows with a hole have none."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    w = e.select("vec_id", *(F.slice("embedding", 1 + 21 * k, 21).alias(c) for k, c in enumerate("xyz")))
+    w = w.withColumn("x", F.when(F.col("vec_id") % 9 > 0, F.col("x")).when(F.col("vec_id") % 2 > 0, F.transform("x", lambda v, i: F.when(i > 0, v))))
+    made = score.array_scorer(_levels, ["light", "sedentary", "sleep"], batch=64)(w)
+    return rounded(made.select("vec_id", "label", F.element_at("logits", 3).alias("logit"), F.element_at("probability", 1).alias("p_light")), "logit", "p_light")
+
+
+def _low_pass_sql() -> str:
+    """Each section as a recursion over the samples, forwards, then all of them backwards."""
+    parts, source = ["x0 as (select vec_id, i - 1 as t, embedding[i]::double as x from embeddings, range(1, 65) r(i))"], "x0"
+    sections = signal.butterworth(8, 20, 100)
+    for turn in (0, 1):
+        for k, (b, a) in enumerate(sections):
+            name, back = f"f{turn}{k}", turn == 1 and k == 0
+            b, a = [f"({float(v)!r}::double)" for v in b], [f"({float(v)!r}::double)" for v in a]
+            parts.append(f"q{name} as (select vec_id, {'63 - t' if back else 't'} as t, x from {source})")
+            y0, y = f"({b[0]} * x + (1 - {b[0]}) * x)", f"({b[0]} * q.x + f.s1)"
+            parts.append(f"""{name}(vec_id, t, x, s1, s2) as (select vec_id, t, {y0}, {b[1]} * x - {a[1]} * {y0} + ({b[2]} - {a[2]}) * x, {b[2]} * x - {a[2]} * {y0} from q{name} where t = 0
+union all select q.vec_id, q.t, {y}, {b[1]} * q.x - {a[1]} * {y} + f.s2, {b[2]} * q.x - {a[2]} * {y} from {name} f join q{name} q on q.vec_id = f.vec_id and q.t = f.t + 1)""")
+            source = name
+    return "with recursive " + ", ".join(parts) + f" select vec_id, ((63 - t) * 10000)::bigint as us, round(x, 6) + 0 as value from {source}"
+
+
+@query(_low_pass_sql())
+def low_pass(spark, sf):
+    """An eighth-order filter at 20 Hz of 64 samples a vector, forwards and backwards."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("subject_id"), F.posexplode("embedding").alias("t", "value"))
+    made = signal.low_pass(e.select("subject_id", (F.col("t").cast("long") * 10_000).alias("us"), F.col("value").cast("double").alias("value")), ["value"], 20, 100)
+    return rounded(made.select(F.col("subject_id").alias("vec_id"), "us", "value"), "value")
+
+
+_TITLES = {c: c[:1].upper() + c[1:].lower() for c in CLASSES}
+
+
+@query(f"""with {IMP}, w as (select subject_id, {DATE('us')} as date, round(count(acc) * 3600.0 / 3600, 2) as w from ep group by all), a as (select subject_id, {DATE('us')} as date, round(case when count(ep.acc) > 20 then avg(ep.acc) end, 9) as e, round(case when count(imp.acc) > 20 then avg(imp.acc) end, 9) as ea,
+{', '.join(f'round(case when count(ep.{c}) > 20 then sum(ep.{c}) end, 9) as {c}, round(case when count(imp.{c}) > 20 then sum(imp.{c}) end, 9) as {c}_adj' for c in CLASSES)} from imp left join ep using (subject_id, us) group by all)
+select subject_id, date, w as "WearTime(hours)", e as "ENMO(mg)", ea as "ENMO Adjusted(mg)", {', '.join(f'{c} as "{t}(hours)", {c}_adj as "{t} Adjusted(hours)"' for c, t in _TITLES.items())} from w full join a using (subject_id, date)""")
+def daily_table(spark, sf):
+    """Wear, intensity and class hours of each day in one table; days that only one side has are there."""
+    made = recording.daily(hourly(spark, sf), imputed(spark, sf), CLASSES, DT, 20 * 60)
+    return made.select("subject_id", "date", *(F.round(f"`{c}`", 9).alias(c) for c in made.columns[2:]))

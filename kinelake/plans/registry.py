@@ -453,14 +453,14 @@ def paired_t_p_value(spark, sf):
     return rounded(evaluate.paired_t(pairs(spark, sf), ["segment"], "a", "b"), "t", "p")
 
 
-@query(f"with {PAIRS} select segment, count(*) as n, round(corr(a, b), 9) as r, round(avg(a - b), 9) as mean_difference, round(stddev_samp(a - b), 9) as sd, round(avg((a + b) / 2), 9) as mean_of_means, round(avg(a - b) - 1.96 * stddev_samp(a - b), 9) as lower, round(avg(a - b) + 1.96 * stddev_samp(a - b), 9) as upper from paired group by 1")
+@query(f"with {PAIRS} select segment, count(*) as n, round(corr(a, b), 8) as r, round(avg(a - b), 8) as mean_difference, round(stddev_samp(a - b), 8) as sd, round(avg((a + b) / 2), 8) as mean_of_means, round(avg(a - b) - 1.96 * stddev_samp(a - b), 8) as lower, round(avg(a - b) + 1.96 * stddev_samp(a - b), 8) as upper from paired group by 1")
 def bland_altman(spark, sf):
-    return rounded(evaluate.bland_altman(pairs(spark, sf), ["segment"], "a", "b"), "r", "mean_difference", "sd", "mean_of_means", "lower", "upper", digits=9)
+    return rounded(evaluate.bland_altman(pairs(spark, sf), ["segment"], "a", "b"), "r", "mean_difference", "sd", "mean_of_means", "lower", "upper", digits=8)
 
 
-@query(f"with {PAIRS} select segment, count(*) as n, round(quantile_cont(a - b, 0.25), 9) as q1, round(quantile_cont(a - b, 0.5), 9) as median, round(quantile_cont(a - b, 0.75), 9) as q3, round(avg(a - b), 9) as mean, round(stddev_samp(a - b), 9) as sd from paired group by 1")
+@query(f"with {PAIRS} select segment, count(*) as n, round(quantile_cont(a - b, 0.25), 8) as q1, round(quantile_cont(a - b, 0.5), 8) as median, round(quantile_cont(a - b, 0.75), 8) as q3, round(avg(a - b), 8) as mean, round(stddev_samp(a - b), 8) as sd from paired group by 1")
 def error_quartiles(spark, sf):
-    return rounded(evaluate.error_quartiles(pairs(spark, sf), ["segment"], F.col("a") - F.col("b")), "q1", "median", "q3", "mean", "sd", digits=9)
+    return rounded(evaluate.error_quartiles(pairs(spark, sf), ["segment"], F.col("a") - F.col("b")), "q1", "median", "q3", "mean", "sd", digits=8)
 
 
 FOLD = "(('0x' || substr(md5(user_id::varchar), 1, 8))::bigint % 5)::int"
