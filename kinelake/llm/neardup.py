@@ -2,7 +2,7 @@
 
 Documents with equal shingle sets are one node from the start, so copies never meet in pairs. Each node has a
 signature of TREES x LEVELS one-byte minima. The forest sorts nodes once for each tree by its part of the signature;
-nodes with a longest common prefix of at least LEAST_LEVEL values stand in one region. In a region of up to FULL
+nodes with a longest common prefix of at least SHALLOW values stand in one region, which is split by the next value where it has more than FULL nodes. In a region of up to FULL
 nodes all pairs whose whole signatures agree enough are candidates; in a larger one the sorted order is
 taken deeper, in stretches of up to STRETCH neighbours with the longest common prefixes, and each node is a candidate with
 its NEAREST by signature and with the stretch's centre. Stretches follow the sort order, so no key gathers an unbounded
@@ -32,7 +32,8 @@ from .bpe import span_hashes
 from .common import drop_stored, map_slices, mix64, stored, utf8
 
 TREES, LEVELS = 16, 8
-LEAST_LEVEL = 4
+#: Values of a common prefix that make a region: the first, where it has up to FULL nodes, else the second.
+SHALLOW, LEAST_LEVEL = 3, 4
 FULL, STRETCH, NEAREST = 128, 1024, 8
 #: Nodes and shingles of a block of the second pass, about.
 BLOCK, BLOCK_SHINGLES = 1024, 500_000
@@ -151,11 +152,17 @@ def _stretch_pairs(sig: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([*a, np.full(len(rest), centre)]), np.concatenate([*b, rest])
 
 
+def _regions(keys: np.ndarray, level: int) -> np.ndarray:
+    """Where regions of a common prefix of `level` begin in the sort order, and its end."""
+    return np.flatnonzero(np.r_[True, (keys[1:, :level] != keys[:-1, :level]).any(axis=1), True])
+
+
 def forest_pairs(keys: np.ndarray, sig: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs among nodes in the sort order of one tree; keys: (n, LEVELS)."""
-    same = keys[1:] == keys[:-1]
-    together = same[:, :LEAST_LEVEL].all(axis=1)
-    edge = np.flatnonzero(np.r_[True, ~together, True])
+    """Candidate pairs among nodes in the sort order of one tree; keys: (n, LEVELS). Regions go as deep as they are full."""
+    edge = _regions(keys, SHALLOW)
+    full = np.flatnonzero(np.diff(edge) > FULL)
+    deep = _regions(keys, LEAST_LEVEL)
+    edge = np.unique(np.concatenate((edge, *(deep[(deep > edge[r]) & (deep < edge[r + 1])] for r in full))))
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     size = np.diff(edge)
     for lo, n in zip(edge[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True):
@@ -177,7 +184,7 @@ def forest_pairs(keys: np.ndarray, sig: np.ndarray, least: int) -> tuple[np.ndar
 
 def marked(keys: np.ndarray) -> np.ndarray:
     """Places of the sort order in regions of more than FULL nodes, and in the first and the last region, which may go on elsewhere."""
-    edge = np.flatnonzero(np.r_[True, (keys[1:, :LEAST_LEVEL] != keys[:-1, :LEAST_LEVEL]).any(axis=1), True])
+    edge = _regions(keys, LEAST_LEVEL)
     size = np.diff(edge)
     on = size > FULL
     on[[0, -1]] = True
@@ -206,7 +213,7 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
         for part in batches:
             for k in range(4):
                 held[k] += part.column(k).to_pylist()
-            prefix = lambda i: (held[0][i], held[1][i][:LEAST_LEVEL])
+            prefix = lambda i: (held[0][i], held[1][i][:SHALLOW])
             last = len(held[0]) - 1
             if last < 20_000 or prefix(0) == prefix(last) and last < 100_000:
                 continue

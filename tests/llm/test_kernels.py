@@ -221,6 +221,14 @@ def test_forest_finds_near_neighbours_in_dense_regions():
     assert len({find(i) for i in range(600)}) == 1 and len(a) < 600 * 3 * (neardup.NEAREST + 1)
 
 
+def test_regions_go_as_deep_as_they_are_full(monkeypatch):
+    monkeypatch.setattr(neardup, "FULL", 3)
+    keys = np.array([[1, 1, 1, v, 0, 0, 0, 0] for v in (1, 2)] + [[1, 1, 2, v, 0, 0, 0, 0] for v in (1, 1, 2, 3)] + [[2] * 8], np.uint8)
+    sig = np.zeros((7, neardup.TREES * neardup.LEVELS), np.uint8)
+    assert sorted(zip(*(x.tolist() for x in neardup.forest_pairs(keys, sig, 1)), strict=True)) == [(0, 1), (2, 3)]
+    assert [len(x) for x in neardup.forest_pairs(keys[:0], sig[:0], 1)] == [0, 0]
+
+
 def test_second_pass_links_what_is_apart():
     rng = np.random.default_rng(7)
     base = np.arange(200)
