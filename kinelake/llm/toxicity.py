@@ -85,7 +85,7 @@ class Signs:
         return np.concatenate([self.present, self.patterns, np.log1p(self.hits)[:, None]], axis=1).astype(np.float64)
 
 
-def chunks(texts: list[str], most: int = 1 << 20):
+def chunks(texts: list[str], most: int = 1 << 18):
     """(first, texts) of runs of texts with about `most` characters."""
     lo, size = 0, 0
     for i, text in enumerate(texts):
@@ -95,9 +95,8 @@ def chunks(texts: list[str], most: int = 1 << 20):
             lo, size = i + 1, 0
 
 
-def _key_pairs(texts: list[str], rows: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
-    """Distinct (key, row) of texts, of wanted (sorted) keys only if given."""
-    parts = [np.zeros(0, [("key", np.uint64), ("doc", np.int64)])]
+def _key_pairs(texts: list[str], rows: np.ndarray, wanted: np.ndarray | None = None):
+    """Distinct (keys, rows) of texts, of wanted (sorted) keys only if given; arrays for a run of texts at a time, in the order of keys."""
     for lo, some in chunks(texts):
         words = Words(some)
         who, keys = word_keys(words)
@@ -108,35 +107,44 @@ def _key_pairs(texts: list[str], rows: np.ndarray, wanted: np.ndarray | None = N
         order = np.lexsort((doc, keys))
         keys, doc = keys[order], doc[order]
         new = np.r_[True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])] if len(keys) else np.zeros(0, bool)
-        part = np.empty(int(new.sum()), parts[0].dtype)
-        part["key"], part["doc"] = keys[new], doc[new]
-        parts.append(part)
-    out = np.concatenate(parts)
-    return out[np.lexsort((out["doc"], out["key"]))]
+        yield keys[new], doc[new]
+
+
+def _pairs(texts: list[str], rows: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All of _key_pairs in the order of keys, then rows."""
+    key, doc = (np.concatenate(x) for x in zip((np.zeros(0, np.uint64), np.zeros(0, np.int64)), *_key_pairs(texts, rows, wanted), strict=True))
+    order = np.lexsort((doc, key))
+    return key[order], doc[order]
 
 
 def mine(texts: list[str], toxic: np.ndarray) -> np.ndarray:
-    """Keys that stand in toxic rows far more than in others, strongest first."""
+    """Keys that stand in toxic rows far more than in others, strongest first. Keys are counted a run of texts at a time; only those that pass keep their rows."""
     marked = np.flatnonzero(toxic)
-    key, held = np.unique(_key_pairs([texts[i] for i in marked], marked)["key"], return_counts=True)
+    key, held = np.unique(_pairs([texts[i] for i in marked], marked)[0], return_counts=True)
     wanted = key[held >= max(4, 0.004 * toxic.sum())]
     if not len(wanted):
         return wanted
-    pair = _key_pairs(texts, np.arange(len(texts)), wanted)
-    key, first = np.unique(pair["key"], return_index=True)
-    bad = np.add.reduceat(toxic[pair["doc"]].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    total = np.diff(np.r_[first, len(pair)])
-    precision = (bad + 0.5) / (total + 1)
+    total, bad = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+    for key, doc in _key_pairs(texts, np.arange(len(texts)), wanted):
+        slot = np.searchsorted(wanted, key)
+        total += np.bincount(slot, minlength=len(wanted))
+        bad += np.bincount(slot[toxic[doc]], minlength=len(wanted))
     base = max(1e-3, toxic.mean())
-    ok = np.flatnonzero((precision >= min(0.9, max(0.6, 3 * base))))
-    gain = bad[ok] * np.log(precision[ok] / base) + (total - bad)[ok] * np.log((1 - precision[ok]) / (1 - base))
+    ok = (bad + 0.5) / (total + 1) >= min(0.9, max(0.6, 3 * base))
+    key, total, bad = wanted[ok], total[ok], bad[ok]
+    if not len(key):
+        return key
+    precision = (bad + 0.5) / (total + 1)
+    gain = bad * np.log(precision / base) + (total - bad) * np.log((1 - precision) / (1 - base))
+    _, rows = _pairs(texts, np.arange(len(texts)), key)
+    first = np.cumsum(total) - total
     covered, chosen, seen = np.zeros(len(texts), np.int64), [], set()
-    held = np.add.reduceat(mix64(pair["doc"].astype(np.uint64) + np.uint64(1)), first) if len(first) else key
-    for i in ok[np.lexsort((key[ok], 1 - (key[ok] & np.uint64(1)).astype(np.int64), -gain))]:
+    held = np.add.reduceat(mix64(rows.astype(np.uint64) + np.uint64(1)), first)
+    for i in np.lexsort((key, 1 - (key & np.uint64(1)).astype(np.int64), -gain)):
         if held[i] in seen:  # the same rows as an entry before; whole words come first
             continue
         seen.add(held[i])
-        docs = pair["doc"][first[i] : first[i] + total[i]]
+        docs = rows[first[i] : first[i] + total[i]]
         docs = docs[toxic[docs]]
         if (covered[docs] < 6).any():  # what only repeats many chosen entries adds nothing
             covered[docs] += 1
@@ -253,7 +261,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score")
         p = probability(model, Signs(part.column(text).fill_null("").to_pylist(), lexicon).features())
         return pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, out])
 
-    return map_slices(docs, text, kernel, f"{ddl(docs)}, {out} double", most=1 << 20)
+    return map_slices(docs, text, kernel, f"{ddl(docs)}, {out} double", most=1 << 19)
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
