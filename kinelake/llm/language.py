@@ -110,7 +110,7 @@ def counted(picked: DataFrame) -> DataFrame:
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", 1 << 19):
             words = Words(part.column("text").to_pylist())
             names, code = np.unique(np.array(part.column("lang").to_pylist(), object), return_inverse=True)
             own = code[words.doc]
@@ -274,7 +274,7 @@ def identify(docs: DataFrame, model: dict | None, spans: bool = False, text: str
         kinds_ = (pa.string(), pa.float64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))
         return pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, k) for x, k in zip(made[: len(names)], kinds_, strict=False))], [*part.schema.names, *names])
 
-    return map_slices(docs, text, kernel, ", ".join([ddl(docs), *(f"{n} {k}" for n, k in zip(names, kinds, strict=False))]), most=1 << 20)
+    return map_slices(docs, text, kernel, ", ".join([ddl(docs), *(f"{n} {k}" for n, k in zip(names, kinds, strict=False))]), most=1 << 19)
 
 
 def held_out_predictions(docs: DataFrame) -> DataFrame:
