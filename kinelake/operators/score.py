@@ -31,11 +31,13 @@ def threshold_label(value: str, cuts: list[tuple[float, str]], top: str) -> F.Co
 
 
 def windows(samples: DataFrame, epoch_s: float, rate: int | None = None, length: int | None = None) -> DataFrame:
-    """subject_id, idx, epoch_us, n, x, y, z: fitted arrays of epoch_s * rate samples, resized to `length` if given; null arrays for windows with too few samples. Without a rate the samples' column of that name has each subject's."""
+    """subject_id, idx, epoch_us, n, x, y, z: fitted arrays of epoch_s * rate samples, resized to `length` if given; null arrays for windows with too few samples or a missing value. Without a rate the samples' column of that name has each subject's."""
     samples = samples if rate is None else samples.withColumn("rate", F.lit(rate))
-    made = epochs.anchored(samples.where("x is not null and y is not null and z is not null"), epoch_s).groupBy("subject_id", "idx", "epoch_us").agg(F.count("*").alias("n"), F.max("rate").alias("rate"), F.sort_array(F.collect_list(F.struct("us", "x", "y", "z"))).alias("s"))
+    made = epochs.anchored(samples, epoch_s).groupBy("subject_id", "idx", "epoch_us").agg(F.count("*").alias("n"), F.max("rate").alias("rate"), F.sort_array(F.collect_list(F.struct("us", "x", "y", "z"))).alias("s"))
     size = F.floor(F.col("rate") * epoch_s).cast("int")
     out = made.select("subject_id", "idx", "epoch_us", "n", *(epochs.fit(F.col(f"s.{c}"), size).alias(c) for c in "xyz"))
+    holes = F.exists("x", F.isnull) | F.exists("y", F.isnull) | F.exists("z", F.isnull)
+    out = out.withColumn("whole_", ~holes).withColumns({c: F.when(F.col("whole_"), F.col(c)) for c in "xyz"}).drop("whole_")
     return out.withColumns({c: epochs.resize(F.col(c), length) for c in "xyz"}) if length else out
 
 
@@ -190,9 +192,12 @@ def array_scorer(make: Callable[[], Callable[[np.ndarray], np.ndarray]], labels:
 
 
 def predict_recording(samples: DataFrame, scorer: Callable[[DataFrame], DataFrame], epoch_s: float, rate: int | None, length: int | None = None, smoother: sequence.HiddenMarkov | None = None, least_sleep_s: float | None = None, single_block: bool = False, labels: list[str] | None = None) -> DataFrame:
-    """subject_id, us, acc, label of each epoch. scorer adds label to windows (null arrays must get null). Sleep that doesn't count becomes the still label of `labels`. Without a rate the samples' column of that name has each subject's."""
+    """subject_id, us, acc, label of each epoch from first to last, those without samples too. scorer adds label to windows (null arrays must get null). Sleep that doesn't count becomes the still label of `labels`. Without a rate the samples' column of that name has each subject's."""
     still = sequence.still_label(labels) if labels and (least_sleep_s or single_block) else "sedentary"
     scored = scorer(window_enmo(windows(samples, epoch_s, rate, length))).select("subject_id", F.col("epoch_us").alias("us"), "acc", "label")
+    ends = scored.groupBy("subject_id").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+    grid = ends.select("subject_id", F.explode(F.sequence("lo", "hi", F.lit(int(epoch_s * 1e6)))).alias("us"))
+    scored = grid.join(scored, ["subject_id", "us"], "left")
     if smoother:
         scored = smoother.smooth(scored, "label", int(epoch_s * 1e6)).withColumn("label", F.col("smoothed")).drop("smoothed")
     if least_sleep_s:

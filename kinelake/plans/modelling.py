@@ -10,27 +10,28 @@ from kinelake.operators import epochs, evaluate, fit, quality, score, signal, su
 from kinelake.plans import recording
 from kinelake.plans.registry import CLASSES, COLUMNS, DATE, DT, EP, EV, HR, IMP, M10L5, MARKS, MN, SIX, WD, _POWER, events, hourly, imputed, query, rounded, six_hours
 
-#: Embeddings as recordings of three axes, a sample a second, with holes.
-HOLES = "pt as (select vec_id as subject_id, i - 1 as t, case when (vec_id + i) % 5 = 0 and vec_id % 3 = 0 or vec_id % 7 = 0 and i > 10 then null else 6.0::double * embedding[i]::double end as x, 6.0::double * embedding[i + 21]::double as y, 6.0::double * embedding[i + 42]::double as z from embeddings, range(1, 22) r(i))"
+#: Embeddings as recordings of three axes, a sample a second, with missing values and missing rows.
+HOLES = "pt as (select vec_id as subject_id, i - 1 as t, case when (vec_id + i) % 5 = 0 and vec_id % 3 = 0 then null else 6.0::double * embedding[i]::double end as x, 6.0::double * embedding[i + 21]::double as y, 6.0::double * embedding[i + 42]::double as z from embeddings, range(1, 22) r(i) where not (vec_id % 7 = 0 and i > 11) and not (vec_id % 11 = 0 and i between 8 and 14))"
 
 
 def samples(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     axes = [F.slice("embedding", 1 + 21 * k, 21).alias(c) for k, c in enumerate("xyz")]
     rows = e.select(F.col("vec_id").alias("subject_id"), F.posexplode(F.arrays_zip(*axes)).alias("t", "p"))
-    hole = ((F.col("subject_id") + F.col("t") + 1) % 5 == 0) & (F.col("subject_id") % 3 == 0) | (F.col("subject_id") % 7 == 0) & (F.col("t") > 9)
+    rows = rows.where(~((F.col("subject_id") % 7 == 0) & (F.col("t") > 10)) & ~((F.col("subject_id") % 11 == 0) & F.col("t").between(7, 13)))
+    hole = ((F.col("subject_id") + F.col("t") + 1) % 5 == 0) & (F.col("subject_id") % 3 == 0)
     x, y, z = (6.0 * F.col(f"p.{c}").cast("double") for c in "xyz")
     return rows.select("subject_id", (F.col("t").cast("long") * SECOND).alias("us"), F.when(~hole, x).alias("x"), y.alias("y"), z.alias("z"))
 
 
-WINDOWS = f"""{HOLES}, pk as (select * from pt where x is not null), pf as (select subject_id, min(t) as f from pk group by 1),
-pw as (select subject_id, f, (t - f) // 7 as idx, list(greatest(sqrt(x * x + y * y + z * z) - 1, 0) * 1000 order by t) as e from pk join pf using (subject_id) group by all),
-pa as (select subject_id, idx, (f + idx * 7) * {SECOND} as us, case when 2 * len(e) > 7 then list_avg(list_transform(range(0, 7), lambda i: e[i % len(e) + 1])) end as acc from pw)"""
+WINDOWS = f"""{HOLES}, pw as (select subject_id, t // 7 as idx, list(greatest(sqrt(x * x + y * y + z * z) - 1, 0) * 1000 * case when x is null then null else 1 end order by t) as e from pt group by all),
+pg as (select subject_id, unnest(range(0, max(idx) + 1)) as idx from pw group by 1), pe as (select subject_id, idx, case when 2 * len(e) > 7 then list_transform(range(0, 7), lambda i: e[i % len(e) + 1]) end as e from pg left join pw using (subject_id, idx)),
+pa as (select subject_id, idx * 7 * {SECOND} as us, case when len(list_filter(e, lambda v: v is null)) = 0 then list_avg(e) end as acc from pe)"""
 
 
 @query(f"with {WINDOWS} select subject_id, us::bigint as us, round(acc, 6) as acc, case when acc < 300 then 'sleep' when acc < 700 then 'sedentary' when acc < 1100 then 'light' when acc is not null then 'moderate-vigorous' end as label from pa")
 def predict_from_samples(spark, sf):
-    """From samples to labelled epochs: anchored windows, fitted by wrapping, scored; windows with too few samples stay, without a label."""
+    """From samples to labelled epochs: anchored windows, fitted by wrapping, scored; windows with too few samples, a missing value or no sample stay, without a label."""
     scorer = lambda w: w.withColumn("label", score.threshold_label("acc", [(300.0, "sleep"), (700.0, "sedentary"), (1100.0, "light")], "moderate-vigorous"))
     return rounded(score.predict_recording(samples(spark, sf), scorer, 7, 1), "acc")
 
