@@ -148,7 +148,7 @@ def test_language_and_toxicity(spark, docs, none):
 
 def test_toxicity_with_one_id_for_most_rows(spark):
     """An id that most rows share teaches with one text, so the fit stays as large as its ids; a very long text is scored whole."""
-    rows = [(7, f"plain words number {i}") for i in range(300)] + [(i, "you awful zlorp go" if i % 3 == 0 else f"nice day number {i}") for i in range(10, 90)] + [(500, "calm words " * 60_000 + "awful zlorp " * 5)]
+    rows = [(7, f"plain words number {i}") for i in range(300)] + [(i, "you awful zlorp go" if i % 3 == 0 else f"nice day number {i}") for i in range(10, 90)] + [(500, "calm words " * 60_000 + "you awful zlorp go " * 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(7, 0), *((i, int(i % 3 == 0)) for i in range(10, 90))], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
