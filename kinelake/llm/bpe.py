@@ -15,7 +15,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from .common import ddl, map_slices, mix64
 
 LONG_PIECE = 512
 #: Pieces that a worker remembers; then it starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 NONE = np.int32(np.iinfo(np.int32).max)
 OTHER, LETTER, NUMBER, SPACE = range(4)
 BASE = 0x9E3779B97F4A7C15
@@ -363,9 +363,7 @@ class WordBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.special = [x["content"] for x in spec["added_tokens"]]
         vocab, letters = spec["model"]["vocab"], byte_letters()
         end = spec["model"]["end_of_word_suffix"]
@@ -377,6 +375,13 @@ class WordBPE:
         tokens = {i: bytes(letters[c] for c in t.removesuffix(end)) if t not in self.special else t.encode() for t, i in vocab.items()}
         self.coder = ByteBPE(tokens, pairs, made, single, last, {}, False)
 
+    @cached_property
+    def library(self):
+        """The library's own coder, loaded when a text has a special token."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids end."""
         odd = {i for i, x in enumerate(texts) if any(s in x for s in self.special)}
@@ -433,4 +438,4 @@ def round_trip_digest(docs: DataFrame, path: str) -> DataFrame:
         digests = [[hashlib.sha256(x).hexdigest() for x in rows] for rows in (_rows(ids.astype("<u4"), ends), _rows(*coder.decode(ids, ends)))]
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends, prepend=0)), *map(pa.array, digests)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_slices(docs.select("doc_id", F.col("text").cast("string").alias("text")), "text", kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", most=2 << 20)
+    return map_slices(docs.select("doc_id", F.col("text").cast("string").alias("text")), "text", kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", most=1 << 20)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +75,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             lo = hi
 
 
+@cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on, and what one stage freed would count beside what the next one takes."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def map_slices(df: DataFrame, text: str, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow with batches of bounded text size."""
 
@@ -81,6 +95,7 @@ def map_slices(df: DataFrame, text: str, kernel: Callable[[pa.RecordBatch], pa.R
             out = kernel(part)
             if out is not None and out.num_rows:
                 yield out
+        release()
 
     return df.mapInArrow(run, schema)
 

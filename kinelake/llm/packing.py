@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_slices(docs.select("doc_id", F.col("text").cast("string").alias("text")), "text", kernel, PIECES, most=2 << 20)
+    return map_slices(docs.select("doc_id", F.col("text").cast("string").alias("text")), "text", kernel, PIECES, most=1 << 20)
 
 
 def first_fill(counts: dict[int, int], capacity: int) -> Counter:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import equal_spans, gather, gram_hashes, span_hashes
-from .common import ddl, free, mix64, slices, utf8
+from .common import ddl, free, mix64, release, slices, utf8
 
 LENGTH, GRAM = 200, 96
 #: Bytes that one suffix sort takes, about; a group of cells of one hash isn't split, so it may be more.
@@ -192,6 +192,7 @@ def spans(docs: DataFrame, buckets: int, length: int = LENGTH, gram: int = GRAM)
             home = _home(ids, keys, buckets)
             if len(h):
                 yield _spread(["bucket", "pack"], (h % np.uint64(buckets)).astype(np.int32), h, ids, keys, home, start.astype(np.int32), windows.astype(np.uint16))
+        release()
 
     def alike(part: pa.Table) -> pa.Table:
         h, ids, keys, home, start, windows = _joined(part.column("pack").to_pylist())
@@ -229,6 +230,7 @@ def spans(docs: DataFrame, buckets: int, length: int = LENGTH, gram: int = GRAM)
         for b in np.unique(bucket):
             mine, places = which[bucket[which] == b], order[bucket[order] == b]
             out.append((int(b), _pack(h[mine], own[mine], windows[mine].astype(np.uint16), many[bucket[which] == b], gather(body, lo[mine], size[mine]), ids[places], keys[places], start[places])))
+        release()
         return pa.table({"bucket": pa.array([x for x, _ in out], pa.int32()), "pack": pa.array([x for _, x in out], pa.binary())})
 
     def sort(part: pa.Table) -> pa.Table:
@@ -275,6 +277,7 @@ def spans(docs: DataFrame, buckets: int, length: int = LENGTH, gram: int = GRAM)
         if not out_i:
             return pa.table({"doc_bucket": pa.array([], pa.int32()), "pack": pa.array([], pa.binary())})
         ids, keys, a, b = map(np.concatenate, (out_i, out_k, out_a, out_b))
+        release()
         return pa.Table.from_batches([_spread(["doc_bucket", "pack"], _home(ids, keys, buckets), ids, keys, a.astype(np.int32), b.astype(np.int32))])
 
     met = docs.mapInArrow(scan, "bucket int, pack binary").groupBy("bucket").applyInArrow(alike, "doc_bucket int, pack binary")

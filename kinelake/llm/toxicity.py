@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, fold, map_slices, mix64
+from .common import ddl, fold, map_slices, mix64, release
 from .language import Words
 
 #: About how many labelled rows the model is fitted on, chosen by hash.
@@ -247,6 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
             toxic += part.column("toxic").to_pylist()
         order = sorted(range(len(texts)), key=lambda i: (texts[i], toxic[i]))  # the same whatever order tasks deliver
         yield pa.RecordBatch.from_pydict({"model": [json.dumps(fit_sample([texts[i] for i in order], np.array([toxic[i] == 1 for i in order], bool)))]})
+        release()
 
     found = sample.select("text", "toxic").repartition(1).mapInArrow(run, "model string").collect()
     return json.loads(found[0]["model"]) if found else fit_sample([], np.zeros(0, bool))
