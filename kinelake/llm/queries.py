@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over whole tables, with production parameters, and their SQL where SQL can express them; tests/llm holds the rest against libraries, brute force and held-out rows."""
+"""The queries op1 to op13 over whole tables, with production parameters, and their SQL where SQL can express them; tests/llm holds the rest against libraries, brute force and held-out rows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, neardup, neighbours, packing, repeats, telephony, toxicity, urls
+from . import alignment, bpe, centroids, decontamination, language, licenses, neardup, neighbours, packing, repeats, telephony, toxicity, urls
 from .common import table
 
 #: Host, path and verdict of the rules.
@@ -65,5 +65,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_url_filter, op4_toxicity, op5_best_fit_packing, op6_telephony_audio, op7_suffix_array, op8_collision_counting, op9_minhash_forest, op10_language_id)}
-ORACLES = {"op2_license_scan": licenses.scan_sql(), "op7_suffix_array": repeats.cut_sql(), "op9_minhash_forest": neardup.group_sql(3, 85)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that stand in ten consecutive words of a benchmark item, and those items."""
+    return decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and distance of every vector after five rounds of 40 centroids."""
+    return centroids.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers on every document, with corpus-wide counts."""
+    return alignment.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_url_filter, op4_toxicity, op5_best_fit_packing, op6_telephony_audio, op7_suffix_array, op8_collision_counting, op9_minhash_forest, op10_language_id, op11_decontamination, op12_centroids, op13_alignment)}
+ORACLES = {"op2_license_scan": licenses.scan_sql(), "op7_suffix_array": repeats.cut_sql(), "op9_minhash_forest": neardup.group_sql(3, 85), "op11_decontamination": decontamination.scan_sql(), "op12_centroids": centroids.digest_sql()}
