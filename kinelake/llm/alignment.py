@@ -19,7 +19,6 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ WHITE = re.compile(r"[^\S \n]")
 #: Characters that are encoded at once.
 BLOCK = 1 << 13
 #: Bytes of texts whose distinct parts are encoded together.
-SLICE = 8 << 20
+SLICE = 4 << 20
 SHIFT = np.int64(32)
 LINKS = "doc_id {id}, n_a long, n_b long, n_groups long, a_ids array<int>, b_ids array<int>, groups_sha256 string"
 
@@ -131,6 +130,14 @@ def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return left, np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
 
 
+class Numbers(dict):
+    """Numbers new keys from 0 on as they are asked for; of equal texts one is held."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Aligned:
     """Distinct parts, encoded by both and aligned in one go. For each part: whether its bytes came back (ok), tokens, groups, links and the text of its groups."""
 
@@ -192,11 +199,10 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         voc = loaded(a_path, b_path)
         texts, _ = decoded(batch.column("text"))
-        parts = [voc.parts(t) if t else [] for t in texts]
-        number = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(parts)))}
+        number = Numbers()
+        parts = [np.fromiter(map(number.__getitem__, p := voc.parts(t)), np.int64, len(p)) if t else np.zeros(0, np.int64) for t in texts]
         made = Aligned(list(number), voc)
-        size = np.array([len(p) for p in parts], np.int64)
-        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64, size.sum())
+        size, flat = np.array([len(p) for p in parts], np.int64), np.concatenate(parts)
         doc = np.repeat(np.arange(len(parts)), size)
         keep = np.bincount(doc, ~made.ok[flat], len(parts)) == 0
         flat, doc, size = flat[keep[doc]], doc[keep[doc]], size * keep
