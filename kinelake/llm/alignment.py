@@ -35,7 +35,7 @@ WHITE = re.compile(r"[^\S \n]")
 #: Characters that are encoded at once.
 BLOCK = 1 << 13
 #: Bytes of texts whose distinct parts are encoded together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 SHIFT = np.int64(32)
 LINKS = "doc_id {id}, n_a long, n_b long, n_groups long, a_ids array<int>, b_ids array<int>, groups_sha256 string"
 

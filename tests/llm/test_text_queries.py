@@ -19,6 +19,9 @@ COLUMNS = {
     "op8": "query_id rank vec_id score",
     "op9": "doc_id n_shingles component_id kept",
     "op10": "doc_id held_out lang_pred score",
+    "op11": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op12": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
+    "op13": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
 
 
@@ -29,7 +32,7 @@ def test_query(spark, name):
     assert got.column_names[: len(wanted)] == wanted and got.num_rows > 0
     if name in queries.ORACLES:
         db = duckdb.connect()
-        for table in ("documents", "pages", "embeddings", "labels"):
+        for table in ("documents", "pages", "embeddings", "labels", "benchmark"):
             db.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
         db.register("got", got)
         db.execute(f"create temp table want as {queries.ORACLES[name]}")
