@@ -9,11 +9,13 @@ from kinelake.operators import circadian, score, sequence, summary
 from kinelake.plans import recording
 from kinelake.sources import readers, writers
 
+VERSION = "0.3.0"
+
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     top = argparse.ArgumentParser(prog="kinelake")
     sub = top.add_subparsers(dest="command", required=True)
-    p = sub.add_parser("process", help="recordings (a path or glob of CSV or Parquet) to outputs")
+    p = sub.add_parser("process", help="recordings (a path or glob of CSV, Parquet, .cwa, .bin or .gt3x) to outputs")
     p.add_argument("path")
     p.add_argument("-o", "--outdir", default="outputs")
     p.add_argument("--scheme", choices=sorted(score.SCHEMES), default="four")
@@ -65,7 +67,7 @@ def main(argv: list[str] | None = None) -> None:
         smoother = sequence.HiddenMarkov.from_json("\n".join(r["value"] for r in spark.read.text(args.smoother).collect()))  # one small model
     made = recording.process(
         samples, scorer, classes, args.sample_rate, smoother=smoother, first_last=args.exclude_first_last, wear_below=args.exclude_wear_below, least_sleep=args.require_sleep_above, single_block=args.single_sleep_block,
-        calibrate=not args.no_calibration, still_sd_least=args.calibration_stdtol_min, nonwear=not args.no_nonwear, device=f".{kind}",
+        calibrate=not args.no_calibration, still_sd_least=args.calibration_stdtol_min, nonwear=not args.no_nonwear, device=f".{kind}", sizes=readers.file_sizes(spark, args.path), options=vars(args) | {"version": VERSION},
     )
     writers.write_series(made["series"], f"{args.outdir}/series", classes)
     writers.write_summaries(made["summary"], f"{args.outdir}/summary")

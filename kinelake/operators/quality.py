@@ -18,12 +18,23 @@ def dedupe_first(df: DataFrame, order: str, by: tuple[str, ...] = ("subject_id",
     return df.withColumn("nth_", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where("nth_ = 1").drop("nth_")
 
 
+def with_next(df: DataFrame, columns: list[str], chunk_us: int = HOUR) -> DataFrame:
+    """df with next_: us and columns of the subject's next row (null after its last). Rows are ordered within chunks of time; a chunk's last row takes the head of the next chunk from a table of a row a chunk, so no subject is gathered."""
+    row = F.struct("us", *columns)
+    cut = df.withColumn("chunk_", div("us", chunk_us))
+    heads = cut.groupBy("subject_id", "chunk_").agg(F.min(row).alias("head_"))
+    after = heads.select("subject_id", "chunk_", F.lead("head_").over(by_subject().orderBy("chunk_")).alias("after_"))
+    own = cut.withColumn("next_", F.lead(row).over(Window.partitionBy("subject_id", "chunk_").orderBy("us")))
+    return own.join(after, ["subject_id", "chunk_"]).withColumn("next_", F.coalesce("next_", "after_")).drop("chunk_", "after_")
+
+
 def infer_step(df: DataFrame) -> DataFrame:
-    """subject_id, step_s: the mean of the time differences within their quartiles, inclusive."""
-    gaps = df.withColumn("gap", F.col("us") - F.lag("us").over(by_subject().orderBy("us"))).where("gap is not null")
-    bounds = gaps.groupBy("subject_id").agg(F.percentile("gap", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    near = gaps.join(bounds, "subject_id").where((F.col("gap") >= F.col("q")[0]) & (F.col("gap") <= F.col("q")[1]))
-    return near.groupBy("subject_id").agg((F.avg("gap") / 1e6).alias("step_s"))
+    """subject_id, step_s: the mean of the time differences within their quartiles, inclusive. Differences are counted once; quartiles and mean come from the counts."""
+    gaps = with_next(df.select("subject_id", "us"), []).select("subject_id", (F.col("next_.us") - F.col("us")).alias("gap")).where("gap is not null")
+    counts = gaps.groupBy("subject_id", "gap").agg(F.count("*").alias("n"))
+    bounds = counts.groupBy("subject_id").agg(F.percentile("gap", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q"))
+    near = counts.join(bounds, "subject_id").where((F.col("gap") >= F.col("q")[0]) & (F.col("gap") <= F.col("q")[1]))
+    return near.groupBy("subject_id").agg((F.sum(F.col("gap") * F.col("n")) / F.sum("n") / 1e6).alias("step_s"))
 
 
 def sample_rate(df: DataFrame) -> DataFrame:
@@ -85,13 +96,22 @@ def blank_low_wear_days(df: DataFrame, columns: list[str], dt: float | str, leas
     return df.withColumn("d_", div("us", DAY)).join(days, ["subject_id", "d_"]).withColumns({c: F.when(F.col("ok_"), F.col(c)) for c in columns}).select(df.columns)
 
 
+def window_stats(df: DataFrame, columns: list[str], window_s: float = 10) -> DataFrame:
+    """subject_id, us (of the window), and mean m<c> and standard deviation s<c> of each column: what calibration and non-wear are told by, in one pass."""
+    size = int(window_s * 1e6)
+    return df.groupBy("subject_id", (div("us", size) * size).alias("us")).agg(*(f(c).alias(f"{n}{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))))
+
+
 def nonwear_bouts(df: DataFrame, columns: list[str], window_s: float = 10, sd: float = 0.015, least_s: float = 5400) -> DataFrame:
     """subject_id, start_us, end_us: runs of still windows (standard deviation below sd on every column) of more than least_s."""
-    size = int(window_s * 1e6)
-    still = F.lit(True)
-    stats = df.groupBy("subject_id", (div("us", size) * size).alias("us")).agg(*(F.stddev_samp(c).alias(c) for c in columns))
+    return still_bouts(window_stats(df, columns, window_s), columns, window_s, sd, least_s)
+
+
+def still_bouts(stats: DataFrame, columns: list[str], window_s: float = 10, sd: float = 0.015, least_s: float = 5400) -> DataFrame:
+    """nonwear_bouts from window_stats."""
+    size, still = int(window_s * 1e6), F.lit(True)
     for c in columns:
-        still &= F.coalesce(F.col(c), F.lit(0.0)) < sd
+        still &= F.coalesce(F.col(f"s{c}"), F.lit(0.0)) < sd
     quiet = stats.where(still).select("subject_id", "us")
     order = by_subject().orderBy("us")
     new = F.coalesce((F.col("us") - F.lag("us").over(order) != size).cast("int"), F.lit(1))
@@ -113,17 +133,25 @@ def head(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("nth_", F.row_number().over(by_subject().orderBy("us"))).where(F.col("nth_") <= n).drop("nth_")
 
 
-def calibrate(df: DataFrame, sd: float = 0.015, window_s: float = 10, rounds: int = 1000, least: float = 0.0) -> DataFrame:
-    """x, y, z after a gain and offset for each axis that bring still 10-second means to the unit sphere; subjects with fewer than 10 still windows stay as they are."""
-    size = int(window_s * 1e6)
-    stats = df.groupBy("subject_id", div("us", size).alias("w")).agg(*(f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("m", F.avg), ("s", F.stddev_samp))))
-    still = stats.where(" and ".join(f"s{c} < {sd} and s{c} >= {least}" for c in "xyz")).select("subject_id", "mx", "my", "mz")
+#: Still windows that a calibration needs, and the error (g) that it must come below.
+CALIBRATION_LEAST, CALIBRATION_ERROR = 10, 0.01
+
+
+def calibration(stats: DataFrame, sd: float = 0.015, rounds: int = 1000, least: float = 0.0) -> DataFrame:
+    """A row for each subject that has windows: gain g<c> and offset o<c> of each axis that bring still means to the unit sphere, still (windows used), error_before and error_after (mean distance from the sphere, g), ok.
+
+    ok is 0, and the gain 1 and the offset 0, where there are too few still windows or the fit leaves no smaller error below CALIBRATION_ERROR. stats: window_stats of x, y, z.
+    """
+    quiet = " and ".join(f"s{c} < {sd} and s{c} >= {least}" for c in "xyz")
+    still = stats.where(quiet).select("subject_id", "mx", "my", "mz")
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         points = part[["mx", "my", "mz"]].to_numpy()
         points = points[np.linalg.norm(points, axis=1) > 1e-8]
         gain, offset = np.ones(3), np.zeros(3)
-        for _ in range(rounds if len(points) >= 10 else 0):
+        error = lambda: float(np.abs(np.linalg.norm(points * gain + offset, axis=1) - 1).mean()) if len(points) else None
+        before = error()
+        for _ in range(rounds if len(points) >= CALIBRATION_LEAST else 0):
             now = points * gain + offset
             target = now / np.linalg.norm(now, axis=1, keepdims=True)
             step_gain, step_offset = np.ones(3), np.zeros(3)
@@ -133,9 +161,24 @@ def calibrate(df: DataFrame, sd: float = 0.015, window_s: float = 10, rounds: in
             gain, offset = gain * step_gain, offset * step_gain + step_offset
             if np.abs(step_gain - 1).max() < 1e-6 and np.abs(step_offset).max() < 1e-6:
                 break
-        return pd.DataFrame([[part["subject_id"].iloc[0], *gain, *offset]], columns=["subject_id", "gx", "gy", "gz", "ox", "oy", "oz"])
+        after = error()
+        ok = len(points) >= CALIBRATION_LEAST and after < CALIBRATION_ERROR and after <= before
+        if not ok:
+            gain, offset, after = np.ones(3), np.zeros(3), before
+        return pd.DataFrame([[part["subject_id"].iloc[0], *gain, *offset, len(points), before, after, int(ok)]], columns=names)
+
+    kind, names = dict(stats.dtypes)["subject_id"], ["subject_id", "gx", "gy", "gz", "ox", "oy", "oz", "still", "error_before", "error_after", "ok"]
+    found = still.groupBy("subject_id").applyInPandas(fit, f"subject_id {kind}, gx double, gy double, gz double, ox double, oy double, oz double, still long, error_before double, error_after double, ok int")
+    every = stats.select("subject_id").distinct().join(found, "subject_id", "left")
+    return every.fillna(1.0, ["gx", "gy", "gz"]).fillna(0.0, ["ox", "oy", "oz"]).fillna(0, ["still", "ok"])
 
-    kind = dict(df.dtypes)["subject_id"]
-    found = still.groupBy("subject_id").applyInPandas(fit, f"subject_id {kind}, gx double, gy double, gz double, ox double, oy double, oz double")
-    both = df.join(found, "subject_id", "left")  # a row a subject
+
+def calibrated(df: DataFrame, found: DataFrame) -> DataFrame:
+    """df with the gains and offsets of calibration() applied to x, y, z; subjects without any stay as they are."""
+    both = df.join(found.select("subject_id", *(f"{k}{c}" for c in "xyz" for k in "go")), "subject_id", "left")  # a row a subject
     return both.withColumns({c: F.col(c) * F.coalesce(f"g{c}", F.lit(1.0)) + F.coalesce(f"o{c}", F.lit(0.0)) for c in "xyz"}).select(df.columns)
+
+
+def calibrate(df: DataFrame, sd: float = 0.015, window_s: float = 10, rounds: int = 1000, least: float = 0.0) -> DataFrame:
+    """x, y, z calibrated by their subject's own still windows."""
+    return calibrated(df, calibration(window_stats(df, ["x", "y", "z"], window_s), sd, rounds, least))

@@ -10,25 +10,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelake.functions.scalar import HOUR, div
+from kinelake.operators.quality import with_next
 
 
-def resample(df: DataFrame, columns: list[str], step_us: int, linear: bool = True) -> DataFrame:
-    """subject_id, us and columns on each subject's grid from its first time on: linear between the neighbours, or the nearer one's value (ties to the later). A missing neighbour gives a missing value."""
-    by = Window.partitionBy("subject_id").orderBy("us")
+def resample(df: DataFrame, columns: list[str], step_us: int, linear: bool = True, tolerance_us: int | None = None) -> DataFrame:
+    """subject_id, us and columns on each subject's grid from its first time on: linear between the neighbours, or the nearer one's value (ties to the later). A missing neighbour gives a missing value,
+    and so does a neighbour farther away than the tolerance (for lines: neighbours farther apart), so that nothing is drawn over gaps."""
     firsts = df.groupBy("subject_id").agg(F.min("us").alias("first_"))
-    nxt = df.select("subject_id", "us", *columns).join(firsts, "subject_id").withColumns({"next_": F.lead("us").over(by), **{f"next_{c}": F.lead(c).over(by) for c in columns}})
+    nxt = with_next(df.select("subject_id", "us", *columns), columns).join(firsts, "subject_id")
     # the grid points in [us, next us) belong to this row alone, so no join is needed
     start = -div(F.col("first_") - F.col("us"), step_us)
-    stop = F.when(F.col("next_").isNull(), div(F.col("us") - F.col("first_"), step_us)).otherwise(-div(F.col("first_") - F.col("next_"), step_us) - 1)
+    stop = F.when(F.col("next_").isNull(), div(F.col("us") - F.col("first_"), step_us)).otherwise(-div(F.col("first_") - F.col("next_.us"), step_us) - 1)
     points = nxt.where(stop >= start).withColumn("k_", F.explode(F.sequence(start, stop))).withColumn("at_", F.col("first_") + F.col("k_") * step_us)
-    share = F.when(F.col("next_").isNull(), 0.0).otherwise((F.col("at_") - F.col("us")) / (F.col("next_") - F.col("us")))
+    return points.select("subject_id", F.col("at_").alias("us"), *(_between(c, linear, tolerance_us).alias(c) for c in columns))
 
-    def value(c: str) -> Column:
-        if linear:
-            return F.when(share == 0, F.col(c).cast("double")).otherwise(F.col(c) + (F.col(f"next_{c}") - F.col(c)) * share)
-        return F.when(share < 0.5, F.col(c)).otherwise(F.col(f"next_{c}")).cast("double")
 
-    return points.select("subject_id", F.col("at_").alias("us"), *(value(c).alias(c) for c in columns))
+def _between(c: str, linear: bool, tolerance_us: int | None) -> Column:
+    """Column c at at_, which lies in [us, next_.us)."""
+    ahead, apart = F.col("at_") - F.col("us"), F.col("next_.us") - F.col("us")
+    if linear:
+        line = F.col(c) + (F.col(f"next_.{c}") - F.col(c)) * (ahead / apart)
+        return F.when(ahead == 0, F.col(c).cast("double")).when(apart <= tolerance_us, line) if tolerance_us is not None else F.when(F.col("next_").isNull() | (ahead == 0), F.col(c).cast("double")).otherwise(line)
+    own = F.col("next_").isNull() | (2 * ahead < apart)
+    if tolerance_us is None:
+        return F.when(own, F.col(c)).otherwise(F.col(f"next_.{c}")).cast("double")
+    return F.when(own & (ahead <= tolerance_us), F.col(c)).when(~own & (apart - ahead <= tolerance_us), F.col(f"next_.{c}")).cast("double")
+
+
+def uniform(df: DataFrame, columns: list[str], rate: str, tolerance_us: int = 1_000_000) -> DataFrame:
+    """subject_id, us, columns and the rate on a grid of `rate` (a whole number a subject, in that column) points a second from each subject's first time to its last: point k stands k/rate seconds after the first,
+    to the microsecond, and has the nearest row's values, or none if that is farther away than the tolerance. So gaps are rows without values, and count as not worn."""
+    r = F.col(rate).cast("long")
+    firsts = df.groupBy("subject_id").agg(F.min("us").alias("first_"))
+    nxt = with_next(df.select("subject_id", "us", *columns, rate), columns).join(firsts, "subject_id")
+    least = lambda off: F.greatest(F.lit(0), -div(r - 2 * r * off, 2_000_000))  # noqa: E731 - the first point not before an offset
+    start = least(F.col("us") - F.col("first_"))
+    stop = F.when(F.col("next_").isNull(), start).otherwise(least(F.col("next_.us") - F.col("first_")) - 1)
+    at = F.col("first_") + div(2_000_000 * F.col("k_") + r, 2 * r)
+    points = nxt.where(stop >= start).withColumn("k_", F.explode(F.sequence(start, stop))).withColumn("at_", at)
+    points = points.where(F.col("next_").isNotNull() | (F.col("at_") == F.col("us")))  # none after the last row
+    return points.select("subject_id", F.col("at_").alias("us"), *(_between(c, False, tolerance_us).alias(c) for c in columns), rate)
 
 
 def butterworth(order: int, cutoff_hz: float, rate: float) -> list[tuple[np.ndarray, np.ndarray]]:

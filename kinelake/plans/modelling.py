@@ -259,3 +259,21 @@ def daily_table(spark, sf):
     """Wear, intensity and class hours of each day in one table; days that only one side has are there."""
     made = recording.daily(hourly(spark, sf), imputed(spark, sf), CLASSES, DT, 20 * 60)
     return made.select("subject_id", "date", *(F.round(f"`{c}`", 9).alias(c) for c in made.columns[2:]))
+
+
+@query(f"""with {EV}, u as (select subject_id, us // {MINUTE} * {MINUTE} as us, max(value) as v from ev group by 1, 2), f as (select subject_id, min(us) as f, max(us) as l from u group by 1),
+g as (select subject_id, unnest(range(f, l + 1, {MINUTE})) as us from f), d as (select g.subject_id, g.us, arg_min(v, (abs(u.us - g.us), -u.us)) as v from g join u on u.subject_id = g.subject_id and abs(u.us - g.us) <= {10 * MINUTE} group by 1, 2)
+select g.subject_id, count(*) as points, count(d.v) as worn, round(sum(d.v), 4) as total from g left join d using (subject_id, us) group by 1""")
+def uniform_grid(spark, sf):
+    """Events a minute as samples a second: the nearest value within ten seconds of each grid point, none inside longer gaps."""
+    u = events(spark, sf).groupBy("subject_id", (scalar.div("us", MINUTE) * SECOND).alias("us")).agg(F.max("value").alias("v")).withColumn("rate", F.lit(1))
+    made = signal.uniform(u, ["v"], "rate", 10 * SECOND)
+    return rounded(made.groupBy("subject_id").agg(F.count("*").alias("points"), F.count("v").alias("worn"), F.sum("v").alias("total")), "total", digits=4)
+
+
+@query(f"""with {HOLES}, w as (select subject_id, t // 7 as w, avg(x) as x, avg(y) as y, avg(z) as z, stddev_samp(x) as sx, stddev_samp(y) as sy, stddev_samp(z) as sz from pt group by all)
+select subject_id, coalesce(count(*) filter (sx < 2 and sy < 2 and sz < 2 and sqrt(x * x + y * y + z * z) > 1e-8), 0) as still, round(avg(abs(sqrt(x * x + y * y + z * z) - 1)) filter (sx < 2 and sy < 2 and sz < 2), 6) as error_before, 0 as ok from w group by 1""")
+def failed_calibration(spark, sf):
+    """Recordings with too few still windows say so, and how far off they are."""
+    found = quality.calibration(quality.window_stats(samples(spark, sf), ["x", "y", "z"], 7), sd=2)
+    return rounded(found.select("subject_id", "still", "error_before", "ok"), "error_before")

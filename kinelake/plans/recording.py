@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinelake import session
 from kinelake.functions.scalar import seconds
-from kinelake.operators import circadian, epochs, impute, quality, score, sequence, summary
+from kinelake.operators import circadian, epochs, impute, quality, score, sequence, signal, summary
 
 NAMES = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 
@@ -65,35 +66,54 @@ def daily(series: DataFrame, filled: DataFrame, classes: list[str], epoch_s: flo
     return wear.join(means, ["subject_id", "date"], "full").join(hours, ["subject_id", "date"], "full")
 
 
-def prepare(samples: DataFrame, rate: int | None = None, calibrate: bool = True, still_sd_least: float = 0.0, nonwear: bool = True) -> DataFrame:
-    """samples with rate and dt_ (seconds of a sample): each subject's own unless one is given; calibrated, and null inside non-wear bouts, unless told otherwise."""
-    if calibrate:
-        samples = quality.calibrate(samples, least=still_sd_least)
+def prepare(samples: DataFrame, rate: int | None = None, calibrate: bool = True, still_sd_least: float = 0.0, nonwear: bool = True, tolerance_s: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Stored samples (subject_id, us, x, y, z, rate, dt_) and a row for each subject of how they were made (rate, calibration).
+
+    Samples are calibrated, null inside non-wear bouts, and stand on a uniform grid at each subject's own rate unless one is given; where none is within tolerance_s of a grid point, its values are missing.
+    One pass over the samples makes the 10-second windows that calibration and non-wear share, one the rates, one the result.
+    """
+    axes = ["x", "y", "z"]
+    stats = session.kept(quality.window_stats(samples, axes), "windows")
+    found = session.kept(quality.calibration(stats, least=still_sd_least), "calibration") if calibrate else None
+    if found is not None:
+        samples = quality.calibrated(samples, found)
+        stats = stats.join(found.select("subject_id", "gx", "gy", "gz"), "subject_id", "left").withColumns({f"s{c}": F.col(f"s{c}") * F.abs(F.coalesce(f"g{c}", F.lit(1.0))) for c in axes})
     if nonwear:
-        samples = quality.blank_bouts(samples, quality.nonwear_bouts(samples, ["x", "y", "z"]), ["x", "y", "z"])
+        samples = quality.blank_bouts(samples, quality.still_bouts(stats, axes), axes)
     if rate is None:
-        samples = samples.join(quality.sample_rate(samples).withColumn("rate", F.greatest("rate", F.lit(1))), "subject_id")
+        rates = session.kept(samples.select("subject_id").distinct().join(quality.sample_rate(samples), "subject_id", "left").select("subject_id", F.greatest(F.coalesce("rate", F.lit(1)), F.lit(1)).alias("rate")), "rates")
+        samples = samples.join(rates, "subject_id")
     else:
         samples = samples.withColumn("rate", F.lit(rate))
-    return samples.withColumn("dt_", 1.0 / F.col("rate"))
+    made = session.kept(signal.uniform(samples, axes, "rate", int(tolerance_s * 1e6)).withColumn("dt_", 1.0 / F.col("rate")), "samples")
+    how = made.groupBy("subject_id").agg(F.max("rate").alias("rate"))
+    if found is None:
+        return made, how.withColumns({"still": F.lit(0).cast("long"), "error_before": F.lit(None).cast("double"), "error_after": F.lit(None).cast("double"), "ok": F.lit(0)})
+    return made, how.join(found.select("subject_id", "still", "error_before", "error_after", "ok"), "subject_id", "left")
 
 
-def process(samples: DataFrame, scorer: Callable[[DataFrame], DataFrame], classes: list[str], rate: int | None = None, epoch_s: float = 30.0, smoother: sequence.HiddenMarkov | None = None, first_last: str | None = None, wear_below: str | float | None = None, least_sleep: str | float | None = None, single_block: bool = False, calibrate: bool = True, still_sd_least: float = 0.0, nonwear: bool = True, device: str = "csv") -> dict[str, DataFrame]:
-    """series, summary (JSON document for each subject) and daily of recordings (subject_id, us, x, y, z). Subjects without any worn sample have a document with zero wear and PredictOK 0."""
-    raw = prepare(samples, rate, calibrate, still_sd_least, nonwear)
+def process(samples: DataFrame, scorer: Callable[[DataFrame], DataFrame], classes: list[str], rate: int | None = None, epoch_s: float = 30.0, smoother: sequence.HiddenMarkov | None = None, first_last: str | None = None, wear_below: str | float | None = None, least_sleep: str | float | None = None, single_block: bool = False, calibrate: bool = True, still_sd_least: float = 0.0, nonwear: bool = True, device: str = "csv", tolerance_s: float = 1.0, sizes: DataFrame | None = None, options: dict | None = None) -> dict[str, DataFrame]:
+    """series, summary (JSON document for each subject) and daily of recordings (subject_id, us, x, y, z; of rows with one time any one counts). Subjects without any worn sample have a document with zero wear and PredictOK 0.
+    sizes: subject_id, mb of the files; options: what the document says of how it was made."""
+    raw, how = prepare(samples, rate, calibrate, still_sd_least, nonwear, tolerance_s)
     kept = exclude(raw, "dt_", first_last, wear_below)
     wear = quality.wear_stats(kept, ["x", "y", "z"], "dt_")
     labelled = score.predict_recording(kept, scorer, epoch_s, None, smoother=smoother, least_sleep_s=seconds(least_sleep) if least_sleep else None, single_block=single_block, labels=classes)
-    series = one_hot(labelled, classes).persist()  # read by every metric; recomputed from its lineage if an executor goes
+    series = session.kept(one_hot(labelled, classes), "series")  # read by every metric
     grid, names = epochs.day_grid(series, epoch_s), ["acc", *classes]
     placed = epochs.nearest(grid, series.withColumn("row_", F.struct(*names)), "row_", min(epoch_s, 60)).select("subject_id", "us", "row_.*")
-    filled = impute.hierarchical(placed, names).persist()
+    filled = session.kept(impute.hierarchical(placed, names), "filled")
     minutes = seconds(wear_below) / 60 if wear_below is not None else 0.0
     tall = metrics(series, filled, classes, epoch_s)
     stats = wear.select("subject_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, ["WearTime(days)", "NonwearTime(days)", "Covers24hOK", "PredictOK"])), F.array("wear_days", "nonwear_days", F.col("covers_24h").cast("double"), F.col("wear_start_us").isNotNull().cast("double")))).alias("metric", "value"))
     clock = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm:ss")
-    info = raw.groupBy("subject_id").agg(F.max("rate").alias("rate")).join(wear, "subject_id", "left").select(
-        "subject_id", F.col("subject_id").alias("Filename"), F.lit(device).alias("Device"), F.lit(1).alias("ReadOK"), F.col("rate").alias("SampleRate"), F.col("rate").alias("ResampleRate"), F.lit(int(calibrate)).alias("CalibOK"),
+    size = F.lit(None).cast("double")
+    if sizes is not None:
+        how, size = how.join(sizes.select("subject_id", "mb"), "subject_id", "left"), F.col("mb")
+    said = [F.lit(str(v)).alias(k) for k, v in (options or {}).items()]
+    info = how.join(wear, "subject_id", "left").select(
+        "subject_id", *([F.struct(*said).alias("Args")] if said else []), F.col("subject_id").alias("Filename"), F.lit(device).alias("Device"), size.alias("Filesize(MB)"), F.col("rate").alias("SampleRate"), F.lit(1).alias("ReadOK"), F.col("rate").alias("ResampleRate"),
+        F.coalesce("ok", F.lit(0)).alias("CalibOK"), F.coalesce("still", F.lit(0)).alias("CalibNumSamples"), (F.col("error_before") * 1000).alias("CalibErrorBefore(mg)"), (F.col("error_after") * 1000).alias("CalibErrorAfter(mg)"),
         clock("start_us").alias("StartTime"), clock("end_us").alias("EndTime"), clock("wear_start_us").alias("WearStartTime"), clock("wear_end_us").alias("WearEndTime"),
     )
     return {"series": series.select("subject_id", "us", "acc", "label"), "summary": summary.document(tall.where("value is not null").unionByName(stats), info), "daily": daily(series, filled, classes, epoch_s, minutes)}

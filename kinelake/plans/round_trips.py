@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake import session
-from kinelake.functions.scalar import DAY, HOUR, MINUTE, div
+from kinelake.functions.scalar import DAY, HOUR, MINUTE, SECOND, div
 from kinelake.operators import epochs, evaluate, quality, summary
 from kinelake.plans.registry import CLASSES, DATE, DT, EP, EV, _TALL, _viterbi_sql, events, hourly, metrics, query, rounded, smoother
-from kinelake.sources import readers, writers
+from kinelake.sources import devices, readers, writers
 
 TIME = "strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S.%f')"
 
@@ -174,3 +174,31 @@ def blank_bouts(spark, sf):
     ev = events(spark, sf)
     bouts = ev.where(F.pmod(div("us", DAY), F.lit(2)) == 0).select("subject_id", (div("us", DAY) * DAY).alias("start_us")).distinct().withColumn("end_us", F.col("start_us") + DAY)
     return quality.blank_bouts(ev, bouts, ["value"], 3600).select("subject_id", "us", "event_id", "value")
+
+
+#: Fixed start of the recordings that device files hold.
+_BASE = 1_715_000_000_000_000
+
+
+@query(f"""with {EV} select subject_id, {_BASE} + (row_number() over (partition by subject_id order by us, event_id) - 1) * 10000 as us, (event_id % 400 - 200) / 256 as x, (us // {SECOND} % 900 - 450) / 256 as y, round(least(value, 3) * 100) / 256 as z from ev""")
+def device_blocks(spark, sf):
+    """Events as block files of a device, a file a type, read back in splits of a few blocks; times to the millisecond, which the device's clock keeps."""
+    from pyspark.sql import Window
+
+    ev = events(spark, sf)
+    nth = F.row_number().over(Window.partitionBy("subject_id").orderBy("us", "event_id")) - 1
+    x, y = (F.col("event_id") % 400 - 200) / 256, (div("us", SECOND) % 900 - 450) / 256
+    rows = ev.select("subject_id", (_BASE + nth * 10_000).alias("us"), x.alias("x"), y.alias("y"), (F.round(F.least("value", F.lit(3.0)) * 100) / 256).alias("z"))
+    folder = session.scratch(spark, "device")
+    devices.write_blocks(rows, folder, 100.0).count()
+    got = devices.read_device(spark, f"{folder}/*.cwa", "cwa", split=1 << 14)
+    return got.select("subject_id", (div(F.col("us") + 500, 1000) * 1000).alias("us"), *(F.col(c).cast("double").alias(c) for c in "xyz"))
+
+
+@query(f"""with {EV}, m as (select subject_id, us // {MINUTE} * {MINUTE} as us, min(value) as v from ev group by 1, 2) select subject_id, us, round(v::float::double, 3) as x from m""")
+def parquet_recording_repeats(spark, sf):
+    """A Parquet recording in which times repeat: the first row of each stays."""
+    path = session.scratch(spark, "repeats")
+    ev = events(spark, sf).withColumn("us", div("us", MINUTE) * MINUTE)
+    ev.select("subject_id", F.timestamp_micros("us").alias("time"), F.col("value").alias("x"), F.col("value").alias("y"), F.col("value").alias("z")).repartition(3, "subject_id").sortWithinPartitions("subject_id", "time", "x").write.parquet(f"{path}/r.parquet")
+    return readers.read_recording(spark, f"{path}/r.parquet").select("subject_id", "us", F.round(F.col("x").cast("double"), 3).alias("x"))

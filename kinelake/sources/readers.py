@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinelake.functions.scalar import java_pattern, missing, usable, zoned_local
+from kinelake.operators.quality import dedupe_first
+from kinelake.sources import devices
 
 #: Suffixes of compressed files that are looked through.
 COMPRESSED = (".gz", ".bz2", ".xz", ".lzma", ".zip")
@@ -22,11 +24,11 @@ def stem(path: F.Column) -> F.Column:
 
 
 def kind_of(path: str) -> str:
-    """csv, parquet or pickle by the extension below compression; others are an error."""
+    """csv, parquet, cwa, bin or gt3x by the extension below compression; others are an error."""
     name = path.rstrip("/").lower()
     for end in COMPRESSED:
         name = name.removesuffix(end)
-    for kind in ("csv", "parquet"):
+    for kind in ("csv", "parquet", *devices.FORMATS):
         if name.endswith(f".{kind}"):
             return kind
     if name.endswith((".pkl", ".pickle")):
@@ -93,12 +95,22 @@ def read_csv(spark: SparkSession, path: str, columns: str = "time,x,y,z", indice
 
 
 def read_recording(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A recording by its extension: CSV with read_csv's options, or Parquet with time, x, y, z."""
-    if kind_of(path) == "csv":
+    """subject_id, us, x, y, z of a recording, by its extension: CSV with read_csv's options, Parquet with time, x, y, z, or a device file. Of rows with one time the first stays, as they lie in the file."""
+    kind = kind_of(path)
+    if kind == "csv":
         return read_csv(spark, path, **options)
+    if kind in devices.FORMATS:
+        return dedupe_first(devices.read_device(spark, path, kind), "block").select("subject_id", "us", "x", "y", "z")
     raw = spark.read.parquet(path)
     subject = F.col("subject_id") if "subject_id" in raw.columns else stem(F.col("_metadata.file_path"))
-    return raw.select(subject.alias("subject_id"), F.unix_micros(F.col("time").cast("timestamp")).alias("us"), *(missing(F.col(c).cast("float")).alias(c) for c in "xyz"))
+    rows = raw.select(subject.alias("subject_id"), F.unix_micros(F.col("time").cast("timestamp")).alias("us"), *(missing(F.col(c).cast("float")).alias(c) for c in "xyz"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("place_"))
+    return dedupe_first(rows.where("us is not null"), "place_").drop("place_")
+
+
+def file_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """subject_id, mb: what each subject's files take (1024 * 1024 bytes, one decimal); file contents are not read."""
+    listed = spark.read.format("binaryFile").load(path).select(stem(F.col("path")).alias("subject_id"), "length")
+    return listed.groupBy("subject_id").agg(F.round(F.sum("length") / (1 << 20), 1).alias("mb"))
 
 
 def read_training(spark: SparkSession, path: str) -> DataFrame:

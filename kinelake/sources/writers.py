@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +19,26 @@ def write_daily(df: DataFrame, path: str) -> None:
     df.select(F.col("subject_id").alias("Filename"), *(c for c in df.columns if c != "subject_id")).write.option("header", True).option("compression", "gzip").csv(path)
 
 
-def write_summaries(documents: DataFrame, path: str) -> None:
-    """subject_id, summary (JSON): a text file of one line for each subject, in its folder; readers.read_summaries reads them."""
-    documents.select("subject_id", F.col("summary").alias("value")).write.partitionBy("subject_id").text(path)
+def write_summaries(documents: DataFrame, path: str) -> int:
+    """subject_id, summary (JSON): <path>/<subject>/<subject>-outputSummary.json for each subject, written by the executors; how many. readers.read_summaries reads them. A task that runs again writes the same files."""
+
+    def run(batches):
+        for batch in batches:
+            for subject, text in zip(batch.column("subject_id").to_pylist(), batch.column("summary").to_pylist(), strict=True):
+                store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                store.create_dir(f"{inner}/{subject}", recursive=True)
+                with store.open_output_stream(f"{inner}/{subject}/{subject}-outputSummary.json") as f:
+                    f.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = documents.select(F.col("subject_id").cast("string").alias("subject_id"), "summary")
+    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def collate(summaries: DataFrame, path: str) -> None:
-    """One CSV table over all subjects; what a subject lacks is blank."""
-    summaries.write.option("header", True).csv(path)
+    """One CSV table over all subjects; what a subject lacks is blank, and nested values are JSON."""
+    flat = summaries.select(*(F.to_json(f"`{f.name}`").alias(f.name) if f.dataType.typeName() == "struct" else F.col(f"`{f.name}`") for f in summaries.schema))
+    flat.write.option("header", True).csv(path)
 
 
 def write_windows(df: DataFrame, path: str, info: dict | None = None) -> None:

@@ -218,6 +218,21 @@ def test_process_recordings(spark):
     assert (document["Filename"], document["Device"], document["SampleRate"], document["ReadOK"], document["WearTime(days)"]) == ("a", "csv", 1, 1, 1.25)
 
 
+def test_a_hole_is_not_worn_and_what_was_not_calibrated_says_so(spark):
+    t = [k for k in range(3 * 3600) if not 3600 <= k < 7200]
+    rng = np.random.default_rng(2)
+    rows = [("a", k * S, *map(float, v)) for k, v in zip(t, rng.normal(0, 0.3, (len(t), 3)), strict=True)]
+    scorer = lambda w: w.withColumn("label", score.threshold_label("acc", [(50.0, "sleep")], "light"))
+    made = recording.process(spark.createDataFrame(rows, "subject_id string, us long, x double, y double, z double"), scorer, ["light", "sleep"], epoch_s=60, options={"scheme": "two"})
+    document = json.loads(made["summary"].first().summary)
+    assert document["NonwearTime(days)"] == pytest.approx(3599 / 86400, abs=3 / 86400) and document["WearTime(days)"] == pytest.approx(7201 / 86400, abs=3 / 86400)
+    assert (document["CalibOK"], document["SampleRate"], document["ResampleRate"], document["Args"]) == (0, 1, 1, {"scheme": "two"})
+    assert made["series"].where("acc is null").count() in (58, 59, 60)
+    grid = signal.uniform(spark.createDataFrame([("a", 0, 1.0, 30), ("a", 40_000, 2.0, 30), ("a", 3_000_000, 3.0, 30)], "subject_id string, us long, v double, rate int"), ["v"], "rate").orderBy("us").collect()
+    assert [r.us for r in grid] == [round(k * 1e6 / 30) for k in range(91)] and [r.v for r in grid[:3]] == [1.0, 2.0, 2.0] and grid[-1].v == 3.0
+    assert [r.v for r in grid if 1_040_000 < r.us < 2_000_000] == [None] * sum(1_040_000 < r.us < 2_000_000 for r in grid)
+
+
 def test_process_then_collate(spark, tmp_path):
     """Two recordings of different rates through the commands; one has two hours without wear."""
     rng = np.random.default_rng(8)
