@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelake.operators import evaluate, score, sequence
+from kinelake import session
+from kinelake.operators import bagging, evaluate, score, sequence
 
 #: fit(rows) -> model, and predict(model, rows) -> rows with label and probability.
 Classifier = tuple[Callable[[DataFrame], PipelineModel], Callable[[PipelineModel, DataFrame], DataFrame]]
@@ -27,6 +30,46 @@ def stratified_folds(df: DataFrame, subject: str, label: str, n: int) -> DataFra
     return dealt.select(subject, F.when(F.col("at_") < n, F.col("at_")).otherwise(2 * n - 1 - F.col("at_")).cast("int").alias("fold"))
 
 
+def bagged(features: list[str], label: str, key: list[str], **options) -> Classifier:
+    """The balanced forest of bagging.fit as a classifier."""
+    return lambda rows: bagging.fit(rows, features, label, key, **options), lambda model, rows: bagging.predict(model, rows, key)
+
+
+def balanced_folds(df: DataFrame, subject: str, label: str, n: int) -> DataFrame:
+    """subject, fold: whole subjects in folds whose shares of every label are as alike as a greedy pass gets them. Subjects whose label counts differ most come first; each goes to the fold that leaves the least mean
+    spread (standard deviation over folds, of every label's share), ties to the fold with fewer rows, then the smaller number. Only counts of (subject, label) reach the driver."""
+    spark, kind = df.sparkSession, dict(df.dtypes)[subject]
+    rows = df.where(F.col(label).isNotNull() & F.col(subject).isNotNull()).groupBy(subject).pivot(label).count().fillna(0).orderBy(subject).collect()
+    counts = np.array([[r[c] for c in r.__fields__[1:]] for r in rows], float).reshape(len(rows), -1)
+    total, folds, where = np.maximum(counts.sum(0), 1), np.zeros((n, counts.shape[1])), {}
+    for i in np.argsort(-counts.std(1), kind="stable").tolist() if len(rows) else ():
+        tried = np.repeat(folds[None], n, 0)
+        tried[np.arange(n), np.arange(n)] += counts[i]
+        spread = np.round((tried / total).std(1).mean(1), 12)
+        k = min(range(n), key=lambda k: (spread[k], folds[k].sum(), k))
+        folds[k] += counts[i]
+        where[i] = k
+    return spark.createDataFrame([(rows[i][subject], k) for i, k in where.items()], f"`{subject}` {kind}, fold int")
+
+
+def shuffle_split(df: DataFrame, subject: str, splits: int, share: float, seed: int = 42) -> DataFrame:
+    """subject, split: for each of so many splits the subjects that it holds out, ceil(share * subjects) of them, by the order of a hash of seed, split and subject."""
+    every = df.select(subject).where(F.col(subject).isNotNull()).distinct()
+    most, out = math.ceil(every.count() * share), None
+    for k in range(splits):
+        held = every.orderBy(F.xxhash64(F.lit(seed), F.lit(k), subject), subject).limit(most).withColumn("split", F.lit(k))
+        out = held if out is None else out.union(held)
+    return out
+
+
+def fit_out_of_bag(df: DataFrame, features: list[str], label: str, key: list[str], interval_us: int | None, pseudo: tuple[str, str] | None = None, **options) -> tuple[bagging.Forest, sequence.HiddenMarkov]:
+    """The balanced forest on all rows, and the smoother fitted on its out-of-bag shares. df has subject_id and us."""
+    model = bagging.fit(df, features, label, key, **options)
+    scored = bagging.predict(model, df, key, label=label).where(F.col("probability").isNotNull() & F.col(label).isNotNull())
+    scored = scored.withColumns({f"p_{i}": F.element_at("probability", i + 1) for i in range(len(model.labels))})
+    return model, sequence.HiddenMarkov.fit(scored, model.labels, label, [f"p_{i}" for i in range(len(model.labels))], interval_us, pseudo)
+
+
 def split(df: DataFrame, subject: str, percent: int = 20) -> tuple[DataFrame, DataFrame]:
     """(training, held-out) rows: whole subjects by hash, the same ones in every run."""
     held = F.pmod(F.conv(F.substring(F.md5(F.col(subject).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(100)) < percent
@@ -35,11 +78,12 @@ def split(df: DataFrame, subject: str, percent: int = 20) -> tuple[DataFrame, Da
 
 def cross_validate(df: DataFrame, models: dict[str, Classifier], subject: str, label: str, folds: int = 5, assigned: DataFrame | None = None) -> DataFrame:
     """Every row of df once a model, predicted by a fit on the other folds: its columns, model, fold, label_pred, probability. All models see the same folds (subject, fold), those given or stratified ones. Fits and predictions are a job for each model and fold."""
-    where = df.join(assigned if assigned is not None else stratified_folds(df, subject, label, folds), subject).persist()
+    where = session.kept(df.join(assigned if assigned is not None else stratified_folds(df, subject, label, folds), subject), "folds")
     out = None
     for name, (fit, predict) in models.items():
         for k in sorted(r["fold"] for r in where.select("fold").distinct().collect()):  # a row a fold
             made = predict(fit(where.where(F.col("fold") != k)), where.where(F.col("fold") == k)).withColumn("model", F.lit(name))
+            made = session.kept(made, "predicted")
             out = made if out is None else out.unionByName(made, allowMissingColumns=True)
     return out
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinelake.functions import scalar
 from kinelake.functions.scalar import DAY, HOUR, MINUTE, SECOND
-from kinelake.operators import epochs, evaluate, fit, quality, score, signal, summary
+from kinelake.operators import bagging, epochs, evaluate, fit, network, quality, score, signal, summary
 from kinelake.plans import recording
 from kinelake.plans.registry import CLASSES, COLUMNS, DATE, DT, EP, EV, HR, IMP, M10L5, MARKS, MN, SIX, WD, _POWER, events, hourly, imputed, query, rounded, six_hours
 
@@ -277,3 +277,76 @@ def failed_calibration(spark, sf):
     """Recordings with too few still windows say so, and how far off they are."""
     found = quality.calibration(quality.window_stats(samples(spark, sf), ["x", "y", "z"], 7), sd=2)
     return rounded(found.select("subject_id", "still", "error_before", "ok"), "error_before")
+
+
+def _windows(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    axes = [F.transform(F.slice("embedding", 1 + 21 * k, 21), lambda v: 6.0 * v.cast("double")).alias(c) for k, c in enumerate("xyz")]
+    return e.select((F.col("vec_id") % 10).alias("subject_id"), F.col("vec_id").alias("idx"), *axes, F.concat(F.lit("c"), F.col("label") % 3).alias("label"))
+
+
+@query()
+def network_scored(spark, sf):
+    """Windows through a residual convolutional network of seeded weights."""
+    shape = network.Shape(("c0", "c1", "c2"), widths=(8, 16), kernel=5, pool=3, hidden=16)
+    made = network.scorer(network.start(shape, 7), shape)(_windows(spark, sf).withColumnRenamed("label", "true"))
+    return made.select("idx", "label", F.transform("logits", lambda v: F.round(v, 3)).alias("logits"))
+
+
+@query()
+def network_trained(spark, sf):
+    """The same network after two epochs on the windows' labels, by gradients summed over partitions; its predictions."""
+    from kinelake import session
+
+    shape = network.Shape(("c0", "c1", "c2"), widths=(8, 16), kernel=5, pool=3, hidden=16)
+    w, _ = network.train(_windows(spark, sf), shape, session.scratch(spark, "network"), epochs=2, batches=2, rate=0.01)
+    made = network.scorer(w, shape)(_windows(spark, sf).withColumnRenamed("label", "true"))
+    return made.select("idx", "true", "label")
+
+
+@query()
+def augmented_windows(spark, sf):
+    """Windows with permuted axes, turned and thinned, as training sees them."""
+    made = signal.augment(_windows(spark, sf))
+    return made.select("idx", *(F.transform(c, lambda v: F.round(v, 6)).alias(c) for c in "xyz"))
+
+
+FEATURES = [f"e{k}" for k in range(8)]
+
+
+def _rows(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return e.select("vec_id", (F.col("vec_id") % 12).alias("subject_id"), (F.col("vec_id") * 30 * SECOND).alias("us"), F.concat(F.lit("c"), F.col("label") % 3).alias("label"), *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(FEATURES)))
+
+
+@query()
+def forest_out_of_bag(spark, sf):
+    """A balanced forest's votes on each row by the trees that never drew it."""
+    rows = _rows(spark, sf)
+    model = bagging.fit(rows, FEATURES, "label", ["vec_id"], trees=10, depth=4, bins=16)
+    made = bagging.predict(model, rows, ["vec_id"], label="label")
+    return made.select("vec_id", "label", "label_pred", "trees", F.transform("probability", lambda v: F.round(v, 6)).alias("probability"))
+
+
+@query()
+def smoother_on_out_of_bag(spark, sf):
+    """The forest with a smoother fitted on its out-of-bag shares: smoothed labels of each subject's epochs."""
+    rows = _rows(spark, sf)
+    model, smoother = fit.fit_out_of_bag(rows, FEATURES, "label", ["vec_id"], None, trees=8, depth=3, bins=16)
+    made = bagging.predict(model, rows, ["vec_id"]).where("label_pred is not null").select("subject_id", "us", "label_pred")
+    return smoother.smooth(made, "label_pred", None).select("subject_id", "us", "label_pred", "smoothed")
+
+
+@query()
+def two_forests_same_folds(spark, sf):
+    """The balanced forest and the library's on the same balanced folds, compared."""
+    rows = _rows(spark, sf)
+    models = {"balanced": fit.bagged(FEATURES, "label", ["vec_id"], trees=8, depth=3, bins=16), "weighted": fit.forest(FEATURES, "label", trees=8, depth=3)}
+    made = fit.cross_validate(rows, models, "subject_id", "label", 3, assigned=fit.balanced_folds(rows, "subject_id", "label", 3))
+    return fit.compare(made, "label")
+
+
+@query()
+def balanced_group_folds(spark, sf):
+    """Whole users in folds with like shares of every event type."""
+    return fit.balanced_folds(spark.read.parquet(f"{sf}/events.parquet"), "user_id", "event_type", 5)

@@ -68,7 +68,10 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
         return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, n long, value string")
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"), "value")
-    return lines.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("b", "m")).cast("long") - 1).drop("b", "m")
+    # a file's block lies together in one task, so ids run through it; a row a block says where it starts in the file
+    blocks = lines.groupBy("path", "b").agg(F.min("m").alias("first_"), F.count("*").alias("count_"))
+    before = F.coalesce(F.sum("count_").over(Window.partitionBy("path").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(blocks.select("path", "b", "first_", before.alias("before_")), ["path", "b"]).select("path", (F.col("before_") + F.col("m") - F.col("first_")).alias("n"), "value")
 
 
 def read_csv(spark: SparkSession, path: str, columns: str = "time,x,y,z", indices: str | None = None, start_row: int = 1, date_format: str = "%Y-%m-%d %H:%M:%S.%f", extra: tuple[str, ...] = ()) -> DataFrame:
