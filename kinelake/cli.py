@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 
 from kinelake import session
-from kinelake.operators import circadian, score, sequence, summary
+from kinelake.operators import bundle, circadian, network, score  # noqa: F401 - network registers its scorer, sequence, summary
 from kinelake.plans import recording
 from kinelake.sources import readers, writers
 
@@ -20,7 +20,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("-o", "--outdir", default="outputs")
     p.add_argument("--scheme", choices=sorted(score.SCHEMES), default="four")
     p.add_argument("--scorer", choices=sorted(score.SCORERS), help="default: forest with --model, else threshold")
-    p.add_argument("--model", help="a saved forest over window features; default: intensity thresholds")
+    p.add_argument("--model", help="a saved model of the scorer, or a bundle (its scheme, epochs and smoother hold); default: intensity thresholds")
+    p.add_argument("--bundle", action="store_true", help="--model is a bundle")
     p.add_argument("--smoother", help="a smoother's JSON file")
     p.add_argument("--no-hmm", action="store_true")
     p.add_argument("--require-sleep-above")
@@ -59,14 +60,16 @@ def main(argv: list[str] | None = None) -> None:
         summary.day_panels(circadian.first_days(rows, args.days) if args.days else rows, ["acc", *classes]).write.parquet(args.out)
         return
     kind = readers.kind_of(args.path)
-    scorer = score.load(args.scorer or ("forest" if args.model else "threshold"), args.scheme, args.model)
+    held = bundle.load(spark, args.model) if args.bundle else None
+    classes, epoch_s = (held.labels, held.epoch_s) if held else (classes, 30.0)
+    scorer = held.scorer() if held else score.load(args.scorer or ("forest" if args.model else "threshold"), args.scheme, args.model)
     options = {"columns": args.csv_txyz, "indices": args.csv_txyz_idxs, "start_row": args.csv_start_row, "date_format": args.csv_date_format} if kind == "csv" else {}
     samples = readers.read_recording(spark, args.path, **options)
-    smoother = None
+    smoother = held.smoother if held and not args.no_hmm else None
     if args.smoother and not args.no_hmm:
         smoother = sequence.HiddenMarkov.from_json("\n".join(r["value"] for r in spark.read.text(args.smoother).collect()))  # one small model
     made = recording.process(
-        samples, scorer, classes, args.sample_rate, smoother=smoother, first_last=args.exclude_first_last, wear_below=args.exclude_wear_below, least_sleep=args.require_sleep_above, single_block=args.single_sleep_block,
+        samples, scorer, classes, args.sample_rate, epoch_s, smoother=smoother, first_last=args.exclude_first_last, wear_below=args.exclude_wear_below, least_sleep=args.require_sleep_above, single_block=args.single_sleep_block,
         calibrate=not args.no_calibration, still_sd_least=args.calibration_stdtol_min, nonwear=not args.no_nonwear, device=f".{kind}", sizes=readers.file_sizes(spark, args.path), options=vars(args) | {"version": VERSION},
     )
     writers.write_series(made["series"], f"{args.outdir}/series", classes)

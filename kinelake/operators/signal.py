@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelake import session
 from kinelake.functions.scalar import HOUR, div
 from kinelake.operators.quality import with_next
 
@@ -67,8 +68,8 @@ def butterworth(order: int, cutoff_hz: float, rate: float) -> list[tuple[np.ndar
 CHUNK = 256
 
 
-def _section(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """x through one second-order section that was at rest at x[0]. Chunks at once from rest, by their impulse response; then what the state before a chunk adds, a chunk at a time."""
+def _section(x: np.ndarray, b: np.ndarray, a: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x through one second-order section from a state, and the state after it. Blocks at once from rest, by their impulse response; then what the state before a block adds, a block at a time."""
     move, push = np.array([[-a[1], 1], [-a[2], 0]]), np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
     powers = [np.eye(2)]
     for _ in range(CHUNK):
@@ -77,41 +78,105 @@ def _section(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
     impulse = np.r_[b[0], powers[: CHUNK - 1, 0] @ push]
     at = np.arange(CHUNK)
     response = np.where(at[:, None] >= at, impulse[np.abs(at[:, None] - at)], 0)
-    many = -(-len(x) // CHUNK)
+    many, rest = -(-len(x) // CHUNK), len(x) % CHUNK
     rows = np.concatenate((x, np.zeros(many * CHUNK - len(x)))).reshape(many, CHUNK)
     out = rows @ response.T
     ends = rows @ (powers[CHUNK - 1 :: -1] @ push)
-    state = np.array([(1 - b[0]) * x[0], (b[2] - a[2]) * x[0]])
     for k in range(many):
         out[k] += powers[:CHUNK, 0] @ state
-        state = powers[CHUNK] @ state + ends[k]
-    return out.ravel()[: len(x)]
+        last = rest if rest and k == many - 1 else CHUNK
+        state = powers[last] @ state + (ends[k] if last == CHUNK else rows[k, :last] @ (powers[last - 1 :: -1] @ push))
+    return out.ravel()[: len(x)], state
+
+
+class Cascade:
+    """Second-order sections in a row; a state is two numbers a section."""
+
+    def __init__(self, sections: list[tuple[np.ndarray, np.ndarray]]):
+        self.sections = sections
+        unit = np.eye(2 * len(sections))
+        self.move = np.stack([self._step(s) for s in unit], 1)
+
+    def _step(self, state: np.ndarray) -> np.ndarray:
+        """The state after one sample of nothing."""
+        out, u = [], 0.0
+        for k, (b, a) in enumerate(self.sections):
+            p, q = state[2 * k], state[2 * k + 1]
+            out += [-a[1] * p + q + (b[1] - a[1] * b[0]) * u, -a[2] * p + (b[2] - a[2] * b[0]) * u]
+            u = p + b[0] * u
+        return np.array(out)
+
+    def rest(self, x: float) -> np.ndarray:
+        """The state after x for ever."""
+        return np.concatenate([[(1 - b[0]) * x, (b[2] - a[2]) * x] for b, a in self.sections])
+
+    def run(self, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        state = self.rest(x[0]) if state is None else state
+        after = []
+        for k, (b, a) in enumerate(self.sections):
+            x, end = _section(x, b, a, state[2 * k : 2 * k + 2])
+            after.append(end)
+        return x, np.concatenate(after)
+
+    def after(self, n: int, state: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The state after n samples that give `own` from nothing."""
+        return np.linalg.matrix_power(self.move, n) @ state + own
+
+
+def _pass(df: DataFrame, columns: list[str], cascade: Cascade, backward: bool, chunk_us: int) -> DataFrame:
+    """df through the cascade in one direction, in chunks of time. First each chunk says how it moves a state; a subject's chunks (a row each) are then chained, and each chunk is filtered from the state before it."""
+    turn = -1 if backward else 1
+    cut, kind = df.withColumn("chunk_", div("us", chunk_us)), dict(df.dtypes)["subject_id"]
+
+    def runs(ok: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.diff(np.r_[False, ok, False].astype(int))).reshape(-1, 2)
+
+    def told(part: pd.DataFrame) -> pd.DataFrame:
+        part, rows = part.sort_values("us")[::turn], []
+        for k, c in enumerate(columns):
+            v = part[c].to_numpy(float)
+            ok = np.isfinite(v)
+            own = None
+            if ok.all():
+                own = cascade.run(v, np.zeros(2 * len(cascade.sections)))[1]
+            elif ok[-1]:
+                own = cascade.run(v[runs(ok)[-1][0] :])[1]
+            rows.append((part["subject_id"].iloc[0], part["chunk_"].iloc[0], k, len(v), bool(ok[0]), bool(ok.all()), float(v[0]) if ok[0] else 0.0, None if own is None else own.tolist()))
+        return pd.DataFrame(rows, columns=["subject_id", "chunk_", "k", "n", "opens", "whole", "first", "own"])
+
+    def chain(part: pd.DataFrame) -> pd.DataFrame:
+        rows, states = [], dict.fromkeys(range(len(columns)))
+        for r in part.sort_values("chunk_", ascending=not backward).itertuples():
+            before = states[r.k] if r.opens else None
+            rows.append((r.subject_id, r.chunk_, r.k, None if before is None else before.tolist()))
+            start = before if before is not None else cascade.rest(r.first)
+            states[r.k] = cascade.after(r.n, start, np.array(r.own)) if r.whole else None if r.own is None else np.array(r.own)
+        return pd.DataFrame(rows, columns=["subject_id", "chunk_", "k", "before"])
+
+    def filtered(part: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("us")
+        before = {r.k: r.before for r in states.itertuples()}
+        for k, c in enumerate(columns):
+            v = part[c].to_numpy(float)[::turn].copy()
+            for lo, hi in runs(np.isfinite(v)):
+                v[lo:hi] = cascade.run(v[lo:hi], np.array(before[k]) if lo == 0 and before.get(k) is not None else None)[0]
+            part[c] = v[::turn]
+        return part.drop(columns="chunk_")
+
+    summary = cut.select("subject_id", "us", "chunk_", *columns).groupBy("subject_id", "chunk_").applyInPandas(told, f"subject_id {kind}, chunk_ long, k int, n long, opens boolean, whole boolean, first double, own array<double>")
+    states = summary.groupBy("subject_id").applyInPandas(chain, f"subject_id {kind}, chunk_ long, k int, before array<double>")
+    schema = ", ".join(f"`{f.name}` {'double' if f.name in columns else f.dataType.simpleString()}" for f in df.schema)
+    return cut.groupBy("subject_id", "chunk_").cogroup(states.groupBy("subject_id", "chunk_")).applyInPandas(filtered, schema)
 
 
-def low_pass(df: DataFrame, columns: list[str], cutoff_hz: float, rate: float, order: int = 8) -> DataFrame:
-    """Regular samples filtered forwards and backwards; runs between missing values are filtered on their own. Cut-offs at or above half the rate change nothing."""
+def low_pass(df: DataFrame, columns: list[str], cutoff_hz: float, rate: float, order: int = 8, chunk_us: int = HOUR) -> DataFrame:
+    """Regular samples filtered forwards and backwards; runs between missing values are filtered on their own, each from rest at its first value. Cut-offs at or above half the rate change nothing. The work's groups are a subject's chunks
+    of time; between chunks only states are carried, so a long recording is many tasks."""
     if cutoff_hz * 2 >= rate:
         return df
-    sections = butterworth(order, cutoff_hz, rate)
-
-    def once(x: np.ndarray) -> np.ndarray:
-        for b, a in sections:
-            x = _section(x, b, a)
-        return x
-
-    def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("us")
-        for c in columns:
-            v = part[c].to_numpy(float)
-            ok = np.isfinite(v)
-            edge = np.flatnonzero(np.diff(np.r_[False, ok, False].astype(int)))
-            for lo, hi in zip(edge[::2], edge[1::2], strict=True):
-                v[lo:hi] = once(once(v[lo:hi])[::-1])[::-1]
-            part[c] = v
-        return part
-
-    schema = ", ".join(f"`{f.name}` {'double' if f.name in columns else f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy("subject_id").applyInPandas(kernel, schema)
+    cascade = Cascade(butterworth(order, cutoff_hz, rate))
+    once = session.kept(_pass(df, columns, cascade, False, chunk_us), "filtered")
+    return _pass(once, columns, cascade, True, chunk_us)
 
 
 def augment(windows: DataFrame, seed: int = 42) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinelake.operators import bagging, fit, network
+from kinelake.operators import bagging, bundle, fit, network, score, sequence, signal
 from kinelake.sources import readers
 
 SHAPE = network.Shape(("a", "b", "c"), widths=(4, 6), depth=1, kernel=3, pool=2, hidden=5)
@@ -164,3 +164,47 @@ def test_lines_are_numbered_without_gathering_a_file(spark, tmp_path):
         assert len(rows) == 3017 and all(r.value == f"{r.path.rsplit('/', 1)[1][0]}{r.n}" for r in rows)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_low_pass_in_chunks_equals_whole_runs(spark):
+    rng, rows = np.random.default_rng(9), []
+    for name, n in (("a", 1000), ("b", 7), ("c", 300)):
+        x, y = rng.normal(size=n), rng.normal(size=n)
+        for at in ((100, 130), (399, 400), (400, 401), (620, 1000 if name == "a" else 0)):
+            x[at[0] : at[1]] = np.nan
+        rows += [(name, i * 10_000, None if np.isnan(p) else float(p), float(q), i) for i, (p, q) in enumerate(zip(x, y, strict=True)) if not (name == "c" and 150 <= i < 260)]
+    df = spark.createDataFrame(rows, "subject_id string, us long, x double, y double, other int").repartition(3)
+    got = {(r.subject_id, r.us): r for r in signal.low_pass(df, ["x", "y"], 20, 100, chunk_us=500_000).collect()}
+    sections = signal.butterworth(8, 20, 100)
+    once = lambda v: [v := signal.Cascade([s]).run(v)[0] for s in sections][-1]  # noqa: E731, F841
+    for name in "abc":
+        own = [r for r in rows if r[0] == name]
+        for k, c in ((2, "x"), (3, "y")):
+            v = np.array([np.nan if r[k] is None else r[k] for r in own])
+            edge = np.flatnonzero(np.diff(np.r_[False, np.isfinite(v), False].astype(int)))
+            for lo, hi in zip(edge[::2], edge[1::2], strict=True):
+                v[lo:hi] = once(once(v[lo:hi])[::-1])[::-1]
+            made = np.array([np.nan if (z := getattr(got[name, r[1]], c)) is None else z for r in own])
+            np.testing.assert_allclose(made, v, atol=1e-9)
+    assert len(got) == len(rows) and all(got[r[0], r[1]].other == r[4] for r in rows)
+
+
+def test_bundles_come_back_and_damage_is_an_error(spark, tmp_path):
+    labels = score.SCHEMES["four"]
+    smoother = sequence.HiddenMarkov(labels, np.full(4, 0.25), np.eye(4) * 0.6 + 0.1, np.eye(4) * 0.6 + 0.1)
+    shape = network.Shape(tuple(labels), widths=(4,), kernel=3, pool=2, hidden=4)
+    rng = np.random.default_rng(1)
+    windows = spark.createDataFrame([(f"s{i % 3}", i * 1000, *(rng.normal(size=12).tolist() for _ in range(3)), labels[i % 4]) for i in range(40)], "subject_id string, epoch_us long, x array<double>, y array<double>, z array<double>, true string")
+    names = ["mean", "sd", "zRange"]
+    forest = bagging.fit(score.array_features(windows), names, "true", ["subject_id", "epoch_us"], trees=4, depth=2, bins=4)
+    for k, classifier in enumerate((forest, (network.start(shape, 2), shape), "threshold")):
+        made = bundle.Bundle(classifier, "four", 15.0, smoother, "2.1")
+        bundle.save(spark, made, f"{tmp_path}/{k}")
+        back = bundle.load(spark, f"{tmp_path}/{k}")
+        assert back.to_text() == made.to_text() and back.labels == labels and back.epoch_s == 15.0
+        want, got = (sorted((r.epoch_us, r.label) for r in b.scorer()(score.window_enmo(windows)).collect()) for b in (made, back))
+        assert got == want and len(got) == 40 and {x for _, x in got} <= set(labels)
+    text = bundle.Bundle("threshold", "four").to_text()
+    for bad in (text.replace("four", "foul"), text[:-2] + " }", "{}", "nothing", text.replace('"form": 1', '"form": 9')):
+        with pytest.raises(ValueError):
+            bundle.Bundle.from_text(bad)

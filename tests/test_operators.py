@@ -284,7 +284,7 @@ def test_low_pass_equals_a_sample_at_a_time():
             for v in x:
                 want.append(b[0] * v + s1)
                 s1, s2 = b[1] * v - a[1] * want[-1] + s2, b[2] * v - a[2] * want[-1]
-            assert np.allclose(signal._section(x, b, a), want, atol=1e-9)
+            assert np.allclose(signal.Cascade([(b, a)]).run(x)[0], want, atol=1e-9)
 
 
 def test_fit_with_smoother_and_cross_validation(spark):
