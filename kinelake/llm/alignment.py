@@ -213,7 +213,10 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         listed = [pa.ListArray.from_arrays(at, pa.array(x[take].astype(np.int32))) for x in (made.left, made.right)]
         bounds, lines = np.r_[0, np.cumsum(size)].tolist(), list(map(made.texts.__getitem__, flat.tolist()))
         sha = [hashlib.sha256(";".join(lines[lo:hi]).encode()).hexdigest() if hi > lo else "" for lo, hi in zip(bounds, bounds[1:], strict=False)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(total(x)) for x in (made.n_a, made.n_b, made.n_groups)), *listed, pa.array(sha)], ["doc_id", "n_a", "n_b", "n_groups", "a_ids", "b_ids", "groups_sha256"])
+        out = pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(total(x)) for x in (made.n_a, made.n_b, made.n_groups)), *listed, pa.array(sha)], ["doc_id", "n_a", "n_b", "n_groups", "a_ids", "b_ids", "groups_sha256"])
+        del made, number, parts, flat, doc, take, lines
+        release()  # after each slice: what many small objects leave behind would else add up
+        return out
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return map_slices(rows, "text", kernel, LINKS.format(id=dict(rows.dtypes)["doc_id"]), SLICE)
