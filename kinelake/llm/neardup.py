@@ -427,7 +427,7 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def group_sql(k: int, percent: int) -> str:
-    """DuckDB SQL for doc_id, n_shingles, component_id and kept (doc_id = component_id), of all pairs that share a shingle."""
+    """DuckDB SQL for doc_id, n_shingles, component_id and kept (doc_id = component_id; false for null ids), of all pairs that share a shingle."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     parts = ", ".join(f"w[i + {j}]" for j in range(k))
     return f"""
@@ -440,4 +440,4 @@ link as materialized (select a, b from met join n x on x.r = a join n y on y.r =
 edge as materialized (select a, b from link union select b, a from link),
 reach(r, root) as (select r, r from d union select e.b, reach.root from reach join edge e on e.a = reach.r),
 comp as (select r, min(d2.doc_id) as component_id from (select distinct r, root from reach) q join (select r as rr, doc_id from d) d2 on d2.rr = q.root group by r)
-select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, comp.component_id, d.doc_id = comp.component_id as kept from d left join n using (r) join comp using (r)"""
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, comp.component_id, coalesce(d.doc_id = comp.component_id, false) as kept from d left join n using (r) join comp using (r)"""

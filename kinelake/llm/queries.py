@@ -57,7 +57,7 @@ def op8_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: three words a shingle, 85 percent."""
-    return neardup.group(table(spark, sf_dir, "documents"), k=3, percent=85).selectExpr("doc_id", "n_shingles", "component_id", "doc_id = component_id as kept")
+    return neardup.group(table(spark, sf_dir, "documents"), k=3, percent=85).selectExpr("doc_id", "n_shingles", "component_id", "coalesce(doc_id = component_id, false) as kept")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
