@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 
 from kinelake import session
-from kinelake.operators import bundle, circadian, network, score  # noqa: F401 - network registers its scorer, sequence, summary
+from kinelake.operators import bundle, circadian, network, score, sequence, summary  # noqa: F401 - network registers its scorer
 from kinelake.plans import recording
 from kinelake.sources import readers, writers
 
