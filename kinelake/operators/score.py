@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.functions.scalar import enmo
-from kinelake.operators import epochs, sequence
+from kinelake.operators import epochs, sequence, spectral
 
 #: The label schemes.
 SCHEMES = {"four": ["light", "moderate-vigorous", "sedentary", "sleep"], "six": ["bicycling", "mixed", "sit-stand", "sleep", "vehicle", "walking"]}
@@ -42,11 +42,13 @@ def windows(samples: DataFrame, epoch_s: float, rate: int | None = None, length:
 
 
 #: What `array_features` makes of a window.
-FEATURES = ["enmoTrunc", "enmoAbs", "mean", "sd", "coefvariation", "median", "min", "max", "25thp", "75thp", "MAD", "MPD", "skew", "kurt", "autocorr", "xMean", "yMean", "zMean", "xRange", "yRange", "zRange", "xStd", "yStd", "zStd", "xyCov", "xzCov", "yzCov", "xyCorr", "xzCorr", "yzCorr", "f1", "p1", "f2", "p2", "totalPower", "entropy"]
+FEATURES = ["enmoTrunc", "enmoAbs", "mean", "sd", "coefvariation", "median", "min", "max", "25thp", "75thp", "MAD", "MPD", "skew", "kurt", "autocorr", "xMean", "yMean", "zMean", "xRange", "yRange", "zRange", "xStd", "yStd", "zStd", "xyCov", "xzCov", "yzCov", "xyCorr", "xzCorr", "yzCorr", "f1", "p1", "f2", "p2", "totalPower", "entropy", "corrxy", "corrxz", "corryz", *spectral.MADE]
+#: Samples that the kernels look at at once, so memory doesn't grow with a window's length.
+SAMPLES = 1 << 20
 
 
 def _features(v: np.ndarray, step_s: float) -> np.ndarray:
-    """(windows, FEATURES) of (windows, samples, axes) in g; undefined is 0. Moments and quantiles are of the vector norm, f1, p1, f2, p2 the two strongest frequencies and their powers."""
+    """(windows, FEATURES) of (windows, samples, axes) in g; undefined is 0. Moments and quantiles are of the vector norm, f1, p1, f2, p2 the two strongest frequencies and their powers; corrxy is xyCorr under the forests' name. The rest is `spectral.features`."""
     n, r = v.shape[1], np.sqrt(np.square(v).sum(axis=2))
     mean, sd = r.mean(axis=1), r.std(axis=1, ddof=1 if n > 1 else 0)
     low, mid, high = np.quantile(r, [0.25, 0.5, 0.75], axis=1)
@@ -70,7 +72,8 @@ def _features(v: np.ndarray, step_s: float) -> np.ndarray:
         ratio((rest**3).mean(axis=1), spread**3), ratio((rest**4).mean(axis=1), spread**4) - 3 * (spread**4 > 1e-12), autocorr, *v.mean(axis=1).T, *np.ptp(v, axis=1).T, *std.T,
         *cov.values(), *(ratio(c, std[:, i] * std[:, j]) for (i, j), c in cov.items()), hz(order[:, 0]), power[row, order[:, 0]], hz(second), power[row, second], total, entropy,
     ]
-    return np.stack(columns, axis=1)
+    columns += [columns[FEATURES.index(c)] for c in ("xyCorr", "xzCorr", "yzCorr")]
+    return np.column_stack((*columns, spectral.features(v, step_s)))
 
 
 def array_features(df: DataFrame, step_s: float = 1 / 30) -> DataFrame:
@@ -84,10 +87,11 @@ def array_features(df: DataFrame, step_s: float = 1 / 30) -> DataFrame:
             out = np.full((part.num_rows, len(FEATURES)), np.nan)
             for n in np.unique(size[size > 0]).tolist():
                 at = np.flatnonzero(size == n)
-                v = np.stack([a.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), n) for a in arrays], axis=2)
-                whole = np.isfinite(v).all(axis=(1, 2))
-                if whole.any():
-                    out[at[whole]] = _features(v[whole], step_s)
+                for some in np.array_split(at, -(-len(at) * n // SAMPLES)):
+                    v = np.stack([a.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(some), n) for a in arrays], axis=2)
+                    whole = np.isfinite(v).all(axis=(1, 2))
+                    if whole.any():
+                        out[some[whole]] = _features(v[whole], step_s)
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, mask=np.isnan(c)) for c in out.T)], [*part.schema.names, *FEATURES])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{c}` double" for c in FEATURES)])

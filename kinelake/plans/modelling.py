@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinelake.functions import scalar
 from kinelake.functions.scalar import DAY, HOUR, MINUTE, SECOND
-from kinelake.operators import bagging, epochs, evaluate, fit, network, quality, score, signal, summary
+from kinelake.operators import bagging, epochs, evaluate, fit, network, quality, score, signal, spectral, summary
 from kinelake.plans import recording
 from kinelake.plans.registry import CLASSES, COLUMNS, DATE, DT, EP, EV, HR, IMP, M10L5, MARKS, MN, SIX, WD, _POWER, events, hourly, imputed, query, rounded, six_hours
 
@@ -49,6 +49,36 @@ def window_array_features(spark, sf):
     return rounded(made.select("vec_id", *(F.col(f"`{a}`").alias(b) for a, b in names.items())), *names.values())
 
 
+def _spectral_sql() -> str:
+    """Sub-windows of 8 samples every 4, and the whole window of 21, by sums of sines and cosines; gravity as a mean of the nine nearest samples."""
+    turn = "atan2({0}y, {0}z) as roll, atan2({0}x, {0}z) as pitch, atan2({0}y, {0}x) as yaw"
+    power = lambda d, k, j, n: f"pow(sum({d} * cos(2 * pi() * {k} * {j} / {n})), 2) + pow(sum({d} * sin(2 * pi() * {k} * {j} / {n})), 2)"
+    best = lambda source, where: f"(select vec_id, arg_max(hz, (p, -hz)) as f, max(p) as p from {source} where {where} group by 1)"
+    return f"""with pt as (select vec_id, i - 1 as i, embedding[i]::double as x, embedding[i + 21]::double as y, embedding[i + 42]::double as z from embeddings, range(1, 22) t(i)), r as (select vec_id, i, sqrt(x * x + y * y + z * z) as r from pt),
+sb as (select vec_id, s, i - 4 * s as j, r - avg(r) over (partition by vec_id, s) as d from r, range(0, 4) t(s) where i - 4 * s between 0 and 7), sp as (select vec_id, s, k, ({power("d * (0.5 - 0.5 * cos(2 * pi() * j / 8))", "k", "j", 8)}) / 3 as p from sb, range(1, 5) t(k) group by all),
+av as (select vec_id, k::double as hz, avg(p) as p from sp group by all), wm as (select vec_id, i, r - avg(r) over (partition by vec_id) as d from r), wp as (select vec_id, k / 2.625 as hz, ({power("d", "k", "i", 21)}) / 21 as p from wm, range(1, 11) t(k) group by all),
+gr as (select vec_id, {", ".join(f"{c} - avg({c}) over w as l{c}, avg({c}) over w as g{c}" for c in "xyz")} from pt window w as (partition by vec_id order by i rows between 4 preceding and 4 following)),
+an as (select vec_id, {turn.format("l")} from gr), am as (select vec_id, {", ".join(f"avg({c}) as avg{c}, stddev_samp({c}) as sd{c}" for c in ("roll", "pitch", "yaw"))} from an group by 1),
+gm as (select vec_id, {turn.format("g")} from (select vec_id, {", ".join(f"avg(g{c}) as g{c}" for c in "xyz")} from gr group by 1)), ff as (select vec_id, {", ".join(f"max(p) filter (hz = {k}) as fft{k}" for k in range(1, 5))} from av group by 1)
+select vec_id, round(a.f, 6) as fmax, round(a.p, 6) as pmax, round(b.f, 6) as fmaxband, round(b.p, 6) as pmaxband, {", ".join(f"round(fft{k}, 6) as fft{k}" for k in range(1, 5))}, {", ".join(f"0::double as fft{k}" for k in range(5, 11))}, round(w.f, 6) as f625, round(w.p, 6) as p625,
+{", ".join(f"round(am.{k}{c}, 6) as {k}{c}" for k in ("avg", "sd") for c in ("roll", "pitch", "yaw"))}, {", ".join(f"round(gm.{c}, 6) as {c}g" for c in ("roll", "pitch", "yaw"))}
+from {best("av", "true")} a join {best("av", "hz between 0.3 and 3")} b using (vec_id) join {best("wp", "hz between 0.6 and 2.5")} w using (vec_id) join ff using (vec_id) join am using (vec_id) join gm using (vec_id)"""
+
+
+@query(_spectral_sql())
+def window_spectral_features(spark, sf):
+    """The named spectral and posture features of windows of 21 samples at 8 Hz."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", *(F.slice("embedding", 1 + 21 * k, 21).alias(c) for k, c in enumerate("xyz")))
+    return rounded(score.array_features(e, 0.125).select("vec_id", *spectral.MADE), *spectral.MADE)
+
+
+@query()
+def forest_feature_sets(spark, sf):
+    """The forests' features of the four and the six classes, all of them: each window's values as an array in the order of the names."""
+    made = score.array_features(_windows(spark, sf).drop("label"))
+    return made.select("idx", *(F.array(*(F.round(F.col(f"`{c}`"), 6) for c in names)).alias(scheme) for scheme, names in spectral.NAMES.items()))
+
+
 @query(f"""with {SIX}, {MARKS}, g as (select subject_id, idx from six group by 1, 2 having count(*) = 6 and count(acc) = 6 and count(label) > 0), v as (select subject_id, idx, d.label, count(*) as n from six join d on annotation = six.label semi join g using (subject_id, idx) group by all),
 b as (select subject_id, idx, label from v qualify row_number() over (partition by subject_id, idx order by n desc, label nulls last) = 1) select s.subject_id, s.idx, b.label from (select distinct subject_id, idx from six) s left join b using (subject_id, idx)""")
 def every_window_label(spark, sf):
