@@ -177,14 +177,52 @@ class HiddenMarkov:
             raise ValueError("no labelled rows")
         return cls(names, np.array([share.get(x, 0.0) for x in names]), np.array([rows.get(x, [0.0] * len(names)) for x in names]), np.array([[steps.get((a, b), 0.0) for b in names] for a in names]))
 
+    def decode(self, codes: np.ndarray, uniform: bool = False) -> np.ndarray:
+        """The likeliest states of observed label codes; ties to the lowest code."""
+        log = lambda x: np.log(x + 1e-16)
+        k = len(self.labels)
+        start = log(np.full(k, 1 / k) if self.uniform or uniform else self.prior)
+        emit, move = log(self.emission), log(self.transition)
+        back, score = np.zeros((len(codes), k), np.int8), start + emit[:, codes[0]]
+        for t in range(1, len(codes)):
+            through = score[:, None] + move
+            back[t] = through.argmax(axis=0)
+            score = through.max(axis=0) + emit[:, codes[t]]
+        out = np.empty(len(codes), int)
+        out[-1] = score.argmax()
+        for t in range(len(codes) - 1, 0, -1):
+            out[t - 1] = back[t, out[t]]
+        return out
+
+    def smooth(self, df: DataFrame, label: str, interval_us: int | None, out: str = "smoothed") -> DataFrame:
+        """df with `out`: the decoded labels of each subject's labelled rows; the first after a gap keeps its own. Missing labels stay missing."""
+        model, kind = self, dict(df.dtypes)["subject_id"]
+
+        def kernel(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("us")
+            known = part[part[label].notna()]
+            made = pd.Series(None, index=part.index, dtype=object)
+            if len(known):
+                codes = known[label].map({x: i for i, x in enumerate(model.labels)})
+                if codes.isna().any():
+                    raise ValueError("unknown label")
+                made[known.index] = [model.labels[i] for i in model.decode(codes.to_numpy(int))]
+                if interval_us is not None:
+                    gap = known["us"].diff().fillna(interval_us) != interval_us
+                    made[known.index[gap]] = known.loc[gap, label]
+            return pd.DataFrame({"subject_id": part["subject_id"], "us": part["us"], out: made})
+
+        smoothed = df.select("subject_id", "us", label).groupBy("subject_id").applyInPandas(kernel, f"subject_id {kind}, us long, {out} string")
+        return df.join(smoothed, ["subject_id", "us"])
+
     def _logs(self, uniform: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, emission and transition as whole numbers of 2^-32 of a natural logarithm: their sums are exact, so series may be cut anywhere."""
         log = lambda x: np.rint(np.log(x + 1e-16) * 2.0**32).astype(np.int64)
         k = len(self.labels)
         return log(np.full(k, 1 / k) if self.uniform or uniform else self.prior), log(self.emission), log(self.transition)
 
-    def decode(self, codes: np.ndarray, uniform: bool = False) -> np.ndarray:
-        """The likeliest states of observed label codes; ties to the lowest code. Segments of SEGMENT codes are joined exactly."""
+    def decode_segments(self, codes: np.ndarray, uniform: bool = False) -> np.ndarray:
+        """The likeliest states of observed label codes by whole logarithms: paths of equal score are told apart by the lowest code, where the rounding of `decode` chooses. Segments of SEGMENT codes are joined exactly."""
         start, emit, move = self._logs(uniform)
         cuts = [codes[i : i + SEGMENT] for i in range(0, len(codes), SEGMENT)]
         if not cuts:
@@ -200,8 +238,8 @@ class HiddenMarkov:
             state = int(came[state])
         return np.concatenate(out[::-1])
 
-    def smooth(self, df: DataFrame, label: str, interval_us: int | None, out: str = "smoothed", chunk_us: int = DAY) -> DataFrame:
-        """df with `out`: the decoded labels of each subject's labelled rows, whose times are unique; the first after a gap keeps its own. Missing labels stay missing, and rows without a subject get none. The work's groups are a subject's chunks of time: each says how it moves
+    def smooth_chunks(self, df: DataFrame, label: str, interval_us: int | None, out: str = "smoothed", chunk_us: int = DAY) -> DataFrame:
+        """`smooth` for series of any length, decoded by `decode_segments`: df with `out`, the labels of each subject's labelled rows, whose times are unique; the first after a gap keeps its own. Missing labels stay missing, and rows without a subject get none. The work's groups are a subject's chunks of time: each says how it moves
         the scores of the states, a subject's chunks (a row each) are chained, each finds its paths from the scores before it, and the chain back picks one of them."""
         start, emit, move = self._logs()
         names, kind = self.labels, dict(df.dtypes)["subject_id"]

@@ -367,13 +367,13 @@ def smoother() -> sequence.HiddenMarkov:
     return sequence.HiddenMarkov(CLASSES, np.full(4, 0.25), eye * 0.75 + 0.0625, eye * 0.8 + 0.05)
 
 
-def _viterbi_sql() -> str:
+def _viterbi_sql(log: str = "ln({}::double + 1e-16)") -> str:
     """Steps in time; a step holds the best score and path to each state. Ties go to the first state."""
-    stay, move, right, wrong = (f"ln({x}::double + 1e-16)" for x in ("(0.8::double + 0.05::double)", 0.05, 0.8125, 0.0625))
+    stay, move, right, wrong = (log.format(x) for x in ("(0.8::double + 0.05::double)", 0.05, 0.8125, 0.0625))
     through = lambda j: [f"(v[{i}] + {stay if i == j else move})" for i in range(1, 5)]
     emit = lambda j: f"case when code = {j} then {right} else {wrong} end"
     best = lambda j: f"list_position([{', '.join(through(j))}], greatest({', '.join(through(j))}))"
-    first = ", ".join(f"ln(0.25::double + 1e-16) + {emit(j)}" for j in range(1, 5))
+    first = ", ".join(f"{log.format(0.25)} + {emit(j)}" for j in range(1, 5))
     return f"""with recursive {EP}, vk as (select subject_id, us, label, list_position([{', '.join(f"'{c}'" for c in CLASSES)}], label) as code, row_number() over (partition by subject_id order by us) as t, us - lag(us) over (partition by subject_id order by us) as gap from ep where label is not null),
 vw(subject_id, t, v, p) as (select subject_id, t, [{first}], [[1], [2], [3], [4]] from vk where t = 1 union all
 select k.subject_id, k.t, [{', '.join(f"greatest({', '.join(through(j))}) + {emit(j)}" for j in range(1, 5))}], [{', '.join(f"list_append(p[{best(j)}], {j})" for j in range(1, 5))}] from vw join vk k on k.subject_id = vw.subject_id and k.t = vw.t + 1),
@@ -386,6 +386,12 @@ def viterbi_smooth(spark, sf):
     return smoother().smooth(hourly(spark, sf), "label", HOUR).select("subject_id", "us", "label", "smoothed")
 
 
+@query(_viterbi_sql("round(ln({}::double + 1e-16) * 4294967296)::bigint"))
+def viterbi_chunks(spark, sf):
+    """The smoother over chunks of a day that are chained, by whole logarithms."""
+    return smoother().smooth_chunks(hourly(spark, sf), "label", HOUR).select("subject_id", "us", "label", "smoothed")
+
+
 @query(f"with {EP}, k as (select *, us - lag(us) over (partition by subject_id order by us) as gap from ep where label is not null) select subject_id, us, case when gap <> {HOUR} then label else 'light' end as label from k")
 def gap_restore(spark, sf):
     known = hourly(spark, sf).where("label is not null").withColumn("smoothed", F.lit("light"))

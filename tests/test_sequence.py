@@ -41,13 +41,13 @@ def test_decode_equals_a_step_at_a_time(monkeypatch, segment, rough):
     for seed in range(6):
         hmm = model(seed, 2 + seed, rough)
         codes = np.random.default_rng(seed + 50).integers(0, 2 + seed, 1 + 37 * seed)
-        assert hmm.decode(codes).tolist() == plain(hmm, codes)
-    assert hmm.decode(np.zeros(0, int)).tolist() == []
+        assert hmm.decode_segments(codes).tolist() == plain(hmm, codes)
+    assert hmm.decode_segments(np.zeros(0, int)).tolist() == []
 
 
 def test_ties_go_to_the_first_state():
     flat = sequence.HiddenMarkov(["a", "b", "c"], np.full(3, 1 / 3), np.full((3, 3), 1 / 3), np.full((3, 3), 1 / 3))
-    assert set(flat.decode(np.arange(9000) % 3)) == {0}
+    assert set(flat.decode_segments(np.arange(9000) % 3)) == {0}
 
 
 @pytest.mark.parametrize("kind", ["string", "long"])
@@ -68,15 +68,15 @@ def test_chunks_equal_whole_series(spark, kind):
         for i, ((u, x), state) in enumerate(zip(known, states, strict=True)):
             want[str(who), u] = x if i and u - known[i - 1][0] != 30 * S else f"s{state}"
     for chunk in (DAY, 600 * S, 30 * S):
-        got = hmm.smooth(df, "label", 30 * S, chunk_us=chunk).collect()
+        got = hmm.smooth_chunks(df, "label", 30 * S, chunk_us=chunk).collect()
         assert len(got) == len(rows) and got[0].chunk_ == "old"
         assert {(str(r.subject_id), r.us): r.smoothed for r in got if r.smoothed is not None} == want
-    assert all(r.smoothed is None for r in hmm.smooth(df.where("subject_id = 4"), "label", None).collect())
-    assert hmm.smooth(df.where("us < 0"), "label", None).columns == ["subject_id", "us", "label", "chunk_", "smoothed"]
-    assert hmm.smooth(df.where("us < 0"), "label", None).count() == 0
+    assert all(r.smoothed is None for r in hmm.smooth_chunks(df.where("subject_id = 4"), "label", None).collect())
+    assert hmm.smooth_chunks(df.where("us < 0"), "label", None).columns == ["subject_id", "us", "label", "chunk_", "smoothed"]
+    assert hmm.smooth_chunks(df.where("us < 0"), "label", None).count() == 0
 
 
 def test_unknown_labels_are_errors(spark):
     df = spark.createDataFrame([("a", 0, "s0"), ("a", 1, "s9")], "subject_id string, us long, label string")
     with pytest.raises(Exception, match="unknown label"):
-        model(1, 3).smooth(df, "label", None).collect()
+        model(1, 3).smooth_chunks(df, "label", None).collect()
