@@ -37,14 +37,28 @@ SORT_BYTES = 2_500_000
 #: Bits of a name of which three are one key; longer names are joined two at a time.
 NAME_BITS = 21
 HOT = 20_000
-#: Text that a bucket holds, about.
-BUCKET_BYTES = 3 << 20
+#: Text of the documents that a bucket holds, about, and text whose cells meet in one bucket of hashes, about.
+BUCKET_BYTES, MEET_BYTES = 3 << 20, 8 << 20
+#: Cells that a task deals to buckets at once, about: the more, the larger are its packs.
+DEAL_CELLS = 400_000
+#: Packs of at most as many bytes are records one after another; larger ones are compressed columns.
+SMALL = 2048
+
+
+#: Types of what is packed: cells with hashes, cells that met, and what goes.
+CELL = ("u8", "i8", "i8", "i4", "u2")  # hash, doc_id, text_key, first window start, windows
+MET = (*CELL, "?")  # and whether many places share it
+SPAN = ("i8", "i8", "i4", "i4")  # doc_id, text_key, first byte, end
+
+
+def _record(kinds: tuple[str, ...]) -> np.dtype:
+    return np.dtype([("flag", "u1"), *((f"f{i}", k) for i, k in enumerate(kinds))])
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes: a flag, then type, size and data of each; large packs are compressed, small ones carry a few bytes more than their data."""
     raw = b"".join(x.dtype.str.encode().ljust(4) + len(d := x.tobytes()).to_bytes(4, "little") + d for x in arrays)
-    return b"\1" + zstandard.ZstdCompressor(level=1).compress(raw) if len(raw) > 2048 else b"\0" + raw
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(raw) if len(raw) > SMALL else b"\0" + raw
 
 
 def _unpack(raw: bytes) -> list[np.ndarray]:
@@ -56,9 +70,13 @@ def _unpack(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-def _joined(rows: list[bytes]) -> list[np.ndarray]:
-    """The arrays of several packs, one after another."""
-    return [np.concatenate(x) for x in zip(*map(_unpack, rows), strict=True)]
+def _joined(rows: list[bytes], kinds: tuple[str, ...] | None = None) -> list[np.ndarray]:
+    """The arrays of several packs, one after another; kinds are the types of records, if packs may be such."""
+    if kinds is None:
+        return [np.concatenate(x) for x in zip(*map(_unpack, rows), strict=True)]
+    records = np.frombuffer(b"".join(x for x in rows if x[0] == 2), _record(kinds))
+    columns = [_unpack(x) for x in rows if x[0] != 2]
+    return [np.concatenate((records[f"f{i}"], *(x[i] for x in columns))) for i in range(len(kinds))]
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -174,38 +192,60 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _spread(names: list[str], bucket: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch | None:
-    """A packed row for each bucket."""
-    order = np.argsort(bucket, kind="stable")
-    edge = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True]) if len(order) else [0]
-    rows = [(int(bucket[order[a]]), _pack(*(x[order[a:b]] for x in arrays))) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names)
-
-
-def spans(docs: DataFrame, buckets: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_bucket, pack): packs of (doc_id, text_key, first byte, end) that go. docs: doc_id (no nulls), text_key, text."""
+def _spread(names: list[str], kinds: tuple[str, ...], bucket: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
+    """A packed row for each bucket. Small packs are cut out of one array of records, so many buckets cost neither a Python step nor a header each."""
+    order, record = np.argsort(bucket, kind="stable"), _record(kinds)
+    bucket = bucket[order]
+    edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(order) else np.zeros(1, np.int64)
+    many, home = np.diff(edge), bucket[edge[:-1]]
+    large = many * record.itemsize > SMALL
+    columns = [_pack(*(x[order[a:b]].astype(k, copy=False) for x, k in zip(arrays, kinds, strict=True))) for a, b in zip(edge[:-1][large], edge[1:][large], strict=True)]
+    few = order[np.repeat(~large, many)]
+    records = np.empty(len(few), record)
+    records["flag"] = 2
+    for i, x in enumerate(arrays):
+        records[f"f{i}"] = x[few]
+    ends = np.r_[0, np.cumsum(many[~large]) * record.itemsize].astype(np.int32)
+    cut_out = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(records.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(np.r_[home[~large], home[large]], pa.int32()), pa.concat_arrays([cut_out, pa.array(columns, pa.binary())])], names)
+
+
+def spans(docs: DataFrame, buckets: int, length: int = LENGTH, gram: int = GRAM, meetings: int | None = None) -> DataFrame:
+    """(doc_bucket, pack): packs of (doc_id, text_key, first byte, end) that go. docs: doc_id (no nulls), text_key, text. Hashes meet in `meetings` buckets, as many as `buckets` if not given."""
+    meetings = meetings or buckets
+
+    def deal(held):
+        h, *more = map(np.concatenate, zip(*held, strict=True))
+        return _spread(["bucket", "pack"], CELL, (h % np.uint64(meetings)).astype(np.int32), h, *more)
 
     def scan(batches):
+        held, n = [], 0
         for part in slices(batches, "text"):
             h, doc, start, windows = cells(*utf8(part.column("text")), length, gram)
-            ids, keys = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "text_key"))
-            home = _home(ids, keys, buckets)
             if len(h):
-                yield _spread(["bucket", "pack"], (h % np.uint64(buckets)).astype(np.int32), h, ids, keys, home, start.astype(np.int32), windows.astype(np.uint16))
+                ids, keys = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "text_key"))
+                held.append((h, ids, keys, start.astype(np.int32), windows.astype(np.uint16)))
+                n += len(h)
+            if n >= DEAL_CELLS:
+                yield deal(held)
+                held, n = [], 0
+        if held:
+            yield deal(held)
         release()
 
     def alike(part: pa.Table) -> pa.Table:
-        h, ids, keys, home, start, windows = _joined(part.column("pack").to_pylist())
+        h, ids, keys, start, windows = _joined(part.column("pack").to_pylist(), CELL)
         _, back, count = np.unique(h, return_inverse=True, return_counts=True)
         keep = count[back] > 1
         hot = (count[back] > HOT)[keep]
-        return pa.Table.from_batches([_spread(["doc_bucket", "pack"], home[keep].astype(np.int32), *(x[keep] for x in (h, ids, keys, start, windows)), hot)])
+        ids, keys = ids[keep], keys[keep]
+        return pa.Table.from_batches([_spread(["doc_bucket", "pack"], MET, _home(ids, keys, buckets), h[keep], ids, keys, start[keep], windows[keep], hot)])
 
     def texts(key, part: pa.Table, found: pa.Table) -> pa.Table:
         none = pa.table({"bucket": pa.array([], pa.int32()), "pack": pa.array([], pa.binary())})
         if not part.num_rows or not found.num_rows:
             return none
-        h, ids, keys, start, windows, hot = _joined(found.column("pack").to_pylist())
+        h, ids, keys, start, windows, hot = _joined(found.column("pack").to_pylist(), MET)
         body, at = _inflated(part.column("text"))
         row = {k: i for i, k in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(), strict=True))}
         doc = np.array([row[k] for k in zip(ids.tolist(), keys.tolist(), strict=True)], np.int64)
@@ -226,10 +266,13 @@ def spans(docs: DataFrame, buckets: int, length: int = LENGTH, gram: int = GRAM)
         which = order[first]
         many = np.diff(np.r_[first, len(order)]).astype(np.int32)
         bucket = (h % np.uint64(buckets)).astype(np.int32)
-        out = []
-        for b in np.unique(bucket):
-            mine, places = which[bucket[which] == b], order[bucket[order] == b]
-            out.append((int(b), _pack(h[mine], own[mine], windows[mine].astype(np.uint16), many[bucket[which] == b], gather(body, lo[mine], size[mine]), ids[places], keys[places], start[places])))
+        dealt, spots = np.argsort(bucket[which], kind="stable"), order[np.argsort(bucket[order], kind="stable")]
+        which, many, out = which[dealt], many[dealt], []
+        homes, begin = np.unique(bucket[which], return_index=True)
+        stop, upto = np.r_[begin[1:], len(which)], np.r_[0, np.cumsum(np.bincount(np.searchsorted(homes, bucket), minlength=len(homes)))]
+        for i, (b, x, y) in enumerate(zip(homes.tolist(), begin.tolist(), stop.tolist(), strict=True)):
+            mine, places = which[x:y], spots[upto[i] : upto[i + 1]]
+            out.append((b, _pack(h[mine], own[mine], windows[mine].astype(np.uint16), many[x:y], gather(body, lo[mine], size[mine]), ids[places], keys[places], start[places])))
         release()
         return pa.table({"bucket": pa.array([x for x, _ in out], pa.int32()), "pack": pa.array([x for _, x in out], pa.binary())})
 
@@ -278,7 +321,7 @@ def spans(docs: DataFrame, buckets: int, length: int = LENGTH, gram: int = GRAM)
             return pa.table({"doc_bucket": pa.array([], pa.int32()), "pack": pa.array([], pa.binary())})
         ids, keys, a, b = map(np.concatenate, (out_i, out_k, out_a, out_b))
         release()
-        return pa.Table.from_batches([_spread(["doc_bucket", "pack"], _home(ids, keys, buckets), ids, keys, a.astype(np.int32), b.astype(np.int32))])
+        return pa.Table.from_batches([_spread(["doc_bucket", "pack"], SPAN, _home(ids, keys, buckets), ids, keys, a, b)])
 
     met = docs.mapInArrow(scan, "bucket int, pack binary").groupBy("bucket").applyInArrow(alike, "doc_bucket int, pack binary")
     held = deflated(docs, "text", buckets).groupBy("doc_bucket").cogroup(met.withColumnRenamed("doc_bucket", "at").groupBy("at")).applyInArrow(texts, "bucket int, pack binary")
@@ -315,12 +358,12 @@ def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "te
     names = docs.columns
     null_, id_, key_, bucket_ = (free(names, x) for x in ("was_null", "key_id", "text_key", "doc_bucket"))
     total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    buckets = max(32, total // BUCKET_BYTES)
+    buckets, meetings = max(32, total // BUCKET_BYTES), max(64, total // MEET_BYTES)
     rows = docs.withColumns({null_: F.isnull(F.col(text)), text: F.coalesce(F.col(text).cast("string"), F.lit(""))})
     rows = rows.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), key_: F.xxhash64(text)})
 
     keyed = rows.select(F.col(id_).alias("doc_id"), F.col(key_).alias("text_key"), F.col(text).alias("text"))
-    gone = spans(keyed, buckets, length, gram)
+    gone = spans(keyed, buckets, length, gram, meetings)
     whole = deflated(rows, text, buckets, id_, key_, bucket_)
 
     def keep(key, part: pa.Table, found: pa.Table) -> pa.Table:
@@ -328,7 +371,7 @@ def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "te
             return pa.table({n: pa.array([], t) for n, t in zip([*names, "repeat_bytes", "repeat_removed", "repeat_spans", "repeat_sha256"], [*(pa.string() if n == text else part.schema.field(n).type for n in names), pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)})
         where: dict[tuple[int, int], np.ndarray] = {}
         if found.num_rows:
-            ids, keys, a, b = _joined(found.column("pack").to_pylist())
+            ids, keys, a, b = _joined(found.column("pack").to_pylist(), SPAN)
             order = np.lexsort((a, keys, ids))
             ids, keys, pair = ids[order], keys[order], np.stack((a[order], b[order]), axis=1)
             edge = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])

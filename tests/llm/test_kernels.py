@@ -289,3 +289,24 @@ def test_shouting_counts_the_whole_text():
     want = [sum(c.isupper() for c in x) > 0.3 * max(20, len(x)) for x in texts]
     assert toxicity.Signs(texts, np.zeros(0, np.uint64)).patterns[:, 4].tolist() == want and want[:4] == [True, False, True, False]
     assert toxicity.Signs(["", ""], np.zeros(0, np.uint64)).patterns[:, 4].tolist() == [False, False]
+
+
+@pytest.mark.parametrize("buckets", [1, 64, 3750, 1_000_000])
+def test_packs_of_many_buckets(buckets):
+    """Every cell comes to its bucket, and many buckets make packs hardly larger."""
+    rng = np.random.default_rng(1)
+    n = 200_000
+    h, ids = rng.integers(0, 1 << 63, n).astype(np.uint64), np.sort(rng.integers(0, 4000, n))
+    keys = rng.integers(0, 1 << 62, 4000)[ids]
+    start, windows = rng.integers(0, 5000, n).astype(np.int32), rng.integers(1, 105, n).astype(np.uint16)
+    bucket = (h % np.uint64(buckets)).astype(np.int32)
+    batch = repeats._spread(["bucket", "pack"], repeats.CELL, bucket, h, ids, keys, start, windows)
+    homes, packs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    assert len(set(homes)) == len(homes) and sum(map(len, packs)) <= 32 * n
+    got = [repeats._joined([p], repeats.CELL) for p in packs[:50]]
+    assert all((g[0] % np.uint64(buckets) == b).all() for g, b in zip(got, homes, strict=False))
+    back = repeats._joined(packs, repeats.CELL)
+    order, want = np.argsort(back[0], kind="stable"), np.argsort(h, kind="stable")
+    assert all((a[order] == b[want]).all() for a, b in zip(back, (h, ids, keys, start, windows), strict=True))
+    none = repeats._spread(["bucket", "pack"], repeats.CELL, bucket[:0], *(x[:0] for x in (h, ids, keys, start, windows)))
+    assert none.num_rows == 0
