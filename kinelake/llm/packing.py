@@ -14,6 +14,7 @@ of any name do no harm; null ids are pieces like others. Rows that share id and
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 from functools import lru_cache
 
@@ -28,8 +29,6 @@ from .common import map_slices, stored
 CAPACITY = 2048
 #: Rows of a length that one task ranks, about.
 BUCKET_ROWS = 20_000
-#: Pairs of bins that the local search looks at, at most. That is work saved on the driver: beyond it the plan is whole and right, only perhaps not as tight as it could get.
-LOOKS = 600_000
 #: The emptiest bins that the search tries to empty first, before it goes on with the rest.
 FRONT = 24
 
@@ -114,38 +113,65 @@ def _without(bin_: tuple, out: tuple, into: tuple) -> tuple:
     return tuple(sorted([*items, *into]))
 
 
-def local_search(bins: Counter, capacity: int, looks: int = LOOKS) -> Counter:
-    """Exchanges between underfull bins until the fewest possible bins are left, no exchange raises the squared fill, or `looks` pairs of bins were tried."""
+def _raised(bits: int, gap: int) -> int:
+    """Bits of bits moved up by 1, 2, ... gap."""
+    out, n = bits << 1, 1
+    while n < gap:
+        step = min(n, gap - n)
+        out, n = out | out << step, n + step
+    return out
+
+
+def _masks(bin_: tuple, capacity: int) -> tuple[int, int, int, int]:
+    """As bits of a number: the bin's pieces, its sums of two, and what one piece and two pieces may hold that it takes in exchange to be fuller and fit."""
+    ones, twos, gap = 0, 0, capacity - sum(bin_)
+    for x in set(bin_):
+        ones |= 1 << x
+    for x, _, _ in _twos(bin_):
+        twos |= 1 << x
+    return ones, twos, _raised(1 | ones | twos, gap), _raised(ones, gap)
+
+
+def local_search(bins: Counter, capacity: int) -> Counter:
+    """Exchanges between underfull bins until the fewest possible bins are left or no exchange raises the squared fill. A pair of bins is asked again only when one of them is new,
+    and asked by two meets of bit masks, so the search needs no other end."""
     bins = Counter(bins)
-    least = -(-sum(sum(p) * n for p, n in bins.items()) // capacity)
-    dead: set[tuple[tuple, tuple]] = set()
-
-    def better(open_: list[tuple], some: list[tuple]) -> tuple | None:
-        nonlocal looks
-        for a in some:
-            for b in reversed(open_):
-                if sum(b) < sum(a) or a == b and bins[a] < 2 or (a, b) in dead:
-                    continue
-                looks -= 1
-                if (swap := _exchange(a, b, capacity - sum(b))) is not None:
-                    return a, b, *swap
-                dead.add((a, b))
-                if looks <= 0:
-                    return None
+    least, count = -(-sum(sum(p) * n for p, n in bins.items()) // capacity), sum(bins.values())
+    open_ = sorted((size, p) for p in bins if (size := sum(p)) < capacity)
+    log, seen = [p for _, p in open_], {}  # patterns as they came, and how many of them each has met
+    masks = {p: _masks(p, capacity) for p in log}
+
+    def better(some: list[tuple[int, tuple]]) -> tuple | None:
+        for size, a in some:
+            ones, twos = masks[a][:2]
+            for total, b in reversed(sorted({(sum(p), p) for p in log[seen[a] :] if p in masks}) if a in seen else open_):
+                if total < size:
+                    break
+                if (ones & masks[b][2] or twos & masks[b][3]) and (a != b or bins[a] > 1):
+                    return a, b, *_exchange(a, b, capacity - total)
+            seen[a] = len(log)
         return None
 
-    while sum(bins.values()) > least and looks > 0:
-        open_ = sorted((p for p in bins if sum(p) < capacity), key=lambda p: (sum(p), p))
-        if (found := better(open_, open_[:FRONT]) or better(open_, open_[FRONT:])) is None:
-            break
+    while count > least and (found := better(open_[:FRONT]) or better(open_[FRONT:])):
         a, b, out, back = found
         times = bins[a] // 2 if a == b else min(bins[a], bins[b])
         bins.subtract({a: times})
         bins.subtract({b: times})
+        count -= 2 * times
         for p in (_without(a, out, back), _without(b, back, out)):
-            if p:
-                bins[p] += times
-        bins = +bins
+            if not p:
+                continue
+            bins[p] += times
+            count += times
+            if (size := sum(p)) < capacity:
+                log.append(p)
+                if p not in masks:
+                    masks[p] = _masks(p, capacity)
+                    insort(open_, (size, p))
+        for p in {a, b}:
+            if not bins[p]:
+                del bins[p], masks[p], open_[bisect_left(open_, (sum(p), p))]
+                seen.pop(p, None)
     return bins
 
 

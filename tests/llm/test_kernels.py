@@ -310,3 +310,27 @@ def test_packs_of_many_buckets(buckets):
     assert all((a[order] == b[want]).all() for a, b in zip(back, (h, ids, keys, start, windows), strict=True))
     none = repeats._spread(["bucket", "pack"], repeats.CELL, bucket[:0], *(x[:0] for x in (h, ids, keys, start, windows)))
     assert none.num_rows == 0
+
+
+def test_local_search_ends_only_where_no_pair_gains():
+    r = random.Random(5)
+    for trial in range(30):
+        capacity = r.choice([10, 40, 100])
+        counts = Counter(r.randint(1 + trial % 3 * capacity // 5, capacity) for _ in range(60))
+        bins = packing.local_search(packing.first_fill(counts, capacity), capacity)
+        assert Counter(x for p, n in bins.items() for x in p for _ in range(n)) == counts
+        if sum(bins.values()) == -(-sum(x * n for x, n in counts.items()) // capacity):
+            continue
+        for a in bins:
+            for b in bins:
+                if sum(a) <= sum(b) < capacity and (a != b or bins[a] > 1):
+                    assert packing._exchange(a, b, capacity - sum(b)) is None
+
+
+def test_masks_tell_what_exchange_finds():
+    r = random.Random(6)
+    for _ in range(3000):
+        a, b = (tuple(sorted(r.randint(1, 30) for _ in range(r.randint(1, 5)))) for _ in range(2))
+        capacity = max(sum(a), sum(b)) + r.randint(1, 6)
+        own, other = packing._masks(a, capacity), packing._masks(b, capacity)
+        assert bool(own[0] & other[2] or own[1] & other[3]) == (packing._exchange(a, b, capacity - sum(b)) is not None)
