@@ -1,6 +1,6 @@
 """License scans: an exact set-similarity join of text blocks with license templates, and phrase positions. DataFrame functions only.
 
-Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z. Text blocks are lines, and windows of WINDOW words over line ends, each half
+Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z. Text blocks are lines, and windows of `window()` words over line ends, each half
 over the next. A template is found in a line that holds at least CONTAINMENT of its distinct words, and in a window of which as many
 consecutive words as the template has hold them: so wrapped ones are found. Tokens are ordered by how
 many documents hold them, rarest first. A block of b tokens can only reach an overlap of o with a template of t tokens if
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 CONTAINMENT = 0.8
-#: Words of a block that crosses lines; at least twice those of any template.
+#: Words of a block that crosses lines, if no template has more than half as many.
 WINDOW = 64
 #: Runs of anything but word characters, of lower-cased text.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -90,6 +90,11 @@ def all_words(text: str) -> int:
     return len("".join(c if c.isalnum() else " " for c in text).split())
 
 
+def window() -> int:
+    """Words of a block that crosses lines: WINDOW, or twice those of the longest template, so that each lies whole in one of the windows."""
+    return max(WINDOW, 2 * max(all_words(t) for _, t in TEMPLATES))
+
+
 def needed(own: list[str], containment: float) -> int:
     """How many of a template's distinct words a block must hold."""
     return max(1, math.ceil(len(own) * containment - 1e-9))
@@ -137,16 +142,16 @@ def joined(blocks: DataFrame, rank: dict[str, int], containment: float) -> DataF
 def matches(ready: DataFrame, keys: list[str], containment: float = CONTAINMENT) -> DataFrame:
     """keys, kind (line or window), block (its number), template, label, containment: one row for each block and template whose containment reaches the threshold. ready: what `prepared` made.
 
-    Lines are blocks as they are. Windows of WINDOW words, each half over the next, are blocks of texts that hold enough words of
+    Lines are blocks as they are. Windows of `window()` words, each half over the next, are blocks of texts that hold enough words of
     some template; there the best run of as many words as the template counts. No run that a template fits is longer than half a window.
     """
     known, rank = F.array(*map(F.lit, vocabulary())), ranked(ready)
     least = min(needed(template_words(t), containment) for _, t in TEMPLATES)
     lines = joined(ready.select(*keys, F.inline("lines")), rank, containment).select(*keys, F.lit("line").alias("kind"), "block", "template", "label", (F.col("overlap") / F.col("size")).alias("containment"))
 
-    half = WINDOW // 2
+    half = window() // 2
     starts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("words") / half) - 2, F.lit(0))), lambda i: (i * half + 1).cast("int"))
-    windows = ready.where("words is not null").select(*keys, F.posexplode(F.transform(starts, lambda i: F.slice("words", i, WINDOW))).alias("block", "words"))
+    windows = ready.where("words is not null").select(*keys, F.posexplode(F.transform(starts, lambda i: F.slice("words", i, 2 * half))).alias("block", "words"))
     windows = windows.withColumn("tokens", F.array_intersect("words", known)).where(F.size("tokens") >= least)
     windows = joined(windows, rank, containment).withColumn("own", F.element_at(kinds(containment), F.col("template") + 1))
     runs = F.sequence(F.lit(1), F.greatest(F.size("words") - F.col("own.length") + 1, F.lit(1)))
