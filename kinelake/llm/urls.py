@@ -22,6 +22,8 @@ from .common import ddl, stored
 TRAIN_ROWS = 20_000
 #: Folds of the labelled urls for statistics.
 FOLDS = 5
+#: Keys that more than one in HOT_KEYS urls hold, if of HOT_BYTES at most, are broadcast: fewer than HOT_KEYS, and 21 MB at most.
+HOT_KEYS, HOT_BYTES = 20_000, 1000
 TREES, DEPTH, RATE, BINS, LEAST, RIDGE = 60, 3, 0.2, 64, 5, 1.0
 #: (host, path, verdict)
 Rules = list[tuple[str, str, str]]
@@ -68,17 +70,32 @@ def rates(counted: DataFrame, kind: str) -> DataFrame:
     return counted.crossJoin(F.broadcast(base)).withColumns({f"url_known_{kind}": F.log1p("url_n"), f"url_bad_{kind}": F.coalesce(bad, F.lit(0.0))})
 
 
+def met(out: DataFrame, stats: DataFrame, columns: list[str], total: int) -> DataFrame:
+    """out with columns of stats by url_key. Keys that more than one in HOT_KEYS urls hold, fewer than HOT_KEYS, are broadcast; the rest meet by a shuffle, through which
+    rows that have met go spread by their url."""
+    many = (F.col("url_n") > total / HOT_KEYS) & (F.octet_length("url_key") <= HOT_BYTES)
+    hot = stats.where(many).select("url_key", F.struct(*columns).alias("url_hot"))
+    rest = stats.where(~many).select("url_key", F.lit(0).cast("long").alias("url_salt"), F.struct(*columns).alias("url_cold"))
+    out = out.join(F.broadcast(hot), "url_key", "left")
+    out = out.withColumns({"url_key": F.when(F.isnull("url_hot"), F.col("url_key")), "url_salt": F.when(F.isnull("url_hot"), F.lit(0).cast("long")).otherwise(F.xxhash64("url"))})
+    out = out.join(rest, ["url_key", "url_salt"], "left")
+    return out.withColumns({c: F.coalesce(F.col("url_hot")[c], F.col("url_cold")[c]) for c in columns}).drop("url_key", "url_salt", "url_hot", "url_cold")
+
+
 def with_statistics(matched: DataFrame, counted: DataFrame, own_fold: bool = True) -> DataFrame:
     """matched with STATISTICS of its keys; without its own fold's urls unless own_fold, so that what is fitted on them doesn't see its own label."""
     out = matched.withColumn("url_fold", fold_of(F.col("url")))
+    total = counted.agg(F.sum("url_n")).first()[0] or 0  # each url once for every kind of key
     for kind, key in KEYS.items():
-        mine = counted.where(F.col("url_kind") == kind).drop("url_kind")
+        mine, columns = counted.where(F.col("url_kind") == kind).drop("url_kind"), [f"url_known_{kind}", f"url_bad_{kind}"]
+        out = out.withColumn("url_key", F.expr(key))
         if own_fold:
-            by, rows = ["url_key"], mine.groupBy("url_key").agg(*(F.sum(c).alias(c) for c in ("url_n", "url_ruled", "url_blocked")))
+            rows = mine.groupBy("url_key").agg(*(F.sum(c).alias(c) for c in ("url_n", "url_ruled", "url_blocked")))
+            out = met(out, rates(rows, kind), columns, total // len(KEYS))
         else:
             whole = Window.partitionBy("url_key")  # FOLDS rows at most
-            by, rows = ["url_key", "url_fold"], mine.withColumns({"url_n": F.sum("url_n").over(whole)} | {c: F.sum(c).over(whole) - F.col(c) for c in ("url_ruled", "url_blocked")})
-        out = out.withColumn("url_key", F.expr(key)).join(rates(rows, kind).select(*by, f"url_known_{kind}", f"url_bad_{kind}"), by, "left").drop("url_key")
+            rows = mine.withColumns({"url_n": F.sum("url_n").over(whole)} | {c: F.sum(c).over(whole) - F.col(c) for c in ("url_ruled", "url_blocked")})
+            out = out.join(rates(rows, kind).select("url_key", "url_fold", *columns), ["url_key", "url_fold"], "left").drop("url_key")
     return out.drop("url_fold").fillna(0.0, STATISTICS)
 
 
@@ -173,7 +190,7 @@ def fit(matched: DataFrame, counted: DataFrame, train_rows: int = TRAIN_ROWS):
 
 def judge(pages: DataFrame, rules: Rules) -> DataFrame:
     """pages with url_host, url_path, url_rule, verdict and block_score (the trees' probability); columns of those names, and any whose name begins with url_ and is used here, are replaced."""
-    own = ("url_host", "url_path", "url_rule", "rule_verdict", "verdict", "block_score", "url_key", "url_fold", "url_x", *STATISTICS)
+    own = ("url_host", "url_path", "url_rule", "rule_verdict", "verdict", "block_score", "url_key", "url_fold", "url_x", "url_salt", "url_hot", "url_cold", *STATISTICS)
     matched = match(pages.drop(*own), rules)
     counted = stored(counts(matched), "url_counts")
     model = fit(matched, counted)

@@ -270,3 +270,28 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
             assert kept.columns == docs.columns and kept.count() <= before
         ids = {r.doc_id for r in kept.collect()}
         assert ids == ({4, 8, 9, 10, 5, None} & ids if start is docs else set()) and corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).count() == kept.count() + (kept.where("doc_id = 4").count() and packing.pieces(kept.where("doc_id = 4"), public_tokenizers.path("word_bpe_49k.json")).count() - 1)
+
+
+def test_long_templates_widen_the_window(spark, monkeypatch):
+    """A template of 70 words, wrapped after each seventh, lies whole in a window."""
+    words = [f"term{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70)]
+    monkeypatch.setattr(licenses, "TEMPLATES", [*licenses.TEMPLATES, ("long", " ".join(words))])
+    assert licenses.window() == 140
+    lines = "\n".join(" ".join(words[i : i + 7]) for i in range(0, 70, 7))
+    texts = [(1, f"{'other words here ' * 31}\n{lines}\nend"), (2, "\n".join(lines.split("\n")[:6]))]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: "long", 2: ""}
+
+
+@pytest.mark.parametrize("keys, size", [(3, 1000), (1, 1000), (20_000, 0), (20_000, 9)])
+def test_url_statistics_meet_alike(spark, monkeypatch, keys, size):
+    """Statistics are the same whether keys are broadcast, shuffled or both; null urls and empty paths among them."""
+    made = [f"https://a{i % 7}.site{i % 5}.{'org' if i % 3 else 'com'}/{['fr', 'de', '', 'x'][i % 4]}/{i}" for i in range(300)] + [None, "", "no host", "https://h.net"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(made)], "page_id long, url string")
+    matched = urls.match(pages, queries.URL_RULES)
+    counted = urls.counts(matched)
+    want = sorted(urls.with_statistics(matched, counted).select("page_id", *urls.STATISTICS).collect())
+    monkeypatch.setattr(urls, "HOT_KEYS", keys)
+    monkeypatch.setattr(urls, "HOT_BYTES", size)
+    assert sorted(urls.with_statistics(matched, counted).select("page_id", *urls.STATISTICS).collect()) == want and len(want) == len(made)
+    assert any(r.url_bad_head for r in want) and any(r.url_known_suffix for r in want)
