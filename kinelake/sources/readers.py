@@ -75,16 +75,19 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, columns: str = "time,x,y,z", indices: str | None = None, start_row: int = 1, date_format: str = "%Y-%m-%d %H:%M:%S.%f", extra: tuple[str, ...] = ()) -> DataFrame:
-    """subject_id (file stem), us, x, y, z (float) and extra string columns. Columns by name or by 0-based index; start_row is the header's line, from 1. NaN and unparsable numbers are null; of rows with one time the first stays."""
+    """subject_id (file stem), us, x, y, z (float) and extra string columns. Columns by name or by 0-based index; start_row is the header's line, from 1. NaN and unparsable numbers are null; of rows with one time the first stays.
+    The files of a glob must name the columns that are read at the same places: another header is an error, when the rows are read or, with start rows, at once."""
     kind_of(path)
     plain = start_row == 1 and not path.lower().endswith((".xz", ".lzma", ".zip"))
     if plain:
-        raw = spark.read.option("header", True).csv(path).withColumns({"path": F.col("_metadata.file_path"), "n": F.monotonically_increasing_id()})
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv(path).withColumns({"path": F.col("_metadata.file_path"), "n": F.monotonically_increasing_id()})
         header = [c for c in raw.columns if c not in ("path", "n")]
     else:
         lines = _lines(spark, path)
-        head = lines.where(F.col("n") == start_row - 1).select("value").first()
-        header = [c.strip() for c in (head[0] if head else "").split(",")]
+        heads = lines.where(F.col("n") == start_row - 1).select("value").distinct().limit(2).collect()
+        if len(heads) > 1:
+            raise ValueError(f"files of different headers: {heads[0][0]!r}, {heads[1][0]!r}")
+        header = [c.strip() for c in (heads[0][0] if heads else "").split(",")]
         body = lines.where(F.col("n") >= start_row)
         raw = body.select("path", "n", F.from_csv("value", ", ".join(f"`{c}` string" for c in header)).alias("r")).select("path", "n", "r.*")
     names = column_indices(indices, header) if indices else columns.split(",")

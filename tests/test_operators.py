@@ -153,6 +153,20 @@ def test_csv_sources_and_sinks(spark, tmp_path):
     assert sorted(readers.read_summaries(spark, str(tmp_path)).columns) == ["k", "m", "n"]
 
 
+def test_csv_headers_of_a_glob_must_agree(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("time,x,y,z,more\n2014-05-07 13:29:50.000000,1,2,3,9\n")
+    (tmp_path / "b.csv").write_text("time,x,y,z,other\n2014-05-07 13:29:50.000000,4,5,6,9\n")
+    got = readers.read_csv(spark, str(tmp_path / "*.csv")).orderBy("subject_id").collect()
+    assert [(r.subject_id, r.x, r.y, r.z) for r in got] == [("a", 1.0, 2.0, 3.0), ("b", 4.0, 5.0, 6.0)]
+    (tmp_path / "c.csv").write_text("time,y,x,z,more\n2014-05-07 13:29:50.000000,1,2,3,9\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_csv(spark, str(tmp_path / "*.csv")).collect()
+    for name, axes in (("a", "x,y,z"), ("b", "y,x,z")):
+        (tmp_path / f"{name}-late.csv").write_text(f"note\ntime,{axes}\n2014-05-07 13:29:50.000000,1,2,3\n")
+    with pytest.raises(ValueError, match="different headers"):
+        readers.read_csv(spark, str(tmp_path / "*-late.csv"), start_row=2)
+
+
 def test_recording_pipeline(spark):
     rng = random.Random(2)
     rows = [("a", int(i * S / 10), rng.gauss(0, 0.02), 0.0, 1.0 + (0.5 * rng.random() if i >= 600 else 0.0)) for i in range(1200)]
