@@ -6,7 +6,8 @@ groups overlapping tokens are expanded into pairs; those that end together are l
 
 Texts are cut at single spaces between other characters, where both vocabularies always end a token (A's pattern starts one there; of B no piece holds a space after another character,
 which is checked when it is loaded), and each distinct part of a slice is encoded and aligned once. A link's shorter token is a suffix of the longer one, so the
-distinct id pairs are at most `most_pairs`, whatever the corpus: their counts are summed by Spark and that table goes to every task.
+id pairs that can be linked (`pairs`) follow from the vocabularies, at most `most_pairs`, whatever the corpus: a stored link is a place among them, four bytes. Each slice counts its
+pairs, Spark sums these counts, and the table of them goes to every task.
 
 Null and empty texts, and texts whose joined token bytes of A or B differ from space+text, have no tokens: zeros and an empty digest. Every row gives one row, equal rows equal
 ones. Only doc_id and text are read, so extra columns of any name do no harm.
@@ -18,7 +19,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,12 @@ WHITE = re.compile(r"[^\S \n]")
 BLOCK = 1 << 13
 #: Bytes of texts whose distinct parts are encoded together.
 SLICE = 2 << 20
+#: Bytes of stored links that are looked up at once: Spark's batches hold 10,000 documents.
+LOOKUP = 1 << 20
 SHIFT = np.int64(32)
 LINKS = "doc_id {id}, n_a long, n_b long, n_groups long, a_ids array<int>, b_ids array<int>, groups_sha256 string"
+PACKED = "doc_id {id}, n_a long, n_b long, n_groups long, links binary, pair array<int>, pair_n array<long>, groups_sha256 string"
+SUMS = "doc_id {id}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
 def byte_letters() -> dict[str, int]:
@@ -47,6 +52,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Entries(dict):
+    """The ids of each entry's bytes."""
+
+    def __init__(self, entries: list[bytes]):
+        super().__init__()
+        for i, x in enumerate(entries):
+            self.setdefault(x, []).append(i)
+
+
 class Vocabularies:
     """Both tokenizers, and the bytes of each of their entries."""
 
@@ -72,6 +86,21 @@ class Vocabularies:
         """A bound of the distinct linked id pairs: every suffix of every entry, and two entries at most share their bytes."""
         return 2 * int(self.a_len.sum() + self.b_len.sum())
 
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        """The codes of all id pairs that can be linked, ascending: one's bytes end with the other's."""
+        a_named, b_named = Entries(self.a_bytes), Entries(self.b_bytes)
+        codes = [j << 32 | i for i, x in enumerate(self.a_bytes) for k in range(len(x)) for j in b_named.get(x[k:], ())]
+        codes += [j << 32 | i for j, x in enumerate(self.b_bytes) for k in range(1, len(x)) for i in a_named.get(x[k:], ())]
+        return np.sort(np.array(codes, np.int64))
+
+    def places(self, a_ids: np.ndarray, b_ids: np.ndarray) -> np.ndarray:
+        """Where the pairs of links stand among `pairs`."""
+        code = (b_ids << SHIFT) | a_ids
+        at = np.searchsorted(self.pairs, code)
+        assert np.array_equal(self.pairs.take(at, mode="clip"), code), "a linked pair that is no suffix"
+        return at
+
     def parts(self, text: str) -> list[str]:
         """What B encodes piece by piece, and A with a space before each."""
         if not self.cuts:
@@ -193,33 +222,53 @@ def spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at, size)
 
 
-def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, the linked ids a_ids and b_ids (place by place, in order), groups_sha256."""
-
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        voc = loaded(a_path, b_path)
-        texts, _ = decoded(batch.column("text"))
-        number = Numbers()
-        parts = [np.fromiter(map(number.__getitem__, p := voc.parts(t)), np.int64, len(p)) if t else np.zeros(0, np.int64) for t in texts]
-        made = Aligned(list(number), voc)
-        size, flat = np.array([len(p) for p in parts], np.int64), np.concatenate(parts)
-        doc = np.repeat(np.arange(len(parts)), size)
-        keep = np.bincount(doc, ~made.ok[flat], len(parts)) == 0
-        flat, doc, size = flat[keep[doc]], doc[keep[doc]], size * keep
-        total = lambda per: np.bincount(doc, per[flat], len(parts)).astype(np.int64)  # noqa: E731 - sums of counts, exact
-        many = made.n_links[flat]
-        take = spread((np.cumsum(made.n_links) - made.n_links)[flat], many)
-        at = pa.array(np.r_[0, np.cumsum(total(made.n_links))], pa.int32())
-        listed = [pa.ListArray.from_arrays(at, pa.array(x[take].astype(np.int32))) for x in (made.left, made.right)]
-        bounds, lines = np.r_[0, np.cumsum(size)].tolist(), list(map(made.texts.__getitem__, flat.tolist()))
-        sha = [hashlib.sha256(";".join(lines[lo:hi]).encode()).hexdigest() if hi > lo else "" for lo, hi in zip(bounds, bounds[1:], strict=False)]
-        out = pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(total(x)) for x in (made.n_a, made.n_b, made.n_groups)), *listed, pa.array(sha)], ["doc_id", "n_a", "n_b", "n_groups", "a_ids", "b_ids", "groups_sha256"])
-        del made, number, parts, flat, doc, take, lines
+def kernel(batch: pa.RecordBatch, voc: Vocabularies, packed: bool) -> pa.RecordBatch:
+    """The rows of `align`, or of `pack`, for a slice."""
+    texts, _ = decoded(batch.column("text"))
+    number = Numbers()
+    parts = [np.fromiter(map(number.__getitem__, p := voc.parts(t)), np.int64, len(p)) if t else np.zeros(0, np.int64) for t in texts]
+    made = Aligned(list(number), voc)
+    size, flat = np.array([len(p) for p in parts], np.int64), np.concatenate(parts)
+    doc = np.repeat(np.arange(len(parts)), size)
+    keep = np.bincount(doc, ~made.ok[flat], len(parts)) == 0
+    flat, doc, size = flat[keep[doc]], doc[keep[doc]], size * keep
+    total = lambda per: np.bincount(doc, per[flat], len(parts)).astype(np.int64)  # noqa: E731 - sums of counts, exact
+    many = made.n_links[flat]
+    take = spread((np.cumsum(made.n_links) - made.n_links)[flat], many)
+    at = np.r_[0, np.cumsum(total(made.n_links))]
+    listed = lambda x, bounds: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x))
+    if packed:
+        links = voc.places(made.left, made.right).astype("<i4")[take]
+        pair, n = np.unique(links, return_counts=True)
+        first = np.minimum(np.arange(len(parts) + 1), 1) * len(pair)  # a slice's counts stand in its first row
+        binary = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.array(at * 4, pa.int32()).buffers()[1], pa.py_buffer(links)])
+        own = {"links": binary, "pair": listed(pair, first), "pair_n": listed(n.astype(np.int64), first)}
+    else:
+        own = {k: listed(x[take].astype(np.int32), at) for k, x in (("a_ids", made.left), ("b_ids", made.right))}
+    bounds, lines = np.r_[0, np.cumsum(size)].tolist(), list(map(made.texts.__getitem__, flat.tolist()))
+    sha = [hashlib.sha256(";".join(lines[lo:hi]).encode()).hexdigest() if hi > lo else "" for lo, hi in zip(bounds, bounds[1:], strict=False)]
+    counts = {k: pa.array(total(x)) for k, x in (("n_a", made.n_a), ("n_b", made.n_b), ("n_groups", made.n_groups))}
+    return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **counts, **own, "groups_sha256": pa.array(sha)})
+
+
+def aligned_rows(docs: DataFrame, a_path: str, b_path: str, packed: bool) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = kernel(batch, loaded(a_path, b_path), packed)
         release()  # after each slice: what many small objects leave behind would else add up
         return out
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return map_slices(rows, "text", kernel, LINKS.format(id=dict(rows.dtypes)["doc_id"]), SLICE)
+    return map_slices(rows, "text", run, (PACKED if packed else LINKS).format(id=dict(rows.dtypes)["doc_id"]), SLICE)
+
+
+def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, the linked ids a_ids and b_ids (place by place, in order), groups_sha256."""
+    return aligned_rows(docs, a_path, b_path, False)
+
+
+def pack(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """As align, but links are their pairs' places among `pairs` (little-endian, 32 bits), and one row of each slice holds how many links of the slice hold each place (pair, pair_n)."""
+    return aligned_rows(docs, a_path, b_path, True)
 
 
 def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -246,48 +295,39 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, `group` long, start long, `end` long, a_ids array<int>, b_ids array<int>")
 
 
-def codes(batch: pa.RecordBatch) -> np.ndarray:
-    """Each link of a batch as one number, B's id first."""
-    a, b = (batch.column(n).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for n in ("a_ids", "b_ids"))
-    return (b << SHIFT) | a
+def pair_counts(packed: DataFrame) -> DataFrame:
+    """pair (its place), n: how many links of the corpus hold each id pair linked. Reads no links, only each slice's counts."""
+    return packed.select(F.explode(F.arrays_zip("pair", "pair_n")).alias("x")).groupBy("x.pair").agg(F.sum("x.pair_n").alias("n"))
 
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
-    """pair (its code), n: how many links of the corpus hold each id pair linked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pair, n = np.unique(codes(batch), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], ["pair", "n"])
-        release()
-
-    return aligned.select("a_ids", "b_ids").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+def summed(batches: Iterator[pa.RecordBatch], n: np.ndarray, best: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of `counted`: each link's count looked up, a bounded number of links at once."""
+    for batch in slices(batches, "links", LOOKUP):
+        body, at = utf8(batch.column("links"))
+        links, at = body.view("<i4"), at // 4
+        sums = {k: pa.array(np.diff(np.r_[0, np.cumsum(x[links], dtype=np.int64)][at])) for k, x in (("n_best", best), ("count_sum", n))}
+        kept = {k: batch.column(k) for k in ("doc_id", "n_a", "n_b", "n_groups")}
+        yield pa.RecordBatch.from_pydict({**kept, "n_links": pa.array(np.diff(at)), **sums, "groups_sha256": batch.column("groups_sha256")})
 
 
-def counted(aligned: DataFrame, most: int) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of stored alignments. most: the bound of distinct pairs."""
-    spark, kind = aligned.sparkSession, dict(aligned.dtypes)["doc_id"]
-    table = pair_counts(aligned).toArrow()  # `most` rows at most, by the vocabularies alone
-    assert table.num_rows <= most, "more id pairs than suffixes of entries"
-    pair, n = (table.column(c).to_numpy() for c in ("pair", "n"))
-    order = np.argsort(pair)
-    pair, n = pair[order], n[order]
-    heads = np.flatnonzero(np.r_[True, (pair[1:] >> SHIFT) != (pair[:-1] >> SHIFT)]) if len(pair) else np.zeros(0, np.int64)
-    best = n == np.repeat(np.maximum.reduceat(n, heads), np.diff(np.r_[heads, len(n)])) if len(pair) else np.zeros(0, bool)
-    shared = spark.sparkContext.broadcast((pair, n, best))
+def counted(packed: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of stored, packed alignments. pairs: those of the vocabularies."""
+    table = pair_counts(packed).toArrow()  # at most len(pairs) rows, by the vocabularies alone
+    n = np.zeros(len(pairs), np.int64)
+    n[table.column("pair").to_numpy()] = table.column("n").to_numpy()
+    own = pairs >> SHIFT
+    heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    best = n == np.repeat(np.maximum.reduceat(n, heads), np.diff(np.r_[heads, len(n)]))
+    shared = packed.sparkSession.sparkContext.broadcast((n, best))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, n, best = shared.value
-        for batch in batches:
-            at = np.r_[0, np.cumsum(np.array(batch.column("a_ids").value_lengths().to_numpy(zero_copy_only=False), np.int64))]
-            found = np.searchsorted(pair, codes(batch))
-            sums = [np.diff(np.r_[0, np.cumsum(x)][at]) for x in (best[found].astype(np.int64), n[found])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups")), pa.array(np.diff(at)), *map(pa.array, sums), batch.column("groups_sha256")], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+        yield from summed(batches, *shared.value)
         release()
 
-    return aligned.mapInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    rows = packed.select("doc_id", "n_a", "n_b", "n_groups", "links", "groups_sha256")
+    return rows.mapInArrow(run, SUMS.format(id=dict(rows.dtypes)["doc_id"]))
 
 
 def digest(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """The alignment of every document with corpus-wide counts of its links; encoded once, stored, read twice."""
-    return counted(stored(align(docs, a_path, b_path), "links"), loaded(a_path, b_path).most_pairs())
+    """The alignment of every document with corpus-wide counts of its links; encoded once, stored, links read once."""
+    return counted(stored(pack(docs, a_path, b_path), "links"), loaded(a_path, b_path).pairs)

@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from kinelake.llm import alignment, centroids, decontamination
@@ -152,3 +154,35 @@ def test_groups_and_overlaps():
     group = alignment.coalesced(np.r_[0, a[:-1], 0, b[:-1]], np.r_[a, b])
     assert group.tolist() == [0, 1, 1, 1, 0, 0, 1, 1]
     assert list(zip(*map(np.ndarray.tolist, alignment.overlaps(a, b)), strict=True)) == [(0, 0), (0, 1), (1, 2), (2, 2), (3, 2), (3, 3)]
+
+
+def test_packed_links_are_those_of_the_ids(spark):
+    texts = ["café au lait 1,000", None, "", "日本語 x", "the the the \U0001f600", "　w  two", "x" * 3000] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    pairs, packed = alignment.loaded(A, B).pairs, alignment.pack(df, A, B).collect()
+    assert (np.diff(pairs) > 0).all() and len(pairs) <= alignment.loaded(A, B).most_pairs()
+    ids = {r.doc_id: list(zip(r.a_ids, r.b_ids, strict=True)) for r in alignment.align(df, A, B).collect()}
+    links = {r.doc_id: np.frombuffer(r.links, "<i4") for r in packed}
+    assert {i: [(int(c) & 0xFFFFFFFF, int(c) >> 32) for c in pairs[x]] for i, x in links.items()} == ids and len(ids[0]) > 5
+    count = Counter()
+    for r in packed:
+        count.update(dict(zip(r.pair, r.pair_n, strict=True)))
+    assert count == Counter(np.concatenate(list(links.values())).tolist())
+    assert {r.pair: r.n for r in alignment.pair_counts(alignment.pack(df, A, B)).collect()} == count
+
+
+def test_batches_of_many_links_are_looked_up_in_bounded_memory():
+    rng, docs, many = np.random.default_rng(3), 10_000, 800  # as many rows as Spark's batches hold
+    n, links = rng.integers(1, 9, 5000), rng.integers(0, 5000, docs * many).astype("<i4")
+    at = np.arange(docs + 1, dtype=np.int32) * (4 * many)
+    column = pa.Array.from_buffers(pa.binary(), docs, [None, pa.py_buffer(at), pa.py_buffer(links)])
+    same = pa.array(np.arange(docs))
+    batch = pa.RecordBatch.from_pydict({"doc_id": same, "n_a": same, "n_b": same, "n_groups": same, "links": column, "groups_sha256": pa.array([""] * docs)})
+    tracemalloc.start()
+    got = list(alignment.summed([batch], n, n > 4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # whole, each array of eight bytes a link has 64 MB
+    whole = pa.Table.from_batches(got)
+    assert whole["doc_id"].to_pylist() == list(range(docs)) and set(whole["n_links"].to_pylist()) == {many}
+    assert whole["count_sum"].to_pylist() == n[links].reshape(docs, many).sum(1).tolist() and whole["n_best"].to_pylist() == (n > 4)[links].reshape(docs, many).sum(1).tolist()
