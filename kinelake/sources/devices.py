@@ -17,11 +17,13 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from fnmatch import fnmatch
 from io import BytesIO
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "subject_id string, path string, block long, us long, x float, y float, z float"
@@ -296,9 +298,25 @@ def read_device(spark: SparkSession, path: str, kind: str, split: int = SPLIT) -
 # Writing block files: a sink of its own, and what tests and queries read back
 
 
+#: What a written block file starts with.
+HEAD = HEADER_MARK + (1020).to_bytes(2, "little") + bytes(HEADER - 4)
+
+
+def most_of(wide: bool) -> int:
+    """Samples of a full block: 16-bit numbers, or 10 bits and an exponent."""
+    return 80 if wide else 120
+
+
 def blocks_of(us: np.ndarray, xyz: np.ndarray, rate: float, wide: bool = False) -> bytes:
-    """A block file of samples in g at a constant rate from us[0] on: header and blocks of 120 (10 bits and exponent) or 80 (16 bits) samples."""
-    most = 80 if wide else 120
+    """A block file of samples in g at a constant rate from us[0] on: header and blocks."""
+    return HEAD + _blocks(us, xyz, rate, wide, 0)
+
+
+def _blocks(us: np.ndarray, xyz: np.ndarray, rate: float, wide: bool, first: int) -> bytes:
+    """Blocks of samples, numbered from first on."""
+    if not len(us):
+        return b""
+    most = most_of(wide)
     n, code = -(-len(us) // most), 15 - int(np.log2(3200 / rate) + 0.5)
     out = np.zeros(n, LAYOUT)
     at = np.arange(n) * most
@@ -309,7 +327,7 @@ def blocks_of(us: np.ndarray, xyz: np.ndarray, rate: float, wide: bool = False)
     month, second = day.astype("datetime64[M]"), whole % 86400
     y, m = month.astype(np.int64) // 12 - 30, month.astype(np.int64) % 12 + 1
     d = (day - month).astype(np.int64) + 1
-    out["mark"], out["length"], out["fraction"], out["sequence"], out["rate"] = BLOCK_MARK, 508, 0x8000 | fraction, np.arange(n), code
+    out["mark"], out["length"], out["fraction"], out["sequence"], out["rate"] = BLOCK_MARK, 508, 0x8000 | fraction, first + np.arange(n), code
     out["clock"] = y << 26 | m << 22 | d << 17 | second // 3600 << 12 | second // 60 % 60 << 6 | second % 60
     out["offset"] = -np.floor(fraction / 32768 * 3200.0 / (1 << (15 - code)))
     out["count"], out["form"] = np.minimum(most, len(us) - at), 0x32 if wide else 0x30
@@ -322,21 +340,36 @@ def blocks_of(us: np.ndarray, xyz: np.ndarray, rate: float, wide: bool = False)
         small = np.clip(raw >> exponent[:, None], -512, 511) & 0x3FF
         out["data"] = (small[:, 0] | small[:, 1] << 10 | small[:, 2] << 20 | exponent << 30).astype("<u4").reshape(n, -1).view(np.uint8)
     out["checksum"] = (-out.view("<u2").reshape(n, -1).sum(1, dtype=np.int64)) & 0xFFFF
-    return HEADER_MARK + (1020).to_bytes(2, "little") + bytes(HEADER - 4) + out.tobytes()
+    return out.tobytes()
 
 
 def write_blocks(df: DataFrame, folder: str, rate: float, wide: bool = False) -> DataFrame:
-    """Writes each subject's samples (us, x, y, z in g, at a constant rate) as <folder>/<subject_id>.cwa; a row for each file: subject_id, path, bytes. A file has one writer, so a subject's samples must fit in a task."""
+    """Writes each subject's samples (us, x, y, z in g, at a constant rate) as <folder>/<subject_id>.cwa; a row for each file: subject_id, path, bytes. A file has one writer, which gets the samples in order and writes blocks as they come,
+    so its memory doesn't grow with the subject."""
+
+    def run(batches):
+        def parts():
+            for batch in batches:
+                key, us = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("subject_id", "us"))
+                xyz = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "xyz"], 1)
+                for lo, hi in pairwise([0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]):
+                    if hi > lo:
+                        yield key[lo], us[lo:hi], xyz[lo:hi]
 
-    def run(key, part):
-        import pandas as pd
-
-        part = part.sort_values("us")
-        raw = blocks_of(part["us"].to_numpy(), part[["x", "y", "z"]].to_numpy(float), rate, wide)
         store, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
         store.create_dir(inner, recursive=True)
-        with store.open_output_stream(f"{inner}/{key[0]}.cwa") as f:
-            f.write(raw)
-        return pd.DataFrame({"subject_id": [key[0]], "path": [f"{folder}/{key[0]}.cwa"], "bytes": [len(raw)]})
-
-    return df.select("subject_id", "us", "x", "y", "z").groupBy("subject_id").applyInPandas(run, "subject_id string, path string, bytes long")
+        for name, own in groupby(parts(), key=lambda part: part[0]):
+            us, xyz, number, most = np.zeros(0, np.int64), np.zeros((0, 3)), 0, most_of(wide)
+            with store.open_output_stream(f"{inner}/{name}.cwa") as f:
+                f.write(HEAD)
+                for _, more, values_ in own:
+                    us, xyz = np.r_[us, more], np.r_[xyz, values_]
+                    whole = len(us) // most * most
+                    f.write(_blocks(us[:whole], xyz[:whole], rate, wide, number))
+                    us, xyz, number = us[whole:], xyz[whole:], number + whole // most
+                f.write(_blocks(us, xyz, rate, wide, number))  # what is left, or nothing
+            size = HEADER + (number + (len(us) > 0)) * BLOCK
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([f"{folder}/{name}.cwa"]), pa.array([size], pa.int64())], ["subject_id", "path", "bytes"])
+
+    rows = df.select(F.col("subject_id").cast("string").alias("subject_id"), F.col("us").cast("long").alias("us"), *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    return rows.repartition("subject_id").sortWithinPartitions("subject_id", "us").mapInArrow(run, "subject_id string, path string, bytes long")
