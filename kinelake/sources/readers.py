@@ -100,17 +100,25 @@ def read_csv(spark: SparkSession, path: str, columns: str = "time,x,y,z", indice
     return rows.where("us is not null").withColumn("nth_", F.row_number().over(first)).where("nth_ = 1").drop("nth_", "n")
 
 
+def read_parquet(spark: SparkSession, path: str, repeats: bool = False, axes: str = "float") -> DataFrame:
+    """subject_id (that column, or the file stem), us, x, y, z of Parquet files with time, x, y, z; NaN is null. Of rows with one time the first stays, as they lie in the file, or with repeats all do. axes: the type of x, y and z."""
+    raw = spark.read.parquet(path)
+    subject = F.col("subject_id") if "subject_id" in raw.columns else stem(F.col("_metadata.file_path"))
+    own = [subject.alias("subject_id"), F.unix_micros(F.col("time").cast("timestamp")).alias("us"), *(missing(F.col(c).cast(axes)).alias(c) for c in "xyz")]
+    if repeats:
+        return raw.select(*own).where("us is not null")
+    rows = raw.select(*own, F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("place_"))
+    return dedupe_first(rows.where("us is not null"), "place_").drop("place_")
+
+
 def read_recording(spark: SparkSession, path: str, **options) -> DataFrame:
-    """subject_id, us, x, y, z of a recording, by its extension: CSV with read_csv's options, Parquet with time, x, y, z, or a device file. Of rows with one time the first stays, as they lie in the file."""
+    """subject_id, us, x, y, z of a recording, by its extension: CSV with read_csv's options, Parquet with read_parquet's, or a device file. Of rows with one time the first stays, unless an option says otherwise."""
     kind = kind_of(path)
     if kind == "csv":
         return read_csv(spark, path, **options)
-    if kind in devices.FORMATS:
-        return dedupe_first(devices.read_device(spark, path, kind), "block").select("subject_id", "us", "x", "y", "z")
-    raw = spark.read.parquet(path)
-    subject = F.col("subject_id") if "subject_id" in raw.columns else stem(F.col("_metadata.file_path"))
-    rows = raw.select(subject.alias("subject_id"), F.unix_micros(F.col("time").cast("timestamp")).alias("us"), *(missing(F.col(c).cast("float")).alias(c) for c in "xyz"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("place_"))
-    return dedupe_first(rows.where("us is not null"), "place_").drop("place_")
+    if kind == "parquet":
+        return read_parquet(spark, path, **options)
+    return dedupe_first(devices.read_device(spark, path, kind), "block").select("subject_id", "us", "x", "y", "z")
 
 
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:

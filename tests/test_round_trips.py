@@ -49,3 +49,9 @@ def test_blocks_written_as_they_come_equal_blocks_at_once(spark, tmp_path):
 def test_feature_source_of_large_keys(spark, tmp_path):
     part = "select unnest([0, 7, 999999, 1000000, 1199999, 123456789012, null]) as p_partkey, 5 as p_size, 900.25 as p_retailprice"
     assert against_sql(spark, tmp_path, "feature_source", part=part) == (0, 0, 7)
+
+
+def test_parquet_source_of_repeated_times_and_large_numbers(spark, tmp_path):
+    """All rows of a time stay, and numbers beyond 24 bits are whole."""
+    events = f"select i + 30000000 as event_id, {START} + to_microseconds(i // 3) as ts, 1 as user_id, case when i % 2 = 0 then 'view' else 'click' end as event_type, i * 100.25 as value, '' as props from range(3000) t(i)"
+    assert against_sql(spark, tmp_path, "parquet_source", events=events) == (0, 0, 3000)
