@@ -19,8 +19,8 @@ COMPRESSED = (".gz", ".bz2", ".xz", ".lzma", ".zip")
 
 
 def stem(path: F.Column) -> F.Column:
-    """File name without folders and everything from its first dot on."""
-    return F.regexp_extract(path, r"([^/.]*)[^/]*$", 1)
+    """File name without folders and everything from its first dot on. No pattern: those that look for the end of a path try it from each of its letters, in every row."""
+    return F.substring_index(F.substring_index(path, "/", -1), ".", 1)
 
 
 def kind_of(path: str) -> str:

@@ -1,10 +1,13 @@
 """Queries that write and read tables, against their SQL on tables that the smallest ones don't stand for: many rows of a subject, large keys, repeated times."""
 
+import time
+
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from kinelake.plans import modelling, registry, round_trips  # noqa: F401
-from kinelake.sources import devices
+from kinelake.sources import devices, readers
 
 START = "timestamp '2024-01-01 00:00:00'"
 
@@ -55,3 +58,24 @@ def test_parquet_source_of_repeated_times_and_large_numbers(spark, tmp_path):
     """All rows of a time stay, and numbers beyond 24 bits are whole."""
     events = f"select i + 30000000 as event_id, {START} + to_microseconds(i // 3) as ts, 1 as user_id, case when i % 2 = 0 then 'view' else 'click' end as event_type, i * 100.25 as value, '' as props from range(3000) t(i)"
     assert against_sql(spark, tmp_path, "parquet_source", events=events) == (0, 0, 3000)
+
+
+def test_file_stems_take_no_time_in_the_length_of_a_path(spark):
+    names = {"file:/a/b.c/p1.csv.gz": "p1", "p2": "p2", "/x/.hidden": "", "s3://k/s0.12.parquet": "s0", "/a/b/": "", "/a.b/c": "c", "": ""}
+    far = {f"/{'a' * 600}/s{k}.parquet": f"s{k}" for k in range(300)}
+    df = spark.createDataFrame(list((names | far).items()) + [(None, None)], "path string, want string")
+    began = time.perf_counter()
+    made = df.select(readers.stem(F.col("path")).alias("got"), "want").collect()
+    assert len(made) == 308 and all(r.got == r.want for r in made) and time.perf_counter() - began < 8
+
+
+def test_training_source_writes_and_reads_subjects_in_parallel(spark, tmp_path):
+    """Files whose names are equal up to the first dot are one subject; each has as many writers as the events have parts."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        events = f"select i as event_id, {START} + to_microseconds(i * 1000) as ts, 1 as user_id, 'view' as event_type, hash(i) % 100000 / 100 as value, '' as props from range(60000) t(i)"
+        assert against_sql(spark, tmp_path, "training_source", events=events) == (0, 0, 48_000)
+        made = registry.QUERIES["training_source"](spark, str(tmp_path))
+        assert {r.split("/")[-1].split(".")[0] for r in made.inputFiles()} == {"s0", "s1", "s2"} and len(made.inputFiles()) > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
