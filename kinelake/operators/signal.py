@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +71,9 @@ def butterworth(order: int, cutoff_hz: float, rate: float) -> list[tuple[np.ndar
 CHUNK = 256
 
 
-def _section(x: np.ndarray, b: np.ndarray, a: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """x through one second-order section from a state, and the state after it. Blocks at once from rest, by their impulse response; then what the state before a block adds, a block at a time."""
+@lru_cache(64)
+def _tables(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A section's powers of the move of its state, what a sample pushes into it, and a block's response from rest."""
     move, push = np.array([[-a[1], 1], [-a[2], 0]]), np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
     powers = [np.eye(2)]
     for _ in range(CHUNK):
@@ -77,7 +81,12 @@ def _section(x: np.ndarray, b: np.ndarray, a: np.ndarray, state: np.ndarray) ->
     powers = np.stack(powers)
     impulse = np.r_[b[0], powers[: CHUNK - 1, 0] @ push]
     at = np.arange(CHUNK)
-    response = np.where(at[:, None] >= at, impulse[np.abs(at[:, None] - at)], 0)
+    return powers, push, np.where(at[:, None] >= at, impulse[np.abs(at[:, None] - at)], 0)
+
+
+def _section(x: np.ndarray, b: np.ndarray, a: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x through one second-order section from a state, and the state after it. Blocks at once from rest, by their impulse response; then what the state before a block adds, a block at a time."""
+    powers, push, response = _tables(tuple(map(float, b)), tuple(map(float, a)))
     many, rest = -(-len(x) // CHUNK), len(x) % CHUNK
     rows = np.concatenate((x, np.zeros(many * CHUNK - len(x)))).reshape(many, CHUNK)
     out = rows @ response.T
@@ -118,55 +127,162 @@ class Cascade:
             after.append(end)
         return x, np.concatenate(after)
 
+    def runs(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """x with each [lo, hi) filtered from its state, and the states after them. Short runs go together, a sample of each at a time, long ones by blocks."""
+        out, after, n = x.copy(), states.copy(), hi - lo
+        short = np.flatnonzero(n <= CHUNK)
+        short = short[np.argsort(-n[short], kind="stable")]
+        own, left = np.ascontiguousarray(states[short].T), n[short]
+        for t in range(left[0] if len(left) else 0):
+            live = np.searchsorted(-left, -t)  # those longer than t come first
+            at = lo[short[:live]] + t
+            u = x[at]
+            for k, (b, a) in enumerate(self.sections):
+                s1, s2 = own[2 * k, :live], own[2 * k + 1, :live]
+                y = b[0] * u + s1
+                s1[:], s2[:] = b[1] * u - a[1] * y + s2, b[2] * u - a[2] * y
+                u = y
+            out[at] = u
+        after[short] = own.T
+        for r in np.flatnonzero(n > CHUNK):
+            out[lo[r] : hi[r]], after[r] = self.run(x[lo[r] : hi[r]], states[r])
+        return out, after
+
     def after(self, n: int, state: np.ndarray, own: np.ndarray) -> np.ndarray:
         """The state after n samples that give `own` from nothing."""
         return np.linalg.matrix_power(self.move, n) @ state + own
 
 
+#: Rows that are filtered at once.
+ROWS = 1 << 18
+KEYS = ["subject_id", "chunk_"]
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of about ROWS rows, and the number of each row's chunk; a chunk's rows lie together, but may go on in the next batch."""
+    held, n, last, number = [], 0, None, -1
+    for batch in chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= ROWS or (batch is None and n):
+            part = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n, new = [], 0, np.zeros(part.num_rows, bool)
+            for c in KEYS:
+                code = part.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= code[1:] != code[:-1]
+            ends = [tuple(part.column(c)[at].as_py() for c in KEYS) for at in (0, part.num_rows - 1)]
+            new[0] = number < 0 or ends[0] != last
+            group, last = number + np.cumsum(new), ends[1]
+            number = int(group[-1])
+            yield part, group
+
+
+class _Column:
+    """One column of a stream of batches, filtered run by run; a run that a batch's end cuts goes on from its state."""
+
+    def __init__(self, cascade: Cascade):
+        self.cascade, self.rest, self.group, self.state = cascade, cascade.rest(1.0), -1, None
+
+    def step(self, v: np.ndarray, group: np.ndarray, given: dict[int, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """v filtered, the ends of its runs, and the states there. given: states before chunks that begin with a value; without it such chunks begin from nothing, else, as runs after missing values, from rest at their first value."""
+        ok = np.isfinite(v)
+        first = np.r_[group[0] != self.group, group[1:] != group[:-1]]
+        lo = np.flatnonzero(ok & (first | ~np.r_[False, ok[:-1]]))
+        hi = np.flatnonzero(ok & np.r_[first[1:] | ~ok[1:], True]) + 1
+        states = v[lo][:, None] * self.rest
+        if given is None:
+            states[first[lo]] = 0
+        for g, state in (given or {}).items():
+            at = np.searchsorted(group, g)
+            if at < len(group) and group[at] == g and first[at] and ok[at]:
+                states[np.searchsorted(lo, at)] = state
+        if not first[0] and ok[0] and self.state is not None:
+            states[0] = self.state
+        out, after = self.cascade.runs(v, lo, hi, states)
+        self.group, self.state = group[-1], after[-1] if ok[-1] else None
+        return out, hi, after
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(float)
+
+
 def _pass(df: DataFrame, columns: list[str], cascade: Cascade, backward: bool, chunk_us: int) -> DataFrame:
-    """df through the cascade in one direction, in chunks of time. First each chunk says how it moves a state; a subject's chunks (a row each) are then chained, and each chunk is filtered from the state before it."""
-    turn = -1 if backward else 1
-    cut, kind = df.withColumn("chunk_", div("us", chunk_us)), dict(df.dtypes)["subject_id"]
-
-    def runs(ok: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(np.diff(np.r_[False, ok, False].astype(int))).reshape(-1, 2)
-
-    def told(part: pd.DataFrame) -> pd.DataFrame:
-        part, rows = part.sort_values("us")[::turn], []
-        for k, c in enumerate(columns):
-            v = part[c].to_numpy(float)
-            ok = np.isfinite(v)
-            own = None
-            if ok.all():
-                own = cascade.run(v, np.zeros(2 * len(cascade.sections)))[1]
-            elif ok[-1]:
-                own = cascade.run(v[runs(ok)[-1][0] :])[1]
-            rows.append((part["subject_id"].iloc[0], part["chunk_"].iloc[0], k, len(v), bool(ok[0]), bool(ok.all()), float(v[0]) if ok[0] else 0.0, None if own is None else own.tolist()))
-        return pd.DataFrame(rows, columns=["subject_id", "chunk_", "k", "n", "opens", "whole", "first", "own"])
-
-    def chain(part: pd.DataFrame) -> pd.DataFrame:
-        rows, states = [], dict.fromkeys(range(len(columns)))
-        for r in part.sort_values("chunk_", ascending=not backward).itertuples():
-            before = states[r.k] if r.opens else None
-            rows.append((r.subject_id, r.chunk_, r.k, None if before is None else before.tolist()))
-            start = before if before is not None else cascade.rest(r.first)
-            states[r.k] = cascade.after(r.n, start, np.array(r.own)) if r.whole else None if r.own is None else np.array(r.own)
-        return pd.DataFrame(rows, columns=["subject_id", "chunk_", "k", "before"])
-
-    def filtered(part: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("us")
-        before = {r.k: r.before for r in states.itertuples()}
-        for k, c in enumerate(columns):
-            v = part[c].to_numpy(float)[::turn].copy()
-            for lo, hi in runs(np.isfinite(v)):
-                v[lo:hi] = cascade.run(v[lo:hi], np.array(before[k]) if lo == 0 and before.get(k) is not None else None)[0]
-            part[c] = v[::turn]
-        return part.drop(columns="chunk_")
-
-    summary = cut.select("subject_id", "us", "chunk_", *columns).groupBy("subject_id", "chunk_").applyInPandas(told, f"subject_id {kind}, chunk_ long, k int, n long, opens boolean, whole boolean, first double, own array<double>")
-    states = summary.groupBy("subject_id").applyInPandas(chain, f"subject_id {kind}, chunk_ long, k int, before array<double>")
+    """df through the cascade in one direction, in chunks of time. First each chunk of a subject that has several says how it moves a state; a subject's chunks (a row each) are then chained, and each chunk is filtered from the state before it,
+    which comes as a row before its own. Tasks read chunks as a stream of sorted rows, many short ones at once."""
+    cut, kind, every = df.withColumn("chunk_", div("us", chunk_us)), dict(df.dtypes)["subject_id"], df.columns
+    by_time = F.col("us").desc() if backward else F.col("us").asc()
+    form = f"subject_id {kind}, chunk_ long, k int"
+
+    def told(batches):
+        own, open_, names = [_Column(cascade) for _ in columns], {}, ["subject_id", "chunk_", "k", "n", "opens", "whole", "first", "own"]
+        types = None
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+        for part, group in _numbered(batches):
+            types = [part.schema.field("subject_id").type, pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.float64(), pa.list_(pa.float64())]
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            ends, rows = np.r_[starts[1:], len(group)], []
+            keys = list(zip(*(part.column(c).take(pa.array(starts)).to_pylist() for c in KEYS), strict=True))
+            for k, c in enumerate(columns):
+                v, goes_on = _numbers(part.column(c)), own[k].group == group[0]
+                _, hi, after = own[k].step(v, group, None)
+                ok = np.isfinite(v)
+                whole = np.logical_and.reduceat(ok, starts)
+                for g, (lo, end) in enumerate(zip(starts, ends, strict=True)):
+                    state = after[np.searchsorted(hi, end)].tolist() if ok[end - 1] else None
+                    if g == 0 and goes_on:
+                        subject, chunk, _, n, opens, all_, first, _ = open_[k]
+                        open_[k] = (subject, chunk, k, n + int(end), opens, all_ and bool(whole[0]), first, state)
+                    else:
+                        if k in open_:
+                            rows.append(open_[k])
+                        open_[k] = (*keys[g], k, int(end - lo), bool(ok[lo]), bool(whole[g]), float(v[lo]) if ok[lo] else 0.0, state)
+            if rows:
+                yield made(rows)
+        if open_:
+            yield made(list(open_.values()))
+
+    def chained(batches):
+        last, state = None, None
+        for batch in batches:
+            rows = []
+            for subject, chunk, k, n, opens, whole, first, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                state, last = state if (subject, k) == last else None, (subject, k)
+                before = state if opens else None
+                if before is not None:
+                    rows.append((subject, chunk, k, before.tolist()))
+                start = before if before is not None else cascade.rest(first)
+                state = cascade.after(n, start, np.array(own)) if whole else None if own is None else np.array(own)
+            types = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["subject_id", "chunk_", "k", "before"])
+
+    def filtered(batches):
+        own, pending = [_Column(cascade) for _ in columns], [{} for _ in columns]
+        for part, group in _numbered(batches):
+            which = part.column("k_").to_numpy()
+            for at in np.flatnonzero(which < len(columns)):
+                pending[which[at]][int(group[at])] = np.array(part.column("before_")[int(at)].as_py())
+            held = which == len(columns)
+            part, group = part.filter(pa.array(held)), group[held]
+            if not len(group):
+                continue
+            made = {c: pa.array(own[k].step(_numbers(part.column(c)), group, pending[k])[0], pa.float64(), from_pandas=True) for k, c in enumerate(columns)}
+            pending = [{g: state for g, state in p.items() if g > group[-1]} for p in pending]
+            yield pa.RecordBatch.from_arrays([made[name] if name in made else part.column(name) for name in every], every)
+
+    spans = cut.groupBy("subject_id").agg(F.min("chunk_").alias("lo_"), F.max("chunk_").alias("hi_")).where("lo_ < hi_").select(F.col("subject_id").alias("of_"))
+    several = cut.select("subject_id", "us", "chunk_", *columns).join(spans, F.col("subject_id").eqNullSafe(F.col("of_")), "left_semi")
+    summary = several.repartition(*KEYS).sortWithinPartitions(*KEYS, by_time).mapInArrow(told, f"{form}, n long, opens boolean, whole boolean, first double, own array<double>")
+    states = summary.repartition("subject_id").sortWithinPartitions("subject_id", "k", F.col("chunk_").desc() if backward else F.col("chunk_").asc()).mapInArrow(chained, f"{form}, before array<double>")
+    # empty, not null: a column of null arrays takes Spark's Arrow writer quadratic time in the rows of a batch
+    rows = cut.withColumns({"k_": F.lit(len(columns)), "before_": F.array().cast("array<double>")})
+    before = states.select(*(F.col("subject_id") if f.name == "subject_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema), "chunk_", F.col("k").alias("k_"), F.col("before").alias("before_"))
     schema = ", ".join(f"`{f.name}` {'double' if f.name in columns else f.dataType.simpleString()}" for f in df.schema)
-    return cut.groupBy("subject_id", "chunk_").cogroup(states.groupBy("subject_id", "chunk_")).applyInPandas(filtered, schema)
+    return rows.unionByName(before).repartition(*KEYS).sortWithinPartitions(*KEYS, "k_", by_time).mapInArrow(filtered, schema)
 
 
 def low_pass(df: DataFrame, columns: list[str], cutoff_hz: float, rate: float, order: int = 8, chunk_us: int = HOUR) -> DataFrame:

@@ -4,8 +4,10 @@ import time
 
 import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from kinelake.operators import signal
 from kinelake.plans import modelling, registry, round_trips  # noqa: F401
 from kinelake.sources import devices, readers
 
@@ -79,3 +81,44 @@ def test_training_source_writes_and_reads_subjects_in_parallel(spark, tmp_path):
         assert {r.split("/")[-1].split(".")[0] for r in made.inputFiles()} == {"s0", "s1", "s2"} and len(made.inputFiles()) > 3
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_low_pass_of_many_short_subjects(spark, tmp_path):
+    """No call of Python for each subject, which took 0.1 s and more."""
+    began = time.perf_counter()
+    embeddings = "select i as vec_id, list_transform(range(64), lambda t: ((hash(i * 64 + t) % 2000) / 1000.0 - 1)::float) as embedding, 0 as label from range(3000) t(i)"
+    assert against_sql(spark, tmp_path, "low_pass", embeddings=embeddings) == (0, 0, 192_000)
+    assert time.perf_counter() - began < 45
+
+
+def test_low_pass_of_chunks_longer_than_a_batch(spark):
+    n = 600_000
+    v = np.random.default_rng(4).normal(size=n)
+    for lo, hi in ((0, 3), (1000, 1001), (262_140, 262_150), (500_000, 500_300)):
+        v[lo:hi] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"us": np.arange(n) * 10_000, "x": v})).withColumns({"subject_id": F.lit(None).cast("string"), "x": F.when(~F.isnan("x"), F.col("x"))})
+    got = signal.low_pass(df, ["x"], 20, 100).toPandas().sort_values("us")["x"].to_numpy(float)
+    cascade = signal.Cascade(signal.butterworth(8, 20, 100))
+    edge = np.flatnonzero(np.diff(np.r_[False, np.isfinite(v), False].astype(int)))
+    for lo, hi in zip(edge[::2], edge[1::2], strict=True):
+        v[lo:hi] = cascade.run(cascade.run(v[lo:hi])[0][::-1])[0][::-1]
+    np.testing.assert_allclose(got, v, atol=1e-9)
+
+
+def test_runs_cut_anywhere_go_on_from_their_state():
+    rng = np.random.default_rng(8)
+    cascade = signal.Cascade(signal.butterworth(8, 20, 100))
+    size = [1, 64, 300, 2, 700, 64, 64]
+    group, v = np.repeat(np.arange(len(size)), size), rng.normal(size=sum(size))
+    v[[0, 5, 200, 201, 600, 1194]] = np.nan
+    given = {2: rng.normal(size=8), 5: rng.normal(size=8), 6: rng.normal(size=8)}
+    want = v.copy()
+    for g in range(len(size)):
+        ok = np.isfinite(v) & (group == g)
+        edge = np.flatnonzero(np.diff(np.r_[False, ok, False].astype(int)))
+        for lo, hi in zip(edge[::2], edge[1::2], strict=True):
+            want[lo:hi] = cascade.run(v[lo:hi], given.get(g) if lo == np.searchsorted(group, g) else None)[0]
+    for cuts in ([], [1], [63, 64, 65], [300, 301, 600, 601], sorted(rng.choice(np.arange(1, len(v)), 40, replace=False))):
+        own = signal._Column(cascade)
+        got = [own.step(v[lo:hi], group[lo:hi], given)[0] for lo, hi in zip([0, *cuts], [*cuts, len(v)], strict=True)]
+        np.testing.assert_allclose(np.concatenate(got), want, atol=1e-9)
